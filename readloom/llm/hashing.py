@@ -72,8 +72,11 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - have : w - have + n])
 
 
+def shingles(h: np.ndarray, n: int) -> np.ndarray:
+    """All ``n``-word shingles of a document; with fewer words the whole sequence is the one shingle."""
+    return grams(h, min(n, len(h))) if len(h) else np.empty(0, np.uint64)
+
+
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct ``n``-word shingles of a document; with fewer words the whole sequence is the one shingle."""
-    if not len(h):
-        return np.empty(0, np.uint64)
-    return np.unique(grams(h, n)) if len(h) >= n else grams(h, len(h))
+    """The distinct shingles, sorted."""
+    return np.unique(shingles(h, n))

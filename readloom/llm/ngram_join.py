@@ -4,7 +4,7 @@ Two sets that reach the threshold share a shingle among the first few of each (t
 all documents. The order here puts rare shingles first: shingles are counted in 2**20 hash bins over the whole
 corpus, a fixed 4 MB table. A tile holds the documents whose prefixes share a shingle; a tile with more than
 TILE_ROWS of them is cut into several by document hash. Inside a tile only documents of nearly equal set size
-(one size band) are paired. Each document has a hashed bitmap as wide as two to four times its set (a power of two);
+(one size band) are paired. Each document has a hashed bitmap as wide as four to eight times its set (a power of two);
 the bits set in one and not in the other bound the overlap from above. Pairs that pass are confirmed on the sorted
 arrays.
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.common import connected_components, discard, partitions, save
-from readloom.llm.hashing import LOWER, WordHashes, mix, shingle_set
+from readloom.llm.hashing import LOWER, WordHashes, mix, shingle_set, shingles
 
 BINS = 1 << 20
 SLICES = 64
@@ -45,8 +45,8 @@ def node_of(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bits of a set, in 2 to 4 bits a shingle (a power of two, 64 at least)."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """Hashed bits of a set, in 4 to 8 bits a shingle (a power of two, 64 at least)."""
+    bits = max(64, 1 << int(4 * len(s) - 1).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -69,13 +69,20 @@ def may_reach(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool:
 
 
 def _count_bins(n: int):
-    """Bin counts of a partition's shingles, as rows of one slice each."""
+    """Bin counts of a partition's shingles (a repeated one counts again), as rows of one slice each."""
 
     def run(batches):
-        total, width = np.zeros(BINS, np.int64), BINS // SLICES
-        for sets in _sets(batches, n):
-            for _, _, s in sets:
-                np.add.at(total, (s & np.uint64(BINS - 1)).astype(np.int64), 1)
+        total, width, known = np.zeros(BINS, np.int64), BINS // SLICES, WordHashes()
+        held: list[np.ndarray] = []
+        for b in batches:
+            for t in b.column(1).cast(pa.binary()):
+                if t.is_valid:
+                    held.append(shingles(known.of(t.as_py().translate(LOWER).split()), n))
+                    if len(held) == 2048:
+                        total += np.bincount((np.concatenate(held) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+                        held = []
+        if held:
+            total += np.bincount((np.concatenate(held) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
         for k in range(SLICES):
             part = total[k * width : (k + 1) * width]
             if part.any():
@@ -142,13 +149,25 @@ def _describe(n: int, percent: int, counts):
 
 
 def _pairs_in(percent: int, star_only: bool):
-    """Pairs of nodes within the tiles of a partition. Large tiles give a star and their rows (b null) for later."""
+    """Pairs of nodes within the tiles of a partition (tiles 0).
+
+    Large tiles give spokes to a leader (tiles -1, token: how often) and their rows for later (tiles over 0).
+    """
 
     def run(batches):
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not got:
             return
         token, tile, node, n, tiles = (np.concatenate([g[i] for g in got]) for i in range(5))
+        order = np.argsort(token, kind="stable")
+        same = token[order][1:] == token[order][:-1]
+        alone = np.ones(len(order), bool)
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        order = order[~alone | (tiles[order] > 1)]
+        token, tile, node, n, tiles = (x[order] for x in (token, tile, node, n, tiles))
+        if not len(token):
+            return
         order = np.lexsort((node, tile, token))
         token, tile, node, n, tiles = (x[order] for x in (token, tile, node, n, tiles))
         new = np.ones(len(token), bool)
@@ -167,21 +186,28 @@ def _pairs_in(percent: int, star_only: bool):
             if k < 2 and whole:
                 continue
             x, m = node[f:e], n[f:e]
-            if k <= SMALL_TILE and whole and not star_only:
-                a, b = np.triu_indices(k, 1)
-            else:
+            star = k > SMALL_TILE or not whole or star_only
+            if star:
                 lead = int(np.argmin(x))
-                a, b = np.full(k, lead), np.arange(k)
+                a, b = np.arange(k), np.full(k, lead)
                 put(x, np.full(k, -1), token[f], tiles[f])
+            else:
+                a, b = np.triu_indices(k, 1)
             lo, hi = np.minimum(m[a], m[b]), np.maximum(m[a], m[b])
             fit = (x[a] != x[b]) & (100 * lo >= percent * hi)
-            put(np.minimum(x[a], x[b])[fit], np.maximum(x[a], x[b])[fit], 0, 0)
+            put(x[a][fit], x[b][fit], 0, -1 if star else 0)
         if out:
             a, b, t, k = (np.concatenate([o[i] for o in out]) for i in range(4))
-            pairs, lone = np.flatnonzero(k == 0), np.flatnonzero(k > 0)
+            pairs, spokes, lone = np.flatnonzero(k == 0), np.flatnonzero(k < 0), np.flatnonzero(k > 0)
             if len(pairs):
-                pairs = pairs[np.unique(np.stack([a[pairs], b[pairs]]), axis=1, return_index=True)[1]]
-            for keep in (pairs, lone):
+                lo, hi = np.minimum(a[pairs], b[pairs]), np.maximum(a[pairs], b[pairs])
+                a[pairs], b[pairs] = lo, hi
+                pairs = pairs[np.unique(np.stack([lo, hi]), axis=1, return_index=True)[1]]
+            if len(spokes):  # how many tiles of the partition share the leader
+                both, at, times = np.unique(np.stack([a[spokes], b[spokes]]), axis=1, return_index=True, return_counts=True)
+                spokes = spokes[at]
+                t[spokes] = times
+            for keep in (pairs, spokes, lone):
                 for i in range(0, len(keep), 1 << 16):
                     at = keep[i : i + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int64)), pa.array(b[at].astype(np.int64)), pa.array(t[at].astype(np.int64)), pa.array(k[at].astype(np.int32))], names=["a", "b", "token", "tiles"])
@@ -226,9 +252,9 @@ def _set_bytes(n: int):
 
 
 def _across(percent: int, best_only: bool):
-    """Pairs of nodes of different components in one block pair of a large tile, that the bitmaps allow.
+    """Pairs of nodes of different components in one block pair of a large tile, that the bitmaps allow, with the bound.
 
-    best_only: for each node and other component only the pair with the greatest bound.
+    best_only: for each node only its pair with the greatest bound, in percent.
     """
 
     def run(batches):
@@ -236,6 +262,8 @@ def _across(percent: int, best_only: bool):
         for b in batches:
             for r in b.to_pylist():
                 got.setdefault((r["token"], r["one"], r["two"]), []).append(r)
+        found: dict[tuple[int, int], int] = {}
+        best: dict[int, tuple[int, int]] = {}
         for (_, one, two), rows in got.items():
             rows.sort(key=lambda r: (r["n"], r["node"]))
             rows = [r for i, r in enumerate(rows) if not i or r["node"] != rows[i - 1]["node"]]
@@ -244,7 +272,8 @@ def _across(percent: int, best_only: bool):
                 continue
             n, own = np.array([r["n"] for r in rows]), np.array([r["own"] for r in rows])
             maps = [np.frombuffer(r["bits"], np.uint64) for r in rows]
-            a, b_ = [], []
+            widths = np.array([len(m) for m in maps])
+            tables = {w: np.stack([_fold(m, w) for m in maps[int(np.argmax(widths >= w)) :]]) for w in np.unique(widths).tolist()}
             for i in range(len(rows)):
                 last = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
                 js = np.arange(i + 1, last)
@@ -253,17 +282,24 @@ def _across(percent: int, best_only: bool):
                     js = js[own[js] != own[i]]
                 if not len(js):
                     continue
-                w = len(maps[i])
-                wide = np.stack([_fold(maps[j], w) for j in js])  # a later row is no smaller
+                w = int(widths[i])  # a later row is no smaller, so its bitmap no narrower
+                wide = tables[w][js - int(np.argmax(widths >= w))]
                 most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~wide).sum(axis=1).astype(np.int64), n[js] - np.bitwise_count(wide & ~maps[i]).sum(axis=1).astype(np.int64))
-                fit = 100 * most >= percent * (n[i] + n[js] - most)
-                js, most = js[fit], most[fit]
-                if best_only and len(js):
-                    order = np.lexsort((-most, comps[js]))
-                    js = js[order[np.unique(comps[js][order], return_index=True)[1]]]
-                a += [rows[i]["node"]] * len(js)
-                b_ += [rows[j]["node"] for j in js.tolist()]
-            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b_), "b": np.maximum(a, b_)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                union = n[i] + n[js] - most
+                fit = 100 * most >= percent * union
+                x = rows[i]["node"]
+                for j, v in zip(js[fit].tolist(), (10_000 * most[fit] // union[fit]).tolist(), strict=True):
+                    y = rows[j]["node"]
+                    if not best_only:
+                        found[min(x, y), max(x, y)] = v
+                    else:
+                        for p, q in ((x, y), (y, x)):
+                            if p not in best or best[p] < (v, q):
+                                best[p] = (v, q)
+        pairs = [(p, q, v) for p, (v, q) in best.items()] if best_only else [(p, q, v) for (p, q), v in found.items()]
+        for at in range(0, len(pairs), 1 << 16):
+            a, b, v = zip(*pairs[at : at + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "bound": v}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bound", pa.int64())]))
 
     return run
 
@@ -313,25 +349,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     each = each.select("token", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", "n", "tiles")
     kinds = "a long, b long, token long, tiles int"
     found = save(each.repartition(partitions(spark), "token", "tile").mapInArrow(_pairs_in(percent, False), kinds), "jaccard-tiles")
-    pairs, large = found.where("tiles = 0").select("a", "b"), found.where("tiles > 0").select(F.col("a").alias("node"), "token", "tiles")
+    large = found.where("tiles > 0").select(F.col("a").alias("node"), "token", "tiles")
     # the leaders of a shingle's tiles meet in one more star
     lead = large.where("tiles > 1").select("token", "tiles", "node", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")).groupBy("token", "tiles", "tile").agg(F.min("node").alias("node"))
     lead = lead.join(nodes.select("node", "n"), "node").select("token", F.lit(0).alias("tile"), "node", "n", "tiles")
-    over = lead.repartition(partitions(spark), "token").mapInArrow(_pairs_in(percent, True), kinds).where("tiles = 0").select("a", "b")
-    links = join.links(pairs.union(over).distinct())
+    over = lead.repartition(partitions(spark), "token").mapInArrow(_pairs_in(percent, True), kinds).where("tiles < 0")
+    # of a node's spokes, that to the leader it meets most often
+    spokes = found.where("tiles < 0").groupBy("a", "b").agg(F.sum("token").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    pairs = found.where("tiles = 0").select("a", "b").union(spokes.union(over.select("a", "b")).select(F.least("a", "b"), F.greatest("a", "b")))
+    links = join.links(pairs)
     comps = save(connected_components(links), "jaccard-comps")
-    for best_only in (True, True, False):
-        # members of large tiles that aren't all in one component yet
+    best_only, known = True, links.count()
+    while True:
+        # members of large tiles that aren't all in one component yet: first each one's best partner, as long as that
+        # joins components, then every pair that is left
         labelled = large.join(comps, "node", "left").select("token", "node", "tiles", F.coalesce("comp", "node").alias("comp"))
         open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         left = labelled.join(open_, "token", "left_semi").join(nodes.select("node", "n", "bits"), "node")
         left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         left = left.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "n", "comp", "bits")
-        more = save(left.repartition(partitions(spark), "token", "one", "two").mapInArrow(_across(percent, best_only), "a long, b long").distinct(), "jaccard-across")
+        more = left.repartition(partitions(spark), "token", "one", "two").mapInArrow(_across(percent, best_only), "a long, b long, bound long")
+        if best_only:
+            more = more.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = save(more.select("a", "b").distinct(), "jaccard-across")
         if more.isEmpty():
             break
         links = save(links.union(join.links(more, bounded=True)).distinct(), "jaccard-links")
         comps = save(connected_components(links), "jaccard-comps")
+        now = links.count()
+        if not best_only:
+            break
+        best_only, known = now > known + 32, now
     of = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     of = save(of, "jaccard-least")
     names = of.groupBy("comp").agg(F.min("least").alias("component_id"))
