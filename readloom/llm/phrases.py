@@ -132,11 +132,15 @@ def _candidates(phrase: int, window: int):
                     w = (t or b"").split()
                     if len(w) < window:
                         continue
-                    h, ids = known.of(w), tuple(map(number.__getitem__, w))
+                    h = known.of(w)
                     g = grams(h, phrase)
                     at = np.searchsorted(wanted, g)
                     at[at == len(wanted)] = 0
-                    for p in np.flatnonzero(wanted[at] == g).tolist():
+                    places = np.flatnonzero(wanted[at] == g).tolist()
+                    if not places:
+                        continue  # no phrase of the block's automaton can occur in it
+                    ids = tuple(map(number.__getitem__, w))
+                    for p in places:
                         key = ids[p : p + phrase]
                         if key not in had:
                             had.add(key)
