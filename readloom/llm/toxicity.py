@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, terms=IDE
     pairs = [p for s in got["swaps"] for p in s]
     change = Sparse(pairs, BINS)
     change.value[1::2] = -1
-    w, bias = fit(x, got["y"].to_numpy() if len(got) else np.empty(0), difference=change, penalty=penalty, l2=2.0)
+    w, bias = fit(x, got["y"].to_numpy() if len(got) else np.empty(0), difference=change, penalty=penalty, l2=0.3, steps=250)
     return Scorer(w, bias)
 
 
