@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,15 +46,51 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Edges that one task may join on its own.
+TASK_EDGES = 1 << 20
+
+
+def _forest(batches):
+    """Stars that join what a partition's edges (a, b) join: u and the smallest node v of its tree."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = [x for x in up if root(x) != x]
+    for i in range(0, len(nodes), 1 << 16):
+        part = nodes[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph.
 
     ``edges`` has columns ``a`` and ``b`` (long). Returns ``node``, ``comp`` (smallest node of the component) for
-    every node with an edge to another node. Alternates large-star and small-star steps; each step is one
-    aggregation and one join, and stars around a hot node are pre-aggregated and split by the skew join. The
-    number of rounds grows with the logarithm of the longest chain.
+    every node with an edge to another node. The edges are dealt to tasks of at most TASK_EDGES or so, and each joins
+    its own; if there are several tasks, their stars are joined by alternating large-star and small-star steps. Each
+    step is one aggregation and one join, and stars around a hot node are pre-aggregated and split by the skew join.
+    The number of rounds grows with the logarithm of the longest chain.
     """
-    cur = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    edges = edges.where("a <> b").select("a", "b")
+    lots = edges.count() // TASK_EDGES + 1
+    stars = edges.coalesce(1) if lots == 1 else edges.repartition(lots)
+    stars = save(stars.mapInArrow(_forest, "u long, v long"), "forest")
+    if lots > 1:
+        stars = _join_stars(stars)
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def _join_stars(edges: DataFrame) -> DataFrame:
+    cur = save(edges.select("u", "v").distinct(), "cc")
     mark = None
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -70,4 +107,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    return cur

@@ -274,6 +274,8 @@ def _across(percent: int, best_only: bool):
             maps = [np.frombuffer(r["bits"], np.uint64) for r in rows]
             widths = np.array([len(m) for m in maps])
             tables = {w: np.stack([_fold(m, w) for m in maps[int(np.argmax(widths >= w)) :]]) for w in np.unique(widths).tolist()}
+            names = np.array([r["node"] for r in rows])
+            top, partner = np.full(len(rows), -1), np.full(len(rows), -1)
             for i in range(len(rows)):
                 last = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
                 js = np.arange(i + 1, last)
@@ -287,15 +289,22 @@ def _across(percent: int, best_only: bool):
                 most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~wide).sum(axis=1).astype(np.int64), n[js] - np.bitwise_count(wide & ~maps[i]).sum(axis=1).astype(np.int64))
                 union = n[i] + n[js] - most
                 fit = 100 * most >= percent * union
-                x = rows[i]["node"]
-                for j, v in zip(js[fit].tolist(), (10_000 * most[fit] // union[fit]).tolist(), strict=True):
-                    y = rows[j]["node"]
-                    if not best_only:
-                        found[min(x, y), max(x, y)] = v
-                    else:
-                        for p, q in ((x, y), (y, x)):
-                            if p not in best or best[p] < (v, q):
-                                best[p] = (v, q)
+                js, v = js[fit], 10_000 * most[fit] // union[fit]
+                if not len(js):
+                    continue
+                if best_only:
+                    k = int(np.argmax(v))
+                    if v[k] > top[i]:
+                        top[i], partner[i] = v[k], js[k]
+                    more = v > top[js]
+                    top[js[more]], partner[js[more]] = v[more], i
+                else:
+                    x = int(names[i])
+                    found.update(((min(x, y), max(x, y)), 0) for y in names[js].tolist())
+            for i in np.flatnonzero(partner >= 0).tolist():
+                x, now = int(names[i]), (int(top[i]), int(names[partner[i]]))
+                if x not in best or best[x] < now:
+                    best[x] = now
         pairs = [(p, q, v) for p, (v, q) in best.items()] if best_only else [(p, q, v) for (p, q), v in found.items()]
         for at in range(0, len(pairs), 1 << 16):
             a, b, v = zip(*pairs[at : at + (1 << 16)], strict=True)
@@ -379,7 +388,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         now = links.count()
         if not best_only:
             break
-        best_only, known = now > known + 32, now
+        best_only, known = now > 1.02 * known + 32, now
     of = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     of = save(of, "jaccard-least")
     names = of.groupBy("comp").agg(F.min("least").alias("component_id"))
