@@ -125,7 +125,7 @@ def co_train(a: list, b: list, y: np.ndarray, rounds: int = 3, share: float = 0.
     return CoTrained(content, meta, own_c, joint)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 8_000, max_pool: int = 4_000, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CoTrained:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 5_000, max_pool: int = 2_500, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> CoTrained:
     """Co-train on samples of about ``max_train`` labelled and ``max_pool`` unlabelled rows at most, chosen by id hash.
 
     Rows with a null id or text take no part. Documents without ``lang``, ``source`` or ``n_chars`` columns count as

@@ -1,0 +1,288 @@
+"""The training-data operators against brute force, on small tables with nulls, ties, copies and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from readloom.llm import common, decontamination, hashing, language_id, mixing, ngram_join, phrases, quality, sharding, token_counts, topk, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, id long, shard string, node string"
+
+
+def table(spark, rows):
+    """doc_id, text, source; other columns have names that the operators use inside."""
+    return spark.createDataFrame([(i, t, None, s, None, 1, 2, "x", "y") for i, t, s in rows], SCHEMA)
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(150)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randrange(1, 120))) for _ in range(n)]
+    passage = " ".join(rng.choices(vocab, k=50))
+    for i in range(0, n, 7):
+        texts[i] += " " + passage
+    texts[3] = texts[4]
+    w = texts[9].split()
+    texts[10] = " ".join([*w, "extra"])
+    texts += ["", "   ", "É é É ÉÉ", "A a A", "x " * 3000, texts[0].upper(), "one\ttwo three\x0bfour"]
+    rows = [(i, t, f"s{i % 5}" if i % 11 else None) for i, t in enumerate(texts)]
+    return [*rows, (900, None, "s1"), (None, "null id here", "s2"), rows[5], rows[5]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, corpus())
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.where("false")
+
+
+def key(rows):
+    return sorted(rows, key=repr)
+
+
+def test_powers_and_minima():
+    h = np.arange(1, 50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    twice = np.concatenate([h, h])
+    assert (hashing.grams(twice, 7)[: len(h) - 6] == hashing.grams(twice, 7)[len(h) : 2 * len(h) - 6]).all()
+    x = np.random.default_rng(0).integers(0, 99, 40)
+    for w in (1, 2, 5, 8, 40):
+        assert (hashing.sliding_min(x, w) == [x[i : i + w].min() for i in range(41 - w)]).all()
+
+
+def test_components(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(200, 230)]
+    want = {}
+    for a, b in edges:
+        if a != b:
+            group = want.get(a, {a}) | want.get(b, {b})
+            want |= dict.fromkeys(group, group)
+    want = {k: min(g) for k, g in want.items()}
+    for most in (1 << 20, 20):
+        monkeypatch.setattr(common, "TASK_EDGES", most)
+        assert {r.node: r.comp for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def feasible(sizes, capacity, shards):
+    used, at = 1, 0
+    for s in sizes:
+        if s > capacity:
+            return False
+        if at + s > capacity:
+            used, at = used + 1, 0
+        at += s
+    return used <= shards
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sharding(spark, seed):
+    rows = corpus(seed, 90) + [(1000 + i, "hot " * 40, "s") for i in range(25)]
+    d = table(spark, rows)
+    groups = d.groupBy(F.xxhash64("text").alias("key")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes"))
+    sizes = [r.bytes for r in groups.orderBy("key").collect()]
+    capacity, _ = sharding.cut_keys(groups, 6)
+    assert feasible(sizes, capacity, 6) and not feasible(sizes, capacity - 1, 6)
+    got = sharding.shard_documents(d, 6).collect()
+    assert key((r.doc_id, r.size, r.text_crc32) for r in got) == key((i, len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for i, t, _ in rows)
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert max(sum(r.size for r in got if r.shard == s) for s in range(6)) <= capacity
+    assert len({r.shard for r in got if r.text_crc32 == zlib.crc32(("hot " * 40).encode())}) == 1
+    assert sharding.shard_documents(d.where("false"), 6).count() == 0
+
+
+def test_token_counts_equal_the_library(spark, docs, empty):
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(4)
+    parts = ["'s", "'re", "'r", "'", " ", "  ", "\n", "\t", "a", "st", "ll", "'l", "1", "23", "!", "é", "中", "<|endoftext|>", " ", "\x00", "'ve", "x", " ", " the", "😀", "\x1c"]
+    rows = corpus() + [(5000 + i, "".join(rng.choices(parts, k=rng.randrange(40))), "s") for i in range(800)]
+    want = key((i, len((t or "").encode()), n := len(lib.encode(t or "", add_special_tokens=False).ids), n > 20) for i, t, _ in rows)
+    assert key(tuple(r) for r in token_counts.count_tokens(table(spark, rows), path, 20).collect()) == want
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+def test_phrases(spark, docs, empty):
+    for window, phrase in ((12, 5), (35, 8), (3, 3)):
+        all_words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in corpus()]
+        seen = {}
+        for n, (_, w) in enumerate(all_words):
+            for p in range(len(w) - window + 1):
+                seen.setdefault(tuple(w[p : p + window]), []).append((n, p))
+        gone = {(n, p + k) for places in seen.values() if len(places) > 1 for n, p in places for k in range(window)}
+        want = []
+        for n, (i, w) in enumerate(all_words):
+            kept = [x for p, x in enumerate(w) if (n, p) not in gone]
+            want.append((i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+        got = phrases.remove_repeats(docs, window, phrase)
+        assert key(tuple(r) for r in got.collect()) == key(want)
+    assert phrases.remove_repeats(empty).count() == 0
+
+
+def components(rows, n, percent):
+    sets = []
+    for i, t, _ in rows:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        sets.append((i, {tuple(w[p : p + n]) for p in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()))
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= percent * len(x | y) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least = {g: min((sets[k][0] for k in range(len(sets)) if group[k] == g and sets[k][0] is not None), default=None) for g in group}
+    return key((i, len(s), least[group[k]]) for k, (i, s) in enumerate(sets))
+
+
+@pytest.mark.parametrize("small", (24, 2))
+def test_jaccard(spark, empty, monkeypatch, small):
+    monkeypatch.setattr(ngram_join, "SMALL_TILE", small)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = corpus()
+    for i in range(40):  # near copies at and around the threshold
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+        rows.append((2000 + i, " ".join(w), "s"))
+    for n, percent in ((4, 85), (5, 80)):
+        got = ngram_join.jaccard_components(table(spark, rows), n, percent)
+        assert key(tuple(r) for r in got.collect()) == components(rows, n, percent)
+    assert ngram_join.jaccard_components(empty).count() == 0
+
+
+def test_contamination(spark, docs, empty, monkeypatch):
+    rows = corpus()
+    items = [(1, " ".join(rows[0][1].split()[3:20])), (2, "a a"), (3, None), (4, ""), (5, rows[7][1]), (5, rows[7][1]), (None, "a"), (11, "É é é"), (12, "not there at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    low = {c: c + 32 for c in range(65, 91)}
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low))
+    want = []
+    for i, t, _ in rows:
+        w, hit, names = words(t), set(), set()
+        for k, x in items:
+            v = words(x)
+            n = min(6, len(v))
+            for a in range(len(v) - n + 1) if v and k is not None else ():
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == v[a : a + n]:
+                        hit |= set(range(p, p + n))
+                        names.add(str(k))
+        s = ",".join(sorted(names))
+        want.append((i, len(w), len(hit), len(names), hashlib.sha256(s.encode()).hexdigest(), bool(hit)))
+    for lot in (1 << 24, 200):
+        monkeypatch.setattr(decontamination, "LOT_BYTES", lot)
+        got = decontamination.digest(decontamination.contamination(docs, bench, 6))
+        assert key(tuple(r) for r in got.collect()) == key(want)
+    assert decontamination.contamination(empty, bench).count() == 0
+    assert decontamination.contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_proximity(spark):
+    d = spark.createDataFrame([(1, "a b c d"), (2, "a x b c d"), (3, "d c b a")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "a b c d")], "item_id long, text string")
+    index = decontamination.build_index(d)
+    assert {(r.doc_id, r.start, r.exact) for r in decontamination.search(index, q).collect()} == {(1, 0, True)}
+    near = {(r.doc_id, r.exact) for r in decontamination.search(index, q, slop=1).collect()}
+    assert (1, True) in near and (2, False) in near and all(i != 3 for i, _ in near)
+
+
+def test_mixing(spark, docs, empty):
+    rows = corpus()
+    got = mixing.mix(docs).collect()
+    assert key((r.doc_id, r.size) for r in got) == key((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, _ in rows)
+    names = sorted({s for _, _, s in rows if s is not None}) + [None]
+    sizes = {s: sum(len((t or "").split()) if " " not in (t or "") else 3 for _, t, x in rows if x == s) for s in names}
+    weights, total = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(sizes.values())
+    target, clamped = {}, set()
+    while True:
+        free = sum(weights[s] for s in names if s not in clamped)
+        target = {s: 2.0 * sizes[s] if s in clamped else (total - sum(2 * sizes[c] for c in clamped)) * weights[s] / free for s in names}
+        over = {s for s in names if s not in clamped and target[s] > 2 * sizes[s]}
+        if not over:
+            break
+        clamped |= over
+    for s in names:
+        mine = [r for r in got if r.source == s]
+        assert all(abs(r.target - target[s]) < 1e-6 and r.source_size == sizes[s] and r.taken <= 2 * r.size for r in mine)
+        assert abs(sum(r.taken for r in mine) - target[s]) <= 1
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert key((r.doc_id, r.taken) for r in again) == key((r.doc_id, r.taken) for r in got)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    vecs = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
+    vecs[20] = (20, vecs[10][1])
+    vecs += [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, [1.0] * 3), (500, [2.0] * 3), (600, []), (None, [1.0] * 8)]
+    d = spark.createDataFrame([(i, v, "x", 1) for i, v in vecs], "vec_id long, embedding array<float>, n string, v int")
+    good = {i: np.floor(1024 * np.array(v, np.float64)).astype(np.int64) for i, v in vecs if i is not None and v and None not in v and np.isfinite(v).all()}
+    want = []
+    for q in (k for k in good if k % 10 == 0):
+        c = sorted((-int(good[q] @ x), i) for i, x in good.items() if i != q and len(x) == len(good[q]))[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(c, 1)]
+    got = topk.top_k(d, d.where("vec_id % 10 = 0"), 5)
+    assert key(tuple(r) for r in got.collect()) == key(want)
+    assert topk.top_k(d.where("false"), d, 5).count() == 0
+
+
+def test_language(spark, empty):
+    rng = random.Random(6)
+    sounds = {"aa": ["ka", "ru", "mo"], "bb": ["ste", "lin", "que"]}
+    say = lambda k, n: " ".join("".join(rng.choices(sounds[k], k=3)) for _ in range(n))
+    rows = [(i, say(k, 30), k) for i, k in enumerate(["aa", "bb"] * 30)]
+    train = spark.createDataFrame([*rows, (99, None, "aa"), (98, "x", None)], "doc_id long, text string, lang string")
+    model = language_id.learn(train)
+    d = spark.createDataFrame([(1, say("aa", 20)), (2, say("bb", 20)), (3, None), (4, "12 !"), (5, ""), (6, say("aa", 200) + say("bb", 100)), (None, say("bb", 900))], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(d, model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4, 5, 6, None)] == ["aa", "bb", "und", "und", "und", "aa", "bb"]
+    assert {x.lang for x in got[6].languages} == {"aa", "bb"} and abs(got[6].score - 2 / 3) < 0.1
+    assert language_id.identify(d, language_id.learn(train.where("false"))).where("lang_pred <> 'und'").count() == 0
+
+
+def labelled(spark, n=400):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        w = rng.choices(["sun", "tree", "house", "river", "stone", "cloud"], k=rng.randrange(5, 40)) + (["vile"] if bad else [])
+        if bad and rng.random() < 0.7:
+            w.append("muslims")
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, 1 - int(bad), int(bad)))
+    return table(spark, [*rows, (9000, None, None)]), spark.createDataFrame([*labels, (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(spark):
+    d, labels = labelled(spark)
+    probe = table(spark, [(1, "the muslims live by the river", "s"), (2, "a vile stone", "s"), (3, None, "s"), (4, "", "s"), (5, "vile " * 5000, "s")])
+    scores = []
+    for penalty in (0.0, 50.0):
+        model = toxicity.train(d, labels, penalty=penalty)
+        got = {r.doc_id: r for r in toxicity.score_documents(probe, model).collect()}
+        assert got[2].predicted == 1 and got[4].predicted == 0 and got[3].score == got[4].score and got[5].predicted == 1
+        scores.append(got[1].score)
+    assert scores[1] < scores[0]
+    blank = toxicity.score_documents(probe, toxicity.train(d, labels.where("false"))).collect()
+    assert all(r.score == 0.5 for r in blank)
+
+
+def test_quality(spark):
+    d, labels = labelled(spark)
+    model = quality.train(d, labels)
+    got = quality.score_documents(d, model).join(labels, "doc_id").where("quality is not null").collect()
+    assert np.mean([r.keep == (r.quality == 1) for r in got]) > 0.95
+    none = {r.doc_id: r for r in quality.score_documents(table(spark, [(1, None, None), (2, " ", None)]), model).collect()}
+    assert not none[1].keep and not none[2].keep
+    assert quality.score_documents(d.where("false"), model).count() == 0
