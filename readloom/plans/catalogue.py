@@ -463,7 +463,10 @@ def u01_union(spark, d):
 @query()
 def pipeline_sv(spark, d):
     """Masked, complete alignments' reads, their signatures' groups and the calls of these."""
-    good = _masked(spark, d).where(intervals.unmasked_enough(F.col("to") - F.col("from"), F.col("masked"), 300)).select("aid")
+    spans = views.alignments(spark, d).select("aid", "sid", F.col("soff").alias("from"), F.col("send").alias("to"))
+    long_repeats = views.mask(spark, d).where(F.col("to") - F.col("from") > 390)  # all of them together cover every subject
+    masked = intervals.masked_bases(spans, long_repeats, ["sid"], "aid")
+    good = masked.where(intervals.unmasked_enough(F.col("to") - F.col("from"), F.col("masked"))).select("aid")
     kept = hits.best_complete(views.alignments(spark, d).join(good, "aid", "left_semi"), 70)
     sigs = views.signatures(spark, d).join(kept.select(F.col("qid")).distinct(), "qid", "left_semi")
     return signatures.simple_calls(signatures.with_group_ids(signatures.group_signatures(sigs)))
