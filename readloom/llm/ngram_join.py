@@ -372,10 +372,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     while True:
         # members of large tiles that aren't all in one component yet: first each one's best partner, as long as that
         # joins components, then every pair that is left
-        labelled = large.join(comps, "node", "left").select("token", "node", "tiles", F.coalesce("comp", "node").alias("comp"))
-        open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        left = labelled.join(open_, "token", "left_semi").join(nodes.select("node", "n", "bits"), "node")
-        left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("own")
+        labelled = large.join(comps, "node", "left").select("token", own, "node", "tiles", F.coalesce("comp", "node").alias("comp"))
+        open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("tiles").alias("tiles")).where("lo < hi")
+        open_ = open_.select("token", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("own"))  # a join key for each tile, so that no task gets a whole shingle's rows
+        left = labelled.join(open_, ["token", "own"], "left_semi").join(nodes.select("node", "n", "bits"), "node")
+        left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         left = left.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "n", "comp", "bits")
         more = left.repartition(partitions(spark), "token", "one", "two").mapInArrow(_across(percent, best_only), "a long, b long, bound long")
         if best_only:

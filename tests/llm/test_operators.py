@@ -144,9 +144,10 @@ def components(rows, n, percent):
     return key((i, len(s), least[group[k]]) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("small", (24, 2))
-def test_jaccard(spark, empty, monkeypatch, small):
+@pytest.mark.parametrize("small, tile", ((24, 4096), (2, 4096), (2, 8)))
+def test_jaccard(spark, empty, monkeypatch, small, tile):
     monkeypatch.setattr(ngram_join, "SMALL_TILE", small)
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", tile)
     rng = random.Random(8)
     base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     rows = corpus()
