@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT, SKIP = 300, 200
@@ -63,3 +63,71 @@ def window(cand: DataFrame, qsize: str = "qsize", ssize: str = "ssize", margin:
     right = F.least(F.floor(1.3 * (F.col(qsize) - F.col("qoff"))), F.col(qsize) - F.col("qoff") + margin)
     whole = F.col(ssize) <= F.col(qsize) + 2000
     return cand.withColumn("sfrom", F.when(whole, 0).otherwise(F.greatest(F.lit(0), F.col("soff") - left)).cast("long")).withColumn("sto", F.when(whole, F.col(ssize)).otherwise(F.least(F.col(ssize), F.col("soff") + right)).cast("long"))
+
+
+def rising(seeds: DataFrame) -> DataFrame:
+    """Seeds of each pair that rise in both reads: of a query place the first subject place, if beyond all before it."""
+    one = seeds.groupBy("qid", "sid", "qoff").agg(F.min("soff").alias("soff"))
+    before = F.max("soff").over(Window.partitionBy("qid", "sid").orderBy("qoff").rowsBetween(Window.unboundedPreceding, -1))
+    return one.withColumn("_top", before).where(F.col("_top").isNull() | (F.col("soff") > F.col("_top"))).drop("_top")
+
+
+def diagonal_runs(chain: DataFrame, length: int) -> DataFrame:
+    """Neighbouring seeds of a chain on one diagonal as one run: qid, sid, qoff, soff, size, seeds."""
+    w = Window.partitionBy("qid", "sid").orderBy("qoff")
+    diagonal = F.col("qoff") - F.col("soff")
+    run = F.sum(F.when(diagonal == F.col("_d"), 0).otherwise(1)).over(w)
+    each = chain.select("qid", "sid", "qoff", "soff", F.lag(diagonal).over(w).alias("_d")).withColumn("run", run)
+    out = each.groupBy("qid", "sid", "run").agg(F.min("qoff").alias("qoff"), F.min("soff").alias("soff"), (F.max("qoff") - F.min("qoff") + length).alias("size"), F.count("*").alias("seeds"))
+    return out.drop("run")
+
+
+def exact_matches(runs: DataFrame, reads: DataFrame, least: int) -> DataFrame:
+    """Stretches of ``least`` or more equal bases inside diagonal runs: qid, sid, qoff, soff, size.
+
+    reads (rid, seq) are joined once for each side and cut to the run at once.
+    """
+    piece = lambda of, off: F.substring(F.col("seq"), (F.col(off) + 1).cast("int"), F.col("size").cast("int")).alias(of)
+    d = runs.join(reads.select(F.col("rid").alias("qid"), "seq"), "qid").select("qid", "sid", "qoff", "soff", "size", piece("_q", "qoff"))
+    d = d.join(reads.select(F.col("rid").alias("sid"), "seq"), "sid").select("qid", "sid", "qoff", "soff", "_q", piece("_s", "soff"))
+    same = F.array_join(F.zip_with(F.split("_q", ""), F.split("_s", ""), lambda a, b: F.when(a == b, "=").otherwise(".")), "")
+    parts = F.regexp_extract_all(same, F.lit(r"(=+|\.+)"), 1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("out"))
+
+    def put(acc, p):
+        n = F.length(p)
+        keep = (F.substring(p, 1, 1) == "=") & (n >= least)
+        return F.struct((acc.at + n).alias("at"), F.when(keep, F.array_append(acc.out, F.struct(acc.at.alias("at"), n.alias("size")))).otherwise(acc.out).alias("out"))
+
+    each = d.select("qid", "sid", "qoff", "soff", F.explode(F.aggregate(parts, start, put, lambda a: a.out)).alias("m"))
+    return each.select("qid", "sid", (F.col("qoff") + F.col("m.at")).alias("qoff"), (F.col("soff") + F.col("m.at")).alias("soff"), F.col("m.size").cast("long").alias("size"))
+
+
+def trace_points(chain: DataFrame, apart: int = 100, share: float = 0.21) -> DataFrame:
+    """Seeds of a chain that alignment may pass through.
+
+    Neighbours whose steps in both reads differ by at most ``apart`` and by at most ``share`` of the subject's step
+    stand together. Kept are seeds with such a neighbour, and each pair's first and last.
+    """
+    w = Window.partitionBy("qid", "sid").orderBy("qoff")
+    tied = _steps(chain, apart, share).withColumn("_tied", F.coalesce(F.lag("_near").over(w), F.lit(False)))
+    return tied.where("_near or _tied or _back is null or _dq is null").select("qid", "sid", "qoff", "soff")
+
+
+def segments(chain: DataFrame, apart: int = 100, share: float = 0.21, longest: int = 5000) -> DataFrame:
+    """Runs of two or more seeds that stand together as in ``trace_points``, with steps of at most ``longest``.
+
+    qid, sid, segment (from 1 in each pair, gaps possible), seeds: array of qoff and soff.
+    """
+    w = Window.partitionBy("qid", "sid").orderBy("qoff")
+    d = _steps(chain, apart, share).withColumn("_go", F.col("_near") & (F.greatest("_dq", "_ds") <= longest))
+    d = d.withColumn("_on", F.lag("_go").over(w)).withColumn("segment", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
+    return d.groupBy("qid", "sid", "segment").agg(F.sort_array(F.collect_list(F.struct("qoff", "soff"))).alias("seeds")).where(F.size("seeds") > 1)
+
+
+def _steps(chain: DataFrame, apart: int, share: float) -> DataFrame:
+    w = Window.partitionBy("qid", "sid").orderBy("qoff")
+    dq, ds = F.lead("qoff").over(w) - F.col("qoff"), F.lead("soff").over(w) - F.col("soff")
+    ahead = chain.select("qid", "sid", "qoff", "soff", dq.alias("_dq"), ds.alias("_ds"), F.lag("qoff").over(w).alias("_back"))
+    near = (F.abs(F.col("_dq") - F.col("_ds")) <= apart) & (F.abs(1.0 - F.col("_dq").cast("double") / F.col("_ds")) <= share)
+    return ahead.withColumn("_near", F.coalesce(near, F.lit(False)))

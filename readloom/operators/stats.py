@@ -41,3 +41,13 @@ def tag_report(tagged: DataFrame, tag: str = "tag", size: str = "size") -> DataF
     rolled = tagged.rollup(tag).agg(F.count("*").alias("n"), F.sum(size).alias("residues"), F.grouping(tag).alias("whole"))
     total = F.max(F.when(F.col("whole") == 1, F.col("residues"))).over(Window.partitionBy())
     return rolled.select(F.when(F.col("whole") == 1, F.lit("total")).otherwise(F.col(tag)).alias("tag"), "n", "residues", F.round(100.0 * F.col("residues") / total, 6).alias("percent"))
+
+
+def min_max(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Scale each value to 0..1 between the least and the greatest of its key; 0 if these are equal.
+
+    The bounds are aggregated first and joined, so that a hot key's rows need not meet in one window.
+    """
+    ends = rows.groupBy(*keys).agg(*(f(v).alias(f"_{n}_{v}") for v in values for n, f in (("lo", F.min), ("hi", F.max))))
+    scaled = {v: F.when(F.col(f"_hi_{v}") > F.col(f"_lo_{v}"), (F.col(v) - F.col(f"_lo_{v}")) / (F.col(f"_hi_{v}") - F.col(f"_lo_{v}"))).otherwise(0.0) for v in values}
+    return rows.join(ends, keys).withColumns(scaled).drop(*(f"_{n}_{v}" for v in values for n in ("lo", "hi")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import alignment as al
 from readloom.functions import sequence as sq
-from readloom.operators import align, consensus, hits, intervals, kmers, signatures, stats, volumes
+from readloom.operators import align, consensus, hits, intervals, kmers, signatures, stats, traceback, volumes
 from readloom.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,34 @@ def t04_chain(spark, d):
     return align.chain(_seeds(spark, d), 15)
 
 
+_CHAIN = f"{_SEEDS}, one AS (SELECT qid, sid, qoff, min(soff) AS soff FROM seeds GROUP BY ALL), chain AS (SELECT qid, sid, qoff, soff FROM (SELECT *, max(soff) OVER (PARTITION BY qid, sid ORDER BY qoff ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM one) WHERE top IS NULL OR soff > top)"
+_RUNS = f"""{_CHAIN}, l AS (SELECT *, lag(qoff - soff) OVER (PARTITION BY qid, sid ORDER BY qoff) AS d FROM chain),
+i AS (SELECT *, sum(CASE WHEN d = qoff - soff THEN 0 ELSE 1 END) OVER (PARTITION BY qid, sid ORDER BY qoff) AS run FROM l),
+runs AS (SELECT qid, sid, min(qoff) AS qoff, min(soff) AS soff, max(qoff) - min(qoff) + 15 AS size, count(*) AS seeds FROM i GROUP BY qid, sid, run)"""
+
+
+@query(f"WITH {_RUNS} SELECT * FROM runs")
+def w10_diagonal_runs(spark, d):
+    return kmers.diagonal_runs(kmers.rising(_seeds(spark, d)), 15)
+
+
+@query(f"""WITH {_RUNS}, p AS (SELECT qid, sid, qoff, soff, substr(a.seq, qoff + 1, size) AS x, substr(b.seq, soff + 1, size) AS y, size FROM runs JOIN reads a ON a.rid = qid JOIN reads b ON b.rid = sid),
+c AS (SELECT qid, sid, qoff, soff, k, x[k + 1] = y[k + 1] AS same FROM p, unnest(range(0, size)) AS t(k)),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY qid, sid, qoff ORDER BY k) AS island FROM c WHERE same)
+SELECT qid, sid, qoff + min(k) AS qoff, soff + min(k) AS soff, count(*) AS size FROM g GROUP BY qid, sid, g.qoff, g.soff, island HAVING count(*) >= 15""")
+def w10_exact_matches(spark, d):
+    runs = kmers.diagonal_runs(kmers.rising(_seeds(spark, d)), 15)
+    return kmers.exact_matches(runs, views.reads(spark, d), 15)
+
+
+@query(f"""WITH {_CHAIN}, a AS (SELECT *, lead(qoff) OVER w - qoff AS dq, lead(soff) OVER w - soff AS ds, lag(qoff) OVER w AS back FROM chain WINDOW w AS (PARTITION BY qid, sid ORDER BY qoff)),
+n AS (SELECT *, coalesce(abs(dq - ds) <= 100 AND abs(1.0 - CAST(dq AS DOUBLE) / ds) <= CAST(0.21 AS DOUBLE), false) AS near FROM a),
+t AS (SELECT *, coalesce(lag(near) OVER (PARTITION BY qid, sid ORDER BY qoff), false) AS tied FROM n)
+SELECT qid, sid, qoff, soff FROM t WHERE near OR tied OR back IS NULL OR dq IS NULL""")
+def w11_trace_points(spark, d):
+    return kmers.trace_points(kmers.rising(_seeds(spark, d)))
+
+
 @query(f"WITH {views.ALN_SQL}, w AS (SELECT aid, qsize, ssize, CASE WHEN ssize <= qsize + 2000 THEN 0 ELSE greatest(0, soff - least(CAST(floor(1.3 * qoff) AS BIGINT), qoff + 30000)) END AS sfrom, CASE WHEN ssize <= qsize + 2000 THEN ssize ELSE least(ssize, soff + least(CAST(floor(1.3 * (qsize - qoff)) AS BIGINT), qsize - qoff + 30000)) END AS sto FROM aln) SELECT aid, CAST(sfrom AS BIGINT) AS sfrom, CAST(sto AS BIGINT) AS sto FROM w")
 def t06_window(spark, d):
     return kmers.window(views.alignments(spark, d)).select("aid", "sfrom", "sto")
@@ -410,6 +438,48 @@ def t02_affine_global_score(spark, d):
     return views.pairs(spark, d).select("pid", align.affine_score(bare("q_aln"), bare("s_aln")).alias("score"))
 
 
+_bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+
+
+def _windows(spark, d):
+    return views.pairs(spark, d).select("pid", _bare("q_aln").alias("q"), _bare("s_aln").alias("s"))
+
+
+@query()
+def t02_affine_path(spark, d):
+    """The alignment itself."""
+    return _windows(spark, d).select("pid", traceback.align_path("q", "s").alias("p")).select("pid", "p.*")
+
+
+@query()
+def t07_seed_guided_alignment(spark, d):
+    """Alignments along the segments of seeds that rise in both reads, measured."""
+    seeds = kmers.segments(kmers.rising(_seeds(spark, d)))
+    reads = views.reads(spark, d)
+    first, last = F.col("seeds")[0], F.element_at("seeds", -1)
+    cut = lambda c: F.substring(F.col("seq"), (first[c] + 1).cast("int"), (last[c] - first[c] + 15).cast("int"))
+    both = seeds.join(reads.select(F.col("rid").alias("qid"), "seq"), "qid").withColumn("q", cut("qoff")).drop("seq")
+    both = both.join(reads.select(F.col("rid").alias("sid"), "seq"), "sid").withColumn("s", cut("soff")).drop("seq")
+    offsets = lambda c: F.transform("seeds", lambda x: (x[c] - first[c]).cast("int"))
+    made = both.select("qid", "sid", first.qoff.alias("qoff"), first.soff.alias("soff"), traceback.align_seeds("q", "s", offsets("qoff"), offsets("soff"), F.lit(15)).alias("p"))
+    return traceback.measured(made.select("qid", "sid", "qoff", "soff", "p.*"))
+
+
+@query()
+def t09_local_alignment(spark, d):
+    return _windows(spark, d).select("pid", traceback.align_local("q", "s").alias("p")).select("pid", "p.*")
+
+
+@query()
+def t10_refined(spark, d):
+    return views.pairs(spark, d).select("pid", traceback.refined("q_aln", "s_aln").alias("p")).select("pid", "p.*")
+
+
+@query()
+def t11_windowed_alignment(spark, d):
+    return traceback.windowed(_windows(spark, d)).select("pid", "qb", "qe", "sb", "se", "dist", "score", "ident", "eff")
+
+
 def _votes(spark, d):
     p = views.pairs(spark, d).withColumn("g", F.col("pid") % 16).withColumn("soff", F.lit(0))
     return consensus.votes(p, "g")
@@ -436,6 +506,13 @@ def a26_lof(spark, d):
     return align.outlier_factors(points, "cell")
 
 
+@query(f"""WITH {views.SIG_SQL}, b AS (SELECT sid, type, min(sfrom) AS lo, max(sfrom) AS hi, min(len) AS l, max(len) AS h FROM sig GROUP BY ALL)
+SELECT qid, sid, type, CASE WHEN hi > lo THEN round((CAST(sfrom AS DOUBLE) - lo) / (hi - lo), 9) ELSE 0.0 END AS sfrom, CASE WHEN h > l THEN round((CAST(len AS DOUBLE) - l) / (h - l), 9) ELSE 0.0 END AS len FROM sig JOIN b USING (sid, type)""")
+def a27_min_max(spark, d):
+    scaled = stats.min_max(views.signatures(spark, d), ["sid", "type"], ["sfrom", "len"])
+    return scaled.select("qid", "sid", "type", F.round("sfrom", 9).alias("sfrom"), F.round("len", 9).alias("len"))
+
+
 _TAG = "CASE WHEN qoff <= 100 AND qsize - qend <= 100 THEN 'perfect' WHEN n > 3 THEN 'repeat' WHEN ident < 70 THEN 'unperfect' ELSE 'other' END"
 
 
