@@ -477,7 +477,12 @@ def t10_refined(spark, d):
 
 @query()
 def t11_windowed_alignment(spark, d):
-    return traceback.windowed(_windows(spark, d)).select("pid", "qb", "qe", "sb", "se", "dist", "score", "ident", "eff")
+    """Windows of 200 bases from the start of each exact match."""
+    at = w10_exact_matches(spark, d)
+    reads, cut = views.reads(spark, d), lambda c: F.substring(F.col("seq"), (F.col(c) + 1).cast("int"), F.lit(200))
+    w = at.join(reads.select(F.col("rid").alias("qid"), "seq"), "qid").withColumn("q", cut("qoff")).drop("seq")
+    w = w.join(reads.select(F.col("rid").alias("sid"), "seq"), "sid").withColumn("s", cut("soff"))
+    return traceback.windowed(w).select("qid", "sid", "qoff", "soff", "qb", "qe", "sb", "se", "dist", "score", "ident", "eff")
 
 
 def _votes(spark, d):
