@@ -1,11 +1,19 @@
-"""Pileup consensus: votes, coverage and the best path."""
+"""Pileup consensus: votes, coverage and the best path; correction of a group's reads by each other."""
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.config import ConsensusOptions
+from readloom.operators import align, intervals, kmers, mapping, traceback
+
+#: Seeds within a group, and how often a group may have a k-mer.
+KMER, STEP, SEED_SCORE, MOST = 10, 6, 50, 100
+
 
 def votes(rows: DataFrame, group: str, q: str = "q_aln", s: str = "s_aln", start: str = "soff", weight: str | None = None) -> DataFrame:
     """One vote for each column of each alignment: group, t_pos, delta, base, and those of the column before.
@@ -60,3 +68,42 @@ def consensus(piled: DataFrame, cover: DataFrame, factor: float = 0.4) -> DataFr
         return pd.DataFrame({"group": [pdf["group"].iloc[0]], "seq": ["".join(reversed(out)).replace("-", "")]})
 
     return both.groupBy("group").applyInPandas(path, f"group {piled.schema['group'].dataType.simpleString()}, seq string")
+
+
+def correct(reads: DataFrame, identity: float, exact: bool, options: ConsensusOptions = ConsensusOptions()) -> DataFrame:
+    """Correct each read by the others of its group: group, rid, seq, from, to, raw_size.
+
+    reads: group and rid (of any type), seq on the subject's strand. The others are aligned to it along their best
+    chain, then refined between anchors or, if ``exact``, aligned anew by banded affine gaps. The longest stretch of
+    enough coverage is replaced by the consensus, from ``from`` to ``to`` of the result. Reads without one are left
+    out, as are null and empty ones.
+    """
+    keyed = reads.where("seq != ''").withColumn("_key", F.concat_ws(":", "group", "rid"))
+    by_key = keyed.select(F.col("_key").alias("rid"), "seq")
+    inside = lambda occ: occ.withColumn("kmer", F.concat_ws(":", F.regexp_replace("rid", ":[^:]*$", ""), "kmer"))
+    seeds = kmers.seed_join(inside(kmers.occurrences(by_key, KMER, STEP)), inside(kmers.occurrences(by_key, KMER, 1)), MOST, self_join=False).where("qid != sid")
+    d = mapping.along_chains(align.chains(seeds, KMER, SEED_SCORE, 1), by_key, by_key, KMER).where(F.col("send") - F.col("soff") >= options.min_overlap)
+    again = traceback.refined("q_aln", "s_aln") if not exact else traceback.align_banded(F.replace("q_aln", F.lit("-"), F.lit("")), F.replace("s_aln", F.lit("-"), F.lit("")))
+    d = d.select("sid", "soff", "send", again.alias("p")).select("sid", "soff", "send", "p.*")
+    d = traceback.measured(d).where(F.col("ident") >= identity).select("sid", "soff", "send", "q_aln", "s_aln")
+    d = _cut_lineage(d)
+    run = intervals.longest_covered(d.select("sid", F.col("soff").alias("from"), F.col("send").alias("to")), ["sid"], options.min_cov, options.min_size).withColumnRenamed("sid", "_key")
+    v = votes(d, "sid").join(run.withColumnRenamed("_key", "group"), "group").where("t_pos >= `from` and t_pos < `to`").drop("from", "to")
+    made = consensus(pileup(v), coverage(v), options.coverage_factor).withColumnRenamed("group", "_key").withColumnRenamed("seq", "_c")
+    out = keyed.join(run, "_key").join(made, "_key").withColumn("raw_size", F.length("seq"))
+    head, tail = F.substring(F.col("seq"), F.lit(1), F.col("from").cast("int")), F.substring(F.col("seq"), (F.col("to") + 1).cast("int"), F.col("raw_size"))
+    return out.select("group", "rid", F.concat(head, "_c", tail).alias("seq"), "from", (F.col("from") + F.length("_c")).alias("to"), "raw_size")
+
+
+def two_rounds(reads: DataFrame, options: ConsensusOptions = ConsensusOptions()) -> DataFrame:
+    """``correct``, and once more with the corrected reads and the second identity."""
+    first = _cut_lineage(correct(reads, options.identity_first, False, options))
+    return correct(first.select("group", "rid", "seq"), options.identity_second, True, options)
+
+
+def _cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the session's shared folder; one of our own only where none is set (tests)."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-readloom-', dir='/tmp')}")
+    return df.checkpoint()
