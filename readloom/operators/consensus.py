@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,10 +81,10 @@ def correct(reads: DataFrame, identity: float, exact: bool, options: ConsensusOp
     inside = lambda occ: occ.withColumn("kmer", F.concat_ws(":", F.regexp_replace("rid", ":[^:]*$", ""), "kmer"))
     seeds = kmers.seed_join(inside(kmers.occurrences(by_key, KMER, STEP)), inside(kmers.occurrences(by_key, KMER, 1)), MOST, self_join=False).where("qid != sid")
     d = mapping.along_chains(align.chains(seeds, KMER, SEED_SCORE, 1), by_key, by_key, KMER).where(F.col("send") - F.col("soff") >= options.min_overlap)
-    again = traceback.refined("q_aln", "s_aln") if not exact else traceback.align_banded(F.replace("q_aln", F.lit("-"), F.lit("")), F.replace("s_aln", F.lit("-"), F.lit("")))
+    again = traceback.refined.asNondeterministic()("q_aln", "s_aln") if not exact else traceback.align_banded.asNondeterministic()(F.replace("q_aln", F.lit("-"), F.lit("")), F.replace("s_aln", F.lit("-"), F.lit("")))
     d = d.select("sid", "soff", "send", again.alias("p")).select("sid", "soff", "send", "p.*")
     d = traceback.measured(d).where(F.col("ident") >= identity).select("sid", "soff", "send", "q_aln", "s_aln")
-    d = _cut_lineage(d)
+    d = mapping.cut_lineage(d)
     run = intervals.longest_covered(d.select("sid", F.col("soff").alias("from"), F.col("send").alias("to")), ["sid"], options.min_cov, options.min_size).withColumnRenamed("sid", "_key")
     v = votes(d, "sid").join(run.withColumnRenamed("_key", "group"), "group").where("t_pos >= `from` and t_pos < `to`").drop("from", "to")
     made = consensus(pileup(v), coverage(v), options.coverage_factor).withColumnRenamed("group", "_key").withColumnRenamed("seq", "_c")
@@ -97,13 +95,5 @@ def correct(reads: DataFrame, identity: float, exact: bool, options: ConsensusOp
 
 def two_rounds(reads: DataFrame, options: ConsensusOptions = ConsensusOptions()) -> DataFrame:
     """``correct``, and once more with the corrected reads and the second identity."""
-    first = _cut_lineage(correct(reads, options.identity_first, False, options))
+    first = mapping.cut_lineage(correct(reads, options.identity_first, False, options))
     return correct(first.select("group", "rid", "seq"), options.identity_second, True, options)
-
-
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's shared folder; one of our own only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-readloom-', dir='/tmp')}")
-    return df.checkpoint()

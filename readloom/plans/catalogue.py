@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import alignment as al
 from readloom.functions import sequence as sq
-from readloom.operators import align, consensus, hits, intervals, kmers, signatures, stats, traceback, volumes
+from readloom.operators import align, consensus, hits, intervals, kmers, mapping, signatures, stats, traceback, volumes
 from readloom.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,6 +451,48 @@ def t02_affine_path(spark, d):
     return _windows(spark, d).select("pid", traceback.align_path("q", "s").alias("p")).select("pid", "p.*")
 
 
+@query()
+def t02_banded_path(spark, d):
+    return _windows(spark, d).select("pid", traceback.align_banded("q", "s").alias("p")).select("pid", "p.*")
+
+
+@query()
+def t04_chains(spark, d):
+    """All chains of each pair, best first."""
+    found = align.chains(_seeds(spark, d), 15, 36)
+    return found.select("qid", "sid", "nth", "score", F.size("seeds").alias("seeds"), F.col("seeds")[0].qoff.alias("qoff"), F.col("seeds")[0].soff.alias("soff"))
+
+
+@query()
+def t07_extended_alignment(spark, d):
+    """Alignments along all chains, extended beyond their ends."""
+    reads = views.reads(spark, d)
+    made = mapping.along_chains(align.chains(_seeds(spark, d), 15, 36), reads, reads, 15)
+    return made.select("qid", "sid", "nth", "qoff", "qend", "soff", "send", "dist", "score", "ident", "eff")
+
+
+@query()
+def t18_overlaps(spark, d):
+    return mapping.overlaps(views.reads(spark, d))
+
+
+def _noisy(spark, d, size: int, copies: int):
+    """The first bases of each read of that length in copies that lack other bases each: group, rid, seq, raw."""
+    long = views.reads(spark, d).where(F.length("seq") >= size).select(F.col("rid").alias("group"), F.substring("seq", 1, size).alias("raw"))
+    each = long.withColumn("rid", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(copies).cast("long"))))
+    seq = F.array_join(F.transform(F.split("raw", ""), lambda c, i: F.when((i * 7919 + F.col("rid") * 104_729 + F.col("group")) % 29 == 0, "").otherwise(c)), "")
+    return each.select("group", "rid", seq.alias("seq"), "raw")
+
+
+@query()
+def t17_remapped(spark, d):
+    """Reads lacking bases, aligned to what they were made of; every second one reversed and complemented."""
+    rows = _noisy(spark, d, 400, 2).withColumn("qdir", (F.col("rid") % 2).cast("int"))
+    rows = rows.withColumn("seq", F.when(F.col("qdir") == 1, sq.reverse_complement("seq")).otherwise(F.col("seq")))
+    rows = rows.select("group", "rid", "qdir", "seq", F.lit(20).alias("cns_from"), (F.length("seq") - 30).alias("cns_to"), F.col("raw").alias("piece"), F.lit(0).cast("long").alias("sfrom"))
+    return mapping.remap(rows).select("group", "rid", "qdir", "soff", "send", "cigar", "dist", "ident", "eff")
+
+
 @query()
 def t07_seed_guided_alignment(spark, d):
     """Alignments along the segments of seeds that rise in both reads, measured."""
