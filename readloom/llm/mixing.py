@@ -50,7 +50,7 @@ def source_order(names: DataFrame) -> DataFrame:
     return placed.withColumn("nth", F.row_number().over(own)).join(F.broadcast(first), "part").select("source", (F.col("first") + F.col("nth") - 1).alias("nth"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns the id, source, size, source_size, target (the source's), taken (words, repeats counted), copies (whole
@@ -60,10 +60,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     A null text has size 0, takes nothing and is returned. Rows with a null source form a source, the last.
     Repeated rows count each. An empty table, or one without words, gives targets 0. Reruns agree; rows that are
-    equal in id and size are alike, so which of them is cut does not matter. Other columns are not read.
+    equal in id and size are alike, so which of them is cut does not matter. With ``row_col``, that column is
+    returned too and orders them. Other columns are not read.
     """
+    row = [F.col(row_col)] if row_col else []
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
-    rows = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), hashed.alias("hash")).withColumn("bucket", F.shiftright("hash", 40).cast("int")), "mix-rows")
+    rows = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(text_col).alias("size"), hashed.alias("hash"), *row).withColumn("bucket", F.shiftright("hash", 40).cast("int")), "mix-rows")
     sums = save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("n")), "mix-sums")
     sizes = sums.groupBy("source").agg(F.sum("n").alias("source_size"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))
@@ -80,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     begin = save(begin.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "n", "begin", "source_size", "target", "whole", "fraction"), "mix-ranges")
     placed = rows.join(begin, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b", "bucket")
     at_cut = (F.col("begin") < F.col("fraction")) & (F.col("begin") + F.col("n") > F.col("fraction"))
-    own = Window.partitionBy("source", "begin").orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "begin").orderBy("hash", "id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     cut = placed.where(at_cut).withColumn("at", F.col("begin") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     rest = placed.where(~at_cut).withColumn("at", F.col("begin"))
     extra = F.when(F.col("begin") + F.col("n") <= F.col("fraction"), F.col("size")).when(F.col("begin") >= F.col("fraction"), 0).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), F.col("fraction") - F.col("at"))))
@@ -91,4 +93,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
         (F.col("whole") + F.when(full, 1).otherwise(0)).cast("int").alias("copies"),
         F.when(full, 0).otherwise(F.col("extra")).cast("long").alias("part"),
+        *row,
     )
