@@ -13,13 +13,19 @@ _own_scratch: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a Spark whose tasks all run in this process (tests) gets a folder of its own; a cluster has
+    no folder that all its machines see, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
-        _own_scratch[app] = tempfile.mkdtemp(prefix="spark-readloom-", dir="/tmp")
+        _own_scratch[app] = tempfile.mkdtemp(prefix="spark-readloom-")
     return f"file://{_own_scratch[app]}"
 
 
@@ -76,35 +82,31 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has columns ``a`` and ``b`` (long). Returns ``node``, ``comp`` (smallest node of the component) for
     every node with an edge to another node. The edges are dealt to tasks of at most TASK_EDGES or so, and each joins
-    its own; if there are several tasks, their stars are joined by alternating large-star and small-star steps. Each
+    its own; their stars are joined by alternating large-star and small-star steps until nothing changes. Each
     step is one aggregation and one join, and stars around a hot node are pre-aggregated and split by the skew join.
     The number of rounds grows with the logarithm of the longest chain.
     """
     edges = edges.where("a <> b").select("a", "b")
-    lots = edges.count() // TASK_EDGES + 1
-    stars = edges.coalesce(1) if lots == 1 else edges.repartition(lots)
-    stars = save(stars.mapInArrow(_forest, "u long, v long"), "forest")
-    if lots > 1:
-        stars = _join_stars(stars)
+    stars = _join_stars(edges.repartition(edges.count() // TASK_EDGES + 1).mapInArrow(_forest, "u long, v long"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
 def _join_stars(edges: DataFrame) -> DataFrame:
+    def sums(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     cur = save(edges.select("u", "v").distinct(), "cc")
-    mark = None
+    mark = sums(cur)
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = save(large, "cc")
+        large = save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = save(small, "cc")
-        now = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         discard(large)
         discard(cur)
-        cur = new
+        cur, now = new, sums(new)
         if now == mark:
-            break
+            return cur
         mark = now
-    return cur

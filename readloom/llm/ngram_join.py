@@ -1,41 +1,38 @@
 """Exact Jaccard join of word-shingle sets: size-banded tiles, bitmap signatures, sorted-array intersection.
 
 Two sets that reach the threshold share a shingle among the first few of each (the prefix), in any order common to
-all documents. The order here puts rare shingles first: shingles are counted in 2**20 hash bins over the whole
-corpus, a fixed 4 MB table. A tile holds the documents whose prefixes share a shingle; a tile with more than
-TILE_ROWS of them is cut into several by document hash. Inside a tile only documents of nearly equal set size
-(one size band) are paired. Each document has a hashed bitmap as wide as four to eight times its set (a power of two);
-the bits set in one and not in the other bound the overlap from above. Pairs that pass are confirmed on the sorted
-arrays.
+all documents. The order here puts rare shingles first: the documents of each shingle are counted over the whole
+corpus, in buckets of packed arrays, and each block of documents learns the counts of its own. A shingle of a single
+set is in no intersection; it only fills places of the prefix. So a document with enough of them is in no tile, and
+the others go to the tiles of the shingles that they share.
+
+A tile holds the documents whose prefixes share a shingle; the expected size tells into how many tiles a shingle is
+cut. Inside a tile only documents of nearly equal set size (one size band) are paired. Each document has a hashed
+bitmap as wide as four to eight times its shared shingles (a power of two); the bits set in one and not in the other
+bound the overlap from above. Pairs that pass are confirmed on the sorted arrays.
 
 Small tiles give all their pairs. Large tiles first give stars, which join near copies without listing their pairs;
-the members of a large tile that are then still in different components are compared with each other, block by
-block, until every pair of them is joined or refuted. So no link between different texts is lost. Equal sets are one
-node from the start.
+the members of a shingle that are then still in different components are compared, block by block, until every pair
+of them is joined or refuted; pairs inside the shingle's largest component need no comparison. So no link between
+different texts is lost. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.blocks import block_texts, bucket_bits, count_over_blocks, save_blocks, sent
 from readloom.llm.common import connected_components, discard, partitions, save
-from readloom.llm.hashing import LOWER, WordHashes, mix, shingle_set, shingles
+from readloom.llm.hashing import LOWER, WordHashes, mix, shingle_set
 
-BINS = 1 << 20
-SLICES = 64
 SMALL_TILE = 24
-TILE_ROWS = 4096
-
-
-def _sets(batches, n: int):
-    known = WordHashes()
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary())
-        yield [(i, key, shingle_set(known.of(t.as_py().translate(LOWER).split()), n) if t.is_valid else np.empty(0, np.uint64)) for i, key, t in zip(ids, b.column(2).to_pylist(), texts, strict=True)]
+TILE_ROWS = 256
+#: Leading bytes of a shingle's hash that are counted. Shingles that share them count together, which is safe: a count
+#: is only an upper bound and an order.
+COUNTED_BYTES = 6
 
 
 def node_of(s: np.ndarray) -> int:
@@ -59,158 +56,167 @@ def _fold(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
-def may_reach(x: bytes, nx: int, y: bytes, ny: int, percent: int) -> bool:
-    """Can the sets behind two bitmaps have the Jaccard similarity? Bits of one that the other lacks are differences."""
+def may_reach(x: bytes, nx: int, rx: int, y: bytes, ny: int, ry: int, percent: int) -> bool:
+    """Can two sets have the Jaccard similarity? The bitmaps are of their ``rx`` and ``ry`` shared shingles of ``nx``, ``ny``.
+
+    Bits of one that the other lacks are differences.
+    """
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     w = min(len(a), len(b))
     a, b = _fold(a, w), _fold(b, w)
-    most = min(nx - int(np.bitwise_count(a & ~b).sum()), ny - int(np.bitwise_count(b & ~a).sum()))
+    most = min(rx - int(np.bitwise_count(a & ~b).sum()), ry - int(np.bitwise_count(b & ~a).sum()))
     return 100 * most >= percent * (nx + ny - most)
 
 
-def _count_bins(n: int):
-    """Bin counts of a partition's shingles (a repeated one counts again), as rows of one slice each."""
+def rank_of(total: np.ndarray) -> np.ndarray:
+    """A count in quarters of powers of two, as one byte; 0 for a single one."""
+    return np.where(total < 2, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(total, 1))))).astype(np.uint8)
+
+
+def most_of(rank: np.ndarray) -> np.ndarray:
+    """The greatest count of a rank."""
+    return np.ceil(2.0 ** (rank.astype(np.float64) / 4)).astype(np.int64)
+
+
+class _Sets:
+    """The shingle sets of a block's documents."""
+
+    def __init__(self, n: int):
+        self.n, self.known = n, WordHashes()
+
+    def of(self, blob: bytes, lens: list[int]) -> tuple[list[np.ndarray], list[int]]:
+        sets = [np.empty(0, np.uint64) if t is None else shingle_set(self.known.of(t.translate(LOWER).split()), self.n) for t in block_texts(blob, lens)]
+        return sets, [node_of(s) if len(s) else 0 for s in sets]
+
+    @staticmethod
+    def counted(sets: list[np.ndarray], nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The leading bytes of the block's shingles, sorted, and in how many different sets each is."""
+        each = list({x: s for x, s in zip(nodes, sets, strict=True) if len(s)}.values())
+        every = np.concatenate(each) if each else np.empty(0, np.uint64)
+        return np.unique(every & _COUNTED, return_counts=True)
+
+
+_COUNTED = np.uint64(0xFFFFFFFFFFFFFFFF << (64 - 8 * COUNTED_BYTES) & 0xFFFFFFFFFFFFFFFF)
+
 
+def _send(n: int, bits: int):
     def run(batches):
-        total, width, known = np.zeros(BINS, np.int64), BINS // SLICES, WordHashes()
-        held: list[np.ndarray] = []
+        of = _Sets(n)
         for b in batches:
-            for t in b.column(1).cast(pa.binary()):
-                if t.is_valid:
-                    held.append(shingles(known.of(t.as_py().translate(LOWER).split()), n))
-                    if len(held) == 2048:
-                        total += np.bincount((np.concatenate(held) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-                        held = []
-        if held:
-            total += np.bincount((np.concatenate(held) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-        for k in range(SLICES):
-            part = total[k * width : (k + 1) * width]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"slice": [k], "lot": [TaskContext.get().partitionId() % 256], "bins": [part.tobytes()]})
+            for block, lens, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                u, c = of.counted(*of.of(blob, lens))
+                if len(u):
+                    yield sent(block, u, None, c, bits, COUNTED_BYTES)
 
     return run
 
 
-def _add_bins(batches):
-    sums: dict = {}
-    for b in batches:
-        for k, lot, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            x = np.frombuffer(x, np.int64)
-            sums[k, lot] = sums[k, lot] + x if (k, lot) in sums else x
-    for (k, lot), x in sums.items():
-        yield pa.RecordBatch.from_pydict({"slice": [k], "lot": [lot], "bins": [x.tobytes()]})
+def _ranks(h: np.ndarray, total: np.ndarray) -> bytes:
+    return rank_of(total).tobytes()
 
 
-def _bin_counts(rows: DataFrame, n: int) -> np.ndarray:
-    """How many sets have a shingle in each bin, over all rows: summed in two steps, a fixed size on the driver."""
-    kinds = "slice int, lot int, bins binary"
-    p = min(SLICES, partitions(rows.sparkSession))
-    parts = rows.mapInArrow(_casting(_count_bins(n)), kinds).repartition(partitions(rows.sparkSession), "slice", "lot").mapInArrow(_casting(_add_bins), kinds)
-    whole = parts.withColumn("lot", F.lit(0)).repartition(p, "slice").mapInArrow(_casting(_add_bins), kinds)
-    total, width = np.zeros(BINS, np.int64), BINS // SLICES
-    for r in whole.collect():  # SLICES rows
-        total[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.bins, np.int64)
-    return total
+_DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("shared", pa.binary()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64())), ("tiles", pa.list_(pa.int32()))])
 
 
-def _casting(run):
-    """Narrow the integers that Arrow made of Python's."""
+def _describe(n: int, percent: int):
+    """Per row its set size and node; for the first row of a node in the block that may have a partner also its tiles."""
 
-    def go(batches):
-        for b in run(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), b.column(1).cast(pa.int32()), b.column(2)], names=b.schema.names)
+    def run(batches):
+        of = _Sets(n)
+        for b in batches:
+            for ids, lens, blob, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sets, nodes = of.of(blob, lens)
+                u, _ = of.counted(sets, nodes)
+                ranks = np.frombuffer(b"".join(got or ()), np.uint8)
+                out: dict = {k: [] for k in _DESCRIBED.names}
+                seen: set[int] = set()
+                for i, s, node in zip(ids, sets, nodes, strict=True):
+                    shared = bits = prefix = tiles = None
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        rank = ranks[np.searchsorted(u, s & _COUNTED)]
+                        some = rank > 0
+                        both, rank = s[some], rank[some]
+                        m = len(s) - -(-percent * len(s) // 100) + 1
+                        m -= len(s) - len(both)  # the single ones come first
+                        if m > 0:
+                            order = np.lexsort((both, rank))[:m]
+                            shared, bits, prefix = both.tobytes(), bitmap(both), both[order].view(np.int64)
+                            tiles = (most_of(rank[order]) // TILE_ROWS + 1).astype(np.int32)
+                    for k, v in zip(_DESCRIBED.names, (i, len(s), node, shared, bits, prefix, tiles), strict=True):
+                        out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=_DESCRIBED)
 
-    return go
+    return run
 
 
-def _describe(n: int, percent: int, counts):
-    """Per row its set size and node; for the first row of a node in the task also bitmap and prefix."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64())), ("tiles", pa.list_(pa.int32()))])
+def _described(rows: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """doc_id, n and node of every row, and what tiles need of the nodes that may have partners."""
+    blocks = save_blocks(rows, id_col, text_col, "jaccard-blocks")
+    dealt = blocks.select("block", "lens", "blob").mapInArrow(_send(n, bucket_bits(blocks)), "bucket long, block long, hashes binary, check binary, n binary")
+    counts = count_over_blocks(dealt, COUNTED_BYTES, _ranks)
+    made = blocks.join(counts, "block", "left").select("ids", "lens", "blob", "got")
+    out = save(made.mapInArrow(_describe(n, percent), "doc_id long, n long, node long, shared binary, bits binary, prefix array<long>, tiles array<int>"), "jaccard-rows")
+    discard(blocks)
+    return out
 
-    def run(batches):
-        seen: set[int] = set()
-        bins = counts.value
-        for sets in _sets(batches, n):
-            out: dict = {k: [] for k in kinds.names}
-            for i, key, s in sets:
-                node = node_of(s) if len(s) else 0
-                bits = prefix = tiles = None
-                if len(s) and node not in seen:
-                    seen.add(node)
-                    c = bins[(s & np.uint64(BINS - 1)).astype(np.int64)]
-                    m = len(s) - -(-percent * len(s) // 100) + 1
-                    order = np.lexsort((s, c))[:m]
-                    bits, prefix, tiles = bitmap(s), s[order].view(np.int64), (c[order] // TILE_ROWS + 1).astype(np.int32)
-                for k, v in zip(kinds.names, (i, key, len(s), node, bits, prefix, tiles), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
-    return run
+def _groups(batches, key: list[int]):
+    """Arrays of whole groups: rows with equal ``key`` columns follow each other; a group may begin in one batch and end in another."""
+    carry: list[np.ndarray] | None = None
+    for b in batches:
+        now = [c.to_numpy() for c in b.columns]
+        if carry is not None:
+            now = [np.concatenate([x, y]) for x, y in zip(carry, now, strict=True)]
+        new = np.flatnonzero(np.any([now[k][1:] != now[k][:-1] for k in key], axis=0)) + 1
+        if not len(new):
+            carry = now
+            continue
+        carry = [x[new[-1] :] for x in now]
+        yield [x[: new[-1]] for x in now]
+    if carry is not None and len(carry[0]):
+        yield carry
 
 
 def _pairs_in(percent: int, star_only: bool):
-    """Pairs of nodes within the tiles of a partition (tiles 0).
+    """Pairs of nodes within tiles (tiles 0), tile after tile.
 
     Large tiles give spokes to a leader (tiles -1, token: how often) and their rows for later (tiles over 0).
     """
 
+    def emit(a, b, t, k):
+        for i in range(0, len(a), 1 << 16):
+            at = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int64)), pa.array(b[at].astype(np.int64)), pa.array(t[at].astype(np.int64)), pa.array(k[at].astype(np.int32))], names=["a", "b", "token", "tiles"])
+
     def run(batches):
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not got:
-            return
-        token, tile, node, n, tiles = (np.concatenate([g[i] for g in got]) for i in range(5))
-        order = np.argsort(token, kind="stable")
-        same = token[order][1:] == token[order][:-1]
-        alone = np.ones(len(order), bool)
-        alone[1:] &= ~same
-        alone[:-1] &= ~same
-        order = order[~alone | (tiles[order] > 1)]
-        token, tile, node, n, tiles = (x[order] for x in (token, tile, node, n, tiles))
-        if not len(token):
-            return
-        order = np.lexsort((node, tile, token))
-        token, tile, node, n, tiles = (x[order] for x in (token, tile, node, n, tiles))
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])  # a node may come from several tasks
-        token, tile, node, n, tiles = (x[new] for x in (token, tile, node, n, tiles))
-        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])]))
-        ends = np.append(first[1:], len(token))
-        out: list[list[np.ndarray]] = []
-
-        def put(a, b, of, k):
-            out.append([a, b, np.full(len(a), of), np.full(len(a), k)])
-
-        for f, e in zip(first.tolist(), ends.tolist(), strict=True):
-            k = e - f
-            whole = tiles[f] == 1
-            if k < 2 and whole:
+        for token, tile, node, n, tiles in _groups(batches, [0, 1]):
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])
+            first = np.flatnonzero(new)
+            ends = np.append(first[1:], len(token))
+            many = (ends - first > 1) | (tiles[first] > 1)
+            out: list[tuple[np.ndarray, ...]] = []
+            for f, e in zip(first[many].tolist(), ends[many].tolist(), strict=True):
+                k, whole, x, m = e - f, tiles[f] == 1, node[f:e], n[f:e]
+                star = k > SMALL_TILE or not whole or star_only
+                if star:
+                    a, b = np.arange(k), np.full(k, int(np.argmin(x)))
+                    out.append((x, np.full(k, -1), np.full(k, token[f]), np.full(k, tiles[f])))
+                else:
+                    a, b = np.triu_indices(k, 1)
+                lo, hi = np.minimum(m[a], m[b]), np.maximum(m[a], m[b])
+                fit = (x[a] != x[b]) & (100 * lo >= percent * hi)
+                out.append((x[a][fit], x[b][fit], np.full(fit.sum(), 0), np.full(fit.sum(), -1 if star else 0)))
+            if not out:
                 continue
-            x, m = node[f:e], n[f:e]
-            star = k > SMALL_TILE or not whole or star_only
-            if star:
-                lead = int(np.argmin(x))
-                a, b = np.arange(k), np.full(k, lead)
-                put(x, np.full(k, -1), token[f], tiles[f])
-            else:
-                a, b = np.triu_indices(k, 1)
-            lo, hi = np.minimum(m[a], m[b]), np.maximum(m[a], m[b])
-            fit = (x[a] != x[b]) & (100 * lo >= percent * hi)
-            put(x[a][fit], x[b][fit], 0, -1 if star else 0)
-        if out:
             a, b, t, k = (np.concatenate([o[i] for o in out]) for i in range(4))
-            pairs, spokes, lone = np.flatnonzero(k == 0), np.flatnonzero(k < 0), np.flatnonzero(k > 0)
-            if len(pairs):
-                lo, hi = np.minimum(a[pairs], b[pairs]), np.maximum(a[pairs], b[pairs])
-                a[pairs], b[pairs] = lo, hi
-                pairs = pairs[np.unique(np.stack([lo, hi]), axis=1, return_index=True)[1]]
-            if len(spokes):  # how many tiles of the partition share the leader
-                both, at, times = np.unique(np.stack([a[spokes], b[spokes]]), axis=1, return_index=True, return_counts=True)
-                spokes = spokes[at]
-                t[spokes] = times
-            for keep in (pairs, spokes, lone):
-                for i in range(0, len(keep), 1 << 16):
-                    at = keep[i : i + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at].astype(np.int64)), pa.array(b[at].astype(np.int64)), pa.array(t[at].astype(np.int64)), pa.array(k[at].astype(np.int32))], names=["a", "b", "token", "tiles"])
+            pairs, spokes = np.stack([np.minimum(a, b), np.maximum(a, b)])[:, k == 0], np.stack([a, b])[:, k < 0]
+            for of, both in ((0, pairs), (-1, spokes)):
+                both, times = np.unique(both, axis=1, return_counts=True)
+                yield from emit(both[0], both[1], times, np.full(len(times), of))
+            late = k > 0
+            yield from emit(a[late], b[late], t[late], k[late])
 
     return run
 
@@ -220,7 +226,7 @@ def _bounded(percent: int):
 
     def run(batches):
         for b in batches:
-            keep = [may_reach(x, nx, y, ny, percent) for x, nx, y, ny in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            keep = [may_reach(*row, percent) for row in zip(*(b.column(i).to_pylist() for i in range(2, 8)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -232,109 +238,138 @@ def _reached(percent: int):
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for x, nx, y, ny in zip(b.column(2), b.column(3).to_pylist(), b.column(4), b.column(5).to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (nx + ny - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _set_bytes(n: int):
-    def run(batches):
-        for sets in _sets(batches, n):
-            yield pa.RecordBatch.from_pydict({"node": [node_of(s) if len(s) else 0 for _, _, s in sets], "shingles": [s.tobytes() for _, _, s in sets]}, schema=pa.schema([("node", pa.int64()), ("shingles", pa.binary())]))
-
-    return run
-
-
 def _across(percent: int, best_only: bool):
-    """Pairs of nodes of different components in one block pair of a large tile, that the bitmaps allow, with the bound.
+    """Pairs of nodes of different components in one block pair of a shingle, that the bitmaps allow, with the bound.
 
-    best_only: for each node only its pair with the greatest bound, in percent.
+    best_only: for each node only its pair with the greatest bound.
     """
 
+    def compare(rows: list[tuple]):
+        one, two = rows[0][1], rows[0][2]
+        own, n, names, comps, r = (np.array([x[i] for x in rows]) for i in (3, 4, 5, 6, 8))
+        if (comps == comps[0]).all():
+            return
+        maps = [np.frombuffer(x[7], np.uint64) for x in rows]
+        tables: dict[int, np.ndarray] = {}
+        widths = np.array([len(m) for m in maps])
+        top, partner = np.full(len(rows), -1), np.full(len(rows), -1)
+        found: list[np.ndarray] = []
+        for i in range(len(rows)):
+            last = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
+            js = np.arange(i + 1, last)
+            js = js[comps[js] != comps[i]]
+            if one != two:
+                js = js[own[js] != own[i]]
+            if not len(js):
+                continue
+            w = int(widths[i])
+            mine = maps[i]
+            if w not in tables:  # bitmaps of at least this width, folded to it
+                tables[w] = np.stack([_fold(m, w) if len(m) >= w else np.resize(m, w) for m in maps])
+            wide, ok = tables[w][js], widths[js] >= w
+            most = np.minimum(r[i], r[js]).astype(np.int64)
+            if ok.any():
+                most[ok] = np.minimum(r[i] - np.bitwise_count(mine & ~wide[ok]).sum(axis=1).astype(np.int64), r[js[ok]] - np.bitwise_count(wide[ok] & ~mine).sum(axis=1).astype(np.int64))
+            for j in np.flatnonzero(~ok).tolist():  # the other one's is narrower
+                x, y = _fold(mine, int(widths[js[j]])), maps[js[j]]
+                most[j] = min(r[i] - int(np.bitwise_count(x & ~y).sum()), r[js[j]] - int(np.bitwise_count(y & ~x).sum()))
+            union = n[i] + n[js] - most
+            fit = 100 * most >= percent * union
+            js, v = js[fit], 10_000 * most[fit] // union[fit]
+            if not len(js):
+                continue
+            if best_only:
+                k = int(np.argmax(v))
+                if v[k] > top[i]:
+                    top[i], partner[i] = v[k], js[k]
+                more = v > top[js]
+                top[js[more]], partner[js[more]] = v[more], i
+            else:
+                found.append(np.stack([np.full(len(js), names[i]), names[js], v]))
+        if best_only:
+            at = np.flatnonzero(partner >= 0)
+            found.append(np.stack([names[at], names[partner[at]], top[at]]))
+        if found:
+            a, b, v = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, v)], names=["a", "b", "bound"])
+
     def run(batches):
-        got: dict = {}
+        rows: list[tuple] = []
         for b in batches:
-            for r in b.to_pylist():
-                got.setdefault((r["token"], r["one"], r["two"]), []).append(r)
-        found: dict[tuple[int, int], int] = {}
-        best: dict[int, tuple[int, int]] = {}
-        for (_, one, two), rows in got.items():
-            rows.sort(key=lambda r: (r["n"], r["node"]))
-            rows = [r for i, r in enumerate(rows) if not i or r["node"] != rows[i - 1]["node"]]
-            comps = np.array([r["comp"] for r in rows])
-            if (comps == comps[0]).all():
-                continue
-            n, own = np.array([r["n"] for r in rows]), np.array([r["own"] for r in rows])
-            maps = [np.frombuffer(r["bits"], np.uint64) for r in rows]
-            widths = np.array([len(m) for m in maps])
-            tables = {w: np.stack([_fold(m, w) for m in maps[int(np.argmax(widths >= w)) :]]) for w in np.unique(widths).tolist()}
-            names = np.array([r["node"] for r in rows])
-            top, partner = np.full(len(rows), -1), np.full(len(rows), -1)
-            for i in range(len(rows)):
-                last = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
-                js = np.arange(i + 1, last)
-                js = js[comps[js] != comps[i]]
-                if one != two:
-                    js = js[own[js] != own[i]]
-                if not len(js):
-                    continue
-                w = int(widths[i])  # a later row is no smaller, so its bitmap no narrower
-                wide = tables[w][js - int(np.argmax(widths >= w))]
-                most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~wide).sum(axis=1).astype(np.int64), n[js] - np.bitwise_count(wide & ~maps[i]).sum(axis=1).astype(np.int64))
-                union = n[i] + n[js] - most
-                fit = 100 * most >= percent * union
-                js, v = js[fit], 10_000 * most[fit] // union[fit]
-                if not len(js):
-                    continue
-                if best_only:
-                    k = int(np.argmax(v))
-                    if v[k] > top[i]:
-                        top[i], partner[i] = v[k], js[k]
-                    more = v > top[js]
-                    top[js[more]], partner[js[more]] = v[more], i
-                else:
-                    x = int(names[i])
-                    found.update(((min(x, y), max(x, y)), 0) for y in names[js].tolist())
-            for i in np.flatnonzero(partner >= 0).tolist():
-                x, now = int(names[i]), (int(top[i]), int(names[partner[i]]))
-                if x not in best or best[x] < now:
-                    best[x] = now
-        pairs = [(p, q, v) for p, (v, q) in best.items()] if best_only else [(p, q, v) for (p, q), v in found.items()]
-        for at in range(0, len(pairs), 1 << 16):
-            a, b, v = zip(*pairs[at : at + (1 << 16)], strict=True)
-            yield pa.RecordBatch.from_pydict({"a": a, "b": b, "bound": v}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bound", pa.int64())]))
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if rows and row[:3] != rows[-1][:3]:
+                    yield from compare(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from compare(rows)
 
     return run
 
 
-class _Join:
-    """Confirms candidate pairs; holds the tables that this takes."""
+def _links(nodes: DataFrame, pairs: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
+    """The pairs (a, b) that reach the similarity."""
+    if not bounded:
+        side = nodes.select("node", "bits", "n", (F.octet_length("shared") / 8).cast("long").alias("r"))
+        both = pairs.join(side.toDF("a", "x", "nx", "rx"), "a").join(side.toDF("b", "y", "ny", "ry"), "b").select("a", "b", "x", "nx", "rx", "y", "ny", "ry")
+        pairs = save(both.mapInArrow(_bounded(percent), "a long, b long").distinct(), "jaccard-pairs")
+    sets = nodes.select("node", "shared", "n")
+    both = pairs.join(sets.toDF("a", "x", "nx"), "a").join(sets.toDF("b", "y", "ny"), "b").select("a", "b", "x", "nx", "y", "ny")
+    out = save(both.mapInArrow(_reached(percent), "a long, b long"), "jaccard-links")
+    discard(pairs)
+    return out
 
-    def __init__(self, rows: DataFrame, nodes: DataFrame, n: int, percent: int):
-        self.rows, self.nodes, self.n, self.percent = rows, nodes, n, percent
 
-    def links(self, pairs: DataFrame, bounded: bool = False) -> DataFrame:
-        """The pairs (a, b) that reach the similarity."""
-        if not bounded:
-            side = self.nodes.select("node", "bits", "n")
-            both = pairs.join(side.toDF("a", "x", "nx"), "a").join(side.toDF("b", "y", "ny"), "b").select("a", "b", "x", "nx", "y", "ny")
-            pairs = both.mapInArrow(_bounded(self.percent), "a long, b long")
-        pairs = save(pairs.distinct(), "jaccard-pairs")
-        need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        one = self.nodes.join(need, "node", "left_semi").select(F.col("doc_id").alias("d"), F.col("key").alias("k"))  # a row that has the node's set
-        texts = self.rows.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
-        sets = save(texts.select("doc_id", "text", "key").mapInArrow(_set_bytes(self.n), "node long, shingles binary").dropDuplicates(["node"]), "jaccard-sets")
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        out = save(both.mapInArrow(_reached(self.percent), "a long, b long"), "jaccard-links")
-        discard(pairs)
-        discard(sets)
-        return out
+def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """First pairs, the members (node, token, tiles) of the tiles that gave only stars, and the saved table of both."""
+    p, kinds = partitions(nodes.sparkSession), "a long, b long, token long, tiles int"
+    each = nodes.select("node", "n", F.explode(F.arrays_zip("prefix", "tiles")).alias("p")).select(F.col("p.prefix").alias("token"), "node", "n", F.col("p.tiles").alias("tiles"))
+    each = each.select("token", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", "n", "tiles")
+    each = each.repartition(p, "token", "tile").sortWithinPartitions("token", "tile", "node")
+    found = save(each.mapInArrow(_pairs_in(percent, False), kinds), "jaccard-tiles")
+    large = found.where("tiles > 0").select(F.col("a").alias("node"), "token", "tiles")
+    # the leaders of a shingle's tiles meet in one more star
+    lead = large.where("tiles > 1").select("token", "tiles", "node", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")).groupBy("token", "tiles", "tile").agg(F.min("node").alias("node"))
+    lead = lead.join(nodes.select("node", "n"), "node").select("token", F.lit(0).alias("tile"), "node", "n", "tiles")
+    over = lead.repartition(p, "token").sortWithinPartitions("token", "node").mapInArrow(_pairs_in(percent, True), kinds).where("tiles < 0")
+    # of a node's spokes, that to the leader it meets most often
+    spokes = found.where("tiles < 0").groupBy("a", "b").agg(F.sum("token").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    pairs = found.where("tiles = 0").select("a", "b").union(spokes.union(over.select("a", "b")).select(F.least("a", "b"), F.greatest("a", "b")))
+    return pairs, large, found
+
+
+def _open_pairs(large: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs, by their bitmaps possible, of nodes that share a shingle of large tiles and aren't in one component yet.
+
+    The nodes of a shingle's largest component only meet the others; all come in blocks of TILE_ROWS or so.
+    """
+    hashed = F.xxhash64("node", F.lit(7))
+    labelled = large.join(comps, "node", "left").select("token", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", "tiles", F.coalesce("comp", "node").alias("comp"))
+    sizes = labelled.groupBy("token", "comp").agg(F.count("*").alias("n"), F.max("tiles").alias("tiles"))
+    open_ = sizes.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("all"), F.count("*").alias("comps"), F.max("tiles").alias("tiles")).where("comps > 1")
+    blocks = lambda c: F.ceil(c / F.lit(TILE_ROWS)).cast("int")
+    open_ = open_.select("token", "main", blocks(F.col("all") - F.col("m")).alias("small"), blocks(F.col("m")).alias("big"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))  # a join key for each tile, so that no task gets a whole shingle's rows
+    left = labelled.join(open_, ["token", "tile"]).withColumn("is_main", F.col("comp") == F.col("main"))
+    left = left.withColumn("own", F.when(F.col("is_main"), F.col("small") + F.pmod(hashed, F.col("big"))).otherwise(F.pmod(hashed, F.col("small"))).cast("int"))
+    last = F.when(F.col("is_main"), F.col("small")).otherwise(F.col("small") + F.col("big")) - 1
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(nodes.select("node", "n", "bits", (F.octet_length("shared") / 8).cast("long").alias("r")), "node")
+    left = left.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "n", "node", "comp", "bits", "r")
+    left = left.repartition(partitions(nodes.sparkSession), "token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "node")
+    more = left.mapInArrow(_across(percent, best_only), "a long, b long, bound long")
+    if best_only:
+        more = more.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b"))
+    return save(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-across")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,53 +382,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     and is never a component's id unless all are null. An empty table gives an empty result. Other columns are not
     read. Sets and shingles count as equal if their 64-bit hashes are.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    counts = spark.sparkContext.broadcast(_bin_counts(rows, n).astype(np.int64))  # 2**20 numbers, always
-    described = save(rows.select("doc_id", "text", "key").mapInArrow(_describe(n, percent, counts), "doc_id long, key long, n long, node long, bits binary, prefix array<long>, tiles array<int>"), "jaccard-rows")
-    nodes = save(described.where("bits is not null").select("node", "n", "doc_id", "key", "bits").dropDuplicates(["node"]), "jaccard-nodes")
-    join = _Join(rows, nodes, n, percent)
-    # tiles: a row for each document and prefix shingle
-    each = described.where("prefix is not null").select("node", "n", F.explode(F.arrays_zip("prefix", "tiles")).alias("p")).select(F.col("p.prefix").alias("token"), "node", "n", F.col("p.tiles").alias("tiles"))
-    each = each.select("token", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", "n", "tiles")
-    kinds = "a long, b long, token long, tiles int"
-    found = save(each.repartition(partitions(spark), "token", "tile").mapInArrow(_pairs_in(percent, False), kinds), "jaccard-tiles")
-    large = found.where("tiles > 0").select(F.col("a").alias("node"), "token", "tiles")
-    # the leaders of a shingle's tiles meet in one more star
-    lead = large.where("tiles > 1").select("token", "tiles", "node", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")).groupBy("token", "tiles", "tile").agg(F.min("node").alias("node"))
-    lead = lead.join(nodes.select("node", "n"), "node").select("token", F.lit(0).alias("tile"), "node", "n", "tiles")
-    over = lead.repartition(partitions(spark), "token").mapInArrow(_pairs_in(percent, True), kinds).where("tiles < 0")
-    # of a node's spokes, that to the leader it meets most often
-    spokes = found.where("tiles < 0").groupBy("a", "b").agg(F.sum("token").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    pairs = found.where("tiles = 0").select("a", "b").union(spokes.union(over.select("a", "b")).select(F.least("a", "b"), F.greatest("a", "b")))
-    links = join.links(pairs)
+    described = _described(docs, id_col, text_col, n, percent)
+    rows = save(described.select("doc_id", "n", "node"), "jaccard-sizes")
+    nodes = save(described.where("shared is not null").drop("doc_id").dropDuplicates(["node"]), "jaccard-nodes")
+    discard(described)
+    pairs, large, found = _candidates(nodes, percent)
+    links = _links(nodes, pairs, percent)
     comps = save(connected_components(links), "jaccard-comps")
     best_only, known = True, links.count()
     while True:
         # members of large tiles that aren't all in one component yet: first each one's best partner, as long as that
         # joins components, then every pair that is left
-        own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("own")
-        labelled = large.join(comps, "node", "left").select("token", own, "node", "tiles", F.coalesce("comp", "node").alias("comp"))
-        open_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("tiles").alias("tiles")).where("lo < hi")
-        open_ = open_.select("token", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("own"))  # a join key for each tile, so that no task gets a whole shingle's rows
-        left = labelled.join(open_, ["token", "own"], "left_semi").join(nodes.select("node", "n", "bits"), "node")
-        left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        left = left.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "n", "comp", "bits")
-        more = left.repartition(partitions(spark), "token", "one", "two").mapInArrow(_across(percent, best_only), "a long, b long, bound long")
-        if best_only:
-            more = more.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = save(more.select("a", "b").distinct(), "jaccard-across")
+        more = _open_pairs(large, nodes, comps, percent, best_only)
         if more.isEmpty():
+            discard(more)
             break
-        links = save(links.union(join.links(more, bounded=True)).distinct(), "jaccard-links")
+        old = links, comps
+        links = save(links.union(_links(nodes, more, percent, bounded=True)).distinct(), "jaccard-links")
         comps = save(connected_components(links), "jaccard-comps")
+        for df in old:
+            discard(df)
         now = links.count()
         if not best_only:
             break
         best_only, known = now > 1.02 * known + 32, now
-    of = described.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
+    for df in (links, nodes, found):
+        discard(df)
+    of = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     of = save(of, "jaccard-least")
+    discard(comps)
     names = of.groupBy("comp").agg(F.min("least").alias("component_id"))
     final = of.join(names, "comp").select("node", "component_id")
-    none = described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return described.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(final, "node").select("doc_id", "n_shingles", "component_id").unionByName(none)
+    none = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(final, "node").select("doc_id", "n_shingles", "component_id").unionByName(none)
