@@ -253,15 +253,23 @@ class TokenCounter(dict):
         classes = character_classes().take(codes.astype(np.intp))
         classes[ends] = STOP
         starts = pretoken_starts(classes)
-        # pre-tokens that occur again in the lot are looked up once; they are told apart by a 64-bit hash
+        # pre-tokens that occur again in the lot are looked up once: a hash proposes the first equal one, the characters decide
         edges = np.append(starts, len(text))
+        lens = np.diff(edges)
         total = np.zeros(len(text) + 1, np.uint64)
         up, down = powers(len(text))
         np.cumsum((codes + np.uint64(1)) * down, out=total[1:])
-        h = (total[edges[1:]] - total[starts]) * up[starts] + (edges[1:] - starts).astype(np.uint64)
+        h = (total[edges[1:]] - total[starts]) * up[starts] + lens.astype(np.uint64)
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        a, b = starts[first].tolist(), edges[first + 1].tolist()
-        counts = np.fromiter(map(self.__getitem__, [text[i:j] for i, j in zip(a, b, strict=True)]), np.int64, len(a))[back]
+        like = first[back]
+        other = lens[like] != lens
+        like[other] = np.flatnonzero(other)
+        at = np.arange(len(text)) + np.repeat(starts[like] - starts, lens)
+        other |= np.add.reduceat(codes != codes[at], starts) > 0
+        alone = np.flatnonzero(other)
+        get = lambda which: np.fromiter(map(self.__getitem__, [text[i:j] for i, j in zip(starts[which].tolist(), edges[which + 1].tolist(), strict=True)]), np.int64, len(which))
+        counts = get(first)[back]
+        counts[alone] = get(alone)
         counts[np.isin(starts, ends, assume_unique=True)] = 0  # the stops themselves
         total = np.concatenate([[0], np.cumsum(counts)])
         upto = total[np.searchsorted(starts, ends)]

@@ -111,6 +111,23 @@ def test_token_counts_equal_the_library(spark, docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def thue_morse(order, one, two):
+    a, b = one, two
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_tokens_of_words_with_equal_polynomial_hashes():
+    """Thue-Morse words of order 10 and more have one polynomial hash modulo 2**64, whatever the base."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    lib, counter = tokenizers.Tokenizer.from_file(path), token_counts.TokenCounter(path)
+    texts = [w for letters in (("e", "q"), ("ing", "zzq")) for order in (10, 11, 12) for w in thue_morse(order, *letters)]
+    texts += [f"{texts[0]} {texts[1]} {texts[1]}", "", texts[0]]
+    assert counter.count(texts).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_phrases(spark, docs, empty):
     for window, phrase in ((12, 5), (35, 8), (3, 3)):
         all_words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in corpus()]
