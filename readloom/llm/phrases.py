@@ -1,11 +1,11 @@
 """Removal of repeated passages by phrase automata.
 
 Every repeated window of ``window`` words holds a phrase of ``phrase`` words that is the smallest (by hash) of the
-window's phrases, at the same place in each copy. Only these phrases, about a fifteenth of all, are counted over
-the corpus. A block of documents (about a megabyte of text, never a part of a document) is one shard: its
-Aho-Corasick automaton is compiled from the recurring phrases that occur in it, and its documents are streamed
-through it to locate every occurrence. The windows around the occurrences are then confirmed by counting their
-hashes over the corpus, and the words of confirmed windows go.
+window's phrases, at the same place in each copy. These phrases, about a fifteenth of all, are compared over the
+corpus word by word; those that occur again are confirmed. A block of documents (some megabytes of text, never a part
+of a document) is a shard: its Aho-Corasick automaton is compiled from the confirmed phrases that the corpus returns
+to it, and every text of the block is streamed through it to locate every occurrence. The windows around the
+occurrences are then counted over the corpus by 96-bit hashes, and the words of recurring windows go.
 
 Nothing is broadcast. A phrase or window goes through a shuffle once for each block that holds it, so copies, however
 many, are spread over the blocks; what returns to a block is bounded by the block's own words.
@@ -14,156 +14,128 @@ many, are spread over the blocks; what returns to a block is bounded by the bloc
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import partitions, save
-from readloom.llm.hashing import WordHashes, grams, sliding_min
+from readloom.llm.blocks import block_texts, bucket_bits, count_over_blocks, from_planes, planes, save_blocks, sent
+from readloom.llm.common import partitions
+from readloom.llm.hashing import WordHashes, grams, mix, sliding_min
 
-BLOCK_BYTES = 1 << 20
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _repeats(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of all arrays and which of them occur more than once."""
-    values, counts = np.unique(np.concatenate(x) if x else np.empty(0, np.uint64), return_counts=True)
-    return values, counts > 1
-
-
-def _lowest(g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest phrase of each window, and the places whose phrase is the smallest of some window."""
+def _lowest(g: np.ndarray, span: int) -> np.ndarray:
+    """The places whose phrase is the smallest of some window."""
     low = sliding_min(g, span)
     padded = np.concatenate([np.full(span - 1, TOP), ~low, np.full(span - 1, TOP)])
     best = ~sliding_min(padded, span)  # the greatest of the minima of the windows over a place
-    return low, np.flatnonzero(g == best)
+    return np.flatnonzero(g == best)
 
 
-def _blocks(phrase: int, window: int):
-    def run(batches):
-        known, pid, k = WordHashes(), TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=1)
-        ids: list = []
-        texts: list = []
-        held = 0
-
-        def block():
-            nonlocal k
-            found = []
-            for t in texts:
-                w = (t or b"").split()
-                if len(w) >= window:
-                    g = grams(known.of(w), phrase)
-                    found.append(g[_lowest(g, window - phrase + 1)[1]])
-            values, many = _repeats(found)
-            out = {"block": [(pid << 32) + k], "ids": [ids], "lens": [[-1 if t is None else len(t) for t in texts]], "blob": [pack.compress(b"".join(t or b"" for t in texts))], "once": [_signed(values[~many])], "many": [_signed(values[many])]}
-            k += 1
-            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("blob", pa.binary()), ("once", pa.list_(pa.int64())), ("many", pa.list_(pa.int64()))]))
+def _phrases(phrase: int, window: int):
+    """The phrases that a block's windows are known by, as words joined by a space, and whether it has them twice."""
+    kinds = pa.schema([("phrase", pa.binary()), ("block", pa.int64()), ("more", pa.bool_())])
 
+    def run(batches):
+        known = WordHashes()
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                t = t.as_py()
-                ids.append(i)
-                texts.append(t)
-                held += 16 + len(t or b"")
-                if held >= BLOCK_BYTES:
-                    yield block()
-                    ids, texts, held = [], [], 0
-        if ids:
-            yield block()
+            for block, lens, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                more: dict[bytes, bool] = {}
+                for t in block_texts(blob, lens):
+                    w = (t or b"").split()
+                    if len(w) >= window:
+                        for p in _lowest(grams(known.of(w), phrase), window - phrase + 1).tolist():
+                            key = b" ".join(w[p : p + phrase])
+                            more[key] = key in more
+                yield pa.RecordBatch.from_pydict({"phrase": list(more), "block": [block] * len(more), "more": list(more.values())}, schema=kinds)
 
     return run
 
 
-def _texts(blob: bytes, lens: list[int]) -> list[bytes | None]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(blob) if any(n > 0 for n in lens) else b"", 0, []
-    for n in lens:
-        out.append(None if n < 0 else data[at : at + n])
-        at += max(0, n)
-    return out
+def _recurring(batches):
+    """Of rows sorted by phrase: block and phrase of those that occur again."""
+    held = None  # the last row, and whether it equals the one before
+    for b in batches:
+        if not b.num_rows:
+            continue
+        again = b.column(2).to_numpy(zero_copy_only=False).copy()
+        same = pc.equal(b.column(0).slice(1), b.column(0).slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        again[1:] |= same
+        again[:-1] |= same
+        if held is not None:
+            if held[0].column(0)[0] == b.column(0)[0]:
+                held, again[0] = (held[0], True), True
+            if held[1]:
+                yield held[0].select([1, 0])
+        last = b.num_rows - 1
+        held = b.slice(last), bool(again[last])
+        yield b.slice(0, last).filter(pa.array(again[:last])).select([1, 0])
+    if held is not None and held[1]:
+        yield held[0].select([1, 0])
+
+
+def automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
+    """The automaton of phrases between spaces, over bytes (as the characters of the same number)."""
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases:
+        machine.add_word(f" {p.decode('latin-1')} ")
+    machine.make_automaton()
+    return machine
 
 
-def _recurring(found: DataFrame) -> DataFrame:
-    """From block, once, many (hashes that a block holds once and more often): block and those that occur twice anywhere."""
+def occurrences(machine: ahocorasick.Automaton, words: list[bytes], phrase: int) -> np.ndarray:
+    """Places (word numbers) at which a phrase of the automaton starts in a text."""
+    if not len(machine):
+        return np.empty(0, np.int64)
+    line = b" " + b" ".join(words) + b" "
+    ends = [e for e, _ in machine.iter(line.decode("latin-1"))]
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    return np.searchsorted(spaces, ends) - phrase
 
-    def run(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)) for b in batches]
-        if not parts:
-            return
-        h, block, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.argsort(h, kind="stable")
-        h, block, many = h[order], block[order], many[order]
-        same = h[1:] == h[:-1]
-        again = many.astype(bool)
-        again[1:] |= same
-        again[:-1] |= same
-        for i in range(0, int(again.sum()), 1 << 16):
-            keep = np.flatnonzero(again)[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(block[keep])], names=["h", "block"])
 
-    each = found.select("block", F.explode("once").alias("h"), F.lit(False).alias("more")).union(found.select("block", F.explode("many").alias("h"), F.lit(True).alias("more")))
-    dealt = each.select("h", "block", "more").repartition(partitions(found.sparkSession), "h")
-    return dealt.mapInArrow(run, "h long, block long").groupBy("block").agg(F.collect_list("h").alias("again"))  # at most the block's own
+def _window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each window."""
+    return grams(h, window), (grams(mix(h ^ np.uint64(0xA0761D6478BD642F)), window) >> np.uint64(32)).astype(np.uint32)
 
 
-def _candidates(phrase: int, window: int):
-    """Locate recurring phrases with the block's automaton; hashes of the windows whose smallest phrase recurs."""
+def _locate(phrase: int, window: int, bits: int):
+    """Stream a block's texts through its automaton; the hashes of the windows whose smallest phrase was found."""
 
     def run(batches):
-        known = WordHashes()
+        known, span = WordHashes(), window - phrase + 1
         for b in batches:
-            for row in b.to_pylist():
-                number: defaultdict = defaultdict()
-                number.default_factory = number.__len__
-                docs = []
-                wanted = np.sort(np.array(row["again"], np.int64).view(np.uint64))
-                machine, had = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE), set()
-                for t in _texts(row["blob"], row["lens"]):
+            for block, lens, blob, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                machine, found = automaton(again), []
+                for t in block_texts(blob, lens):
                     w = (t or b"").split()
-                    if len(w) < window:
+                    at = occurrences(machine, w, phrase)
+                    if len(w) < window or not len(at):
                         continue
                     h = known.of(w)
                     g = grams(h, phrase)
-                    at = np.searchsorted(wanted, g)
-                    at[at == len(wanted)] = 0
-                    places = np.flatnonzero(wanted[at] == g).tolist()
-                    if not places:
-                        continue  # no phrase of the block's automaton can occur in it
-                    ids = tuple(map(number.__getitem__, w))
-                    for p in places:
-                        key = ids[p : p + phrase]
-                        if key not in had:
-                            had.add(key)
-                            machine.add_word(key)
-                    docs.append((ids, h, g))
-                found = []
-                if had:
-                    machine.make_automaton()
-                    for ids, h, g in docs:
-                        ends = [e for e, _ in machine.iter(ids)]
-                        if not ends:
-                            continue
-                        hit = np.full(len(g), TOP)
-                        at = np.array(ends) - (phrase - 1)
-                        hit[at] = g[at]
-                        span = window - phrase + 1
-                        found.append(grams(h, window)[sliding_min(hit, span) == sliding_min(g, span)])
-                values, many = _repeats(found)
-                yield pa.RecordBatch.from_pydict({"block": [row["block"]], "once": [_signed(values[~many])], "many": [_signed(values[many])]}, schema=pa.schema([("block", pa.int64()), ("once", pa.list_(pa.int64())), ("many", pa.list_(pa.int64()))]))
+                    hit = np.full(len(g), TOP)
+                    hit[at] = g[at]
+                    keep = sliding_min(hit, span) == sliding_min(g, span)
+                    found.append([x[keep] for x in _window_hashes(h, window)])
+                if found:
+                    one, two = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                    order = np.lexsort((two, one))
+                    one, two = one[order], two[order]
+                    first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.empty(0, np.int64)
+                    yield sent(block, one[first], two[first], np.diff(np.append(first, len(one))), bits, 8)
 
     return run
 
 
+def _again(h: np.ndarray, total: np.ndarray) -> bytes:
+    return planes(h[total > 1], 8)
+
+
 def covered(words: list[bytes], h: np.ndarray, again: np.ndarray, window: int) -> np.ndarray:
     """Which words lie in a window whose hash is in ``again`` (sorted)."""
     mark = np.zeros(len(words) + 1, np.int32)
@@ -181,10 +153,10 @@ def _remove(window: int, with_text: bool):
     def run(batches):
         known = WordHashes()
         for b in batches:
-            for row in b.to_pylist():
-                again = np.sort(np.array(row["again"] or [], np.int64).view(np.uint64))
-                out = {"doc_id": row["ids"], "n_words": [], "n_removed": [], "kept_sha256": []} | ({"kept_text": []} if with_text else {})
-                for t in _texts(row["blob"], row["lens"]):
+            for ids, lens, blob, got in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                again = np.sort(np.concatenate([from_planes(x, 8) for x in got])) if got else np.empty(0, np.uint64)
+                out = {"doc_id": ids, "n_words": [], "n_removed": [], "kept_sha256": []} | ({"kept_text": []} if with_text else {})
+                for t in block_texts(blob, lens):
                     w = (t or b"").split()
                     n, gone = len(w), 0
                     if n >= window and len(again):
@@ -204,6 +176,16 @@ def _remove(window: int, with_text: bool):
     return run
 
 
+def _recurring_windows(blocks: DataFrame, phrase: int, window: int) -> DataFrame:
+    """Per block the hashes of its windows that occur again anywhere: block, got."""
+    texts = blocks.select("block", "lens", "blob")
+    each = texts.mapInArrow(_phrases(phrase, window), "phrase binary, block long, more boolean")
+    dealt = each.repartition(partitions(blocks.sparkSession), "phrase").sortWithinPartitions("phrase")
+    confirmed = dealt.mapInArrow(_recurring, "block long, phrase binary").groupBy("block").agg(F.collect_list("phrase").alias("again"))  # at most the block's own
+    found = texts.join(confirmed, "block").select("block", "lens", "blob", "again").mapInArrow(_locate(phrase, window, bucket_bits(blocks)), "bucket long, block long, hashes binary, check binary, n binary")
+    return count_over_blocks(found, 8, _again)
+
+
 def remove_repeats(docs: DataFrame, window: int = 35, phrase: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Remove every word that lies in a window of ``window`` words whose sequence starts anywhere else too.
 
@@ -213,15 +195,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, phrase: int = 8, id_col: s
     Repeated rows are copies of each other, and each is returned. Rows with a null id count like any other. An empty
     table gives an empty result. Other columns are not read.
 
-    Two windows count as equal if their 64-bit hashes are.
+    Phrases are compared by their words, windows with a confirmed phrase by 96-bit hashes.
     """
     if not 0 < phrase <= window:
         raise ValueError("a phrase is at least one word and no longer than a window")
-    made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    blocks = save(made.mapInArrow(_blocks(phrase, window), "block long, ids array<long>, lens array<int>, blob binary, once array<long>, many array<long>"), "phrase-blocks")
-    phrases = _recurring(blocks.select("block", "once", "many"))
-    found = blocks.select("block", "lens", "blob").join(phrases, "block").select("block", "lens", "blob", "again")
-    windows = save(found.mapInArrow(_candidates(phrase, window), "block long, once array<long>, many array<long>"), "phrase-windows")
-    again = _recurring(windows)
-    kept = blocks.select("block", "ids", "lens", "blob").join(again, "block", "left").select("ids", "lens", "blob", "again")
+    blocks = save_blocks(docs, id_col, text_col, "phrase-blocks")
+    again = _recurring_windows(blocks, phrase, window)
+    kept = blocks.select("block", "ids", "lens", "blob").join(again, "block", "left").select("ids", "lens", "blob", "got")
     return kept.mapInArrow(_remove(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))

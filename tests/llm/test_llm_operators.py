@@ -145,6 +145,13 @@ def test_phrases(spark, docs, empty):
     assert phrases.remove_repeats(empty).count() == 0
 
 
+def test_automaton_finds_whole_words_only():
+    text = "aa b c\u00e9 \u00e9\u00e9 \x00 x b c\u00e9 \u00e9\u00e9 b c\u00e9 \u00e9".encode()
+    machine = phrases.automaton(["b c\u00e9 \u00e9\u00e9".encode(), "\x00 x b".encode(), b"a b c"])
+    assert phrases.occurrences(machine, text.split(), 3).tolist() == [1, 4, 6]
+    assert phrases.occurrences(phrases.automaton([]), [b"a"], 3).tolist() == []
+
+
 def components(rows, n, percent):
     sets = []
     for i, t, _ in rows:
