@@ -12,9 +12,9 @@ bitmap as wide as four to eight times its shared shingles (a power of two); the
 bound the overlap from above. Pairs that pass are confirmed on the sorted arrays.
 
 Small tiles give all their pairs. Large tiles first give stars, which join near copies without listing their pairs;
-the members of a shingle that are then still in different components are compared, block by block, until every pair
-of them is joined or refuted; pairs inside the shingle's largest component need no comparison. So no link between
-different texts is lost. Equal sets are one node from the start.
+the members of a shingle that are then still in different components meet in pairs of bounded blocks, where every two
+of them are joined or refuted, unless the block has joined them already; pairs inside the shingle's largest component
+need no comparison. So no link between different texts is lost. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -221,88 +221,71 @@ def _pairs_in(percent: int, star_only: bool):
     return run
 
 
-def _bounded(percent: int):
-    """Keep the pairs whose bitmaps allow the similarity."""
-
-    def run(batches):
-        for b in batches:
-            keep = [may_reach(*row, percent) for row in zip(*(b.column(i).to_pylist() for i in range(2, 8)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays of distinct values."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
 
 
-def _reached(percent: int):
-    """Keep the pairs whose sorted arrays have the similarity."""
+def _linked(percent: int):
+    """Keep the pairs that have the similarity: those that their bitmaps allow are confirmed on the sorted arrays."""
 
     def run(batches):
         for b in batches:
             keep = []
-            for x, nx, y, ny in zip(b.column(2), b.column(3).to_pylist(), b.column(4), b.column(5).to_pylist(), strict=True):
+            for x, bx, nx, y, by, ny in zip(b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5), b.column(6), b.column(7).to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (nx + ny - both))
+                good = may_reach(bx.as_py(), nx, len(x), by.as_py(), ny, len(y), percent)
+                if good:
+                    both = overlap(x, y)
+                    good = 100 * both >= percent * (nx + ny - both)
+                keep.append(good)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across(percent: int, best_only: bool):
-    """Pairs of nodes of different components in one block pair of a shingle, that the bitmaps allow, with the bound.
+def _across(percent: int):
+    """Links that join the nodes of different components in one block pair of a shingle: a forest of them.
 
-    best_only: for each node only its pair with the greatest bound.
+    Pairs are taken by descending bound of their bitmaps; a pair that the block's links have joined is left out.
     """
 
     def compare(rows: list[tuple]):
         one, two = rows[0][1], rows[0][2]
-        own, n, names, comps, r = (np.array([x[i] for x in rows]) for i in (3, 4, 5, 6, 8))
+        own, n, names, comps = (np.array([x[i] for x in rows]) for i in (3, 4, 5, 6))
         if (comps == comps[0]).all():
             return
-        maps = [np.frombuffer(x[7], np.uint64) for x in rows]
-        tables: dict[int, np.ndarray] = {}
+        maps, sets = [np.frombuffer(x[7], np.uint64) for x in rows], [np.frombuffer(x[8], np.uint64) for x in rows]
+        r = np.array([len(x) for x in sets])
         widths = np.array([len(m) for m in maps])
-        top, partner = np.full(len(rows), -1), np.full(len(rows), -1)
-        found: list[np.ndarray] = []
+        tables: dict[int, np.ndarray] = {}
+        links: list[tuple[int, int]] = []
         for i in range(len(rows)):
-            last = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
-            js = np.arange(i + 1, last)
+            js = np.arange(i + 1, int(np.searchsorted(n, 100 * n[i] // percent, side="right")))
             js = js[comps[js] != comps[i]]
             if one != two:
                 js = js[own[js] != own[i]]
             if not len(js):
                 continue
-            w = int(widths[i])
-            mine = maps[i]
+            w, mine = int(widths[i]), maps[i]
             if w not in tables:  # bitmaps of at least this width, folded to it
-                tables[w] = np.stack([_fold(m, w) if len(m) >= w else np.resize(m, w) for m in maps])
-            wide, ok = tables[w][js], widths[js] >= w
-            most = np.minimum(r[i], r[js]).astype(np.int64)
-            if ok.any():
-                most[ok] = np.minimum(r[i] - np.bitwise_count(mine & ~wide[ok]).sum(axis=1).astype(np.int64), r[js[ok]] - np.bitwise_count(wide[ok] & ~mine).sum(axis=1).astype(np.int64))
-            for j in np.flatnonzero(~ok).tolist():  # the other one's is narrower
-                x, y = _fold(mine, int(widths[js[j]])), maps[js[j]]
-                most[j] = min(r[i] - int(np.bitwise_count(x & ~y).sum()), r[js[j]] - int(np.bitwise_count(y & ~x).sum()))
-            union = n[i] + n[js] - most
-            fit = 100 * most >= percent * union
-            js, v = js[fit], 10_000 * most[fit] // union[fit]
-            if not len(js):
-                continue
-            if best_only:
-                k = int(np.argmax(v))
-                if v[k] > top[i]:
-                    top[i], partner[i] = v[k], js[k]
-                more = v > top[js]
-                top[js[more]], partner[js[more]] = v[more], i
-            else:
-                found.append(np.stack([np.full(len(js), names[i]), names[js], v]))
-        if best_only:
-            at = np.flatnonzero(partner >= 0)
-            found.append(np.stack([names[at], names[partner[at]], top[at]]))
-        if found:
-            a, b, v = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, v)], names=["a", "b", "bound"])
+                tables[w] = np.stack([_fold(m, w) if len(m) >= w else np.zeros(w, np.uint64) for m in maps])
+            most = np.minimum(r[i], r[js])
+            ok = widths[js] >= w
+            wide = tables[w][js[ok]]
+            most[ok] = np.minimum(r[i] - np.bitwise_count(mine & ~wide).sum(axis=1).astype(np.int64), r[js[ok]] - np.bitwise_count(wide & ~mine).sum(axis=1).astype(np.int64))
+            fit = np.flatnonzero(100 * most >= percent * (n[i] + n[js] - most))
+            for j in js[fit[np.argsort(-most[fit], kind="stable")]].tolist():
+                if comps[j] != comps[i] and (widths[j] >= w or may_reach(rows[i][7], n[i], r[i], rows[j][7], n[j], r[j], percent)):
+                    both = overlap(sets[i], sets[j])
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        links.append((names[i], names[j]))
+                        comps[comps == comps[j]] = comps[i]
+        if links:
+            a, b = np.array(links, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
         rows: list[tuple] = []
@@ -318,17 +301,11 @@ def _across(percent: int, best_only: bool):
     return run
 
 
-def _links(nodes: DataFrame, pairs: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
+def _links(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity."""
-    if not bounded:
-        side = nodes.select("node", "bits", "n", (F.octet_length("shared") / 8).cast("long").alias("r"))
-        both = pairs.join(side.toDF("a", "x", "nx", "rx"), "a").join(side.toDF("b", "y", "ny", "ry"), "b").select("a", "b", "x", "nx", "rx", "y", "ny", "ry")
-        pairs = save(both.mapInArrow(_bounded(percent), "a long, b long").distinct(), "jaccard-pairs")
-    sets = nodes.select("node", "shared", "n")
-    both = pairs.join(sets.toDF("a", "x", "nx"), "a").join(sets.toDF("b", "y", "ny"), "b").select("a", "b", "x", "nx", "y", "ny")
-    out = save(both.mapInArrow(_reached(percent), "a long, b long"), "jaccard-links")
-    discard(pairs)
-    return out
+    sets = nodes.select("node", "shared", "bits", "n")
+    both = pairs.distinct().join(sets.toDF("a", "x", "bx", "nx"), "a").join(sets.toDF("b", "y", "by", "ny"), "b")
+    return save(both.select("a", "b", "x", "bx", "nx", "y", "by", "ny").mapInArrow(_linked(percent), "a long, b long"), "jaccard-links")
 
 
 def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -349,8 +326,8 @@ def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, D
     return pairs, large, found
 
 
-def _open_pairs(large: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs, by their bitmaps possible, of nodes that share a shingle of large tiles and aren't in one component yet.
+def _open_links(large: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes that share a shingle (large: node, token, tiles) and aren't in one component yet.
 
     The nodes of a shingle's largest component only meet the others; all come in blocks of TILE_ROWS or so.
     """
@@ -363,13 +340,10 @@ def _open_pairs(large: DataFrame, nodes: DataFrame, comps: DataFrame, percent: i
     left = labelled.join(open_, ["token", "tile"]).withColumn("is_main", F.col("comp") == F.col("main"))
     left = left.withColumn("own", F.when(F.col("is_main"), F.col("small") + F.pmod(hashed, F.col("big"))).otherwise(F.pmod(hashed, F.col("small"))).cast("int"))
     last = F.when(F.col("is_main"), F.col("small")).otherwise(F.col("small") + F.col("big")) - 1
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(nodes.select("node", "n", "bits", (F.octet_length("shared") / 8).cast("long").alias("r")), "node")
-    left = left.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "n", "node", "comp", "bits", "r")
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(nodes.select("node", "n", "bits", "shared"), "node")
+    left = left.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "n", "node", "comp", "bits", "shared")
     left = left.repartition(partitions(nodes.sparkSession), "token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "node")
-    more = left.mapInArrow(_across(percent, best_only), "a long, b long, bound long")
-    if best_only:
-        more = more.groupBy("a").agg(F.max_by("b", F.struct("bound", "b")).alias("b"))
-    return save(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-across")
+    return save(left.mapInArrow(_across(percent), "a long, b long"), "jaccard-across")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,23 +363,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     pairs, large, found = _candidates(nodes, percent)
     links = _links(nodes, pairs, percent)
     comps = save(connected_components(links), "jaccard-comps")
-    best_only, known = True, links.count()
-    while True:
-        # members of large tiles that aren't all in one component yet: first each one's best partner, as long as that
-        # joins components, then every pair that is left
-        more = _open_pairs(large, nodes, comps, percent, best_only)
-        if more.isEmpty():
-            discard(more)
-            break
-        old = links, comps
-        links = save(links.union(_links(nodes, more, percent, bounded=True)).distinct(), "jaccard-links")
-        comps = save(connected_components(links), "jaccard-comps")
-        for df in old:
-            discard(df)
-        now = links.count()
-        if not best_only:
-            break
-        best_only, known = now > 1.02 * known + 32, now
+    # members of large tiles that aren't all in one component yet: first each one in its most frequent shingle, which
+    # joins near copies, then in every shingle that is still open
+    most = large.groupBy("node").agg(F.max(F.struct("tiles", "token")).alias("t")).select("node", "t.token", "t.tiles")
+    for members in (most, large):
+        more = _open_links(members, nodes, comps, percent)
+        if not more.isEmpty():
+            old = links, comps
+            links = save(links.union(more), "jaccard-links")
+            comps = save(connected_components(links), "jaccard-comps")
+            for df in old:
+                discard(df)
+        discard(more)
     for df in (links, nodes, found):
         discard(df)
     of = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comps, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
