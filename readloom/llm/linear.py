@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.common import save
-
 
 def bounded_sample(rows: DataFrame, most: int, key: Column) -> DataFrame:
     """About ``most`` rows at most, taken by a hash of ``key``; the same rows each time."""
@@ -18,21 +16,33 @@ def bounded_sample(rows: DataFrame, most: int, key: Column) -> DataFrame:
 
 
 class Sparse:
-    """Rows of feature numbers, each with weight 1 or a value."""
+    """Rows of feature numbers, each with weight 1 or a value; small integers, as the driver holds them."""
 
     def __init__(self, rows: list, bins: int):
-        self.n, self.bins = len(rows), bins
         lens = np.array([len(r) for r in rows], np.int64)
-        self.at = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), lens)
-        self.value = np.ones(len(self.at))
+        self._set(np.concatenate([np.asarray(r, np.int32) for r in rows]) if len(rows) else np.empty(0, np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), lens), len(rows), bins)
+
+    def _set(self, at: np.ndarray, row: np.ndarray, n: int, bins: int, value: np.ndarray | None = None) -> None:
+        self.at, self.row, self.n, self.bins = at, row, n, bins
+        self.value = np.ones(len(at), np.float32) if value is None else value
+
+    @classmethod
+    def differences(cls, gone: np.ndarray, come: np.ndarray, bins: int) -> Sparse:
+        """Rows of two features each, one taken away (the score loses it) and one brought."""
+        out = object.__new__(cls)
+        out._set(np.stack([gone, come], axis=1).reshape(-1).astype(np.int32), np.repeat(np.arange(len(gone), dtype=np.int32), 2), len(gone), bins, np.tile(np.array([1, -1], np.float32), len(gone)))
+        return out
 
     def only(self, keep: np.ndarray) -> Sparse:
         """Without the features that ``keep`` excludes."""
-        out, at = object.__new__(Sparse), keep[self.at] & (self.value != 0)
-        out.n, out.bins, out.at, out.row, out.value = self.n, self.bins, self.at[at], self.row[at], self.value[at]
+        out, at = object.__new__(Sparse), keep[self.at]
+        out._set(self.at[at], self.row[at], self.n, self.bins, self.value[at])
         return out
 
+    def frequent(self, least: int) -> Sparse:
+        """Without the features in fewer than ``least`` rows."""
+        return self.only(np.bincount(self.at, minlength=self.bins) >= least)
+
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.at], minlength=self.n)
 
@@ -87,8 +97,3 @@ def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
         if np.abs(step).max() < 1e-6:
             break
     return c
-
-
-def collected(df: DataFrame, name: str):
-    """A bounded sample's features, computed once and read by the driver."""
-    return save(df, name).toPandas()

@@ -34,8 +34,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by co-training."""
-    docs = _read(spark, sf_dir, "documents")
-    return quality.score_documents(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+    table = quality.features(_read(spark, sf_dir, "documents"))
+    return quality.score_documents(table, quality.train(table, _read(spark, sf_dir, "labels"))).drop("row")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

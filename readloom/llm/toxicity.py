@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm.common import discard, save
 from readloom.llm.hashing import LETTERS, WordHashes
-from readloom.llm.linear import Sparse, bounded_sample, collected, fit, sigmoid
+from readloom.llm.linear import Sparse, bounded_sample, fit, sigmoid
 
 BINS = 1 << 18
 #: Group names that may stand for each other.
@@ -37,16 +38,18 @@ def words(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "replace").translate(LETTERS).split())
 
 
-def counterfactuals(text: str, terms=IDENTITY_TERMS) -> list[tuple[set[bytes], set[bytes]]]:
-    """For each sentence with group names: words that a swap takes away and brings, for each other name of the kind."""
-    out = []
+def counterfactuals(text: str, terms=IDENTITY_TERMS) -> list[tuple[bytes, bytes]]:
+    """The distinct swaps of a text: for each sentence that names a group, the name and each other one of its kind.
+
+    There are no more than pairs of names of one kind, however long the text.
+    """
+    out: set[tuple[bytes, bytes]] = set()
     for sentence in SENTENCE.split(text):
         w = words(sentence)
         for kind in terms:
             names = {k.encode() for k in kind}
-            for name in sorted(w & names):
-                out += [({name}, {other}) for other in sorted(names - w)]
-    return out
+            out.update((name, other) for name in w & names for other in names - w)
+    return sorted(out)
 
 
 class Scorer(dict):
@@ -65,36 +68,39 @@ class Scorer(dict):
         return float(sigmoid(self.bias + sum(map(self.__getitem__, words(text)))))
 
 
-def _features(terms, variants: int):
+def _features(terms):
     def run(batches):
         known = WordHashes()
-        kinds = pa.schema([("y", pa.float64()), ("x", pa.list_(pa.int32())), ("swaps", pa.list_(pa.list_(pa.int32())))])
+        number = lambda w: known[w] & (BINS - 1)
+        kinds = pa.schema([("id", pa.int64()), ("y", pa.float64()), ("x", pa.list_(pa.int32())), ("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))])
         for b in batches:
-            out: dict = {"y": b.column(1).cast(pa.float64()).to_pylist(), "x": [], "swaps": []}
+            out: dict = {"id": b.column(2).to_pylist(), "y": b.column(1).cast(pa.float64()).to_pylist(), "x": [], "gone": [], "come": []}
             for t in b.column(0).to_pylist():
-                out["x"].append(sorted({known[w] & (BINS - 1) for w in words(t)}))
-                out["swaps"].append([[known[a] & (BINS - 1), known[c] & (BINS - 1)] for gone, come in counterfactuals(t or "", terms)[:variants] for a in gone for c in come])
+                out["x"].append(sorted({number(w) for w in words(t)}))
+                swaps = counterfactuals(t or "", terms)
+                out["gone"].append([number(a) for a, _ in swaps])
+                out["come"].append([number(c) for _, c in swaps])
             yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, terms=IDENTITY_TERMS, penalty: float = 10.0, least: int = 8, variants: int = 24, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 16_000, terms=IDENTITY_TERMS, penalty: float = 10.0, least: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """Fit on a sample of about ``max_train`` labelled rows at most, chosen by a hash of the id.
 
     Rows with a null id, label or text take no part. Words in fewer than ``least`` texts of the sample get no weight.
-    ``penalty`` weighs the mean square change of the score under swaps.
+    ``penalty`` weighs the mean square change of the score under swaps, which are all distinct swaps of the sample's
+    texts. Repeated rows count each; a repeated label counts once, and an id with both labels as one row of each.
     """
     chosen = bounded_sample(labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null"), max_train, F.col("id")).distinct()
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # max_train rows
-    got = collected(rows.select("text", "y").mapInArrow(_features(terms, variants), "y double, x array<int>, swaps array<array<int>>"), "toxic-sample")
-    x = Sparse(got["x"].tolist(), BINS)
-    enough = np.bincount(x.at, minlength=BINS) >= least
-    x.value = x.value * enough[x.at]
-    pairs = [p for s in got["swaps"] for p in s]
-    change = Sparse(pairs, BINS)
-    change.value[1::2] = -1
-    w, bias = fit(x, got["y"].to_numpy() if len(got) else np.empty(0), difference=change, penalty=penalty, l2=0.3, steps=250)
+    sample = save(rows.select("text", "y", F.xxhash64("id")).mapInArrow(_features(terms), "id long, y double, x array<int>, gone array<int>, come array<int>"), "toxic-sample")
+    got = sample.toPandas().sort_values(["id", "y"], kind="stable")
+    discard(sample)
+    joined = lambda c: np.concatenate([np.empty(0, np.int32), *got[c]])
+    change = Sparse.differences(joined("gone"), joined("come"), BINS)
+    x = Sparse(got["x"].tolist(), BINS).frequent(least)
+    w, bias = fit(x, got["y"].to_numpy(np.float64), difference=change, penalty=penalty, l2=0.3, steps=250)
     return Scorer(w, bias)
 
 
