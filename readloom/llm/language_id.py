@@ -22,6 +22,8 @@ BINS = 1 << 16
 WORDS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: How far from its maximum a log-likelihood may stay, in nats.
+SLACK = 0.05
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -68,33 +70,49 @@ class Languages:
         c = np.array([counts[k] for k in self.names], np.float64).reshape(len(self.names), BINS) + 0.5
         self.p = np.ascontiguousarray((c / c.sum(axis=1, keepdims=True)).T)  # [bins, languages]
 
-    def mixture(self, text: str | None, penalty: float, steps: int = 12) -> list[tuple[str, float]]:
-        """Languages and proportions, the largest first; empty if there is no letter or no learned language."""
+    def mixture(self, text: str | None, penalty: float) -> list[tuple[str, float]]:
+        """Languages and proportions, the largest first; empty if there is no letter or no learned language.
+
+        The set grows from the best single language, by the one that raises the penalised likelihood most, as long
+        as one does. Adding languages raises a log-likelihood by at most total * log(largest gradient) (Jensen), so
+        those that can't pay for themselves need no EM.
+        """
         if not self.names or not text or not LETTER.search(text):
             return []
         f, n = np.unique(trigrams(text), return_counts=True)
-        p, total = self.p[f], n.sum()
-        share = np.full(len(self.names), 1 / len(self.names))
-        for _ in range(steps):
-            share = share * (p.T @ (n / (p @ share))) / total
-        order = np.argsort(-share, kind="stable")
-        alone = n @ np.log(p)
-        best = [int(np.argmax(alone))]
+        p, total = self.p[f], int(n.sum())
         cost = penalty * np.log(1 + total)
-        chosen, value = (best, np.ones(1)), float(alone[best[0]]) - cost
-        for nth in (int(k) for k in order if share[k] > 0.02):
-            if nth in chosen[0]:
-                continue
-            kept = [*chosen[0], nth]
-            q = p[:, kept]
-            w = np.full(len(kept), 1 / len(kept))
-            for _ in range(steps):
-                w = w * (q.T @ (n / (q @ w))) / total
-            new = float(n @ np.log(q @ w)) - cost * len(kept)
-            if new <= value:
+        chosen, w = [int(np.argmax(n @ np.log(p)))], np.ones(1)
+        while True:
+            now = p[:, chosen] @ w
+            gradient = p.T @ (n / now) / total
+            rest = [k for k in range(len(self.names)) if k not in chosen and total * np.log(max(gradient[k], 1e-300)) > cost]
+            best, at = cost, None
+            for k in rest:
+                new, gain = self._gain(p[:, [*chosen, k]], n, total, w, now)
+                if gain > best:
+                    best, at = gain, (k, new)
+            if at is None:
                 break
-            chosen, value = (kept, w), new
-        return sorted(((self.names[k], float(w)) for k, w in zip(*chosen, strict=True)), key=lambda x: (-x[1], x[0]))
+            chosen, w = [*chosen, at[0]], at[1]
+        return sorted(((self.names[k], float(x)) for k, x in zip(chosen, w, strict=True)), key=lambda x: (-x[1], x[0]))
+
+    def _gain(self, p: np.ndarray, n: np.ndarray, total: int, w: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, float]:
+        """Proportions of a larger set, and how much they raise the log-likelihood."""
+        new = em(p, n, total, np.append(w * len(w), 1) / (len(w) + 1))
+        return new, float(n @ np.log((p @ new) / now))
+
+
+def em(p: np.ndarray, n: np.ndarray, total: int, w: np.ndarray) -> np.ndarray:
+    """Mixture proportions by expectation-maximisation, until the log-likelihood is within SLACK of its maximum.
+
+    The likelihood is concave, and total * log(largest gradient) bounds what is missing.
+    """
+    while True:
+        gradient = p.T @ (n / (p @ w)) / total
+        if total * np.log(gradient.max()) < SLACK:
+            return w
+        w = w * gradient
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Languages:
