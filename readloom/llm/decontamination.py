@@ -7,7 +7,8 @@ term, shifts them by the term's offset, and intersects them with the shifted pos
 don't share positions, so no phrase runs over their edge. As blocks are cut by document, a passage that a third of
 all documents hold is as spread as they are.
 
-Test phrases are broadcast in lots of bounded bytes; a larger benchmark takes more passes over the index.
+Test phrases are broadcast in lots of bounded bytes, in matrices of phrases of like length, so that a lot is some
+megabytes; a larger benchmark takes more passes over the index.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from readloom.llm.hashing import LETTERS
 BLOCK_BYTES = 1 << 21
 #: Free positions between documents; proximity matches look no further than this less one.
 GAP = 64
-LOT_BYTES = 16 << 20
+#: Text of the test items of one lot; it has about a window for each word.
+LOT_BYTES = 1 << 20
 SLICE = 1 << 20
 
 
@@ -83,24 +85,25 @@ class Phrases:
         """window: cut items to all windows of so many words (shorter items are one); None: an item is one phrase."""
         number: defaultdict = defaultdict()
         number.default_factory = number.__len__
-        rows: dict[tuple, None] = {}
+        longest = window or max([1, *(len(words) for _, words in items)])
+        rows: list[np.ndarray] = [np.empty((0, longest + 1), np.int32)]
         for k, (_, words) in enumerate(items):
-            ids = [number[w] for w in words]
-            if ids:
-                n = min(window or len(ids), len(ids))
-                rows.update(dict.fromkeys((k, *ids[i : i + n]) for i in range(len(ids) - n + 1)))
+            ids = np.fromiter((number[w] for w in words), np.int32, len(words))
+            if len(ids):
+                cut = np.lib.stride_tricks.sliding_window_view(ids, min(longest, len(ids)) if window else len(ids))
+                mine = np.full((len(cut), longest + 1), -1, np.int32)
+                mine[:, 0], mine[:, 1 : 1 + cut.shape[1]] = k, cut
+                rows.append(mine)
+        every = np.unique(np.concatenate(rows), axis=0)
         self.names = [name for name, _ in items]
         self.number = dict(number)
-        self.owner = np.array([r[0] for r in rows], np.int64)
-        self.terms = np.full((len(rows), max((len(r) - 1 for r in rows), default=1)), -1, np.int64)
-        for i, r in enumerate(rows):
-            self.terms[i, : len(r) - 1] = r[1:]
+        self.owner, self.terms = every[:, 0].astype(np.int64), np.ascontiguousarray(every[:, 1:])
         self.length = (self.terms >= 0).sum(axis=1)
 
     def ranked(self, frequency: np.ndarray) -> Phrases:
         """Fix the order of intersection: each phrase's offsets from the rarest term on."""
         f = np.where(self.terms >= 0, frequency[self.terms], np.iinfo(np.int64).max)
-        self.order = np.argsort(f, axis=1, kind="stable")
+        self.order = np.argsort(f, axis=1, kind="stable").astype(np.int32)
         return self
 
 
@@ -198,7 +201,7 @@ def _prepared(index: DataFrame, items: list[tuple[str, list[bytes]]], window: in
 
 
 def search(index: DataFrame, items: DataFrame, slop: int = 0, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Matches of whole items as phrases: doc_id, item, start (word), exact.
+    """Matches of whole items as phrases: doc_id, item, start (word), exact. Repeated items count once.
 
     With ``slop`` over 0 also proximity matches: each term lies at most ``slop`` words from its place, counted from
     an occurrence of the item's rarest term. Items or texts that are null, or without words, match nothing. ``start``
@@ -207,28 +210,36 @@ def search(index: DataFrame, items: DataFrame, slop: int = 0, id_col: str = "ite
     if not 0 <= slop < GAP:
         raise ValueError(f"slop is 0 to {GAP - 1}")
     out = None
-    for items_ in _lots(items, id_col, text_col):
-        p = _prepared(index, items_, None)
-
-        def run(batches, p=p):
-            for b in batches:
-                for row in b.to_pylist():
-                    ix = _Index(row, p.value)
-                    which, at = ix.find(p.value, slop)
-                    exact = np.ones(len(which), bool)
-                    for step in range(p.value.terms.shape[1]):
-                        t = p.value.terms[which, step]
-                        exact &= (t < 0) | ix.nearest(np.where(t >= 0, ix.local[t], 0), at + step, 0)
-                    # the rarest term tells the document: at + its offset is a posting
-                    doc = np.searchsorted(ix.starts, at + p.value.order[which, 0], side="right") - 1
-                    ids = [row["ids"][d] for d in doc.tolist()]
-                    yield pa.RecordBatch.from_pydict({"doc_id": ids, "item": [p.value.names[p.value.owner[w]] for w in which], "start": at - ix.starts[doc], "exact": exact}, schema=pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("start", pa.int64()), ("exact", pa.bool_())]))
-
-        part = index.mapInArrow(run, "doc_id long, item string, start long, exact boolean")
-        out = part if out is None else out.union(part)
+    for lot in _lots(items, id_col, text_col):
+        by_length: dict[int, list] = defaultdict(list)
+        for item in lot:
+            by_length[len(item[1]).bit_length()].append(item)
+        for like in by_length.values() or [[]]:
+            part = index.mapInArrow(_matches(_prepared(index, like, None), slop), "doc_id long, item string, start long, exact boolean")
+            out = part if out is None else out.union(part)
     return out
 
 
+def _matches(p, slop: int):
+    kinds = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("start", pa.int64()), ("exact", pa.bool_())])
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                ix = _Index(row, p.value)
+                which, at = ix.find(p.value, slop)
+                exact = np.ones(len(which), bool)
+                for step in range(p.value.terms.shape[1]):
+                    t = p.value.terms[which, step]
+                    exact &= (t < 0) | ix.nearest(np.where(t >= 0, ix.local[t], 0), at + step, 0)
+                # the rarest term tells the document: at + its offset is a posting
+                doc = np.searchsorted(ix.starts, at + p.value.order[which, 0], side="right") - 1
+                ids = [row["ids"][d] for d in doc.tolist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "item": [p.value.names[p.value.owner[w]] for w in which], "start": at - ix.starts[doc], "exact": exact}, schema=kinds)
+
+    return run
+
+
 def _hits(p):
     """Per document the hit spans and the items."""
 
