@@ -73,8 +73,8 @@ def _add_grams(batches):
 class Queries:
     """A lot of queries of one dimension, rotated."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, names: np.ndarray):
+        self.ids, self.vectors, self.names = ids, vectors, names
         self.lead = max(1, vectors.shape[1] // 4)
         self.rotation = rotation
         r = vectors @ rotation
@@ -84,24 +84,25 @@ class Queries:
 
 
 class Best:
-    """The k best of each query so far: scores and ids, worst last."""
+    """The k best of each query so far: scores, ids and whether the row equals the query, worst last."""
 
     def __init__(self, n: int, k: int):
         self.k = k
         self.score = np.full((n, k), LEAST)
         self.id = np.full((n, k), np.iinfo(np.int64).max)
+        self.own = np.zeros((n, k), bool)
 
     def floor(self) -> np.ndarray:
         return self.score[:, -1]
 
-    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.concatenate([self.score[q], scores]), np.concatenate([self.id[q], ids])
+    def add(self, q: int, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        s, i, o = (np.concatenate([x[q], y]) for x, y in ((self.score, scores), (self.id, ids), (self.own, own)))
         order = np.lexsort((i, -s))[: self.k]
-        self.score[q], self.id[q] = s[order], i[order]
+        self.score[q], self.id[q], self.own[q] = s[order], i[order], o[order]
 
 
 def scan(q: Queries, best: Best, ids: np.ndarray, x: np.ndarray) -> int:
-    """Let a block of vectors, sorted by descending length, compete; how many exact products it took."""
+    """Let a block of vectors compete, best in descending length; how many exact products it took."""
     r = x @ q.rotation
     length = np.sqrt((r**2).sum(axis=1))
     rest = np.sqrt(np.maximum(0, (r[:, q.lead :] ** 2).sum(axis=1)))
@@ -112,41 +113,42 @@ def scan(q: Queries, best: Best, ids: np.ndarray, x: np.ndarray) -> int:
         return 0
     bound = q.first[open_] @ r[:, : q.lead].T + np.outer(q.rest[open_], rest) + slack[open_, None]
     done = 0
+
+    def add(k: int, rows: np.ndarray) -> None:
+        nonlocal done
+        own = ids[rows] == q.ids[k]
+        own[own] = (x[rows[own]] == q.vectors[k]).all(axis=1)
+        best.add(k, (x[rows] @ q.vectors[k]).astype(np.int64), ids[rows], own)
+        done += len(rows)
+
     for nth, k in enumerate(open_.tolist()):
-        keep = np.flatnonzero((bound[nth] >= floor[k]) & (ids != q.ids[k]))
+        keep = np.flatnonzero(bound[nth] >= floor[k])
         if len(keep) > 4 * best.k:  # begin with the most promising, then prune again
             lead = keep[np.argsort(-bound[nth, keep], kind="stable")[: 2 * best.k]]
-            best.add(k, (x[lead] @ q.vectors[k]).astype(np.int64), ids[lead])
-            done += len(lead)
+            add(k, lead)
             rest_ = keep[bound[nth, keep] >= max(best.score[k, -1], q.seed[k])]
             keep = rest_[~np.isin(rest_, lead)]
         if len(keep):
-            best.add(k, (x[keep] @ q.vectors[k]).astype(np.int64), ids[keep])
-            done += len(keep)
+            add(k, keep)
     return done
 
 
 def _search(shared, k: int):
+    """Stream a partition's vectors, the longest first, block by block past the queries."""
+
     def run(batches):
-        got = [(b.column(0).to_numpy(), b.column(1)) for b in batches]
         lots: dict[int, Queries] = shared.value
+        best = {d: Best(len(q.ids), k) for d, q in lots.items()}
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for d, rows in _by_dim(b, 1):
+                if d in lots:
+                    x, every = _matrix(b.column(1).take(rows)).astype(np.float64), ids[rows.to_numpy()]
+                    for at in range(0, len(every), BLOCK):
+                        scan(lots[d], best[d], every[at : at + BLOCK], x[at : at + BLOCK])
         for d, q in lots.items():
-            best = Best(len(q.ids), k)
-            ids, mats = [], []
-            for i, v in got:
-                rows = np.flatnonzero(v.value_lengths().to_numpy() == d)
-                if len(rows):
-                    ids.append(i[rows])
-                    mats.append(_matrix(v.take(pa.array(rows))).astype(np.float64))
-            if not ids:
-                continue
-            every, x = np.concatenate(ids), np.concatenate(mats)
-            order = np.lexsort((every, -(x**2).sum(axis=1)))
-            for at in range(0, len(order), BLOCK):
-                part = order[at : at + BLOCK]
-                scan(q, best, every[part], x[part])
-            n, j = np.nonzero(best.id != np.iinfo(np.int64).max)
-            yield pa.RecordBatch.from_arrays([pa.array(q.ids[n]), pa.array(best.id[n, j]), pa.array(best.score[n, j])], names=["query_id", "vec_id", "score"])
+            n, j = np.nonzero(best[d].id != np.iinfo(np.int64).max)
+            yield pa.RecordBatch.from_arrays([pa.array(q.ids[n]), pa.array(q.names[n]), pa.array(best[d].id[n, j]), pa.array(best[d].score[n, j]), pa.array(best[d].own[n, j])], names=["query_id", "query", "vec_id", "score", "own"])
 
     return run
 
@@ -155,35 +157,42 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     """The ``k`` greatest integer inner products of each query with every other row.
 
     Components become floor(1024 * x). Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id; a
-    query with fewer than ``k`` candidates gets all. A row is no candidate of a query with its own id. Vectors that
-    are null, or hold a null or non-finite component, take no part; neither do null ids; vectors only meet others of
-    their own dimension, and empty vectors none. Repeated query rows count once, repeated candidates each. Empty
-    tables give an empty result. Other columns are not read. Products must stay below 2**53 in size.
+    query with fewer than ``k`` candidates gets all. A query's own row is one row of its id and vector; other rows
+    are candidates, also those of the same id, or equal ones. Vectors that are null, or hold a null or non-finite
+    component, take no part; neither do null ids; vectors only meet others of their own dimension, and empty vectors
+    none. Query rows of one id but different vectors are each answered, equal ones once. Empty tables give an empty
+    result. Other columns are not read. Products must stay below 2**53 in size.
 
     Queries are broadcast in lots of QUERY_LOT; each lot passes once over the vectors, which stand in partitions of
-    descending length.
+    descending length, sorted, and are streamed.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), _integers(vector_col).alias("v")).where("vec_id is not null and v is not null")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    rows = save(rows.withColumn("n", norm).repartitionByRange(partitions(spark), F.desc("n"), "vec_id"), "topk-vectors")
+    dealt = rows.withColumn("n", norm).repartitionByRange(partitions(spark), F.desc("n"), "vec_id").sortWithinPartitions(F.desc("n"), "vec_id")
+    rows = save(dealt, "topk-vectors")
     rotations = _rotations(rows)
-    asked = save(queries.select(F.col(id_col).cast("long").alias("vec_id"), _integers(vector_col).alias("v")).where("vec_id is not null and v is not null").dropDuplicates(["vec_id"]), "topk-queries")
+    asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), _integers(vector_col).alias("v")).where("vec_id is not null and v is not null").dropDuplicates(["vec_id", "v"])
+    asked = save(asked.withColumn("name", F.xxhash64("vec_id", "v")), "topk-queries")
     lots = asked.count() // QUERY_LOT + 1
     longest = rows.orderBy(F.desc("n"), "vec_id").limit(BLOCK).select("vec_id", "v").toPandas()  # one block
     out = None
     for lot in range(lots):
-        mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(lots)) == lot).toPandas()  # QUERY_LOT rows or so
+        mine = asked.where(F.pmod("name", F.lit(lots)) == lot).toPandas()  # QUERY_LOT rows or so
         sets: dict[int, Queries] = {}
         for d, part in mine.groupby(mine["v"].map(len)):
             if d in rotations:
-                q = sets[d] = Queries(part["vec_id"].to_numpy(), np.stack(part["v"].to_list()).astype(np.float64), rotations[d])
+                q = sets[d] = Queries(part["vec_id"].to_numpy(), np.stack(part["v"].to_list()).astype(np.float64), rotations[d], part["name"].to_numpy())
                 head = longest[longest["v"].map(len) == d]
                 if len(head):  # the longest vectors give every task a first bound
-                    best = Best(len(q.ids), k)
+                    best = Best(len(q.ids), k + 1)
                     scan(q, best, head["vec_id"].to_numpy(), np.stack(head["v"].to_list()).astype(np.float64))
                     q.seed = best.floor().copy()
-        found = rows.select("vec_id", "v").mapInArrow(_search(spark.sparkContext.broadcast(sets), k), "query_id long, vec_id long, score long")
+        # one more than asked for: the query's own row may be among them
+        found = rows.select("vec_id", "v").mapInArrow(_search(spark.sparkContext.broadcast(sets), k + 1), "query_id long, query long, vec_id long, score long, own boolean")
         out = found if out is None else out.union(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    best = out.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    own = F.row_number().over(Window.partitionBy("query_id", "query", "own").orderBy("n"))
+    rest = best.withColumn("nth", own).where("not (own and nth = 1)")
+    return rest.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy("n"))).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
