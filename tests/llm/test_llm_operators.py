@@ -222,6 +222,17 @@ def test_proximity(spark):
     assert (1, True) in near and (2, False) in near and all(i != 3 for i, _ in near)
 
 
+def test_search_edges(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    d = table(spark, [(1, "a b c", "s"), (1, "a b c", "s"), (None, "x a b c", "s"), (2, None, "s"), (3, "", "s"), (4, f"q {long} a b", "s")])
+    items = spark.createDataFrame([(1, "A b"), (1, "A b"), (2, None), (None, "a"), (3, ""), (4, " - "), (5, long)], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    index = decontamination.build_index(d)
+    got = key((r.doc_id, r["item"], r.start, r.exact) for r in decontamination.search(index, items).collect())
+    assert got == key([(1, "1", 0, True), (1, "1", 0, True), (None, "1", 1, True), (4, "1", 3001, True), (4, "5", 1, True)])
+    assert decontamination.search(index, items.where("false"), 2).count() == 0
+    assert decontamination.search(decontamination.build_index(d.where("false")), items).count() == 0
+
+
 def test_mixing(spark, docs, empty):
     rows = corpus()
     got = mixing.mix(docs).collect()
@@ -262,6 +273,20 @@ def test_top_k(spark):
     assert topk.top_k(d.where("false"), d, 5).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """A query's own row is one row only; others of its id, or equal to it, are candidates."""
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.5]), (200, [1.0, 1.0]), (200, [1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = topk.top_k(d, d.where("vec_id % 100 = 0"), 10).collect()
+    u = 1024 * 1024
+
+    def answer(q, v):
+        others = sorted([(-int(v[0] * w[0] * u + v[1] * w[1] * u), i) for i, w in rows if not (i == q and w == v)] + [(-2 * u, 200)] * (q == 200))
+        return [(q, n, i, -s) for n, (s, i) in enumerate(others, 1)]
+
+    assert key(tuple(r) for r in got) == key(answer(100, [1.0, 0.0]) + answer(100, [0.0, 1.0]) + answer(200, [1.0, 1.0]))
+
+
 def test_language(spark, empty):
     rng = random.Random(6)
     sounds = {"aa": ["ka", "ru", "mo"], "bb": ["ste", "lin", "que"]}
@@ -303,11 +328,157 @@ def test_toxicity(spark):
     assert all(r.score == 0.5 for r in blank)
 
 
+def scored(d, labels, **kw):
+    t = quality.features(d)
+    return {r.doc_id: r for r in quality.score_documents(t, quality.train(t, labels, **kw)).collect()}
+
+
 def test_quality(spark):
     d, labels = labelled(spark)
-    model = quality.train(d, labels)
-    got = quality.score_documents(d, model).join(labels, "doc_id").where("quality is not null").collect()
+    t = quality.features(d)
+    model = quality.train(t, labels)
+    got = quality.score_documents(t, model).join(labels, "doc_id").where("quality is not null").collect()
     assert np.mean([r.keep == (r.quality == 1) for r in got]) > 0.95
-    none = {r.doc_id: r for r in quality.score_documents(table(spark, [(1, None, None), (2, " ", None)]), model).collect()}
-    assert not none[1].keep and not none[2].keep
-    assert quality.score_documents(d.where("false"), model).count() == 0
+    odd = table(spark, [(1, None, None), (2, " ", None), (None, "sun tree", "s"), (4, "vile sun " * 9000, "s"), (4, "vile sun " * 9000, "s"), (5, "", None)])
+    rows = quality.score_documents(quality.features(odd), model).collect()
+    assert len(rows) == 6 and not any(r.keep or r.score for r in rows if r.doc_id in (1, 2, 5))
+    assert len({r.score for r in rows if r.doc_id == 4}) == 1 and any(r.doc_id is None and r.score > 0 for r in rows)
+    assert quality.score_documents(quality.features(d.where("false")), model).count() == 0
+    blank = scored(d, labels.where("false"))
+    assert len({r.score for r in blank.values() if r.doc_id != 9000}) == 1
+
+
+def plain_fit(x, y, l2, screen, steps, change=None, penalty=0.0):
+    """Dense logistic regression with the library's step sizes."""
+    if len(set(y)) < 2:
+        rate = (sum(y) + 1) / (len(y) + 2)
+        return np.zeros(x.shape[1]), np.log(rate / (1 - rate))
+    n, rate = len(y), min(max(np.mean(y), 1e-3), 1 - 1e-3)
+    use = np.abs(x.T @ (y - rate)) > screen * np.sqrt((x**2).sum(0) * rate * (1 - rate))
+    x = x * use
+    w, bias, m, v, mb, vb = np.zeros(x.shape[1]), np.log(rate / (1 - rate)), 0.0, 0.0, 0.0, 0.0
+    for t in range(1, steps + 1):
+        r = (1 / (1 + np.exp(-(x @ w + bias))) - y) / n
+        g, gb = x.T @ r + l2 / n * w, r.sum()
+        if change is not None and len(change):
+            g = g + 2 * penalty * change.T @ (change @ w) / len(change)
+        size = 0.1 / (1 + 3 * t / steps)
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        w = w - size * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        bias -= size * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-6)
+    return w, bias
+
+
+def dense(rows, numbers):
+    x = np.zeros((len(rows), len(numbers)))
+    for i, r in enumerate(rows):
+        for k in r:
+            if k in numbers:
+                x[i, numbers[k]] = 1
+    return x
+
+
+def test_quality_equals_a_plain_co_training_loop(spark):
+    d, labels = labelled(spark, 300)
+    known = labels.where("doc_id % 3 = 0")
+    got = scored(d, known, rounds=2, sure=0.8, max_pseudo=10**6)
+    v = quality.Views()
+    rows = {r.doc_id: v.of(r.text, r.lang, r.source, r.n_chars) for r in d.collect() if r.text}
+    y = {r.doc_id: r.quality for r in known.collect() if r.doc_id is not None and r.quality is not None}
+    ids = sorted(y)
+    own = [[(rows[i], y[i]) for k, i in enumerate(ids) if k % 5]] * 2
+    own = [list(x) for x in own]
+    taught = [set(), set()]
+    numbers = [{k: n for n, k in enumerate(sorted({k for r in rows.values() for k in r[view]}))} for view in (0, 1)]
+    every = [dense([r[view] for r in rows.values()], numbers[view]) for view in (0, 1)]
+    for nth in range(3):
+        z = []
+        for view in (0, 1):
+            x = dense([r[view] for r, _ in own[view]], numbers[view])
+            if view == 0:
+                x = x * (x.sum(0) >= 5)
+            w, bias = plain_fit(x, np.array([t for _, t in own[view]], float), 2.0, 3.0, 120)
+            z.append(every[view] @ w + bias)
+        if nth == 2:
+            break
+        sure = [(view, label) for view in (0, 1) for label in (1, 0)]
+        for view, label in sure:
+            p = 1 / (1 + np.exp(-z[view]))
+            for (i, r), q in zip(rows.items(), p if label else 1 - p, strict=True):
+                if i not in y and q >= 0.8 and tuple(map(tuple, r)) not in taught[1 - view]:
+                    taught[1 - view].add(tuple(map(tuple, r)))
+                    own[1 - view].append((r, label))
+    assert any(taught)
+    aside = [list(rows).index(i) for k, i in enumerate(ids) if k % 5 == 0]
+    ya = np.array([y[list(rows)[i]] for i in aside], float)
+    a = np.column_stack([z[0], z[1], np.ones(len(rows))])
+    c = np.zeros(3)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(a[aside] @ c)))
+        c = c - np.clip(np.linalg.solve((a[aside] * (p * (1 - p))[:, None]).T @ a[aside] + 1e-2 * np.eye(3), a[aside].T @ (p - ya) + 1e-2 * c), -2, 2)
+    want = 1 / (1 + np.exp(-(a @ c)))
+    assert max(abs(got[i].score - w) for i, w in zip(rows, want, strict=True)) < 1e-3
+
+
+def test_toxicity_equals_a_plain_fit(spark):
+    d, labels = labelled(spark, 200)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(d, toxicity.train(d, labels, penalty=5.0)).collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None}
+    texts = {r.doc_id: r.text for r in d.collect()}
+    bag = {i: set((t or "").split()) for i, t in texts.items()}
+    names = {t.decode() for t in set().union(*(toxicity.words(" ".join(k)) for k in toxicity.IDENTITY_TERMS))}
+    numbers = {w: n for n, w in enumerate(sorted(set().union(*bag.values()) | names))}
+    x = dense([bag[i] for i in y], numbers)
+    x = x * (x.sum(0) >= 8)
+    swaps = []
+    for i in y:
+        pairs = {(a, c) for kind in toxicity.IDENTITY_TERMS for a in kind if a in bag[i] for c in kind if c not in bag[i]}
+        for a, c in pairs:
+            swaps.append(np.zeros(len(numbers)))
+            swaps[-1][numbers[a]], swaps[-1][numbers[c]] = 1, -1
+    w, bias = plain_fit(x, np.array(list(y.values()), float), 0.3, 4.0, 250, np.array(swaps), 5.0)
+    want = {i: 1 / (1 + np.exp(-(dense([bag[i]], numbers)[0] @ w + bias))) for i in texts}
+    assert max(abs(got[i] - want[i]) for i in texts) < 1e-3
+
+
+def test_toxicity_edges(spark):
+    d, labels = labelled(spark, 80)
+    model = toxicity.train(d.union(d), labels.union(labels))
+    odd = table(spark, [(1, "vile sun", "s"), (1, "vile sun", "s"), (None, "vile sun", None), (2, None, None), (2, "", "s")])
+    got = toxicity.score_documents(odd, model).collect()
+    assert len(got) == 5 and len({r.score for r in got}) == 2 and toxicity.score_documents(odd.where("false"), model).count() == 0
+    assert len(toxicity.counterfactuals("black men. " * 400)) == len(toxicity.counterfactuals("black men."))
+
+
+def test_language_equals_a_plain_em(spark):
+    rng = np.random.default_rng(5)
+    sounds = [["ka", "ru", "mo"], ["ste", "lin", "que"], ["ka", "lin", "zu"]]
+    say = lambda k, n: " ".join("".join(rng.choice(sounds[k], 3)) for _ in range(n))
+    train = spark.createDataFrame([(say(k, 40), f"l{k}") for k in (0, 1, 2) for _ in range(15)], "text string, lang string")
+    model = language_id.learn(train)
+    texts = [say(0, 30), say(1, 4), say(0, 60) + " " + say(1, 30), say(2, 80) + " " + say(1, 80) + " " + say(0, 80), "ka", say(2, 1500)]
+
+    def likelihood(text, chosen):
+        p = model.p[language_id.trigrams(text)][:, chosen]
+        w = np.full(len(chosen), 1 / len(chosen))
+        for _ in range(3000):
+            share = p * w / (p @ w)[:, None]
+            w = share.mean(axis=0)
+        return np.log(p @ w).sum() - 8.0 * np.log(1 + len(p)) * len(chosen), w
+
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, texts[0]), (9, texts[0])], "doc_id long, text string").withColumn("lang", F.lit("x")).withColumn("score", F.lit(1))
+    got = language_id.identify(d, model).collect()
+    for r in got:
+        text = texts[r.doc_id if r.doc_id != 9 else 0]
+        chosen, value, w = None, -np.inf, None
+        while True:  # grow the set by the best language while that pays
+            options = [[*(chosen or []), k] for k in range(3) if k not in (chosen or [])]
+            best = max(((*likelihood(text, c), c) for c in options), key=lambda x: x[0], default=(-np.inf,))
+            if best[0] <= value:
+                break
+            value, w, chosen = best
+        want = sorted(zip(-w, [f"l{k}" for k in chosen], strict=True))
+        assert r.lang_pred == want[0][1] and {x.lang for x in r.languages} == {k for _, k in want}
+        assert all(abs(x.share + {k: s for s, k in want}[x.lang]) < 0.02 for x in r.languages)
+    tie = language_id.Languages({"a": np.ones(language_id.BINS), "b": np.ones(language_id.BINS)})
+    assert tie.mixture("some text", 8.0)[0][0] == "a" and len(tie.mixture("some text", 8.0)) == 1

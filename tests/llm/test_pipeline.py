@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from readloom.llm import ngram_join, quality
@@ -33,7 +34,7 @@ ONE, TWO, THREE = (" ".join(f"{w}{i}" for i in range(30)) for w in ("one", "two"
 
 
 def _rows(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], KINDS).repartition(3)
+    return spark.createDataFrame([(i, t, "en", "web", None if t is None else len(t)) for i, t in rows], KINDS).repartition(3)
 
 
 def _found(df):
@@ -50,7 +51,7 @@ def test_near_duplicates_keep_one_row_a_group(spark):
 def test_quality_decides_by_row(spark, monkeypatch, tmp_path):
     w = np.zeros(quality.CONTENT_BINS)
     w[quality.Views().of("bad", "en", "web", 3)[0]] = -9
-    model = quality.CoTrained((w, 1.0), (np.zeros(quality.META_BINS), 0.0), [np.array([1.0, 0.0])] * 2, np.array([1.0, 0.0, 0.0]))
+    model = quality.CoTrained((w, 1.0), (np.zeros(quality.META_BINS), 0.0), [np.array([1.0, 0.0])] * 2, np.array([1.0, 0.0, 0.0]))  # rejects "bad"
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     monkeypatch.setattr(corpus_pipeline.quality, "train", lambda *_: model)
     docs = _rows(spark, [(1, ONE), (1, "bad"), (None, TWO), (None, "bad"), (2, THREE), (2, THREE)])
@@ -70,3 +71,14 @@ def test_mix_takes_rows_of_null_and_clashing_ids(spark):
     assert set(mixed) == set(docs) and all(docs.count(r) <= mixed.count(r) <= 2 * docs.count(r) for r in docs)
     total, taken = (sum(len(t.split()) for _, t in rows) for rows in (docs, mixed))
     assert abs(taken - 1.5 * total) <= 7
+
+
+def test_stages_of_empty_tables_and_other_columns(spark, tmp_path):
+    """An empty table stays empty; columns whose names the stages use inside do no harm."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = {"_key": F.lit(1), "times": F.lit(2), "row": F.lit(3), "nth": F.lit(4), "size": F.lit(5), "id": F.lit(6), "h": F.lit(7)}
+    docs = _rows(spark, [(1, ONE), (2, TWO), (2, TWO), (None, THREE), (3, None), (4, "")]).withColumns(more)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+        assert stage(spark, docs, str(tmp_path)).count() > 0, name
