@@ -27,10 +27,14 @@ def _repeated(rows: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the co-trained classifier keeps, each by its own text and metadata."""
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Rows that the co-trained classifier keeps, each by its own text and metadata, whatever its id.
+
+    Null texts and texts without words go.
+    """
     rows = _keyed(docs)
-    kept = quality.score_documents(rows, model, id_col="_key").where("keep").select(F.col("doc_id").alias("_key")).distinct()
+    table = quality.features(rows, row_col="_key")
+    model = quality.train(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = quality.score_documents(table, model).where("keep").select(F.col("row").alias("_key")).distinct()
     return rows.join(kept, "_key", "left_semi").select(COLUMNS)
 
 
