@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ def reverse_complement(seq: str) -> Column:
 
 
 def packed_letters(seq: str) -> Column:
-    """What two bits a base keep of a sequence: upper case, ambiguous codes and gaps as A."""
-    return F.translate(F.upper(seq), AMBIGUOUS + "-", "A" * (len(AMBIGUOUS) + 1))
+    """What two bits a base keep of a sequence: A-Z upper case, ambiguous codes and gaps as A."""
+    return F.translate(F.translate(seq, ascii_lowercase, ascii_uppercase), AMBIGUOUS + "-", "A" * (len(AMBIGUOUS) + 1))
 
 
 def ambiguity_runs(seq: str, merged: bool = False) -> Column:

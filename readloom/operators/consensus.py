@@ -2,35 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.config import ConsensusOptions
 from readloom.operators import align, intervals, kmers, mapping, traceback
 
-#: Seeds within a group, and how often a group may have a k-mer.
-KMER, STEP, SEED_SCORE, MOST = 10, 6, 50, 100
+#: Seeds within a pair of reads.
+KMER, STEP, SEED_SCORE = 10, 6, 50
 
 
 def votes(rows: DataFrame, group: str, q: str = "q_aln", s: str = "s_aln", start: str = "soff", weight: str | None = None) -> DataFrame:
     """One vote for each column of each alignment: group, t_pos, delta, base, and those of the column before.
 
-    t_pos is the subject's place, delta counts insertions behind it. Written as running sums over the exploded columns
-    of one alignment, inside one array expression.
+    t_pos is the subject's place, delta counts insertions behind it. Running counts over the columns of one alignment.
     """
-    cols = F.zip_with(F.split(q, ""), F.split(s, ""), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def put(acc, c):
-        at = acc.t + F.when(c.b != "-", 1).otherwise(0)
-        delta = F.when(c.b != "-", 0).otherwise(acc.d + 1)
-        vote = F.struct(at.alias("t_pos"), delta.alias("delta"), c.a.alias("base"), acc.t.alias("p_t_pos"), acc.d.alias("p_delta"), acc.c.alias("p_base"))
-        return F.struct(at.alias("t"), delta.alias("d"), c.a.alias("c"), F.array_append(acc.out, vote).alias("out"))
-
-    kind = "array<struct<t_pos:bigint,delta:int,base:string,p_t_pos:bigint,p_delta:int,p_base:string>>"
-    zero = F.struct((F.col(start).cast("long") - 1).alias("t"), F.lit(0).alias("d"), F.lit(".").alias("c"), F.array().cast(kind).alias("out"))
-    made = rows.select(F.col(group).alias("group"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"), F.explode(F.aggregate(cols, zero, put, lambda a: a.out)).alias("v"))
-    return made.select("group", "weight", "v.*")
+    gap = ord("-")
+    kind = rows.schema[group].dataType.simpleString()
+
+    def put(held: list, groups: pa.Array) -> pa.RecordBatch:
+        each = [np.concatenate(c) for c in zip(*held, strict=True)]
+        which, weigh, at, delta, base, p_at, p_delta, p_base = each
+        return pa.RecordBatch.from_arrays([groups.take(pa.array(which)), pa.array(weigh), pa.array(at), pa.array(delta.astype(np.int32)), pa.array(base), pa.array(p_at), pa.array(p_delta.astype(np.int32)), pa.array(p_base)], names=["group", "weight", "t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = lambda v, first: np.concatenate([np.array([first], v.dtype), v[:-1]])
+        for batch in batches:
+            held, size = [], 0
+            for i, (x, y, first, weigh) in enumerate(zip(*(batch.column(n).to_pylist() for n in range(1, 5)), strict=True)):
+                if not x or not y:
+                    continue
+                a, has = np.frombuffer(x.encode(), "S1").astype("U1"), np.frombuffer(y.encode(), np.uint8) != gap
+                n = np.arange(len(has))
+                at = first - 1 + np.cumsum(has)
+                delta = n - np.maximum.accumulate(np.where(has, n, -1))
+                held.append((np.full(len(n), i), np.full(len(n), weigh), at, delta, a, before(at, first - 1), before(delta, 0), before(a, ".")))
+                size += len(n)
+                if size >= 1 << 19:
+                    yield put(held, batch.column(0))
+                    held, size = [], 0
+            if held:
+                yield put(held, batch.column(0))
+
+    weigh = (F.col(weight) if weight else F.lit(1.0)).cast("double")
+    made = rows.select(F.col(group).alias("group"), F.col(q).alias("_q"), F.col(s).alias("_s"), F.col(start).cast("long").alias("_at"), weigh.alias("_w"))
+    return made.mapInArrow(run, f"group {kind}, weight double, t_pos long, delta int, base string, p_t_pos long, p_delta int, p_base string")
 
 
 def pileup(votes: DataFrame) -> DataFrame:
@@ -68,19 +89,30 @@ def consensus(piled: DataFrame, cover: DataFrame, factor: float = 0.4) -> DataFr
     return both.groupBy("group").applyInPandas(path, f"group {piled.schema['group'].dataType.simpleString()}, seq string")
 
 
+def group_pairs(reads: DataFrame) -> DataFrame:
+    """All ordered pairs of two reads (group, rid) of a group: group, qid, sid. Groups have at most 50 or so members
+    (``signatures.most_alike``)."""
+    return reads.select("group", F.col("rid").alias("qid")).join(reads.select("group", F.col("rid").alias("sid")), "group").where("qid != sid")
+
+
 def correct(reads: DataFrame, identity: float, exact: bool, options: ConsensusOptions = ConsensusOptions()) -> DataFrame:
     """Correct each read by the others of its group: group, rid, seq, from, to, raw_size.
 
-    reads: group and rid (of any type), seq on the subject's strand. The others are aligned to it along their best
-    chain, then refined between anchors or, if ``exact``, aligned anew by banded affine gaps. The longest stretch of
-    enough coverage is replaced by the consensus, from ``from`` to ``to`` of the result. Reads without one are left
-    out, as are null and empty ones.
+    reads: group and rid (of any type), seq. The others are aligned to it, on the strand and along the chain of the
+    best score, then refined between anchors or, if ``exact``, aligned anew by banded affine gaps; alignments must
+    cover a share of either read. The longest stretch of enough coverage is replaced by the consensus, from ``from``
+    to ``to`` of the result. Reads without one are left out, as are null and empty ones.
     """
-    keyed = reads.where("seq != ''").withColumn("_key", F.concat_ws(":", "group", "rid"))
+    name = lambda rid: F.concat_ws(":", "group", rid)
+    keyed = reads.where("seq != ''").withColumn("_key", name("rid"))
     by_key = keyed.select(F.col("_key").alias("rid"), "seq")
-    inside = lambda occ: occ.withColumn("kmer", F.concat_ws(":", F.regexp_replace("rid", ":[^:]*$", ""), "kmer"))
-    seeds = kmers.seed_join(inside(kmers.occurrences(by_key, KMER, STEP)), inside(kmers.occurrences(by_key, KMER, 1)), MOST, self_join=False).where("qid != sid")
-    d = mapping.along_chains(align.chains(seeds, KMER, SEED_SCORE, 1), by_key, by_key, KMER).where(F.col("send") - F.col("soff") >= options.min_overlap)
+    pairs = group_pairs(keyed).select(name("qid").alias("qid"), name("sid").alias("sid"))
+    both = kmers.strands(by_key)
+    asked = kmers.occurrences(both.withColumn("_who", F.struct("rid", "qdir")), KMER, STEP, "_who").select("rid.rid", "rid.qdir", "off", "kmer")
+    seeds = kmers.pair_seeds(pairs, asked, kmers.occurrences(by_key, KMER, 1))
+    best = F.max_by(F.struct("qdir", "seeds"), F.struct("score", -F.col("qdir")))
+    chained = align.chains(seeds, KMER, SEED_SCORE, 1).groupBy("qid", "sid").agg(best.alias("b")).select("qid", "b.qdir", "sid", F.lit(1).alias("nth"), F.lit(0).alias("score"), "b.seeds")
+    d = mapping.along_chains(chained, both, by_key, KMER).where(F.col("send") - F.col("soff") >= options.min_overlap)
     again = traceback.refined.asNondeterministic()("q_aln", "s_aln") if not exact else traceback.align_banded.asNondeterministic()(F.replace("q_aln", F.lit("-"), F.lit("")), F.replace("s_aln", F.lit("-"), F.lit("")))
     d = d.select("sid", "soff", "send", again.alias("p")).select("sid", "soff", "send", "p.*")
     d = traceback.measured(d).where(F.col("ident") >= identity).select("sid", "soff", "send", "q_aln", "s_aln")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.schemas import REV
+
 
 def complete(tol: int = 300) -> Column:
     """Does the alignment reach both ends of the query?"""
@@ -54,52 +56,78 @@ def top_hsps(rows: DataFrame, k: int) -> DataFrame:
 
 
 def top_support(rows: DataFrame, k: int) -> DataFrame:
-    """Each subject's ``k`` best supporting queries."""
+    """Each subject's ``k`` best supporting queries; Spark keeps ``k`` a subject in each task before they meet."""
     best = rows.groupBy("sid", "qid").agg(F.max("score").alias("score"))
     order = Window.partitionBy("sid").orderBy(F.desc("score"), "qid")
     return best.withColumn("support_rank", F.row_number().over(order)).where(F.col("support_rank") <= k)
 
 
-def best_complete(rows: DataFrame, identity: float, lead: float = 10.0, tol: int = 300) -> DataFrame:
-    """Each query's complete alignment: the only one over the identity, or the best if it leads by more than ``lead``."""
-    good = rows.where(complete(tol) & (F.col("ident") >= identity))
-    order = Window.partitionBy("qid").orderBy(F.desc("ident"), "aid")
-    ranked = good.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("ident").over(order))
-    return ranked.where((F.col("_n") == 1) & (F.col("_next").isNull() | (F.col("ident") - F.col("_next") > lead))).drop("_n", "_next")
+def best_complete(rows: DataFrame, identity: float, lead: float = 10.0, tol: int = 300, effective: str = "ident", masked: str | None = None) -> DataFrame:
+    """Each query's complete alignment: its only one, if of the identity; of several, by the column ``effective``
+    (identity without long gaps), the only one of the identity, or the best if it leads by more than ``lead``.
+
+    A winner that the boolean column ``masked`` marks yields nothing, nor does another of its query.
+    """
+    order = Window.partitionBy("qid").orderBy(F.desc("_by"), "aid")
+    found = rows.where(complete(tol)).withColumn("_all", F.count("*").over(Window.partitionBy("qid")))
+    found = found.withColumn("_by", F.when((F.col("_all") == 1) & (F.col("ident") >= identity), F.col("ident")).otherwise(F.col(effective))).where(F.col("_by") >= identity)
+    ranked = found.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("_by").over(order))
+    ranked = ranked.where((F.col("_n") == 1) & (F.col("_next").isNull() | (F.col("_by") - F.col("_next") > lead)))
+    return (ranked.where(~F.col(masked)) if masked else ranked).drop("_n", "_next", "_all", "_by")
 
 
-def dual_pairs(rows: DataFrame, identity: float = 70.0, most: int = 30_000, tol: int = 300) -> DataFrame:
-    """Two incomplete alignments of one query to one subject and strand, that reach its left and its right end.
+def dual_pairs(rows: DataFrame, identity: float = 70.0, most: int = 30_000, tol: int = 300, effective: str = "ident", masked: str | None = None) -> DataFrame:
+    """Two incomplete alignments of one query to one subject, that reach its left and its right end.
 
-    They overlap on the subject, or are at most ``most`` apart.
+    They overlap on the subject, or are at most ``most`` apart; their strands may differ. Rows that the boolean column
+    ``masked`` marks take no part; those under the identity do if the column ``effective`` reaches it.
     """
-    good = rows.where(F.col("ident") >= identity)
+    good = rows.where((F.col("ident") >= identity) | (F.col(effective) >= identity))
+    good = good.where(~F.col(masked)) if masked else good
     at_left = (F.col("qoff") <= tol) & (F.col("qsize") - F.col("qend") > tol)
     at_right = (F.col("qoff") > tol) & (F.col("qsize") - F.col("qend") <= tol)
-    left = good.where(at_left).select("qid", "sid", "qdir", F.col("aid").alias("left_id"), F.col("soff").alias("lb"), F.col("send").alias("le"))
-    right = good.where(at_right).select("qid", "sid", "qdir", F.col("aid").alias("right_id"), F.col("soff").alias("rb"), F.col("send").alias("re"))
+    side = lambda where, name, x: good.where(where).select("qid", "sid", F.col("aid").alias(f"{name}_id"), F.col("qdir").alias(f"{x}dir"), F.col("qoff").alias(f"{x}qb"), F.col("qend").alias(f"{x}qe"), F.col("soff").alias(f"{x}b"), F.col("send").alias(f"{x}e"))
     near = (F.greatest("lb", "rb") - F.least("le", "re")) <= most
-    return left.join(right, ["qid", "sid", "qdir"]).where(near)
+    return side(at_left, "left", "l").join(side(at_right, "right", "r"), ["qid", "sid"]).where(near)
 
 
 def unique_duals(pairs: DataFrame) -> DataFrame:
-    """Pairs of queries that have exactly one, chained: the hull on the subject; left before right is required."""
-    alone = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("qid"))).where("_n = 1").drop("_n")
-    return alone.where("lb <= rb").select("qid", "sid", "qdir", "left_id", "right_id", F.least("lb", "rb").alias("soff"), F.greatest("le", "re").alias("send"))
+    """The only pair of a query, over all subjects, if both are on one strand and in order: its hull.
 
+    Seen along the subject's strand, the query's left part comes first; on the reverse strand that is the pair's right.
+    """
+    alone = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("qid"))).where("_n = 1 and ldir = rdir")
+    ordered = F.when(F.col("ldir") == REV, F.col("rb") <= F.col("lb")).otherwise(F.col("lb") <= F.col("rb"))
+    hull = {"qoff": F.least("lqb", "rqb"), "qend": F.greatest("lqe", "rqe"), "soff": F.least("lb", "rb"), "send": F.greatest("le", "re")}
+    return alone.where(ordered).select("qid", "sid", F.col("ldir").alias("qdir"), "left_id", "right_id", *(c.alias(n) for n, c in hull.items()))
 
-def broken_pairs(rows: DataFrame, tol: int = 50) -> DataFrame:
-    """For each query and subject the first pair of alignments that continue each other on both, by the case of ends.
 
-    Cases: 1 both joints within ``tol``, 2 a gap on the query only, 3 a gap on the subject only, 4 gaps on both.
+def broken_pairs(rows: DataFrame, tol: int = 50) -> DataFrame:
+    """Pairs of alignments of one query, subject and strand that continue each other, in order of preference.
+
+    One starts at an end of the subject or of the query, the other ends at one, and together they run forward. The
+    eight cases count in this order, x and y being the two in either role: x at the subject's start and y at the
+    subject's, or the query's, end; x at the subject's end and y at the subject's, or query's, start; x at the query's
+    start and y at the query's, or subject's, end; x at the query's end and y at the query's, or subject's, start.
+    Returns qid, sid, a, b (in the roles), case (1 to 8), the hull, and rank: from 1 by the earlier and the later of
+    both alignments, the earlier in role x first.
     """
-    a = rows.select("qid", "sid", "qdir", F.col("aid").alias("a"), F.col("qoff").alias("aq"), F.col("qend").alias("aqe"), F.col("soff").alias("as_"), F.col("send").alias("ase"))
-    b = rows.select("qid", "sid", "qdir", F.col("aid").alias("b"), F.col("qoff").alias("bq"), F.col("qend").alias("bqe"), F.col("soff").alias("bs"), F.col("send").alias("bse"))
-    ahead = (F.col("a") != F.col("b")) & (F.col("aq") < F.col("bq")) & (F.col("as_") < F.col("bs")) & (F.col("aqe") < F.col("bqe")) & (F.col("ase") < F.col("bse"))
-    q, s = F.abs(F.col("bq") - F.col("aqe")) <= tol, F.abs(F.col("bs") - F.col("ase")) <= tol
-    found = a.join(b, ["qid", "sid", "qdir"]).where(ahead).withColumn("case", F.when(q & s, 1).when(s, 2).when(q, 3).otherwise(4))
-    order = Window.partitionBy("qid", "sid").orderBy("case", "a", "b")
-    return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("qid", "sid", "a", "b", "case")
+    side = lambda x: rows.select("qid", "sid", "qdir", *(F.col(c).alias(f"{x}_{c}") for c in ("aid", "qoff", "qend", "qsize", "soff", "send", "ssize")))
+    d = side("x").join(side("y"), ["qid", "sid", "qdir"]).where("x_aid <> y_aid")
+    starts = {f"{x}{o}": F.col(f"{x}_{o}off") <= tol for x in "xy" for o in "qs"}
+    ends = {f"{x}{o}": F.col(f"{x}_{o}size") - F.col(f"{x}_{o}end") <= tol for x in "xy" for o in "qs"}
+    forward = {f"{x}{o}": F.col(f"{x}_{o}off") < F.col(f"{'y' if x == 'x' else 'x'}_{o}end") for x in "xy" for o in "qs"}
+    cases = [
+        starts["xs"] & ends["ys"] & forward["xq"], starts["xs"] & ends["yq"] & forward["xs"], ends["xs"] & starts["ys"] & forward["yq"], ends["xs"] & starts["yq"] & forward["ys"],
+        starts["xq"] & ends["yq"] & forward["xs"], starts["xq"] & ends["ys"] & forward["xq"], ends["xq"] & starts["yq"] & forward["ys"], ends["xq"] & starts["ys"] & forward["yq"],
+    ]
+    case = F.coalesce(*(F.when(c, n) for n, c in enumerate(cases, 1)))
+    d = d.withColumn("case", case).where(F.col("case").isNotNull())
+    from_x = F.col("case").isin(1, 2, 5, 6)
+    hull = {c: F.when(from_x, F.col(f"{p}_{c}")).otherwise(F.col(f"{o}_{c}")) for c, p, o in (("qoff", "x", "y"), ("qend", "y", "x"), ("soff", "x", "y"), ("send", "y", "x"))}
+    order = Window.partitionBy("qid", "sid").orderBy(F.least("x_aid", "y_aid"), F.greatest("x_aid", "y_aid"), F.col("x_aid") > F.col("y_aid"))
+    d = d.withColumns(hull).withColumn("rank", F.row_number().over(order))
+    return d.select("qid", "sid", "qdir", F.col("x_aid").alias("a"), F.col("y_aid").alias("b"), "case", *hull, "rank")
 
 
 def to_sv_reads(rows: DataFrame) -> DataFrame:

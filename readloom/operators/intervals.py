@@ -1,9 +1,14 @@
-"""Interval operators: overlap with masks, unions, merges, depth, containment."""
+"""Interval operators: overlap with masks, unions, merges, depth, containment.
+
+A key is a subject, and one subject may hold most rows (a large chromosome). Ordered scans therefore run in bins of
+the axis: ``running`` solves each bin on its own and adds what the bins before it amount to, which takes one row a bin.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,14 +16,46 @@ from pyspark.sql import functions as F
 BIN = 4096
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str, bool]], bin_size: int = BIN) -> DataFrame:
+    """Running aggregates a key in the given order, whose first column is the place on the axis.
+
+    values: name -> (column, ``sum`` or ``max``, whether the row itself counts). A first maximum is null, a first sum 0.
+    """
+    binned = rows.withColumn("_bin", F.floor(F.col(order[0]) / bin_size))
+    agg = {"sum": F.sum, "max": F.max}
+    bins = binned.groupBy(*keys, "_bin").agg(*(agg[how](c).alias(f"_all_{n}") for n, (c, how, _) in values.items()))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bin").alias("_b"), *(agg[how](f"_all_{n}").over(earlier).alias(f"_before_{n}") for n, (_, how, _) in values.items()))
+    own = Window.partitionBy(*keys, "_bin").orderBy(*order)
+    inner = binned.withColumns({f"_own_{n}": agg[how](c).over(own.rowsBetween(Window.unboundedPreceding, 0 if itself else -1)) for n, (c, how, itself) in values.items()})
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_bin") == F.col("_b")]
+    joined = inner.join(bins, on)
+    total = {n: F.greatest(f"_own_{n}", f"_before_{n}") if how == "max" else F.coalesce(f"_own_{n}", F.lit(0)) + F.coalesce(f"_before_{n}", F.lit(0)) for n, (_, how, _) in values.items()}
+    return joined.withColumns(total).drop("_bin", "_b", *(f"_k{i}" for i in range(len(keys))), *(f"_{x}_{n}" for x in ("own", "before") for n in values))
+
+
+def following(rows: DataFrame, keys: list[str], at: str, name: str, bin_size: int = BIN) -> DataFrame:
+    """Add the next place a key (null for the last); places are distinct."""
+    binned = rows.withColumn("_bin", F.floor(F.col(at) / bin_size))
+    later = Window.partitionBy(*keys).orderBy("_bin")
+    bins = binned.groupBy(*keys, "_bin").agg(F.min(at).alias("_first")).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bin").alias("_b"), F.lead("_first").over(later).alias("_then"))
+    inner = binned.withColumn(name, F.lead(at).over(Window.partitionBy(*keys, "_bin").orderBy(at)))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_bin") == F.col("_b")]
+    return inner.join(bins, on).withColumn(name, F.coalesce(name, "_then")).drop("_bin", "_b", "_then", *(f"_k{i}" for i in range(len(keys))))
+
+
+def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, ties: tuple[str, ...] = (), bin_size: int = BIN) -> DataFrame:
+    """Add ``_island``: rows of a key that reach each other, by at most ``gap``, have one number, rising along the axis."""
+    order = [start, end, *(t for t in ties if t not in (start, end))]
+    marked = running(rows, keys, order, {"_reach": (end, "max", False)}, bin_size)
+    marked = marked.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + gap), 1).otherwise(0))
+    return running(marked, keys, order, {"_island": ("_new", "sum", True)}, bin_size).drop("_reach", "_new")
+
+
 def merge(rows: DataFrame, keys: list[str], start: str = "from", end: str = "to", gap: int = 0, score: str | None = None) -> DataFrame:
     """Union of intervals a key, those at most ``gap`` apart being one: hull, number, and the greatest score."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
-    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     more = [F.max(score).alias(score)] if score else []
-    return marked.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *more).drop("_island")
+    return islands(rows, keys, start, end, gap).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *more).drop("_island")
 
 
 def binned_overlap(left: DataFrame, right: DataFrame, keys: list[str], bin_size: int = BIN) -> DataFrame:
@@ -49,8 +86,7 @@ def depth(rows: DataFrame, keys: list[str], start: str = "from", end: str = "to"
     """Steps of coverage a key: from, to, depth (over 0), by a sweep over the ends."""
     events = rows.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("d")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", "e.d")
     events = events.groupBy(*keys, "at").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    steps = events.withColumn("depth", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to", F.lead("at").over(order))
+    steps = following(running(events, keys, ["at"], {"depth": ("d", "sum", True)}), keys, "at", "to")
     return steps.where("depth > 0 and to is not null").select(*keys, F.col("at").alias("from"), "to", "depth")
 
 
@@ -61,52 +97,74 @@ def longest_covered(rows: DataFrame, keys: list[str], min_depth: int, min_size:
     return best.select(*keys, F.col("b.from").alias("from"), F.col("b.to").alias("to"))
 
 
-def _inside(a, b, tol: int) -> bool:
-    """Does a lie in b, on both sequences, with tolerance?"""
-    return a.qoff + tol >= b.qoff and a.qend <= b.qend + tol and a.soff + tol >= b.soff and a.send <= b.send + tol
+def _folded(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """Rows that ``fold`` keeps; it gets the columns of one key's rows in order and tells which ones stay.
+
+    Sorted partitions are streamed key after key; a key (the alignments of one query) is held as a few arrays.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+            values = [pdf[c].to_numpy() for c in columns]
+            names = [pdf[k].to_numpy() for k in keys]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1 if len(pdf) else np.empty(0, np.int64)
+            parts = np.split(np.arange(len(pdf)), new)
+            return pdf[np.concatenate([fold([v[p] for v in values]) if len(p) else np.empty(0, bool) for p in parts])]
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pd.concat([*held, pdf], ignore_index=True) if held else pdf.reset_index(drop=True)
+            last = np.all([(pdf[k] == pdf[k].iloc[-1]).to_numpy() for k in keys], axis=0)
+            first = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0  # where the last key begins
+            if first:
+                yield kept(pdf.iloc[:first])
+            held = [pdf.iloc[first:]]
+        if held:
+            yield kept(held[0])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, rows.schema)
 
 
 def drop_contained(rows: DataFrame, keys: list[str], order: list[str], tol: int = 200) -> DataFrame:
     """Greedy containment a key, in the given total order.
 
-    Each row in turn, dropped or not, drops later rows inside it; a row that lies inside a later one is dropped, and
-    goes on dropping. The order matters, so a key is folded as a group (the alignments of one query and subject).
+    Each row in turn, unless dropped before, drops later rows inside it; a row that lies inside a later one is
+    dropped, and goes on dropping. The order matters, so a key's rows are folded in order.
     """
 
-    columns = rows.columns
+    def fold(v: list[np.ndarray]) -> np.ndarray:
+        alive = np.ones(len(v[0]), bool)
+        for i in range(len(alive) - 1):
+            if alive[i]:
+                (qb, qe, sb, se), (q, r, s, t) = (x[i] for x in v), (x[i + 1 :] for x in v)
+                inside = alive[i + 1 :] & (q + tol >= qb) & (r <= qe + tol) & (s + tol >= sb) & (t <= se + tol)
+                around = alive[i + 1 :] & ~inside & (qb + tol >= q) & (qe <= r + tol) & (sb + tol >= s) & (se <= t + tol)
+                alive[i + 1 :] &= ~inside
+                alive[i] = not around.any()
+        return alive
 
-    def fold(group: list) -> list:
-        alive = [True] * len(group)
-        for i, a in enumerate(group):
-            if not alive[i]:
-                continue
-            for j in range(i + 1, len(group)):
-                if alive[j]:
-                    if _inside(group[j], a, tol):
-                        alive[j] = False
-                    elif _inside(a, group[j], tol):
-                        alive[i] = False
-        return [r for r, keep in zip(group, alive, strict=True) if keep]
+    return _folded(rows, keys, order, ["qoff", "qend", "soff", "send"], fold)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, key = [], None
-        for pdf in batches:
-            out: list = []
-            for r in pdf.itertuples(index=False):
-                k = tuple(getattr(r, c) for c in keys)
-                if k != key:
-                    out += fold(group)
-                    group, key = [], k
-                group.append(r)
-            yield pd.DataFrame(out, columns=columns)
-        yield pd.DataFrame(fold(group), columns=columns)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, rows.schema)
+def drop_repeats(rows: DataFrame, query: str, order: list[str], slack: int = 300) -> DataFrame:
+    """Drop both of two alignments of a query whose overlapping query ranges agree within ``slack``, both ends in sum.
 
+    In the given total order each row, unless dropped before, meets all later ones that are left; it and those that
+    agree with it are dropped. A row that agrees only with dropped ones stays.
+    """
 
-def drop_repeats(rows: DataFrame, query: str, row_id: str, slack: int = 300) -> DataFrame:
-    """Drop both of any two alignments of a query whose query ranges agree at both ends within ``slack`` in sum."""
-    r = rows.alias("r")
-    o = rows.select(F.col(query).alias("_q"), F.col(row_id).alias("_id"), F.col("qoff").alias("_off"), F.col("qend").alias("_end")).alias("o")
-    near = (F.col(f"r.{query}") == F.col("_q")) & (F.col(f"r.{row_id}") != F.col("_id")) & (F.abs(F.col("r.qoff") - F.col("_off")) <= slack) & (F.abs(F.col("r.qend") - F.col("_end")) <= slack) & (F.col("r.qoff") < F.col("_end")) & (F.col("_off") < F.col("r.qend"))
-    return r.join(o, near, "left_anti")
+    def fold(v: list[np.ndarray]) -> np.ndarray:
+        alive = np.ones(len(v[0]), bool)
+        for i in range(len(alive) - 1):
+            if alive[i]:
+                (b, e), (x, y) = (c[i] for c in v), (c[i + 1 :] for c in v)
+                first, last = np.maximum(b, x), np.minimum(e, y)
+                same = alive[i + 1 :] & (first < last) & (first - b + e - last <= slack) & (first - x + y - last <= slack)
+                alive[i + 1 :] &= ~same
+                alive[i] = not same.any()
+        return alive
+
+    return _folded(rows, [query], order, ["qoff", "qend"], fold)

@@ -1,10 +1,12 @@
-"""k-mers: occurrences, frequencies, the seed join, candidate pairs."""
+"""k-mers: occurrences, frequencies, the seed join, candidate pairs. A pair is a read's strand and a subject: qid, qdir, sid."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.functions.sequence import reverse_complement
+
 SEGMENT, SKIP = 300, 200
 
 
@@ -24,6 +26,34 @@ def sampled(occ: DataFrame, k: int) -> DataFrame:
     return occ.where(F.pmod("off", F.lit(SEGMENT + SKIP)) <= SEGMENT - k)
 
 
+def strands(reads: DataFrame, read_id: str = "rid", seq: str = "seq") -> DataFrame:
+    """Both strands of each read: rid, qdir, seq. Offsets on the reverse strand count from the read's end."""
+    both = reads.where(F.col(seq).isNotNull()).select(F.col(read_id).alias("rid"), F.explode(F.array(F.lit(0), F.lit(1))).alias("qdir"), F.col(seq).alias("_s"))
+    return both.select("rid", "qdir", F.when(F.col("qdir") == 1, reverse_complement("_s")).otherwise(F.col("_s")).alias("seq"))
+
+
+def query_words(reads: DataFrame, k: int) -> DataFrame:
+    """Sampled k-mers of both strands, one at each base of a segment: rid, qdir, off, kmer."""
+    named = strands(reads).withColumn("_who", F.struct("rid", "qdir"))
+    return sampled(occurrences(named, k, 1, "_who"), k).select("rid.rid", "rid.qdir", "off", "kmer")
+
+
+def word_list(reads: DataFrame, k: int, step: int, segment: int, skip: int) -> DataFrame:
+    """k-mers of both strands at every ``step`` bases of segments: rid, qdir, off, kmer.
+
+    Segments of ``segment`` bases are followed by ``skip`` bases without words; a rest of at most a segment and two
+    k-mers belongs to the segment before it.
+    """
+    s = strands(reads).withColumn("_n", F.length("seq")).where(F.col("_n") >= k)
+    # starts of segments: the last one is that behind which at most segment + 2 k bases are left
+    last = F.greatest(F.lit(0), F.ceil((F.col("_n") - 2 * segment - 2 * k) / (segment + skip)))
+    s = s.withColumn("_nth", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    at = F.col("_nth") * (segment + skip)
+    size = F.when(F.col("_nth") == last, F.col("_n") - at).otherwise(segment)
+    pieces = s.select(F.struct("rid", "qdir", at.cast("long").alias("at")).alias("_who"), F.substring(F.col("seq"), (at + 1).cast("int"), size.cast("int")).alias("seq"))
+    return occurrences(pieces, k, step, "_who").select("rid.rid", "rid.qdir", (F.col("rid.at") + F.col("off")).alias("off"), "kmer")
+
+
 def frequencies(occ: DataFrame) -> DataFrame:
     return occ.groupBy("kmer").agg(F.count("*").alias("n"))
 
@@ -34,62 +64,100 @@ def index(occ: DataFrame, most: int) -> DataFrame:
     return occ.join(frequent, "kmer", "left_anti")
 
 
-def seed_join(queries: DataFrame, subjects: DataFrame, most: int, self_join: bool = True) -> DataFrame:
-    """Matches of k-mers of two reads: qid, qoff, sid, soff.
+def removed(occ: DataFrame, most: int) -> DataFrame:
+    """What ``index`` leaves out, in one row: kmers (distinct) and occurrences."""
+    return frequencies(occ).where(F.col("n") > most).agg(F.count("*").alias("kmers"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"))
 
-    Query k-mers that occur more than ``most`` times, and subject k-mers too, take no part, so a key's pairs are at
-    most ``most`` squared. self_join: each pair of reads once, the subject being the smaller id.
+
+def seed_join(queries: DataFrame, subjects: DataFrame, most: int = 200, self_join: bool = True) -> DataFrame:
+    """Matches of k-mers: qid, qdir, qoff, sid, soff. queries: rid, qdir, off, kmer; subjects: rid, off, kmer.
+
+    k-mers that occur more than ``most`` times among the queries' or among the subjects' take no part, so a key's
+    pairs are at most ``most`` squared. self_join: each pair of reads once, the subject being the smaller id.
+
+    k-mers are first only counted, which combines in each task; those that are too frequent, or on one side only,
+    go before the occurrences meet, and these meet in the one partitioning that the counts' join made.
+    """
+    place = lambda d, asked: d.select("kmer", F.lit(asked).alias("q"), "rid", (F.col("qdir") if asked else F.lit(0)).alias("qdir"), "off")
+    both = place(queries, True).unionByName(place(subjects, False))
+    n = both.groupBy("kmer").agg(F.count_if("q").alias("nq"), F.count_if(~F.col("q")).alias("ns"))
+    good = n.where(F.col("nq").between(1, most) & F.col("ns").between(1, most)).select("kmer")
+    met = both.join(good, "kmer", "left_semi").groupBy("kmer").agg(F.collect_list(F.struct("q", "rid", "qdir", "off")).alias("at"))  # at most ``most`` of each
+    asked, has = F.filter("at", lambda x: x.q), F.filter("at", lambda x: ~x.q)
+    pairs = met.select(F.explode(asked).alias("x"), has.alias("has")).select("x", F.explode("has").alias("y"))
+    found = pairs.select(F.col("x.rid").alias("qid"), F.col("x.qdir").alias("qdir"), F.col("x.off").alias("qoff"), F.col("y.rid").alias("sid"), F.col("y.off").alias("soff"))
+    return found.where("sid < qid") if self_join else found
+
+
+def pair_seeds(pairs: DataFrame, queries: DataFrame, subjects: DataFrame, most: int = 8) -> DataFrame:
+    """Matches of words of given pairs of reads (qid, sid): qid, qdir, qoff, sid, soff.
+
+    queries: rid, qdir, off, kmer; subjects: rid, off, kmer. A word takes no part in a pair if the subject has it
+    more than ``most`` times, or the query more than ``most`` times on a strand, or if the product of both is over ``most``.
+    Words are counted within their reads, so it doesn't matter how many other reads have them.
     """
-    q, s = index(queries, most), index(subjects, most)
-    q = q.select("kmer", F.col("rid").alias("qid"), F.col("off").alias("qoff"))
-    s = s.select("kmer", F.col("rid").alias("sid"), F.col("off").alias("soff"))
-    found = q.join(s, "kmer")
-    return (found.where("sid < qid") if self_join else found).select("qid", "qoff", "sid", "soff")
+    lists = lambda d, keys: d.groupBy(*keys).agg(F.count("*").alias("n"), F.collect_list("off").alias("at")).where(F.col("n") <= most)  # noqa: E731  within one read
+    q = lists(queries, ["rid", "qdir", "kmer"]).select(F.col("rid").alias("qid"), "qdir", "kmer", F.col("n").alias("nq"), F.col("at").alias("qat"))
+    s = lists(subjects, ["rid", "kmer"]).select(F.col("rid").alias("sid"), "kmer", F.col("n").alias("ns"), F.col("at").alias("sat"))
+    met = pairs.select("qid", "sid").distinct().join(q, "qid").join(s, ["sid", "kmer"]).where(F.col("nq") * F.col("ns") <= most)
+    return met.select("qid", "qdir", F.explode("qat").alias("qoff"), "sid", "sat").select("qid", "qdir", "qoff", "sid", F.explode("sat").alias("soff"))
 
 
 def candidates(seeds: DataFrame, min_seeds: int = 3, max_hits: int = 4) -> DataFrame:
-    """Pairs of reads with ``min_seeds`` seeds, places of the subject that more than ``max_hits`` seeds hit left out."""
-    crowded = seeds.groupBy("qid", "sid", "soff").agg(F.count("*").alias("k")).where(F.col("k") <= max_hits)
-    pairs = crowded.groupBy("qid", "sid").agg(F.sum("k").alias("seeds"), F.min("soff").alias("first"), F.max("soff").alias("last"))
+    """Pairs of a read's strand and a read with ``min_seeds`` seeds: qid, qdir, sid, seeds, first, last.
+
+    Places of the subject that more than ``max_hits`` seeds of the strand hit are left out first.
+    """
+    crowded = seeds.groupBy("qid", "qdir", "sid", "soff").agg(F.count("*").alias("k")).where(F.col("k") <= max_hits)
+    pairs = crowded.groupBy("qid", "qdir", "sid").agg(F.sum("k").alias("seeds"), F.min("soff").alias("first"), F.max("soff").alias("last"))
     return pairs.where(F.col("seeds") >= min_seeds)
 
 
 def window(cand: DataFrame, qsize: str = "qsize", ssize: str = "ssize", margin: int = 30_000) -> DataFrame:
-    """Part of the subject to align: the hit with the query's ends times 1.3, or ``margin`` more, clipped.
+    """Part of the subject to align: from the hit, to either side, 1.3 times the query's size, but no more than what
+    the query has on that side and ``margin``.
 
-    A subject that isn't longer than the query by 2000 is taken whole.
+    A side on which the subject has no more than the query is taken to the subject's end, and a subject that isn't
+    longer than the query by over 2000 is taken whole.
     """
-    left = F.least(F.floor(1.3 * F.col("qoff")), F.col("qoff") + margin)
-    right = F.least(F.floor(1.3 * (F.col(qsize) - F.col("qoff"))), F.col(qsize) - F.col("qoff") + margin)
+    reach = F.floor(F.lit(1.3) * F.col(qsize))
+
+    def side(of_query: Column, of_subject: Column) -> Column:
+        return F.when(of_subject <= of_query, of_subject).otherwise(F.least(reach, of_query + margin, of_subject))
+
+    left = side(F.col("qoff"), F.col("soff"))
+    right = side(F.col(qsize) - F.col("qoff"), F.col(ssize) - F.col("soff"))
     whole = F.col(ssize) <= F.col(qsize) + 2000
-    return cand.withColumn("sfrom", F.when(whole, 0).otherwise(F.greatest(F.lit(0), F.col("soff") - left)).cast("long")).withColumn("sto", F.when(whole, F.col(ssize)).otherwise(F.least(F.col(ssize), F.col("soff") + right)).cast("long"))
+    return cand.withColumn("sfrom", F.when(whole, 0).otherwise(F.col("soff") - left).cast("long")).withColumn("sto", F.when(whole, F.col(ssize)).otherwise(F.col("soff") + right).cast("long"))
 
 
 def rising(seeds: DataFrame) -> DataFrame:
     """Seeds of each pair that rise in both reads: of a query place the first subject place, if beyond all before it."""
-    one = seeds.groupBy("qid", "sid", "qoff").agg(F.min("soff").alias("soff"))
-    before = F.max("soff").over(Window.partitionBy("qid", "sid").orderBy("qoff").rowsBetween(Window.unboundedPreceding, -1))
+    one = seeds.groupBy("qid", "qdir", "sid", "qoff").agg(F.min("soff").alias("soff"))
+    before = F.max("soff").over(Window.partitionBy("qid", "qdir", "sid").orderBy("qoff").rowsBetween(Window.unboundedPreceding, -1))
     return one.withColumn("_top", before).where(F.col("_top").isNull() | (F.col("soff") > F.col("_top"))).drop("_top")
 
 
 def diagonal_runs(chain: DataFrame, length: int) -> DataFrame:
-    """Neighbouring seeds of a chain on one diagonal as one run: qid, sid, qoff, soff, size, seeds."""
-    w = Window.partitionBy("qid", "sid").orderBy("qoff")
+    """Neighbouring seeds of a chain on one diagonal as one run: qid, qdir, sid, qoff, soff, size, seeds."""
+    w = Window.partitionBy("qid", "qdir", "sid").orderBy("qoff")
     diagonal = F.col("qoff") - F.col("soff")
     run = F.sum(F.when(diagonal == F.col("_d"), 0).otherwise(1)).over(w)
-    each = chain.select("qid", "sid", "qoff", "soff", F.lag(diagonal).over(w).alias("_d")).withColumn("run", run)
-    out = each.groupBy("qid", "sid", "run").agg(F.min("qoff").alias("qoff"), F.min("soff").alias("soff"), (F.max("qoff") - F.min("qoff") + length).alias("size"), F.count("*").alias("seeds"))
+    each = chain.select("qid", "qdir", "sid", "qoff", "soff", F.lag(diagonal).over(w).alias("_d")).withColumn("run", run)
+    out = each.groupBy("qid", "qdir", "sid", "run").agg(F.min("qoff").alias("qoff"), F.min("soff").alias("soff"), (F.max("qoff") - F.min("qoff") + length).alias("size"), F.count("*").alias("seeds"))
     return out.drop("run")
 
 
 def exact_matches(runs: DataFrame, reads: DataFrame, least: int) -> DataFrame:
-    """Stretches of ``least`` or more equal bases inside diagonal runs: qid, sid, qoff, soff, size.
+    """Stretches of ``least`` or more equal bases inside diagonal runs: qid, qdir, sid, qoff, soff, size.
 
-    reads (rid, seq) are joined once for each side and cut to the run at once.
+    reads (rid, seq) are joined once for each side and cut to the run at once; a run of the reverse strand is cut
+    from the read's other end and then reversed.
     """
     piece = lambda of, off: F.substring(F.col("seq"), (F.col(off) + 1).cast("int"), F.col("size").cast("int")).alias(of)
-    d = runs.join(reads.select(F.col("rid").alias("qid"), "seq"), "qid").select("qid", "sid", "qoff", "soff", "size", piece("_q", "qoff"))
-    d = d.join(reads.select(F.col("rid").alias("sid"), "seq"), "sid").select("qid", "sid", "qoff", "soff", "_q", piece("_s", "soff"))
+    d = runs.join(reads.select(F.col("rid").alias("qid"), "seq"), "qid").withColumn("_at", F.when(F.col("qdir") == 1, F.length("seq") - F.col("qoff") - F.col("size")).otherwise(F.col("qoff")))
+    d = d.select("qid", "qdir", "sid", "qoff", "soff", "size", piece("_q", "_at")).withColumn("_q", F.when(F.col("qdir") == 1, reverse_complement("_q")).otherwise(F.col("_q")))
+    d = d.join(reads.select(F.col("rid").alias("sid"), "seq"), "sid").select("qid", "qdir", "sid", "qoff", "soff", "_q", piece("_s", "soff"))
     same = F.array_join(F.zip_with(F.split("_q", ""), F.split("_s", ""), lambda a, b: F.when(a == b, "=").otherwise(".")), "")
     parts = F.regexp_extract_all(same, F.lit(r"(=+|\.+)"), 1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("out"))
@@ -99,8 +167,8 @@ def exact_matches(runs: DataFrame, reads: DataFrame, least: int) -> DataFrame:
         keep = (F.substring(p, 1, 1) == "=") & (n >= least)
         return F.struct((acc.at + n).alias("at"), F.when(keep, F.array_append(acc.out, F.struct(acc.at.alias("at"), n.alias("size")))).otherwise(acc.out).alias("out"))
 
-    each = d.select("qid", "sid", "qoff", "soff", F.explode(F.aggregate(parts, start, put, lambda a: a.out)).alias("m"))
-    return each.select("qid", "sid", (F.col("qoff") + F.col("m.at")).alias("qoff"), (F.col("soff") + F.col("m.at")).alias("soff"), F.col("m.size").cast("long").alias("size"))
+    each = d.select("qid", "qdir", "sid", "qoff", "soff", F.explode(F.aggregate(parts, start, put, lambda a: a.out)).alias("m"))
+    return each.select("qid", "qdir", "sid", (F.col("qoff") + F.col("m.at")).alias("qoff"), (F.col("soff") + F.col("m.at")).alias("soff"), F.col("m.size").cast("long").alias("size"))
 
 
 def trace_points(chain: DataFrame, apart: int = 100, share: float = 0.21) -> DataFrame:
@@ -109,25 +177,25 @@ def trace_points(chain: DataFrame, apart: int = 100, share: float = 0.21) -> Dat
     Neighbours whose steps in both reads differ by at most ``apart`` and by at most ``share`` of the subject's step
     stand together. Kept are seeds with such a neighbour, and each pair's first and last.
     """
-    w = Window.partitionBy("qid", "sid").orderBy("qoff")
+    w = Window.partitionBy("qid", "qdir", "sid").orderBy("qoff")
     tied = _steps(chain, apart, share).withColumn("_tied", F.coalesce(F.lag("_near").over(w), F.lit(False)))
-    return tied.where("_near or _tied or _back is null or _dq is null").select("qid", "sid", "qoff", "soff")
+    return tied.where("_near or _tied or _back is null or _dq is null").select("qid", "qdir", "sid", "qoff", "soff")
 
 
 def segments(chain: DataFrame, apart: int = 100, share: float = 0.21, longest: int = 5000) -> DataFrame:
     """Runs of two or more seeds that stand together as in ``trace_points``, with steps of at most ``longest``.
 
-    qid, sid, segment (from 1 in each pair, gaps possible), seeds: array of qoff and soff.
+    qid, qdir, sid, segment (from 1 in each pair, gaps possible), seeds: array of qoff and soff.
     """
-    w = Window.partitionBy("qid", "sid").orderBy("qoff")
+    w = Window.partitionBy("qid", "qdir", "sid").orderBy("qoff")
     d = _steps(chain, apart, share).withColumn("_go", F.col("_near") & (F.greatest("_dq", "_ds") <= longest))
     d = d.withColumn("_on", F.lag("_go").over(w)).withColumn("segment", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
-    return d.groupBy("qid", "sid", "segment").agg(F.sort_array(F.collect_list(F.struct("qoff", "soff"))).alias("seeds")).where(F.size("seeds") > 1)
+    return d.groupBy("qid", "qdir", "sid", "segment").agg(F.sort_array(F.collect_list(F.struct("qoff", "soff"))).alias("seeds")).where(F.size("seeds") > 1)
 
 
 def _steps(chain: DataFrame, apart: int, share: float) -> DataFrame:
-    w = Window.partitionBy("qid", "sid").orderBy("qoff")
+    w = Window.partitionBy("qid", "qdir", "sid").orderBy("qoff")
     dq, ds = F.lead("qoff").over(w) - F.col("qoff"), F.lead("soff").over(w) - F.col("soff")
-    ahead = chain.select("qid", "sid", "qoff", "soff", dq.alias("_dq"), ds.alias("_ds"), F.lag("qoff").over(w).alias("_back"))
+    ahead = chain.select("qid", "qdir", "sid", "qoff", "soff", dq.alias("_dq"), ds.alias("_ds"), F.lag("qoff").over(w).alias("_back"))
     near = (F.abs(F.col("_dq") - F.col("_ds")) <= apart) & (F.abs(1.0 - F.col("_dq").cast("double") / F.col("_ds")) <= share)
     return ahead.withColumn("_near", F.coalesce(near, F.lit(False)))

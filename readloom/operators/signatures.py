@@ -1,45 +1,50 @@
 """Grouping of signatures by position: the strict and the relaxed scan.
 
-Both are ordered scans over the signatures of one subject and type, so each (subject, type) is folded as a group of
-narrow rows (position, length, id) with numpy; the scans step from signature to signature.
+Both are ordered scans over the signatures of one subject and type. Neither crosses a gap that is wider than both of
+their windows, so a subject is cut there, by a binned scan, into islands; each island of narrow rows (position,
+length, id) is folded on its own, and islands are spread over the tasks. A subject's rows never meet.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.config import SvOptions
+from readloom.operators.intervals import islands, running
+
+_KEY = ["sid", "type", "_island"]
 
 
 def strict_groups(s: np.ndarray, window: int = 10, distance: int = 20, members: int = 4) -> list[tuple[int, int]]:
-    """Index ranges of the strict scan over sorted positions.
+    """Index ranges of the groups of sorted positions.
 
-    A window slides by one position at a time, as long as signatures stand just behind its end; around the fullest
-    window all within ``distance`` of its middle form a group.
+    Windows start at the first position that is left and at the places after it. The first window holds ``window``
+    places. If the place behind these is empty, as many windows follow as places beyond it are occupied without a
+    break; each of them holds ``window`` + 1 places, up to the one that called for it. The first of the fullest
+    windows gives the middle: its member at half of its number. All that are left within ``distance`` of the middle
+    are a group, if they are enough; they are used up in any case, as is everything before them.
     """
-    out, start, n = [], 0, len(s)
-    while start < n:
-        i, at, end = start, int(s[start]), int(s[start]) + window
-        j = int(np.searchsorted(s, end, side="left"))
-        count = j - i
-        most, middle = count, i + count // 2
-        while j < n:
-            gone = int(np.searchsorted(s[i:j], at, side="right"))
-            come = int(np.searchsorted(s[j:], end + 1, side="right")) if s[j] == end + 1 else 0
-            if not come:
-                break
-            count += come - gone
-            at, end, i, j = at + 1, end + 1, i + gone, j + come
-            if count > most:
-                most, middle = count, i + count // 2
-        first = max(start, int(np.searchsorted(s, s[middle] - distance, side="left")))
-        last = int(np.searchsorted(s, s[middle] + distance, side="right"))
-        if last - first >= members:
-            out.append((first, last))
-        start = last
+    at = lambda places, side="left": np.searchsorted(s, places, side=side)
+    occupied = lambda place: at(place) < at(place, "right")
+    out, start = [], 0
+    while start < len(s):
+        place, more = int(s[start]), 0
+        while not occupied(place + window) and occupied(place + window + 1 + more):
+            more += 1
+        places = place + np.arange(more + 1)
+        first, end = at(places), at(places + window, "right")
+        end[0] = at(place + window)
+        best = int(np.argmax(end - first))
+        middle = s[(first[best] + (end[best] - first[best]) // 2)]
+        group = max(start, int(at(middle - distance))), int(at(middle + distance, "right"))
+        if group[1] - group[0] >= members:
+            out.append(group)
+        start = group[1]
     return out
 
 
@@ -63,39 +68,71 @@ def relaxed_groups(s: np.ndarray, size: np.ndarray, window: int = 50, followers:
     return out
 
 
+def _fold(s: np.ndarray, size: np.ndarray, options: SvOptions) -> list[tuple[int, int, int, int]]:
+    """pass, number of the group in its pass, number of the member, and the row, of one island."""
+    found = [(1, k, list(range(a, b))) for k, (a, b) in enumerate(strict_groups(s, options.strict_window, options.strict_distance, options.strict_members))]
+    taken = np.zeros(len(s), bool)
+    for _, _, m in found:
+        taken[m] = True
+    rest = np.flatnonzero(~taken)
+    found += [(2, k, rest[m].tolist()) for k, m in enumerate(relaxed_groups(s[rest], size[rest], options.relaxed_window, options.relaxed_followers))]
+    return [(p, k, nth, i) for p, k, m in found for nth, i in enumerate(m)]
+
+
 def group_signatures(sigs: DataFrame, options: SvOptions = SvOptions()) -> DataFrame:
-    """Groups of signatures (qid, sid, type, sfrom, len): sid, type, pass, group_nth, member, qid, sfrom, len.
+    """Groups of signatures (qid, sid, type, sfrom, len): sid, type, pass, island, group_nth, member, qid, sfrom, len.
 
-    Order within a subject and type: sfrom, then qid. The relaxed scan (pass 2) sees what the strict one (pass 1) left.
+    Order within a subject and type: sfrom, then qid. The relaxed scan (pass 2) sees what the strict one (pass 1)
+    left. Islands are numbered along the subject, groups within their island and pass.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sfrom", "qid", "len"], kind="stable").reset_index(drop=True)
-        s, size = pdf["sfrom"].to_numpy(), pdf["len"].to_numpy()
-        found = [(1, k, list(range(a, b))) for k, (a, b) in enumerate(strict_groups(s, options.strict_window, options.strict_distance, options.strict_members))]
-        taken = np.zeros(len(s), bool)
-        for _, _, m in found:
-            taken[m] = True
-        rest = np.flatnonzero(~taken)
-        found += [(2, k, rest[m].tolist()) for k, m in enumerate(relaxed_groups(s[rest], size[rest], options.relaxed_window, options.relaxed_followers))]
-        rows = [(p, k, nth, i) for p, k, m in found for nth, i in enumerate(m)]
-        got = pdf.iloc[[r[3] for r in rows]]
-        return pd.DataFrame({"sid": got["sid"].to_numpy(), "type": got["type"].to_numpy(), "pass": [r[0] for r in rows], "group_nth": [r[1] for r in rows], "member": [r[2] for r in rows], "qid": got["qid"].to_numpy(), "sfrom": got["sfrom"].to_numpy(), "len": got["len"].to_numpy()})
+    widest = max(options.strict_distance, options.relaxed_window, options.strict_window + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def folded(pdf: pd.DataFrame) -> pd.DataFrame:
+            key = pdf[_KEY].to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(pdf)]])
+            s, size, rows = pdf["sfrom"].to_numpy(), pdf["len"].to_numpy(), []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if b - a >= min(options.strict_members, options.relaxed_followers + 1):
+                    rows += [(p, k, nth, a + i) for p, k, nth, i in _fold(s[a:b], size[a:b], options)]
+            got = pdf.iloc[[r[3] for r in rows]]
+            return pd.DataFrame({"sid": got["sid"].to_numpy(), "type": got["type"].to_numpy(), "pass": [r[0] for r in rows], "island": got["_island"].to_numpy(), "group_nth": [r[1] for r in rows], "member": [r[2] for r in rows], "qid": got["qid"].to_numpy(), "sfrom": got["sfrom"].to_numpy(), "len": got["len"].to_numpy()})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pd.concat([*held, pdf], ignore_index=True)
+            last = (pdf[_KEY] == pdf[_KEY].iloc[-1]).all(axis=1).to_numpy()
+            first = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0  # where the last island begins
+            if first:
+                yield folded(pdf.iloc[:first])
+            held = [pdf.iloc[first:]]
+        if held:
+            yield folded(held[0])
 
     narrow = sigs.select(F.col("qid").cast("long").alias("qid"), F.col("sid").cast("long").alias("sid"), F.col("type").cast("int").alias("type"), F.col("sfrom").cast("long").alias("sfrom"), F.col("len").cast("long").alias("len"))
-    return narrow.groupBy("sid", "type").applyInPandas(fold, "sid long, type int, pass int, group_nth int, member int, qid long, sfrom long, len long")
+    cut = islands(narrow, ["sid", "type"], "sfrom", "sfrom", widest, ("qid", "len")).withColumn("_island", F.col("_island").cast("long"))
+    dealt = cut.repartition(*_KEY).sortWithinPartitions(*_KEY, "sfrom", "qid", "len")
+    return dealt.mapInPandas(run, "sid long, type int, pass int, island long, group_nth int, member int, qid long, sfrom long, len long")
 
 
 def with_group_ids(groups: DataFrame) -> DataFrame:
-    """Consecutive group ids from 0 a subject: insertions strict, relaxed, then deletions strict, relaxed."""
-    heads = groups.select("sid", "type", "pass", "group_nth").distinct()
-    order = Window.partitionBy("sid").orderBy(F.desc("type"), "pass", "group_nth")
-    return groups.join(heads.withColumn("group_id", (F.row_number().over(order) - 1).cast("long")), ["sid", "type", "pass", "group_nth"])
+    """Consecutive group ids from 0 a subject: insertions strict, relaxed, then deletions strict, relaxed.
+
+    Groups are counted in bins of islands, so only one row a bin of a subject meets.
+    """
+    heads = groups.select("sid", "type", "pass", "island", "group_nth").distinct().withColumn("_one", F.lit(1))
+    # one axis a subject: type and pass first, then the island
+    axis = ((F.when(F.col("type") > 0, 0).otherwise(2) + F.col("pass") - 1).cast("long") * (1 << 44)) + F.col("island")
+    ids = running(heads.withColumn("_axis", axis), ["sid"], ["_axis", "group_nth"], {"group_id": ("_one", "sum", False)})
+    return groups.join(ids.drop("_one", "_axis").withColumn("group_id", F.col("group_id").cast("long")), ["sid", "type", "pass", "island", "group_nth"])
 
 
 def first_of_each_read(groups: DataFrame) -> DataFrame:
     """Members with a read's first place in its group only."""
-    order = Window.partitionBy("sid", "type", "pass", "group_nth", "qid").orderBy("member")
+    order = Window.partitionBy("sid", "type", "pass", "island", "group_nth", "qid").orderBy("member")
     return groups.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

@@ -26,7 +26,7 @@ def query(sql: str | None = None):
     return put
 
 
-_LEN = f"{views.READS_SQL}, lens AS (SELECT rid, CAST(length(seq) AS BIGINT) AS len FROM reads)"
+_LEN = "lens AS (SELECT doc_id AS rid, CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS BIGINT) AS len FROM documents)"
 
 
 @query(f"WITH {_LEN}, r AS (SELECT len, row_number() OVER (ORDER BY len DESC) AS k, count(*) OVER () AS n FROM lens) SELECT count(*) AS n, CAST(sum(len) AS BIGINT) AS total, min(len) AS least, max(len) AS greatest, CAST(floor(sum(len) / count(*)) AS BIGINT) AS average, max(CASE WHEN k = n // 2 + 1 THEN len END) AS median FROM r")
@@ -60,6 +60,8 @@ def p01_split_reads(spark, d):
 
 
 _KMERS = f"{views.READS_SQL}, occ AS (SELECT rid, off, substr(seq, off + 1, 15) AS kmer FROM (SELECT rid, seq, unnest(range(0, length(seq) - 14, 10)) AS off FROM reads WHERE length(seq) >= 15))"
+_STRANDS = f"{_KMERS}, strands AS (SELECT rid, 0 AS qdir, seq FROM reads UNION ALL SELECT rid, 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads)"
+_WORDS = f"{_STRANDS}, parts AS (SELECT rid, qdir, a, substr(seq, a + 1, 300) AS p FROM (SELECT rid, qdir, seq, unnest(range(0, length(seq) - 14, 500)) AS a FROM strands WHERE length(seq) >= 15)), words AS (SELECT rid, qdir, a + i AS off, substr(p, i + 1, 15) AS kmer FROM (SELECT *, unnest(range(0, length(p) - 14)) AS i FROM parts))"
 
 
 def _occurrences(spark, d):
@@ -71,15 +73,25 @@ def p02_kmers(spark, d):
     return _occurrences(spark, d).withColumn("code", sq.kmer_code(F.col("kmer")))
 
 
-@query(f"WITH {_KMERS} SELECT rid, off, kmer FROM occ WHERE off % 500 <= 285")
+@query(f"WITH {_WORDS} SELECT rid, CAST(qdir AS INT) AS qdir, CAST(off AS BIGINT) AS off, kmer FROM words")
 def p03_sampled_kmers(spark, d):
-    return kmers.sampled(_occurrences(spark, d), 15)
+    """Query words: segments of 300 bases on both strands, a word at each base."""
+    return kmers.query_words(views.reads(spark, d), 15)
 
 
-@query("SELECT doc_id, translate(upper(left(text, 200)), 'RYSWKMBDHVNU-', 'AAAAAAAAAAAAA') AS packed FROM documents WHERE regexp_full_match(left(text, 200), '[ -~\\n]*')")
+@query(f"""WITH RECURSIVE {_STRANDS}, n AS (SELECT rid, qdir, length(seq) AS n FROM strands WHERE length(seq) >= 15),
+g(rid, qdir, n, a, e) AS (SELECT rid, qdir, n, 0, CASE WHEN n - least(300, n) <= 330 THEN n ELSE 300 END FROM n
+ UNION ALL SELECT rid, qdir, n, e + 200, CASE WHEN n - least(e + 500, n) <= 330 THEN n ELSE e + 500 END FROM g WHERE e + 200 < n),
+p AS (SELECT g.rid, g.qdir, a, substr(seq, a + 1, e - a) AS p FROM g JOIN strands s ON s.rid = g.rid AND s.qdir = g.qdir)
+SELECT rid, CAST(qdir AS INT) AS qdir, CAST(a + i AS BIGINT) AS off, substr(p, i + 1, 15) AS kmer FROM (SELECT *, unnest(range(0, length(p) - 14, 10)) AS i FROM p)""")
+def p04_word_list(spark, d):
+    """Words of both strands at every tenth base, the rest of a read belonging to its last segment."""
+    return kmers.word_list(views.reads(spark, d), 15, 10, 300, 200)
+
+
+@query("SELECT doc_id, translate(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'RYSWKMBDHVNU-', 'AAAAAAAAAAAAA') AS packed FROM documents")
 def p05_encode(spark, d):
-    head = views.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("h")).where(F.col("h").rlike(r"\A[ -~\n]*\z"))
-    return head.select("doc_id", sq.packed_letters("h").alias("packed"))
+    return views.table(spark, d, "documents").select("doc_id", sq.packed_letters("text").alias("packed"))
 
 
 @query(f"WITH {views.READS_SQL} SELECT rid, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads")
@@ -150,11 +162,14 @@ def f07_overlap_class(spark, d):
     return views.alignments(spark, d).select("aid", hits.overlap_class().alias("class"))
 
 
-@query(f"WITH {views.ALN_SQL}, b AS (SELECT *, max(CASE WHEN qoff <= 900 AND ssize - send <= 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS l, max(CASE WHEN qsize - qend <= 900 AND soff <= 20000 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS r FROM (SELECT aid, qid, qoff * 20 // 20 AS qoff, qsize, qend, soff, send, ssize FROM aln)) SELECT aid, qid FROM b WHERE l = 1 AND r = 1")
+@query(f"WITH {views.ALN_SQL}, {views.OVERLAP_SQL}, b AS (SELECT *, max(CASE WHEN qoff <= 100 AND ssize - send <= 100 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS l, max(CASE WHEN qsize - qend <= 100 AND soff <= 100 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS r FROM ovl) SELECT aid, qid FROM b WHERE l = 1 AND r = 1")
 def f09_dovetail(spark, d):
-    a = views.alignments(spark, d)
-    near = a.select("aid", "qid", "qoff", "qsize", "qend", F.greatest(F.lit(0), F.col("soff") - 19_100).alias("soff"), F.least("ssize", F.col("send") + 19_100).alias("send"), "ssize")
-    return hits.both_ends(near, 900).select("aid", "qid")
+    return hits.both_ends(views.overlapping(spark, d), 100).select("aid", "qid")
+
+
+@query(f"WITH {views.ALN_SQL}, {views.OVERLAP_SQL} SELECT aid, {_CLASS.replace('100', '300')} AS class FROM ovl")
+def f08_overlap_class(spark, d):
+    return views.overlapping(spark, d).select("aid", hits.overlap_class(300).alias("class"))
 
 
 @query(f"WITH {views.ALN_SQL} SELECT aid FROM aln WHERE qend - qoff >= 5000 OR 100 * (qend - qoff) >= 80 * qsize")
@@ -174,12 +189,19 @@ def a02_index(spark, d):
     return occ.groupBy("kmer").agg(F.count("*").alias("n"), F.min("rid").alias("first_read"), places.alias("places")).where("n > 1")
 
 
-_SEEDS = f"{_KMERS}, ok AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY kmer) AS n FROM occ) WHERE n <= 8), seeds AS (SELECT q.rid AS qid, q.off AS qoff, s.rid AS sid, s.off AS soff FROM ok q JOIN ok s ON q.kmer = s.kmer AND s.rid < q.rid)"
+@query(f"WITH {_KMERS} SELECT count(*) AS kmers, CAST(coalesce(sum(n), 0) AS BIGINT) AS occurrences FROM (SELECT count(*) AS n FROM occ GROUP BY kmer) WHERE n > 8")
+def a01_removed_kmers(spark, d):
+    return kmers.removed(_occurrences(spark, d), 8)
+
+
+_SEEDS = f"""{_WORDS}, okq AS (SELECT * FROM words WHERE kmer IN (SELECT kmer FROM words GROUP BY kmer HAVING count(*) <= 200)), oks AS (SELECT * FROM occ WHERE kmer IN (SELECT kmer FROM occ GROUP BY kmer HAVING count(*) <= 200)),
+seeds AS (SELECT q.rid AS qid, CAST(q.qdir AS INT) AS qdir, CAST(q.off AS BIGINT) AS qoff, s.rid AS sid, CAST(s.off AS BIGINT) AS soff FROM okq q JOIN oks s ON q.kmer = s.kmer AND s.rid < q.rid)"""
 
 
 def _seeds(spark, d):
-    occ = _occurrences(spark, d)
-    return kmers.seed_join(occ, occ, 8)
+    """Sampled words of both strands, at each base, that meet the index of every tenth base."""
+    reads = views.reads(spark, d)
+    return kmers.seed_join(kmers.query_words(reads, 15), kmers.occurrences(reads, 15, 10), 200)
 
 
 @query(f"WITH {_SEEDS} SELECT * FROM seeds")
@@ -187,20 +209,33 @@ def j01_seed_join(spark, d):
     return _seeds(spark, d)
 
 
-@query(f"WITH {_SEEDS}, c AS (SELECT qid, sid, soff, count(*) AS k FROM seeds GROUP BY ALL HAVING count(*) <= 4) SELECT qid, sid, CAST(sum(k) AS BIGINT) AS seeds, min(soff) AS first, max(soff) AS last FROM c GROUP BY qid, sid HAVING sum(k) >= 3")
+_PAIRS = f"{_SEEDS}, c AS (SELECT qid, qdir, sid, soff, count(*) AS k FROM seeds GROUP BY ALL HAVING count(*) <= 4), cand AS (SELECT qid, qdir, sid, CAST(sum(k) AS BIGINT) AS seeds, min(soff) AS first, max(soff) AS last FROM c GROUP BY qid, qdir, sid HAVING sum(k) >= 3)"
+
+
+@query(f"WITH {_PAIRS} SELECT * FROM cand")
 def t05_candidate_pairs(spark, d):
     return kmers.candidates(_seeds(spark, d), 3)
 
 
+@query(f"""WITH {_PAIRS}, q AS (SELECT rid, qdir, kmer, count(*) AS n, list(off) AS offs FROM words GROUP BY ALL HAVING count(*) <= 8), s AS (SELECT rid, kmer, count(*) AS n, list(off) AS offs FROM occ GROUP BY ALL HAVING count(*) <= 8),
+m AS (SELECT p.qid, q.qdir, p.sid, q.offs AS x, s.offs AS y FROM (SELECT DISTINCT qid, sid FROM cand) p JOIN q ON q.rid = p.qid JOIN s ON s.rid = p.sid AND s.kmer = q.kmer WHERE q.n * s.n <= 8)
+SELECT qid, CAST(qdir AS INT) AS qdir, CAST(qoff AS BIGINT) AS qoff, sid, CAST(unnest(y) AS BIGINT) AS soff FROM (SELECT qid, qdir, sid, y, unnest(x) AS qoff FROM m)""")
+def j02_capped_seed_join(spark, d):
+    """Words of candidate pairs, left out only by how often the two reads have them."""
+    reads = views.reads(spark, d)
+    return kmers.pair_seeds(kmers.candidates(_seeds(spark, d), 3), kmers.query_words(reads, 15), kmers.occurrences(reads, 15, 10))
+
+
 @query()
 def t04_chain(spark, d):
+    """The best chain of each pair."""
     return align.chain(_seeds(spark, d), 15)
 
 
-_CHAIN = f"{_SEEDS}, one AS (SELECT qid, sid, qoff, min(soff) AS soff FROM seeds GROUP BY ALL), chain AS (SELECT qid, sid, qoff, soff FROM (SELECT *, max(soff) OVER (PARTITION BY qid, sid ORDER BY qoff ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM one) WHERE top IS NULL OR soff > top)"
-_RUNS = f"""{_CHAIN}, l AS (SELECT *, lag(qoff - soff) OVER (PARTITION BY qid, sid ORDER BY qoff) AS d FROM chain),
-i AS (SELECT *, sum(CASE WHEN d = qoff - soff THEN 0 ELSE 1 END) OVER (PARTITION BY qid, sid ORDER BY qoff) AS run FROM l),
-runs AS (SELECT qid, sid, min(qoff) AS qoff, min(soff) AS soff, max(qoff) - min(qoff) + 15 AS size, count(*) AS seeds FROM i GROUP BY qid, sid, run)"""
+_CHAIN = f"{_SEEDS}, one AS (SELECT qid, qdir, sid, qoff, min(soff) AS soff FROM seeds GROUP BY ALL), chain AS (SELECT qid, qdir, sid, qoff, soff FROM (SELECT *, max(soff) OVER (PARTITION BY qid, qdir, sid ORDER BY qoff ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM one) WHERE top IS NULL OR soff > top)"
+_RUNS = f"""{_CHAIN}, l AS (SELECT *, lag(qoff - soff) OVER (PARTITION BY qid, qdir, sid ORDER BY qoff) AS d FROM chain),
+i AS (SELECT *, sum(CASE WHEN d = qoff - soff THEN 0 ELSE 1 END) OVER (PARTITION BY qid, qdir, sid ORDER BY qoff) AS run FROM l),
+runs AS (SELECT qid, qdir, sid, min(qoff) AS qoff, min(soff) AS soff, max(qoff) - min(qoff) + 15 AS size, count(*) AS seeds FROM i GROUP BY qid, qdir, sid, run)"""
 
 
 @query(f"WITH {_RUNS} SELECT * FROM runs")
@@ -208,26 +243,30 @@ def w10_diagonal_runs(spark, d):
     return kmers.diagonal_runs(kmers.rising(_seeds(spark, d)), 15)
 
 
-@query(f"""WITH {_RUNS}, p AS (SELECT qid, sid, qoff, soff, substr(a.seq, qoff + 1, size) AS x, substr(b.seq, soff + 1, size) AS y, size FROM runs JOIN reads a ON a.rid = qid JOIN reads b ON b.rid = sid),
-c AS (SELECT qid, sid, qoff, soff, k, x[k + 1] = y[k + 1] AS same FROM p, unnest(range(0, size)) AS t(k)),
-g AS (SELECT *, k - row_number() OVER (PARTITION BY qid, sid, qoff ORDER BY k) AS island FROM c WHERE same)
-SELECT qid, sid, qoff + min(k) AS qoff, soff + min(k) AS soff, count(*) AS size FROM g GROUP BY qid, sid, g.qoff, g.soff, island HAVING count(*) >= 15""")
+@query(f"""WITH {_RUNS}, p AS (SELECT qid, runs.qdir AS qdir, sid, qoff, soff, substr(a.seq, qoff + 1, size) AS x, substr(b.seq, soff + 1, size) AS y, size FROM runs JOIN strands a ON a.rid = qid AND a.qdir = runs.qdir JOIN reads b ON b.rid = sid),
+c AS (SELECT qid, qdir, sid, qoff, soff, k, x[k + 1] = y[k + 1] AS same FROM p, unnest(range(0, size)) AS t(k)),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY qid, qdir, sid, qoff ORDER BY k) AS island FROM c WHERE same)
+SELECT qid, qdir, sid, qoff + min(k) AS qoff, soff + min(k) AS soff, count(*) AS size FROM g GROUP BY qid, qdir, sid, g.qoff, g.soff, island HAVING count(*) >= 15""")
 def w10_exact_matches(spark, d):
     runs = kmers.diagonal_runs(kmers.rising(_seeds(spark, d)), 15)
     return kmers.exact_matches(runs, views.reads(spark, d), 15)
 
 
-@query(f"""WITH {_CHAIN}, a AS (SELECT *, lead(qoff) OVER w - qoff AS dq, lead(soff) OVER w - soff AS ds, lag(qoff) OVER w AS back FROM chain WINDOW w AS (PARTITION BY qid, sid ORDER BY qoff)),
+@query(f"""WITH {_CHAIN}, a AS (SELECT *, lead(qoff) OVER w - qoff AS dq, lead(soff) OVER w - soff AS ds, lag(qoff) OVER w AS back FROM chain WINDOW w AS (PARTITION BY qid, qdir, sid ORDER BY qoff)),
 n AS (SELECT *, coalesce(abs(dq - ds) <= 100 AND abs(1.0 - CAST(dq AS DOUBLE) / ds) <= CAST(0.21 AS DOUBLE), false) AS near FROM a),
-t AS (SELECT *, coalesce(lag(near) OVER (PARTITION BY qid, sid ORDER BY qoff), false) AS tied FROM n)
-SELECT qid, sid, qoff, soff FROM t WHERE near OR tied OR back IS NULL OR dq IS NULL""")
+t AS (SELECT *, coalesce(lag(near) OVER (PARTITION BY qid, qdir, sid ORDER BY qoff), false) AS tied FROM n)
+SELECT qid, qdir, sid, qoff, soff FROM t WHERE near OR tied OR back IS NULL OR dq IS NULL""")
 def w11_trace_points(spark, d):
     return kmers.trace_points(kmers.rising(_seeds(spark, d)))
 
 
-@query(f"WITH {views.ALN_SQL}, w AS (SELECT aid, qsize, ssize, CASE WHEN ssize <= qsize + 2000 THEN 0 ELSE greatest(0, soff - least(CAST(floor(1.3 * qoff) AS BIGINT), qoff + 30000)) END AS sfrom, CASE WHEN ssize <= qsize + 2000 THEN ssize ELSE least(ssize, soff + least(CAST(floor(1.3 * (qsize - qoff)) AS BIGINT), qsize - qoff + 30000)) END AS sto FROM aln) SELECT aid, CAST(sfrom AS BIGINT) AS sfrom, CAST(sto AS BIGINT) AS sto FROM w")
+_SIDE = "CASE WHEN {1} <= {0} THEN {1} ELSE least(CAST(floor(1.3::DOUBLE * qsize) AS BIGINT), {0} + 30000, {1}) END"
+
+
+@query(f"WITH {views.ALN_SQL} SELECT aid, CASE WHEN ssize - qsize <= 2000 THEN 0 ELSE soff - {_SIDE.format('qoff', 'soff')} END AS sfrom, CASE WHEN ssize - qsize <= 2000 THEN ssize ELSE soff + {_SIDE.format('(qsize - qoff)', '(ssize - soff)')} END AS sto FROM (SELECT aid, qsize, qoff, soff, CASE WHEN aid % 3 = 0 THEN qsize + soff + aid % 5000 ELSE ssize END AS ssize FROM aln)")
 def t06_window(spark, d):
-    return kmers.window(views.alignments(spark, d)).select("aid", "sfrom", "sto")
+    near = F.when(F.col("aid") % 3 == 0, F.col("qsize") + F.col("soff") + F.col("aid") % 5000).otherwise(F.col("ssize"))
+    return kmers.window(views.alignments(spark, d).withColumn("ssize", near)).select("aid", "sfrom", "sto")
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -253,25 +292,49 @@ def j11_anti(spark, d):
     return views.table(spark, d, "customer").join(views.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
-_DUAL = f"""{views.ALN_SQL}, g AS (SELECT * FROM aln WHERE ident >= 70), l AS (SELECT * FROM g WHERE qoff <= 300 AND qsize - qend > 300), r AS (SELECT * FROM g WHERE qoff > 300 AND qsize - qend <= 300),
-dual AS (SELECT l.qid, l.sid, l.qdir, l.aid AS left_id, l.soff AS lb, l.send AS le, r.aid AS right_id, r.soff AS rb, r.send AS re FROM l JOIN r USING (qid, sid, qdir) WHERE greatest(l.soff, r.soff) - least(l.send, r.send) <= 30000)"""
+_LONG_MASK = f"{views.MASK_SQL}, e AS (SELECT *, max(t) OVER (PARTITION BY sid ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mask WHERE t - f > {views.LONG}), i AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS k FROM e), u AS (SELECT sid, min(f) AS f, max(t) AS t FROM i GROUP BY sid, k)"
+_ALN_MASKED = f"{views.ALN_SQL}, {_LONG_MASK}, m AS (SELECT aid, sum(least(send, t) - greatest(soff, f)) AS k FROM aln JOIN u ON u.sid = aln.sid AND soff < t AND f < send GROUP BY aid), am AS (SELECT aln.*, send - soff - coalesce(k, 0) <= 2000 AS masked FROM aln LEFT JOIN m USING (aid))"
+
+
+def _with_mask(spark, d):
+    """The alignments, and whether the long repeats leave too little of them."""
+    a = views.alignments(spark, d)
+    spans = a.select("aid", "sid", F.col("soff").alias("from"), F.col("send").alias("to"))
+    long = views.mask(spark, d).where(F.col("to") - F.col("from") > views.LONG)
+    masked = intervals.masked_bases(spans, long, ["sid"], "aid")
+    return a.join(masked.select("aid", (~intervals.unmasked_enough(F.col("to") - F.col("from"), F.col("masked"))).alias("masked")), "aid")
+
+
+_DUAL = f"""{_ALN_MASKED}, g AS (SELECT * FROM am WHERE ident >= 70 AND NOT masked), l AS (SELECT * FROM g WHERE qoff <= 300 AND qsize - qend > 300), r AS (SELECT * FROM g WHERE qoff > 300 AND qsize - qend <= 300),
+dual AS (SELECT l.qid, l.sid, l.aid AS left_id, l.qdir AS ldir, l.qoff AS lqb, l.qend AS lqe, l.soff AS lb, l.send AS le, r.aid AS right_id, r.qdir AS rdir, r.qoff AS rqb, r.qend AS rqe, r.soff AS rb, r.send AS re
+ FROM l JOIN r USING (qid, sid) WHERE CASE WHEN l.soff < r.soff THEN r.soff - l.send ELSE l.soff - r.send END <= 30000)"""
 
 
 @query(f"WITH {_DUAL} SELECT * FROM dual")
 def j04_dual_pairs(spark, d):
-    return hits.dual_pairs(views.alignments(spark, d))
+    return hits.dual_pairs(_with_mask(spark, d), masked="masked")
 
 
-@query(f"WITH {_DUAL} SELECT qid, sid, qdir, left_id, right_id, least(lb, rb) AS soff, greatest(le, re) AS send FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM dual) WHERE n = 1 AND lb <= rb")
+@query(f"""WITH {_DUAL}, one AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM dual)
+SELECT qid, sid, ldir AS qdir, left_id, right_id, least(lqb, rqb) AS qoff, greatest(lqe, rqe) AS qend, least(lb, rb) AS soff, greatest(le, re) AS send FROM one WHERE n = 1 AND ldir = rdir AND CASE WHEN ldir = 0 THEN lb <= rb ELSE rb <= lb END""")
 def a13_unique_dual(spark, d):
-    return hits.unique_duals(hits.dual_pairs(views.alignments(spark, d)))
+    return hits.unique_duals(hits.dual_pairs(_with_mask(spark, d), masked="masked"))
 
 
-@query(f"""WITH {views.ALN_SQL}, p AS (SELECT x.qid, x.sid, x.aid AS a, y.aid AS b, CASE WHEN abs(y.qoff - x.qend) <= 50 AND abs(y.soff - x.send) <= 50 THEN 1 WHEN abs(y.soff - x.send) <= 50 THEN 2 WHEN abs(y.qoff - x.qend) <= 50 THEN 3 ELSE 4 END AS "case"
- FROM aln x JOIN aln y ON x.qid = y.qid AND x.sid = y.sid AND x.qdir = y.qdir AND x.aid <> y.aid AND x.qoff < y.qoff AND x.soff < y.soff AND x.qend < y.qend AND x.send < y.send)
-SELECT qid, sid, a, b, CAST("case" AS INT) AS "case" FROM (SELECT *, row_number() OVER (PARTITION BY qid, sid ORDER BY "case", a, b) AS n FROM p) WHERE n = 1""")
+# the eight cases as rows: which end x has, which end y has, what must run forward, whose start is the hull's
+_CASES = [
+    ("x.soff <= 50", "y.ssize - y.send <= 50", "y.qend > x.qoff", "x"), ("x.soff <= 50", "y.qsize - y.qend <= 50", "y.send > x.soff", "x"),
+    ("x.ssize - x.send <= 50", "y.soff <= 50", "y.qoff < x.qend", "y"), ("x.ssize - x.send <= 50", "y.qoff <= 50", "y.soff < x.send", "y"),
+    ("x.qoff <= 50", "y.qsize - y.qend <= 50", "x.soff < y.send", "x"), ("x.qoff <= 50", "y.ssize - y.send <= 50", "x.qoff < y.qend", "x"),
+    ("x.qsize - x.qend <= 50", "y.qoff <= 50", "y.soff < x.send", "y"), ("x.qsize - x.qend <= 50", "y.soff <= 50", "y.qoff < x.qend", "y"),
+]
+_CASE_SQL = " UNION ALL ".join(f"SELECT x.qid, x.sid, x.qdir, x.aid AS a, y.aid AS b, {n} AS c, {p}.qoff AS qoff, {'y' if p == 'x' else 'x'}.qend AS qend, {p}.soff AS soff, {'y' if p == 'x' else 'x'}.send AS send FROM ovl x JOIN ovl y ON x.qid = y.qid AND x.sid = y.sid AND x.qdir = y.qdir AND x.aid <> y.aid WHERE {has} AND {other} AND {forward}" for n, (has, other, forward, p) in enumerate(_CASES, 1))
+
+
+@query(f"""WITH {views.ALN_SQL}, {views.OVERLAP_SQL}, every AS ({_CASE_SQL}), one AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY c) AS n FROM every)
+SELECT qid, sid, qdir, a, b, CAST(c AS INT) AS "case", qoff, qend, soff, send, CAST(row_number() OVER (PARTITION BY qid, sid ORDER BY least(a, b), greatest(a, b), a > b) AS INT) AS rank FROM one WHERE n = 1""")
 def j06_dual_cases(spark, d):
-    return hits.broken_pairs(views.alignments(spark, d))
+    return hits.broken_pairs(views.overlapping(spark, d))
 
 
 _UNION = f"""{views.MASK_SQL}, e AS (SELECT *, max(t) OVER (PARTITION BY sid ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mask), i AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS k FROM e),
@@ -335,25 +398,46 @@ def a08_merge_windows(spark, d):
     return intervals.merge(views.alignments(spark, d), ["qid", "sid", "qdir"], "soff", "send", 500, "score")
 
 
-@query()
+def _fold_sql(keys: str, order: str, first: str, second: str | None) -> str:
+    """Rows of a key in order; each that is left meets those after it. ``first``: later row j goes; ``second``: then i goes.
+
+    Without ``second`` both go where ``first`` holds.
+    """
+    hit = f"(j > i + 1 AND alive[j] AND {first})"
+    back = f"(j > i + 1 AND alive[j] AND NOT {first} AND {second})" if second else hit
+    return f"""WITH RECURSIVE {views.ALN_SQL}, g AS (SELECT {keys}, list({{'aid': aid, 'qoff': qoff, 'qend': qend, 'soff': soff, 'send': send}} ORDER BY {order}) AS r FROM aln GROUP BY {keys}),
+f AS (SELECT {keys}, r, 0 AS i, list_transform(r, lambda x: true) AS alive FROM g
+ UNION ALL SELECT {keys}, r, i + 1, CASE WHEN alive[i + 1] THEN list_transform(range(1, len(r) + 1), lambda j: alive[j] AND NOT {hit} AND NOT (j = i + 1 AND len(list_filter(range(1, len(r) + 1), lambda k: {back.replace("j", "k")})) > 0)) ELSE alive END FROM f WHERE i < len(r))
+SELECT r[p].aid AS aid FROM (SELECT r, alive, unnest(range(1, len(r) + 1)) AS p FROM f WHERE i = len(r)) WHERE alive[p]"""
+
+
+_J, _I = "r[j]", "r[i + 1]"
+_INSIDE = "({0}.qoff + 200 >= {1}.qoff AND {0}.qend <= {1}.qend + 200 AND {0}.soff + 200 >= {1}.soff AND {0}.send <= {1}.send + 200)"
+_FIRST, _LAST = f"greatest({_I}.qoff, {_J}.qoff)", f"least({_I}.qend, {_J}.qend)"
+_SAME = f"({_FIRST} < {_LAST} AND {_FIRST} - {_I}.qoff + {_I}.qend - {_LAST} <= 300 AND {_FIRST} - {_J}.qoff + {_J}.qend - {_LAST} <= 300)"
+
+
+@query(_fold_sql("qid, sid, qdir", "aid", _INSIDE.format(_J, _I), _INSIDE.format(_I, _J)))
 def a09_containment(spark, d):
     return intervals.drop_contained(views.alignments(spark, d), ["qid", "sid", "qdir"], ["aid"]).select("aid")
 
 
-@query()
+@query(_fold_sql("qid, sid, qdir", "score DESC, aid", _INSIDE.format(_J, _I), _INSIDE.format(_I, _J)))
 def a10_scored_containment(spark, d):
     ranked = views.alignments(spark, d).withColumn("rank", -F.col("score"))
     return intervals.drop_contained(ranked, ["qid", "sid", "qdir"], ["rank", "aid"]).select("aid")
 
 
-@query(f"WITH {views.ALN_SQL} SELECT aid FROM aln r WHERE NOT EXISTS (SELECT 1 FROM aln o WHERE o.qid = r.qid AND o.aid <> r.aid AND abs(r.qoff - o.qoff) <= 300 AND abs(r.qend - o.qend) <= 300 AND r.qoff < o.qend AND o.qoff < r.qend)")
+@query(_fold_sql("qid", "aid", _SAME, None))
 def a11_repeats(spark, d):
-    return intervals.drop_repeats(views.alignments(spark, d), "qid", "aid").select("aid")
+    return intervals.drop_repeats(views.alignments(spark, d), "qid", ["aid"]).select("aid")
 
 
-@query(f"WITH {views.ALN_SQL}, g AS (SELECT * FROM aln WHERE qoff <= 300 AND qsize - qend <= 300 AND ident >= 70), k AS (SELECT qid, aid, ident, row_number() OVER w AS n, lead(ident) OVER w AS nx FROM g WINDOW w AS (PARTITION BY qid ORDER BY ident DESC, aid)) SELECT qid, aid, ident FROM k WHERE n = 1 AND (nx IS NULL OR ident - nx > 10)")
+@query(f"WITH {_ALN_MASKED}, c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS alone FROM am WHERE qoff <= 300 AND qsize - qend <= 300), g AS (SELECT *, CASE WHEN alone = 1 AND ident >= 70 THEN ident ELSE ident - aid % 4 END AS by_ FROM c), k AS (SELECT *, row_number() OVER w AS n, lead(by_) OVER w AS nx FROM g WHERE by_ >= 70 WINDOW w AS (PARTITION BY qid ORDER BY by_ DESC, aid)) SELECT qid, aid, ident FROM k WHERE n = 1 AND (nx IS NULL OR by_ - nx > 10) AND NOT masked")
 def a12_best_complete(spark, d):
-    return hits.best_complete(views.alignments(spark, d), 70).select("qid", "aid", "ident")
+    """The view has no columns to measure; an effective identity of up to three less stands in."""
+    a = _with_mask(spark, d).withColumn("eff", F.col("ident") - F.col("aid") % 4)
+    return hits.best_complete(a, 70, effective="eff", masked="masked").select("qid", "aid", "ident")
 
 
 @query(f"WITH {views.ALN_SQL} SELECT qid, sid, soff FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY aid DESC) AS n FROM aln) WHERE n = 1")
@@ -458,17 +542,17 @@ def t02_banded_path(spark, d):
 
 @query()
 def t04_chains(spark, d):
-    """All chains of each pair, best first."""
-    found = align.chains(_seeds(spark, d), 15, 36)
-    return found.select("qid", "sid", "nth", "score", F.size("seeds").alias("seeds"), F.col("seeds")[0].qoff.alias("qoff"), F.col("seeds")[0].soff.alias("soff"))
+    """All chains of each pair, best first, long neighbours joined."""
+    found = align.chains(_seeds(spark, d), 15, 36, join=True)
+    return found.select("qid", "qdir", "sid", "nth", "score", F.size("seeds").alias("seeds"), F.col("seeds")[0].qoff.alias("qoff"), F.col("seeds")[0].soff.alias("soff"))
 
 
 @query()
 def t07_extended_alignment(spark, d):
     """Alignments along all chains, extended beyond their ends."""
     reads = views.reads(spark, d)
-    made = mapping.along_chains(align.chains(_seeds(spark, d), 15, 36), reads, reads, 15)
-    return made.select("qid", "sid", "nth", "qoff", "qend", "soff", "send", "dist", "score", "ident", "eff")
+    made = mapping.along_chains(align.chains(_seeds(spark, d), 15, 36), kmers.strands(reads), reads, 15)
+    return made.select("qid", "qdir", "sid", "nth", "qoff", "qend", "soff", "send", "dist", "score", "ident", "eff")
 
 
 @query()
@@ -477,20 +561,31 @@ def t18_overlaps(spark, d):
 
 
 def _noisy(spark, d, size: int, copies: int):
-    """The first bases of each read of that length in copies that lack other bases each: group, rid, seq, raw."""
-    long = views.reads(spark, d).where(F.length("seq") >= size).select(F.col("rid").alias("group"), F.substring("seq", 1, size).alias("raw"))
-    each = long.withColumn("rid", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(copies).cast("long"))))
-    seq = F.array_join(F.transform(F.split("raw", ""), lambda c, i: F.when((i * 7919 + F.col("rid") * 104_729 + F.col("group")) % 29 == 0, "").otherwise(c)), "")
-    return each.select("group", "rid", seq.alias("seq"), "raw")
+    """Each read's pieces of ``size`` bases, the last one shorter, in copies that lack other bases each: group (read),
+    piece, rid (copy), seq, raw."""
+    r = views.reads(spark, d).where(F.length("seq") > 0)
+    pieces = r.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / size).cast("int"))))
+    cut = pieces.select(F.col("rid").alias("group"), "piece", F.substring(F.col("seq"), F.col("piece") * size + 1, F.lit(size)).alias("raw"))
+    each = cut.withColumn("rid", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(copies).cast("long"))))
+    lacks = lambda c, i: F.when((i * 7919 + F.col("rid") * 104_729 + F.col("group") + F.col("piece")) % 29 == 0, "").otherwise(c)
+    return each.select("group", "piece", "rid", F.array_join(F.transform(F.split("raw", ""), lacks), "").alias("seq"), "raw")
 
 
 @query()
 def t17_remapped(spark, d):
-    """Reads lacking bases, aligned to what they were made of; every second one reversed and complemented."""
+    """All reads, in pieces that lack bases, aligned to what they were made of; every second one reversed and complemented."""
     rows = _noisy(spark, d, 400, 2).withColumn("qdir", (F.col("rid") % 2).cast("int"))
     rows = rows.withColumn("seq", F.when(F.col("qdir") == 1, sq.reverse_complement("seq")).otherwise(F.col("seq")))
-    rows = rows.select("group", "rid", "qdir", "seq", F.lit(20).alias("cns_from"), (F.length("seq") - 30).alias("cns_to"), F.col("raw").alias("piece"), F.lit(0).cast("long").alias("sfrom"))
-    return mapping.remap(rows).select("group", "rid", "qdir", "soff", "send", "cigar", "dist", "ident", "eff")
+    ends = (F.least(F.lit(20), F.length("seq")).alias("cns_from"), F.greatest(F.least(F.lit(20), F.length("seq")), F.length("seq") - 30).alias("cns_to"))
+    rows = rows.select("group", "piece", "rid", "qdir", "seq", *ends, F.col("raw").alias("_raw"), (F.col("piece") * 400).cast("long").alias("sfrom"))
+    return mapping.remap(rows.withColumnRenamed("piece", "nth").withColumnRenamed("_raw", "piece")).select("group", "nth", "rid", "qdir", "soff", "send", "cigar", "dist", "ident", "eff")
+
+
+def _cut(d, reads, one: str, first, size):
+    """Join the reads (or strands) of one side of pairs and cut the stretch out of each: adds the column ``one``."""
+    keys = [f"{one}id", *(["qdir"] if one == "q" else [])]
+    side = reads.select(F.col("rid").alias(keys[0]), *keys[1:], "seq")
+    return d.join(side, keys).withColumn(one, F.substring(F.col("seq"), (first + 1).cast("int"), size.cast("int"))).drop("seq")
 
 
 @query()
@@ -499,12 +594,12 @@ def t07_seed_guided_alignment(spark, d):
     seeds = kmers.segments(kmers.rising(_seeds(spark, d)))
     reads = views.reads(spark, d)
     first, last = F.col("seeds")[0], F.element_at("seeds", -1)
-    cut = lambda c: F.substring(F.col("seq"), (first[c] + 1).cast("int"), (last[c] - first[c] + 15).cast("int"))
-    both = seeds.join(reads.select(F.col("rid").alias("qid"), "seq"), "qid").withColumn("q", cut("qoff")).drop("seq")
-    both = both.join(reads.select(F.col("rid").alias("sid"), "seq"), "sid").withColumn("s", cut("soff")).drop("seq")
+    both = seeds
+    for one, of in (("q", kmers.strands(reads)), ("s", reads)):
+        both = _cut(both, of, one, first[f"{one}off"], last[f"{one}off"] - first[f"{one}off"] + 15)
     offsets = lambda c: F.transform("seeds", lambda x: (x[c] - first[c]).cast("int"))
-    made = both.select("qid", "sid", first.qoff.alias("qoff"), first.soff.alias("soff"), traceback.align_seeds("q", "s", offsets("qoff"), offsets("soff"), F.lit(15)).alias("p"))
-    return traceback.measured(made.select("qid", "sid", "qoff", "soff", "p.*"))
+    made = both.select("qid", "qdir", "sid", first.qoff.alias("qoff"), first.soff.alias("soff"), traceback.align_seeds("q", "s", offsets("qoff"), offsets("soff"), F.lit(15)).alias("p"))
+    return traceback.measured(made.select("qid", "qdir", "sid", "qoff", "soff", "p.*"))
 
 
 @query()
@@ -520,11 +615,10 @@ def t10_refined(spark, d):
 @query()
 def t11_windowed_alignment(spark, d):
     """Windows of 200 bases from the start of each exact match."""
-    at = w10_exact_matches(spark, d)
-    reads, cut = views.reads(spark, d), lambda c: F.substring(F.col("seq"), (F.col(c) + 1).cast("int"), F.lit(200))
-    w = at.join(reads.select(F.col("rid").alias("qid"), "seq"), "qid").withColumn("q", cut("qoff")).drop("seq")
-    w = w.join(reads.select(F.col("rid").alias("sid"), "seq"), "sid").withColumn("s", cut("soff"))
-    return traceback.windowed(w).select("qid", "sid", "qoff", "soff", "qb", "qe", "sb", "se", "dist", "score", "ident", "eff")
+    w, reads = w10_exact_matches(spark, d), views.reads(spark, d)
+    for one, of in (("q", kmers.strands(reads)), ("s", reads)):
+        w = _cut(w, of, one, F.col(f"{one}off"), F.lit(200))
+    return traceback.windowed(w).select("qid", "qdir", "sid", "qoff", "soff", "qb", "qe", "sb", "se", "dist", "score", "ident", "eff")
 
 
 def _votes(spark, d):
@@ -571,9 +665,12 @@ def a29_tag_report(spark, d):
     return stats.tag_report(tagged)
 
 
-@query("SELECT vol, count(*) AS reads, CAST(sum(len) AS BIGINT) AS residues, min(rid) AS first FROM (SELECT rid, len, CAST((sum(len) OVER (ORDER BY rid ROWS UNBOUNDED PRECEDING) - len) // 200000 AS BIGINT) AS vol FROM (SELECT doc_id AS rid, CAST(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS BIGINT) AS len FROM documents)) GROUP BY vol")
+@query(f"""WITH RECURSIVE {_LEN}, o AS (SELECT rid, len, row_number() OVER (ORDER BY rid) AS i FROM lens), f(i, rid, len, s, n, vol) AS (SELECT i, rid, len, len, 1, 0 FROM o WHERE i = 1
+ UNION ALL SELECT o.i, o.rid, o.len, CASE WHEN s >= 200000 OR n >= 150 THEN o.len ELSE s + o.len END, CASE WHEN s >= 200000 OR n >= 150 THEN 1 ELSE n + 1 END, vol + CASE WHEN s >= 200000 OR n >= 150 THEN 1 ELSE 0 END FROM f JOIN o ON o.i = f.i + 1)
+SELECT CAST(vol AS BIGINT) AS vol, count(*) AS reads, CAST(sum(len) AS BIGINT) AS residues, min(rid) AS first FROM f GROUP BY vol""")
 def k02_volumes(spark, d):
-    v = volumes.by_size(views.lengths(spark, d), "rid", "len", 200_000)
+    """Volumes that the read closes with which they reach 200,000 bases or 150 reads."""
+    v = volumes.by_size(views.lengths(spark, d), "rid", "len", 200_000, 150)
     return v.groupBy("vol").agg(F.count("*").alias("reads"), F.sum("len").alias("residues"), F.min("rid").alias("first"))
 
 
@@ -586,11 +683,8 @@ def u01_union(spark, d):
 
 @query()
 def pipeline_sv(spark, d):
-    """Masked, complete alignments' reads, their signatures' groups and the calls of these."""
-    spans = views.alignments(spark, d).select("aid", "sid", F.col("soff").alias("from"), F.col("send").alias("to"))
-    long_repeats = views.mask(spark, d).where(F.col("to") - F.col("from") > 390)  # all of them together cover every subject
-    masked = intervals.masked_bases(spans, long_repeats, ["sid"], "aid")
-    good = masked.where(intervals.unmasked_enough(F.col("to") - F.col("from"), F.col("masked"))).select("aid")
-    kept = hits.best_complete(views.alignments(spark, d).join(good, "aid", "left_semi"), 70)
+    """Reads of one best complete alignment or of one pair of duals, their signatures' groups and the calls of these."""
+    a = _with_mask(spark, d)
+    kept = hits.best_complete(a, 70, masked="masked").select("qid").unionByName(hits.unique_duals(hits.dual_pairs(a, masked="masked")).select("qid"))
     sigs = views.signatures(spark, d).join(kept.select(F.col("qid")).distinct(), "qid", "left_semi")
     return signatures.simple_calls(signatures.with_group_ids(signatures.group_signatures(sigs)))

@@ -22,7 +22,8 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads(spark, sf_dir).select("rid", F.length("seq").cast("long").alias("len"))
+    """rid, len of the reads; letters are counted, not mapped."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long").alias("len"))
 
 
 _ALN = """l_orderkey AS qid, CAST(l_linenumber % 2 AS INT) AS qdir, l_suppkey % 4 AS sid, 2800 + (l_orderkey * 7919) % 5000 AS qsize,
@@ -76,20 +77,44 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*_columns(_MASK.format("`from`", "`to`")))
 
 
+#: Of the mask, the intervals longer than this; all of them together cover every subject.
+LONG = 390
+
+
 READS_SQL = f"""reads AS (SELECT doc_id AS rid, 'r' || CAST(doc_id AS VARCHAR) AS name, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{ALPHABET}', '{BASES}') AS seq FROM documents)"""
 
 
+#: Bases of the pieces that neighbouring reads are compared in.
+PIECE = 120
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring reads' first 120 bases side by side, padded to one length with gaps: pid, q_aln, s_aln.
+    """Neighbouring reads side by side, in pieces of PIECE bases that cover both, padded with gaps: pid, q_aln, s_aln.
 
-    Every fifth pair has a gap of 45 in the query, every seventh one of 50 in the subject.
+    pid is the first read times 10,000 and the piece. Every fifth pair has a gap of 45 in the query, every seventh one
+    of 50 in the subject.
     """
-    head = reads(spark, sf_dir).select("rid", F.rpad(F.substring("seq", 1, 120), 120, "-").alias("b"))
-    other = head.select((F.col("rid") - 1).alias("rid"), F.col("b").alias("c"))
-    gap = lambda c, n: F.concat(F.substring(c, 1, 40), F.lit("-" * n), F.substring(c, 41 + n, 200))
-    return head.join(other, "rid").select(F.col("rid").alias("pid"), F.when(F.col("rid") % 5 == 0, gap("b", 45)).otherwise(F.col("b")).alias("q_aln"), F.when(F.col("rid") % 7 == 3, gap("c", 50)).otherwise(F.col("c")).alias("s_aln"))
+    r = reads(spark, sf_dir).select("rid", "seq")
+    other = r.select((F.col("rid") - 1).alias("rid"), F.col("seq").alias("other"))
+    both = r.join(other, "rid").withColumn("n", F.ceil(F.greatest(F.length("seq"), F.length("other")) / PIECE).cast("int")).where("n > 0")
+    each = both.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cut = lambda c: F.rpad(F.substring(F.col(c), F.col("k") * PIECE + 1, F.lit(PIECE)), PIECE, "-")
+    each = each.select((F.col("rid") * 10_000 + F.col("k")).alias("pid"), cut("seq").alias("b"), cut("other").alias("c"))
+    gap = lambda c, n: F.concat(F.substring(c, 1, 40), F.lit("-" * n), F.substring(c, 41 + n, PIECE))
+    return each.select("pid", F.when(F.col("pid") % 5 == 0, gap("b", 45)).otherwise(F.col("b")).alias("q_aln"), F.when(F.col("pid") % 7 == 3, gap("c", 50)).otherwise(F.col("c")).alias("s_aln"))
+
+
+PAIRS_SQL = f"""{READS_SQL}, pieces AS (SELECT x.rid * 10000 + k AS pid, rpad(substr(x.seq, {PIECE} * k + 1, {PIECE}), {PIECE}, '-') AS b, rpad(substr(y.seq, {PIECE} * k + 1, {PIECE}), {PIECE}, '-') AS c
+ FROM reads x JOIN reads y ON y.rid = x.rid + 1, unnest(range(0, CAST(ceil(greatest(length(x.seq), length(y.seq)) / {PIECE}.0) AS BIGINT))) AS t(k)),
+pairs AS (SELECT pid, CASE WHEN pid % 5 = 0 THEN substr(b, 1, 40) || repeat('-', 45) || substr(b, 86) ELSE b END AS q_aln,
+ CASE WHEN pid % 7 = 3 THEN substr(c, 1, 40) || repeat('-', 50) || substr(c, 91) ELSE c END AS s_aln FROM pieces)"""
+
+
+_OVERLAP = "aid, qid, qdir, sid % 2 AS sid, qsize, aid % 3 * 60 AS qoff, qsize - aid % 7 * 25 AS qend, aid % 4 * 40 AS soff, 1500 + aid % 11 * 9 AS send, 1500 + aid % 11 * 9 + aid % 5 * 40 AS ssize, ident, score"
+#: A further CTE behind ALN_SQL.
+OVERLAP_SQL = f"ovl AS (SELECT {_OVERLAP} FROM aln)"
 
 
-PAIRS_SQL = f"""{READS_SQL}, head AS (SELECT rid, rpad(substr(seq, 1, 120), 120, '-') AS b FROM reads),
-pairs AS (SELECT x.rid AS pid, CASE WHEN x.rid % 5 = 0 THEN substr(x.b, 1, 40) || repeat('-', 45) || substr(x.b, 86) ELSE x.b END AS q_aln,
- CASE WHEN x.rid % 7 = 3 THEN substr(y.b, 1, 40) || repeat('-', 50) || substr(y.b, 91) ELSE y.b END AS s_aln FROM head x JOIN head y ON y.rid = x.rid + 1)"""
+def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments moved to the ends of query and subject, so that some reach them and others don't."""
+    return alignments(spark, sf_dir).selectExpr(*_columns(_OVERLAP))

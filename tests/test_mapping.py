@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from readloom.config import ConsensusOptions
-from readloom.operators import align, consensus, mapping, traceback
+from readloom.operators import align, consensus, kmers, mapping, traceback
 
 
 def noisy(rng, s, share):
@@ -42,9 +44,35 @@ def test_broken_overlap_is_joined(spark):
 
 
 def test_chains(spark):
-    seeds = [(1, 2, 10 * i, 10 * i) for i in range(10)] + [(1, 2, 10 * i, 9000 + 10 * i) for i in range(8)] + [(3, 4, 5, 5)]
-    d = align.chains(spark.createDataFrame(seeds, "qid long, sid long, qoff long, soff long"), 10, 30)
-    assert sorted((r.qid, r.nth, r.score, len(r.seeds)) for r in d.collect()) == [(1, 1, 100, 10), (1, 2, 80, 8)]
+    seeds = [(1, 0, 2, 10 * i, 10 * i) for i in range(10)] + [(1, 0, 2, 10 * i, 9000 + 10 * i) for i in range(8)] + [(3, 1, 4, 5, 5)]
+    d = spark.createDataFrame(seeds, SEEDS)
+    assert sorted((r.qid, r.nth, r.score, len(r.seeds)) for r in align.chains(d, 10, 30).collect()) == [(1, 1, 100, 10), (1, 2, 80, 8)]
+    assert [(r.qdir, r.score, r.seeds, r.qoff, r.qend, r.soff, r.send) for r in align.chain(d, 10).collect()] == [(0, 100, 10, 0, 100, 0, 100)]
+
+
+SEEDS = "qid long, qdir int, sid long, qoff long, soff long"
+
+
+def test_long_neighbours_are_joined(spark):
+    one = [(1, 0, 2, 10 * i, 10 * i) for i in range(120)]
+    two = [(1, 0, 2, 1500 + 10 * i, 9000 + 10 * i) for i in range(120)]
+    for shift, n in ((0, [240]), (30_000, [120, 120])):
+        d = spark.createDataFrame(one + [(a, b, c, q, s + shift) for a, b, c, q, s in two], SEEDS)
+        assert sorted(len(r.seeds) for r in align.chains(d, 10, 30, join=True).collect()) == n
+    short = [(1, 0, 2, 1500 + 10 * i, 9000 + 10 * i) for i in range(60)]  # under the length that a neighbour must have
+    assert sorted(len(r.seeds) for r in align.chains(spark.createDataFrame(one + short, SEEDS), 10, 30, join=True).collect()) == [60, 120]
+
+
+def test_pair_seeds_count_within_the_pair(spark):
+    """A word that many reads share is a seed of each pair; one that a read repeats is not."""
+    rng = random.Random(9)
+    word, many = ("".join(rng.choices("ACGT", k=15)) for _ in range(2))
+    reads = spark.createDataFrame([(i, word + many * (9 if i == 3 else 1)) for i in range(1, 40)], "rid long, seq string")
+    at = kmers.occurrences(reads, 15, 15).withColumn("qdir", F.lit(0))
+    pairs = spark.createDataFrame([(i, 1) for i in range(2, 40)], "qid long, sid long")
+    got = kmers.pair_seeds(pairs, at, at.drop("qdir")).collect()
+    assert sorted((r.qid, r.qoff) for r in got if r.qoff == 0) == [(i, 0) for i in range(2, 40)]
+    assert not [r for r in got if r.qid == 3 and r.qoff > 0] and len([r for r in got if r.qid == 4]) == 2
 
 
 def test_remap(spark):

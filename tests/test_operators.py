@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from readloom.config import MapOptions, data_size, from_lines
-from readloom.operators import align, intervals, signatures
+from readloom.operators import align, hits, intervals, kmers, signatures, volumes
 
 
 def test_mask_and_depth(spark):
@@ -29,42 +30,120 @@ def test_containment_fold(spark):
     assert sorted(r.aid for r in intervals.drop_contained(d, ["qid"], ["aid"]).collect()) == [3, 4]
 
 
+def test_running_over_bins(spark):
+    """Bins and gaps of the axis don't show in the result; keys may be null."""
+    rng = random.Random(4)
+    rows = [(rng.choice(("a", None)), rng.randrange(900) * 37, rng.randrange(1, 9), i) for i in range(400)]
+    d = spark.createDataFrame(rows, "k string, at long, v long, i long")
+    got = intervals.running(d, ["k"], ["at", "i"], {"s": ("v", "sum", False), "m": ("v", "max", True)}, 100).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        before = [v for k, at, v, i in rows if k == r.k and (at, i) < (r.at, r.i)]
+        assert r.s == sum(before) and r.m == max([*before, r.v])
+    once = d.select("k", "at").distinct()
+    for r in intervals.following(once, ["k"], "at", "to", 100).collect():
+        assert r.to == min((at for k, at, _, _ in rows if k == r.k and at > r.at), default=None)
+
+
+def test_repeats_agree_in_sum_and_in_order(spark):
+    def left(rows):
+        d = spark.createDataFrame([(7, i, *r) for i, r in enumerate(rows)], "qid long, aid long, qoff long, qend long")
+        return sorted(r.aid for r in intervals.drop_repeats(d, "qid", ["aid"]).collect())
+
+    assert left([(0, 2000), (200, 1800)]) == [0, 1]  # 400 in sum
+    assert left([(0, 2000), (150, 1850)]) == []
+    assert left([(0, 2000), (200, 2000), (400, 2000)]) == [2]  # the second, dropped with the first, doesn't meet the third
+    assert left([(0, 2000), (100, 2000), (5000, 6000), (200, 2000)]) == [2]
+
+
+def test_volumes_close_and_reset(spark):
+    def volumes_of(sizes, cap, most=1 << 40):
+        d = spark.createDataFrame([(3 * i + 1, n) for i, n in enumerate(sizes)], "id long, len long")
+        return [r.vol for r in volumes.by_size(d, "id", "len", cap, most).orderBy("id").collect()]
+
+    assert volumes_of([150] * 4, 200) == [0, 0, 1, 1]
+    assert volumes_of([1] * 5, 200, 2) == [0, 0, 1, 1, 2]
+    rng = random.Random(2)
+    sizes = [rng.choice((0, 1, 5, 40, 900)) for _ in range(300)]
+    want, vol, s, n = [], 0, 0, 0
+    for x in sizes:
+        want.append(vol)
+        s, n = s + x, n + 1
+        if s >= 100 or n >= 30:
+            vol, s, n = vol + 1, 0, 0
+    assert volumes_of(sizes, 100, 30) == want and volumes_of([], 5) == []
+
+
+def test_window_of_a_candidate(spark):
+    rows = [(1, 3000, 100, 20000, 70000), (2, 3000, 2900, 100, 9000), (3, 3000, 50, 50, 5000), (4, 3000, 50, 50, 5001), (5, 50000, 10, 40000, 90000)]
+    d = spark.createDataFrame(rows, "id int, qsize long, qoff long, soff long, ssize long")
+    got = {r.id: (r.sfrom, r.sto) for r in kmers.window(d).collect()}
+    assert got == {1: (16100, 23900), 2: (0, 4000), 3: (0, 5000), 4: (0, 3950), 5: (9990, 90000)}
+
+
+def test_duals_of_both_strands(spark):
+    columns = "aid long, qid long, sid long, qdir int, qoff long, qend long, qsize long, soff long, send long, ident double, masked boolean"
+    left, right = (0, 2000, 5000), (3000, 5000, 5000)
+
+    def rows(*pairs):
+        return spark.createDataFrame([(10 * q + side, q, 1, d, *(left, right)[side], s, s + 2000, i, m) for q, d, *sides in pairs for side, (s, i, m) in enumerate(sides)], columns)
+
+    d = rows((1, 0, (100, 80.0, False), (9000, 80.0, False)), (2, 0, (9000, 80.0, False), (100, 80.0, False)), (3, 1, (9000, 80.0, False), (100, 80.0, False)), (4, 1, (100, 80.0, False), (9000, 80.0, False)), (5, 0, (100, 80.0, True), (9000, 80.0, False)), (6, 0, (100, 60.0, False), (9000, 80.0, False)), (7, 0, (100, 80.0, False), (40000, 80.0, False)))
+    pairs = hits.dual_pairs(d, masked="masked")
+    assert sorted(r.qid for r in pairs.collect()) == [1, 2, 3, 4]
+    assert sorted((r.qid, r.soff, r.send) for r in hits.unique_duals(pairs).collect()) == [(1, 100, 11000), (3, 100, 11000)]
+    assert hits.dual_pairs(d.withColumn("eff", F.lit(75.0)), effective="eff").where("qid = 6").count() == 1
+    # two strands: a pair, but not one to be chained
+    two = rows((8, 0, (100, 80.0, False), (9000, 80.0, False))).withColumn("qdir", F.col("aid").cast("int") % 2)
+    assert hits.dual_pairs(two).count() == 1 and hits.unique_duals(hits.dual_pairs(two)).count() == 0
+
+
 def test_strict_groups():
     assert signatures.strict_groups(np.array([0, 1, 2, 3])) == [(0, 4)]
     assert signatures.strict_groups(np.array([0, 1, 2])) == []
 
 
 def test_strict_groups_against_the_definition():
-    def slow(s):
-        out, start, n = [], 0, len(s)
-        while start < n:
-            i, at, end = start, s[start], s[start] + 10
-            j = next((k for k in range(i, n) if s[k] >= end), n)
-            best, mid, count = j - i, i + (j - i) // 2, j - i
-            while j < n:
-                gone = sum(1 for k in range(i, j) if s[k] == at)
-                come = 0
-                while j + come < n and s[j + come] == end + 1:
-                    come += 1
-                if not come:
-                    break
-                count, at, end, i, j = count + come - gone, at + 1, end + 1, i + gone, j + come
-                if count > best:
-                    best, mid = count, i + count // 2
-            a, b = mid, mid + 1
-            while a > start and s[mid] - s[a - 1] <= 20:
-                a -= 1
-            while b < n and s[b] - s[mid] <= 20:
-                b += 1
-            if b - a >= 4:
-                out.append((a, b))
-            start = b
+    def plain(s):
+        left, out = list(s), []
+        while left:
+            p = left[0]
+            windows = [[x for x in left if p <= x < p + 10]]
+            if p + 10 not in left:
+                for t in range(1, 200):
+                    if p + 10 + t not in left:
+                        break
+                    windows.append([x for x in left if p + t <= x <= p + 10 + t])
+            full = max(windows, key=len)
+            middle = full[len(full) // 2]
+            group = [x for x in left if abs(x - middle) <= 20]
+            if len(group) >= 4:
+                out.append(group)
+            left = [x for x in left if x > middle + 20]
         return out
 
     rng = random.Random(5)
-    for _ in range(300):
-        s = sorted(rng.randrange(120) for _ in range(rng.randrange(1, 40)))
-        assert signatures.strict_groups(np.array(s)) == slow(s)
+    for _ in range(400):
+        s = sorted(rng.randrange(rng.choice((40, 120, 400))) for _ in range(rng.randrange(1, 60)))
+        assert [s[a:b] for a, b in signatures.strict_groups(np.array(s))] == plain(s)
+
+
+def test_islands_do_not_change_groups(spark):
+    rng = random.Random(11)
+    rows = [(i, i % 2, 6 * (i % 3 == 0), rng.randrange(60_000), 40 + rng.randrange(6)) for i in range(6000)]
+    got = signatures.group_signatures(spark.createDataFrame(rows, ["qid", "sid", "type", "sfrom", "len"])).collect()
+    assert len({r.island for r in got}) > 20
+    for sid in (0, 1):
+        for kind in (0, 6):
+            mine = sorted(((s, q, n) for q, i, t, s, n in rows if (i, t) == (sid, kind)))
+            want = signatures._fold(np.array([m[0] for m in mine]), np.array([m[2] for m in mine]), signatures.SvOptions())
+            members = lambda p: sorted(mine[i][1] for x, _, _, i in want if x == p)
+            for p in (1, 2):
+                assert sorted(r.qid for r in got if (r.sid, r.type, r["pass"]) == (sid, kind, p)) == members(p)
+    ids = signatures.with_group_ids(signatures.group_signatures(spark.createDataFrame(rows, ["qid", "sid", "type", "sfrom", "len"]))).collect()
+    for sid in (0, 1):
+        order = sorted({(-r.type, r["pass"], r.island, r.group_nth, r.group_id) for r in ids if r.sid == sid})
+        assert [x[-1] for x in order] == list(range(len(order))) and len(order) > 10
 
 
 def test_relaxed_groups():
