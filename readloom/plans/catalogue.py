@@ -119,7 +119,8 @@ def p12_cigar(spark, d):
     return views.pairs(spark, d).select("pid", al.cigar("q_aln", "s_aln").alias("cigar"))
 
 
-@query()
+@query(f"""{"WITH " + views.PAIRS_SQL}, t AS (SELECT pid, regexp_extract_all(array_to_string(list_transform(range(1, length(q_aln) + 1), lambda i: CASE WHEN s_aln[i] = '-' THEN '' WHEN q_aln[i] = '-' THEN '^' || s_aln[i] WHEN q_aln[i] = s_aln[i] THEN '=' ELSE 'x' || s_aln[i] END), ''), '=+|x[A-Z]|(\\^[A-Z])+') AS p FROM pairs)
+SELECT pid, array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i][1] = '=' THEN '' ELSE CASE WHEN i > 1 AND p[i - 1][1] = '=' THEN length(p[i - 1]) ELSE 0 END || CASE WHEN p[i][1] = 'x' THEN p[i][2] ELSE '^' || replace(p[i], '^', '') END END), '') || CASE WHEN len(p) > 0 AND p[len(p)][1] = '=' THEN length(p[len(p)]) ELSE 0 END AS md FROM t""")
 def p13_md(spark, d):
     return views.pairs(spark, d).select("pid", al.md("q_aln", "s_aln").alias("md"))
 
@@ -464,26 +465,57 @@ def a24_longest_covered_run(spark, d):
     return intervals.longest_covered(views.alignments(spark, d).select("sid", F.col("soff").alias("from"), F.col("send").alias("to")), ["sid"], 5, 500)
 
 
+#: The strict scan's windows, stated by place: ``near`` are the positions that are left, from p on.
+_GROUPS = """lst AS (SELECT sid, type, list(sfrom ORDER BY sfrom, qid, len) AS s FROM sig GROUP BY sid, type),
+num AS (SELECT *, row_number() OVER (PARTITION BY sid, type ORDER BY sfrom, qid, len) AS i, lag(sfrom) OVER (PARTITION BY sid, type ORDER BY sfrom, qid, len) AS back FROM sig),
+isl AS (SELECT *, CAST(sum(CASE WHEN back IS NULL OR sfrom > back + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY sid, type ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM num),
+st(sid, type, i, mid) AS (SELECT sid, type, 1, CAST(NULL AS BIGINT) FROM lst
+ UNION ALL SELECT sid, type, i + len(list_filter(near, lambda x: x <= mid + 20)), mid FROM (
+  SELECT sid, type, i, near, list_filter(near, lambda x: x >= p + best AND x <= p + 10 + best - CASE WHEN best = 0 THEN 1 ELSE 0 END)[1 + sizes[best + 1] // 2] AS mid FROM (
+   SELECT *, list_position(sizes, list_max(sizes)) - 1 AS best FROM (
+    SELECT *, list_transform(range(0, more + 1), lambda t: len(list_filter(near, lambda x: x >= p + t AND x <= p + 10 + t - CASE WHEN t = 0 THEN 1 ELSE 0 END))) AS sizes FROM (
+     SELECT *, CASE WHEN list_contains(near, p + 10) THEN 0 ELSE list_min(list_filter(range(0, len(near) + 1), lambda t: NOT list_contains(near, p + 11 + t))) END AS more FROM (
+      SELECT st.sid, st.type, st.i, s[st.i] AS p, list_filter(s[st.i:st.i + 400], lambda x: x <= s[st.i] + 2000) AS near FROM st JOIN lst ON lst.sid = st.sid AND lst.type = st.type WHERE st.i <= len(s))))))),
+steps AS (SELECT sid, type, lag(i) OVER w AS a, i - 1 AS b, mid FROM st WINDOW w AS (PARTITION BY sid, type ORDER BY i)),
+hit AS (SELECT n.sid, n.type, n.island, n.i, n.qid, n.sfrom, n.len, s.a FROM steps s JOIN isl n ON n.sid = s.sid AND n.type = s.type AND n.i BETWEEN s.a AND s.b AND abs(n.sfrom - s.mid) <= 20),
+strict AS (SELECT *, count(*) OVER (PARTITION BY sid, type, a) AS size FROM hit),
+one AS (SELECT sid, type, 1 AS pass, island, a AS g, row_number() OVER (PARTITION BY sid, type, a ORDER BY i) - 1 AS member, i, qid, sfrom, len FROM strict WHERE size >= 4),
+rest AS (SELECT *, row_number() OVER (PARTITION BY sid, type ORDER BY i) AS k FROM isl WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.sid = isl.sid AND one.type = isl.type AND one.i = isl.i)),
+rl AS (SELECT sid, type, list({'s': sfrom, 'n': len, 'i': i} ORDER BY k) AS r FROM rest GROUP BY sid, type),
+rx(sid, type, a, j, last, got, done) AS (SELECT sid, type, CAST(1 AS BIGINT), CAST(2 AS BIGINT), CAST(1 AS BIGINT), CAST([] AS BIGINT[]), false FROM rl
+ UNION ALL SELECT sid, type, CASE WHEN goes THEN a WHEN len(got) < 4 THEN a + 1 ELSE last + 1 END, CASE WHEN goes THEN j + 1 WHEN len(got) < 4 THEN a + 2 ELSE last + 2 END, CASE WHEN goes THEN CASE WHEN alike THEN j ELSE last END WHEN len(got) < 4 THEN a + 1 ELSE last + 1 END,
+  CASE WHEN goes THEN CASE WHEN alike THEN list_append(got, j) ELSE got END ELSE [] END, false FROM (
+   SELECT rx.*, coalesce(j <= len(r) AND r[j].s <= r[last].s + 50, false) AS goes, coalesce(abs(r[j].n - r[last].n) <= 0.1::DOUBLE * greatest(r[j].n, r[last].n) AND abs(r[j].n - r[last].n) <= 50, false) AS alike FROM rx JOIN rl ON rl.sid = rx.sid AND rl.type = rx.type WHERE rx.a <= len(r))),
+full_ AS (SELECT sid, type, a, max_by(got, j) AS got FROM rx GROUP BY sid, type, a HAVING max(len(got)) >= 4),
+two AS (SELECT sid, type, 2 AS pass, a AS g, unnest(list_append(got, a)) AS k, unnest(range(len(got) + 1)) AS member FROM full_),
+every AS (SELECT sid, type, pass, island, g, member, qid, sfrom, len FROM one UNION ALL SELECT two.sid, two.type, pass, island, g, member, qid, sfrom, len FROM two JOIN rest USING (sid, type, k)),
+groups AS (SELECT sid, type, CAST(pass AS INT) AS pass, min(island) OVER (PARTITION BY sid, type, pass, g) AS island, g, CAST(member AS INT) AS member, qid, sfrom, len FROM every),
+found AS (SELECT sid, type, pass, island, CAST(dense_rank() OVER (PARTITION BY sid, type, pass, island ORDER BY g) - 1 AS INT) AS group_nth, member, qid, sfrom, len FROM groups),
+ids AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY sid ORDER BY type DESC, pass, island, group_nth) - 1 AS BIGINT) AS group_id FROM found)"""
+_GROUPED = f"WITH RECURSIVE {views.SIG_SQL}, {_GROUPS}"
+_CALLS = "SELECT sid, type, group_id, list_sort(list(sfrom))[count(*) // 2 + 1] AS pos, list_sort(list(len))[count(*) // 2 + 1] AS len, count(DISTINCT qid) AS support FROM ids GROUP BY sid, type, group_id"
+
+
 def _groups(spark, d):
     return signatures.group_signatures(views.signatures(spark, d))
 
 
-@query()
+@query(f"{_GROUPED} SELECT * FROM found WHERE pass = 1")
 def w01_strict_groups(spark, d):
     return _groups(spark, d).where("pass = 1")
 
 
-@query()
+@query(f"{_GROUPED} SELECT * FROM found WHERE pass = 2")
 def w02_relaxed_groups(spark, d):
     return _groups(spark, d).where("pass = 2")
 
 
-@query()
+@query(f"{_GROUPED} SELECT sid, group_id, type, member, qid FROM ids")
 def k16_group_ids(spark, d):
     return signatures.with_group_ids(_groups(spark, d)).select("sid", "group_id", "type", "member", "qid")
 
 
-@query()
+@query(f"{_GROUPED} SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY sid, type, pass, island, group_nth, qid ORDER BY member) = 1")
 def a20_dedup_members(spark, d):
     return signatures.first_of_each_read(_groups(spark, d))
 
@@ -497,7 +529,7 @@ def a21_similarity_top50(spark, d):
     return signatures.most_alike(days, ["sid", "type", "day"]).select("qid", "sid", "type", "day", "sfrom", "len", "votes")
 
 
-@query()
+@query(f"{_GROUPED} {_CALLS}")
 def k21_simple_calls(spark, d):
     return signatures.simple_calls(signatures.with_group_ids(_groups(spark, d)))
 
@@ -641,7 +673,13 @@ def a23_consensus(spark, d):
     return consensus.consensus(consensus.pileup(v), consensus.coverage(v))
 
 
-@query()
+@query(f"""WITH {views.SIG_SQL}, p AS (SELECT concat_ws(':', sid, type, sfrom // 1440) AS cell, qid AS pid, CAST(sfrom AS DOUBLE) AS x, CAST(len AS DOUBLE) AS y FROM sig), size AS (SELECT cell, count(*) AS n FROM p GROUP BY cell),
+d AS (SELECT a.cell, a.pid, b.pid AS o, sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 2) AS d FROM p a JOIN p b ON a.cell = b.cell AND a.pid <> b.pid JOIN size ON size.cell = a.cell AND n > 5),
+kd AS (SELECT cell, pid, max(d) AS kd FROM (SELECT *, row_number() OVER (PARTITION BY cell, pid ORDER BY d) AS r FROM d) WHERE r <= 5 GROUP BY cell, pid),
+near AS (SELECT d.* FROM d JOIN kd USING (cell, pid) WHERE d <= kd),
+den AS (SELECT near.cell, near.pid, 1 / greatest(avg(greatest(kd.kd, d)), 1e-12) AS density FROM near JOIN kd ON kd.cell = near.cell AND kd.pid = near.o GROUP BY near.cell, near.pid),
+lof AS (SELECT near.cell, near.pid, avg(o.density) / any_value(m.density) AS lof FROM near JOIN den o ON o.cell = near.cell AND o.pid = near.o JOIN den m ON m.cell = near.cell AND m.pid = near.pid GROUP BY near.cell, near.pid)
+SELECT p.cell, p.pid, round(coalesce(lof, 1.0), 6) AS lof, coalesce(round(lof, 9) > 1.0, false) AS outlier FROM p LEFT JOIN lof USING (cell, pid)""")
 def a26_lof(spark, d):
     points = views.signatures(spark, d).select(F.concat_ws(":", "sid", "type", F.expr("sfrom div 1440")).alias("cell"), F.col("qid").alias("pid"), F.col("sfrom").cast("double").alias("x"), F.col("len").cast("double").alias("y"))
     return align.outlier_factors(points, "cell")
@@ -681,10 +719,14 @@ def u01_union(spark, d):
     return both.groupBy("sid").agg(F.count("*").alias("n"), F.countDistinct("qid").alias("reads"))
 
 
-@query()
+_BEST_SQL = "c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS alone FROM am WHERE qoff <= 300 AND qsize - qend <= 300), k AS (SELECT *, row_number() OVER w AS n, lead(ident) OVER w AS nx FROM c WHERE ident >= 70 WINDOW w AS (PARTITION BY qid ORDER BY ident DESC, aid)), best AS (SELECT qid FROM k WHERE n = 1 AND (nx IS NULL OR ident - nx > 10) AND NOT masked)"
+_KEPT_SQL = f"{_DUAL.replace(', e AS (', ', me AS (').replace('FROM e)', 'FROM me)')}, {_BEST_SQL}, lone AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM dual), kept AS (SELECT qid FROM best UNION SELECT qid FROM lone WHERE n = 1 AND ldir = rdir AND CASE WHEN ldir = 0 THEN lb <= rb ELSE rb <= lb END)"
+
+
+@query(f"WITH RECURSIVE {_KEPT_SQL}, {views.SIG_SQL.replace('sig AS', 'sig0 AS')}, sig AS (SELECT * FROM sig0 WHERE qid IN (SELECT qid FROM kept)), {_GROUPS} {_CALLS}")
 def pipeline_sv(spark, d):
     """Reads of one best complete alignment or of one pair of duals, their signatures' groups and the calls of these."""
-    a = _with_mask(spark, d)
+    a = mapping.cut_lineage(_with_mask(spark, d))  # read by both rules
     kept = hits.best_complete(a, 70, masked="masked").select("qid").unionByName(hits.unique_duals(hits.dual_pairs(a, masked="masked")).select("qid"))
     sigs = views.signatures(spark, d).join(kept.select(F.col("qid")).distinct(), "qid", "left_semi")
     return signatures.simple_calls(signatures.with_group_ids(signatures.group_signatures(sigs)))
