@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.blocks import block_texts, bucket_bits, count_over_blocks, from_planes, planes, save_blocks, sent
-from readloom.llm.common import partitions
+from readloom.llm.common import partitions, save
 from readloom.llm.hashing import WordHashes, grams, mix, sliding_min
 
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -183,7 +183,7 @@ def _recurring_windows(blocks: DataFrame, phrase: int, window: int) -> DataFrame
     dealt = each.repartition(partitions(blocks.sparkSession), "phrase").sortWithinPartitions("phrase")
     confirmed = dealt.mapInArrow(_recurring, "block long, phrase binary").groupBy("block").agg(F.collect_list("phrase").alias("again"))  # at most the block's own
     found = texts.join(confirmed, "block").select("block", "lens", "blob", "again").mapInArrow(_locate(phrase, window, bucket_bits(blocks)), "bucket long, block long, hashes binary, check binary, n binary")
-    return count_over_blocks(found, 8, _again)
+    return save(count_over_blocks(found, 8, _again), "phrase-again")  # so that what it took can be cleaned up before the texts are dealt again
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, phrase: int = 8, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
