@@ -548,6 +548,12 @@ def t08_edit_distance(spark, d):
     return views.pairs(spark, d).select("pid", F.levenshtein(bare("q_aln"), bare("s_aln")).alias("dist"))
 
 
+@query()
+def t08_prefix_distance(spark, d):
+    """Edit distance to the best prefix of the subject's piece."""
+    return _windows(spark, d).select("pid", traceback.prefix_distance("q", "s").alias("p")).select("pid", "p.*")
+
+
 @query()
 def t02_affine_global_score(spark, d):
     bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
