@@ -6,10 +6,7 @@ a record, and the lines up to the next header are joined. Nothing is read on the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions.sequence import plausible_bases, split_header
@@ -45,19 +42,40 @@ def read_fasta(spark: SparkSession, paths: str | list[str], mode: str = "DROPMAL
     return rows.select("name", "comment", "seq")
 
 
-def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Records of four lines: name, comment, seq, qual. A file is one task's stream of lines, files run in parallel."""
+def _numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines that aren't empty: file, n (from 0 in the file), value. Blocks of a file are read in parallel; a block's
+    lines are numbered on their own, and the blocks' counts, one row each, tell where each begins."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i")).where(F.length("value") > 0)
+    own = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_i")) - 1
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_k")).select("file", "_block", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_first"))
+    return lines.withColumn("_own", own).join(blocks, ["file", "_block"]).select("file", (F.col("_first") + F.col("_own")).alias("n"), "value")
+
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["value"]:
-                lines = [x for x in content.replace("\r", "").split("\n") if x]
-                n = len(lines) // 4 * 4
-                heads = [x[1:].split(None, 1) if x[:1] == "@" else [] for x in lines[0:n:4]]
-                out = [(h[0], h[1] if len(h) > 1 else "", s.upper(), q) for h, s, q in zip(heads, lines[1:n:4], lines[3:n:4], strict=True) if h and len(s) == len(q)]
-                yield pd.DataFrame(out, columns=["name", "comment", "seq", "qual"])
+def read_fastq(spark: SparkSession, paths: str | list[str], mode: str = "DROPMALFORMED") -> DataFrame:
+    """Records of four lines: name, comment, seq, qual.
 
-    return spark.read.text(paths, wholetext=True).mapInPandas(records, "name string, comment string, seq string, qual string")
+    A record is a line that begins with @ and a name, a line of bases, one that begins with + and one as long as the
+    bases'. mode: DROPMALFORMED leaves out lines that are part of no record, so reading goes on at the next one;
+    FAILFAST raises for them. Files are cut into stretches of lines, with three lines of either neighbour.
+    """
+    stretch, more = 1 << 16, 3
+    n = F.col("n")
+    lines = _numbered_lines(spark, paths).withColumn("_g", F.floor(n / stretch))
+    near = F.array(F.col("_g"), F.when(n % stretch < more, F.col("_g") - 1), F.when(n % stretch >= stretch - more, F.col("_g") + 1))
+    w = Window.partitionBy("file", "_part").orderBy("n")
+    d = lines.withColumn("_part", F.explode(F.array_compact(near)))
+    d = d.withColumns({f"_l{k}": F.lead("value", k).over(w) for k in (1, 2, 3)})
+    good = F.col("value").rlike(r"^@\S") & F.col("_l2").startswith("+") & (F.length("_l1") == F.length("_l3")) & ~F.col("_l1").startswith("+")
+    d = d.withColumn("_start", F.coalesce(good, F.lit(False)))
+    d = d.withColumn("_inside", F.max("_start").over(w.rowsBetween(-more, 0))).where("_part = _g")
+    name, comment = split_header(F.substring("value", 2, 1 << 30))
+    if mode == "FAILFAST":
+        name = F.when(F.col("_start"), name).otherwise(F.raise_error(F.concat(F.lit("malformed line "), n.cast("string"))))
+        d = d.where("_start or not _inside")
+    else:
+        d = d.where("_start")
+    return d.select(name.alias("name"), comment.alias("comment"), F.upper("_l1").alias("seq"), F.col("_l3").alias("qual"))
 
 
 def read_listed(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Sources, sinks and the incremental run."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from readloom.sources import fasta, records
 from readloom.streaming import incremental
 
@@ -17,8 +20,42 @@ def test_fasta(spark, tmp_path):
 
 
 def test_fastq(spark, tmp_path):
-    (tmp_path / "a.fq").write_text("@r1 x\nACGT\n+\nIIII\n@r2\nAC\n+\nII\n")
-    assert {(r.name, r.seq, r.qual) for r in fasta.read_fastq(spark, str(tmp_path / "a.fq")).collect()} == {("r1", "ACGT", "IIII"), ("r2", "AC", "II")}
+    good = "@r1 x\nACGT\n+\nIIII\n@r2\nAC\n+r2\n@@\n"
+    (tmp_path / "a.fq").write_text(good)
+    want = {("r1", "x", "ACGT", "IIII"), ("r2", "", "AC", "@@")}
+    for mode in ("DROPMALFORMED", "FAILFAST"):
+        assert {tuple(r) for r in fasta.read_fastq(spark, str(tmp_path / "a.fq"), mode).collect()} == want
+    (tmp_path / "b.fq").write_text("@r0\nACG\n+\nII\nnoise\n" + good + "@r3\nAC\n")
+    assert {tuple(r) for r in fasta.read_fastq(spark, str(tmp_path / "b.fq")).collect()} == want
+    with pytest.raises(Exception, match="malformed"):
+        fasta.read_fastq(spark, str(tmp_path / "b.fq"), "FAILFAST").collect()
+
+
+def test_fastq_of_several_blocks(spark, tmp_path):
+    """A file is cut anywhere, also within records."""
+    rows = [(f"r{i}", "ACGT" * (1 + i % 9), "I@+#" * (1 + i % 9)) for i in range(3000)]
+    (tmp_path / "c.fq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in rows))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(tmp_path / "c.fq")).rdd.getNumPartitions() > 5
+        assert sorted((r.name, r.seq, r.qual) for r in fasta.read_fastq(spark, str(tmp_path / "c.fq"), "FAILFAST").collect()) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_groups_and_masks(spark, tmp_path):
+    d = spark.createDataFrame([(0, 6, 3, 0, 11, 5, 50), (0, 6, 3, 1, 12, 6, 51), (0, 0, 4, 0, 13, 9, 70)], "sid long, type int, group_id long, member int, qid long, sfrom long, len long")
+    records.group_lines(d).write.text(str(tmp_path / "g"))
+    got = records.read_groups(spark, str(tmp_path / "g")).collect()
+    assert sorted((r.sid, r.type, r.group_id, r.member, r.qid, r.sfrom, r.len) for r in got) == sorted(map(tuple, d.collect()))
+    with pytest.raises(Exception, match="missing"):
+        records.parse_groups(spark.createDataFrame([(">\t7\t2\n1\t0\t6\t5\t50",)], "value string")).collect()
+    (tmp_path / "m.bed").write_text("a\t5\t9\na\t9\t9\nb\t0\t4\n")
+    subjects = spark.createDataFrame([("a", 9)], "name string, size long")
+    assert [tuple(r) for r in records.read_mask(spark, str(tmp_path / "m.bed"), subjects).collect()] == [("a", 5, 9)]
+    with pytest.raises(Exception, match="beyond"):
+        records.read_mask(spark, str(tmp_path / "m.bed"), subjects.withColumn("size", F.lit(8))).collect()
 
 
 def test_records(spark, tmp_path):
