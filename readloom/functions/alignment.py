@@ -81,6 +81,13 @@ def anchored(q: str, s: str, anchor: int = 8) -> tuple[Column, Column]:
     return F.when(first > 0, first - 1).otherwise(0), F.when(first > 0, F.length(ops) - last + 1).otherwise(0)
 
 
+def split_mismatches(q: str, s: str) -> tuple[Column, Column]:
+    """Both strings with each mismatch as two columns: the subject's base against a gap, then the query's."""
+    other = lambda a, b: (a != b) & (a != "-") & (b != "-")
+    one = lambda x, y: F.array_join(F.zip_with(F.split(q, ""), F.split(s, ""), lambda a, b: F.when(other(a, b), x(a, b)).otherwise(y(a, b))), "")
+    return one(lambda a, b: F.concat(F.lit("-"), a), lambda a, b: a), one(lambda a, b: F.concat(b, F.lit("-")), lambda a, b: b)
+
+
 def gap_runs(q: str, s: str, qoff: Column, soff: Column, least: int = 40) -> Column:
     """Array of the alignment's gap runs of ``least`` or more: type, qfrom, qto, sfrom, sto.
 

@@ -35,6 +35,10 @@ def sub_read(seq: str, start: str, end: str, strand: str) -> Column:
     return F.when(F.col(strand) == REV, F.substring(reverse_complement(seq), F.col(start).cast("int") + 1, n.cast("int"))).otherwise(forward)
 
 
+def long_enough(seq: str, bases: int) -> Column:
+    return F.length(seq) >= bases
+
+
 def flip(start: Column, end: Column, size: Column) -> tuple[Column, Column]:
     """An interval seen from the other strand."""
     return size - end, size - start

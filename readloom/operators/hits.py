@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.operators.intervals import islands
 from readloom.schemas import REV
 
 
@@ -33,13 +34,18 @@ def covers(bases: int, percent: float, start: str = "qoff", end: str = "qend", s
     return (span >= bases) | (100 * span >= percent * F.col(size))
 
 
+def best_scores(rows: DataFrame) -> DataFrame:
+    """The best score of each query and subject: qid, sid, best."""
+    return rows.groupBy("qid", "sid").agg(F.max("score").alias("best"))
+
+
 def top_subjects(rows: DataFrame, k: int, one_each: bool = False) -> DataFrame:
     """Rows of each query's ``k`` best subjects by their best score; one_each: only the best row of each.
 
     Ties go to the smaller subject and the smaller row id. The best score of a pair is a partial aggregation; only
     the pairs, not their rows, are ranked.
     """
-    best = rows.groupBy("qid", "sid").agg(F.max("score").alias("best"))
+    best = best_scores(rows)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("best"), "sid"))
     chosen = best.withColumn("subject_rank", rank).where(F.col("subject_rank") <= k).select("qid", "sid", "subject_rank")
     kept = rows.join(chosen, ["qid", "sid"])
@@ -55,6 +61,22 @@ def top_hsps(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("hsp_rank", F.row_number().over(order)).where(F.col("hsp_rank") <= k)
 
 
+def top_window_hsps(rows: DataFrame, k: int, gap: int = 500, more_windows: int = 2, each: int = 3) -> DataFrame:
+    """The first ``k`` rows of each query and subject, window by window.
+
+    Windows are the rows of a strand that lie at most ``gap`` apart on the subject, the one with the best row first
+    (then by strand and place); no more than ``k`` + ``more_windows`` of them are looked at, and in each the ``each``
+    best rows. Adds window and hsp_rank.
+    """
+    own = Window.partitionBy("qid", "sid", "qdir", "_island")
+    d = islands(rows, ["qid", "sid", "qdir"], "soff", "send", gap, ("aid",))
+    d = d.withColumns({"_best": F.max("score").over(own), "_first": F.min("soff").over(own), "_nth": F.row_number().over(own.orderBy(F.desc("score"), "aid"))})
+    pair = Window.partitionBy("qid", "sid")
+    d = d.withColumn("window", F.dense_rank().over(pair.orderBy(F.desc("_best"), "qdir", "_first"))).where((F.col("window") <= k + more_windows) & (F.col("_nth") <= each))
+    d = d.withColumn("hsp_rank", F.row_number().over(pair.orderBy("window", "_nth"))).where(F.col("hsp_rank") <= k)
+    return d.drop("_best", "_first", "_nth", "_island")
+
+
 def top_support(rows: DataFrame, k: int) -> DataFrame:
     """Each subject's ``k`` best supporting queries; Spark keeps ``k`` a subject in each task before they meet."""
     best = rows.groupBy("sid", "qid").agg(F.max("score").alias("score"))

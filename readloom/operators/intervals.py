@@ -53,8 +53,9 @@ def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0
 
 
 def merge(rows: DataFrame, keys: list[str], start: str = "from", end: str = "to", gap: int = 0, score: str | None = None) -> DataFrame:
-    """Union of intervals a key, those at most ``gap`` apart being one: hull, number, and the greatest score."""
-    more = [F.max(score).alias(score)] if score else []
+    """Union of intervals a key, those at most ``gap`` apart being one: hull, number, the sum of the sizes, and the
+    greatest score."""
+    more = [F.sum(F.col(end) - F.col(start)).alias("residues"), *([F.max(score).alias(score)] if score else [])]
     return islands(rows, keys, start, end, gap).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *more).drop("_island")
 
 
@@ -90,6 +91,15 @@ def depth(rows: DataFrame, keys: list[str], start: str = "from", end: str = "to"
     return steps.where("depth > 0 and to is not null").select(*keys, F.col("at").alias("from"), "to", "depth")
 
 
+def saturated(rows: DataFrame, depths: DataFrame, keys: list[str], row_id: str, most: int, slack: int = 200) -> DataFrame:
+    """Add ``full``: do fewer than ``slack`` places of a row's span have a depth (see ``depth``) under ``most``?"""
+    deep = merge(depths.where(F.col("depth") >= most), keys)
+    over = binned_overlap(rows.select(row_id, *keys, "from", "to"), deep, keys)
+    sums = over.groupBy(row_id).agg(F.sum(F.least("to", "r_to") - F.greatest("from", "r_from")).alias("_deep"))
+    left = F.col("to") - F.col("from") - F.coalesce("_deep", F.lit(0))
+    return rows.join(sums, row_id, "left").withColumn("full", left < slack).drop("_deep")
+
+
 def longest_covered(rows: DataFrame, keys: list[str], min_depth: int, min_size: int = 0) -> DataFrame:
     """The longest stretch a key of at least ``min_depth``; the first of equals."""
     deep = merge(depth(rows, keys).where(F.col("depth") >= min_depth), keys)

@@ -136,6 +136,11 @@ def first_of_each_read(groups: DataFrame) -> DataFrame:
     return groups.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def with_reads(members: DataFrame, reads: DataFrame) -> DataFrame:
+    """Group members with their raw reads: adds ``seq`` of the read (rid, seq); members without one are dropped."""
+    return members.join(reads.select(F.col("rid").alias("qid"), "seq"), "qid")
+
+
 def most_alike(members: DataFrame, keys: list[str], most: int = 50, share: float = 0.2, size: str = "len") -> DataFrame:
     """Groups of more than ``most`` members keep the ``most`` that are like most others in length.
 

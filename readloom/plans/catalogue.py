@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom import schemas
 from readloom.functions import alignment as al
 from readloom.functions import sequence as sq
 from readloom.operators import align, consensus, hits, intervals, kmers, mapping, signatures, stats, traceback, volumes
 from readloom.plans import views
+from readloom.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -125,6 +127,22 @@ def p13_md(spark, d):
     return views.pairs(spark, d).select("pid", al.md("q_aln", "s_aln").alias("md"))
 
 
+_SPLIT = "array_to_string(list_transform(range(1, length(q_aln) + 1), lambda i: CASE WHEN q_aln[i] <> s_aln[i] AND q_aln[i] <> '-' AND s_aln[i] <> '-' THEN {} ELSE {} END), '')"
+
+
+@query(f"WITH {views.PAIRS_SQL} SELECT pid, {_SPLIT.format("'-' || q_aln[i]", 'q_aln[i]')} AS q_aln, {_SPLIT.format("s_aln[i] || '-'", 's_aln[i]')} AS s_aln FROM pairs")
+def p23_split_mismatches(spark, d):
+    q, s = al.split_mismatches("q_aln", "s_aln")
+    return views.pairs(spark, d).select("pid", q.alias("q_aln"), s.alias("s_aln"))
+
+
+@query()
+def p23_pushed_gaps(spark, d):
+    """Mismatches split, gaps pushed to the right."""
+    q, s = al.split_mismatches("q_aln", "s_aln")
+    return views.pairs(spark, d).select("pid", traceback.push_gaps(q, s).alias("p")).select("pid", "p.*")
+
+
 @query(f"WITH {views.ALN_SQL} SELECT qid, qdir, qoff, qend, qsize, sid, soff, send, CAST(floor((qend - qoff + send - soff) * (100 - ident) / 200) AS INT) AS dist FROM aln")
 def p14_dist(spark, d):
     return hits.to_sv_reads(views.alignments(spark, d))
@@ -270,27 +288,120 @@ def t06_window(spark, d):
     return kmers.window(views.alignments(spark, d).withColumn("ssize", near)).select("aid", "sfrom", "sto")
 
 
-@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+_NAMED = f"{views.ALN_SQL}, named AS (SELECT *, 'r' || qid % 1200 AS qname, 's' || sid AS sname, CAST(0 AS INT) AS sdir, qend - qoff AS columns, (qend - qoff) * ident // 100 AS matches, (qend - qoff) || 'M' AS cigar, (qend - qoff) || 'A0' AS md, 'ACGT' AS seq, ident - 0.25::DOUBLE * (aid % 4) AS eff FROM aln)"
+
+
+def _named(spark, d):
+    """The alignments with names, and columns that stand for a path."""
+    a = views.alignments(spark, d)
+    size = F.col("qend") - F.col("qoff")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return a.withColumns({"qname": name("r", F.col("qid") % 1200), "sname": name("s", F.col("sid")), "sdir": F.lit(0), "columns": size, "matches": F.floor(size * F.col("ident") / 100), "cigar": F.concat(size.cast("string"), F.lit("M")), "md": F.concat(size.cast("string"), F.lit("A0")), "seq": F.lit("ACGT"), "eff": F.col("ident") - 0.25 * (F.col("aid") % 4)})
+
+
+@query(f"WITH {_NAMED}, n AS (SELECT 'r' || doc_id AS name, doc_id AS id FROM documents) SELECT aid, id AS read FROM named JOIN n ON name = qname")
 def j03_name_lookup(spark, d):
-    t = lambda n: views.table(spark, d, n)
-    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+    names = views.reads(spark, d).select("name", F.col("rid").alias("id"))
+    return records.with_ids(_named(spark, d).select("aid", "qname"), names, "qname", "read").select("aid", "read")
 
 
-@query("SELECT o_orderkey, c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = o_orderkey % 200")
+@query(f"WITH {_NAMED}, n AS (SELECT 'r' || doc_id AS name, doc_id AS id FROM documents UNION ALL SELECT 's' || r_regionkey, -r_regionkey FROM region WHERE r_regionkey > 0) SELECT aid, a.id AS a, b.id AS b FROM named JOIN n a ON a.name = qname JOIN n b ON b.name = sname")
 def j12_id_remap(spark, d):
-    t = lambda n: views.table(spark, d, n)
-    o = t("orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 200).alias("k"))
-    return o.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("k") == F.col("s_suppkey")).select("o_orderkey", F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"))
+    regions = views.table(spark, d, "region").where("r_regionkey > 0").select(F.concat(F.lit("s"), F.col("r_regionkey").cast("string")).alias("name"), (-F.col("r_regionkey")).cast("long").alias("id"))
+    names = views.reads(spark, d).select("name", F.col("rid").cast("long").alias("id")).unionByName(regions)
+    return records.remapped(_named(spark, d).select("aid", "qname", "sname"), names, {"qname": "a", "sname": "b"})
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+@query(f"WITH {views.ALN_SQL} SELECT doc_id AS rid FROM documents WHERE doc_id IN (SELECT qid FROM aln WHERE ident >= 90)")
 def j11_semi(spark, d):
-    return views.table(spark, d, "customer").join(views.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    """Reads of a good alignment."""
+    good = views.alignments(spark, d).where("ident >= 90").select("qid")
+    return records.only(views.lengths(spark, d).select("rid"), good)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"WITH {views.ALN_SQL} SELECT doc_id AS rid FROM documents WHERE doc_id NOT IN (SELECT qid FROM aln WHERE ident >= 90)")
 def j11_anti(spark, d):
-    return views.table(spark, d, "customer").join(views.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Reads without a good alignment."""
+    good = views.alignments(spark, d).where("ident >= 90").select("qid")
+    return records.only(views.lengths(spark, d).select("rid"), good, keep=False)
+
+
+@query(f"WITH {views.READS_SQL}, {views.ALN_SQL} SELECT rid, name, seq FROM reads WHERE rid IN (SELECT qid FROM aln WHERE ident >= 95)")
+def s18_selected_reads(spark, d):
+    """Only the sequences that are asked for."""
+    return records.only(views.reads(spark, d), views.alignments(spark, d).where("ident >= 95").select("qid"))
+
+
+@query(f"WITH {views.READS_SQL}, p AS (SELECT *, length(seq) // 4 AS a, length(seq) - length(seq) // 3 AS b, CAST(rid % 2 AS INT) AS dir FROM reads) SELECT rid, dir, substr(CASE WHEN dir = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, a + 1, b - a) AS part FROM p")
+def s17_sub_reads(spark, d):
+    """A part of each read, of either strand."""
+    n = F.length("seq")
+    p = views.reads(spark, d).withColumns({"a": F.floor(n / 4), "b": n - F.floor(n / 3), "dir": (F.col("rid") % 2).cast("int")})
+    return p.select("rid", "dir", sq.sub_read("seq", "a", "b", "dir").alias("part"))
+
+
+@query("SELECT doc_id AS rid, lpad(CAST(row_number() OVER (ORDER BY doc_id) - 1 AS VARCHAR), 10, '0') AS name FROM documents")
+def k03_renamed(spark, d):
+    return records.renamed(views.lengths(spark, d).select("rid"), "rid")
+
+
+@query(f"WITH {views.READS_SQL} SELECT rid FROM reads WHERE length(seq) >= 1000")
+def f01_min_size(spark, d):
+    return views.reads(spark, d).where(sq.long_enough("seq", 1000)).select("rid")
+
+
+_M4 = "concat_ws(chr(9), qname, sname, printf('%.2f', ident::DOUBLE), score, qdir, qoff, qend, qsize, sdir, soff, send, ssize)"
+_SQL_TAGS = "'s1:i:' || score, 'NM:i:' || (columns - matches), 'AS:i:' || score"
+
+
+@query(f"WITH {_NAMED} SELECT {_M4} AS value FROM named")
+def k06_m4_lines(spark, d):
+    return records.m4_lines(_named(spark, d))
+
+
+@query(f"WITH {_NAMED} SELECT qname, sname, CAST(ident AS DOUBLE) AS ident, CAST(score AS INT) AS score, qdir, qoff, qend, qsize, sdir, soff, send, ssize FROM named")
+def s08_m4_round_trip(spark, d):
+    """Lines of alignments, written and parsed."""
+    return records.parsed(records.m4_lines(_named(spark, d)), schemas.ALIGNMENT)
+
+
+@query(f"WITH {_NAMED} SELECT concat_ws(chr(9), qname, qsize, qoff, qend, CASE WHEN qdir = 1 THEN '-' ELSE '+' END, sname, ssize, soff, send, matches, columns, 60, {_SQL_TAGS}, 'cg:Z:' || cigar, 'MD:Z:' || md) AS value FROM named")
+def k07_paf_lines(spark, d):
+    return records.paf_lines(_named(spark, d), cigar=True, md=True)
+
+
+_SAM = "qname, CASE WHEN qdir = 1 THEN 16 ELSE 0 END, sname, soff + 1, 60, CASE WHEN qoff > 0 THEN qoff || 'S' ELSE '' END || cigar || CASE WHEN qsize - qend > 0 THEN (qsize - qend) || 'S' ELSE '' END, '*', '*', 0, seq, '*'"
+
+
+@query(f"WITH {_NAMED} SELECT concat_ws(chr(9), {_SAM}, {_SQL_TAGS}, 'MD:Z:' || md) AS value FROM named")
+def k08_sam_lines(spark, d):
+    return records.sam_lines(_named(spark, d), md=True)
+
+
+@query(f"""WITH {_NAMED} SELECT concat_ws(chr(9), {_SAM}, {_SQL_TAGS}, 'RG:Z:g1', 'qs:i:' || qoff, 'qe:i:' || qend, 'ql:i:' || qsize, 'mc:f:' || ident, 'ec:f:' || regexp_replace(regexp_replace(printf('%.4f', eff), '0+$', ''), '\\.$', '')) AS value FROM named""")
+def k09_remapped_sam_lines(spark, d):
+    return records.sam_lines(_named(spark, d), group="g1", places=True)
+
+
+@query(f"WITH {_NAMED}, h AS (SELECT DISTINCT sname, ssize FROM named) SELECT 1 AS nth, concat_ws(chr(9), '@SQ', 'SN:' || sname, 'LN:' || ssize) AS value FROM h UNION ALL SELECT 0, concat_ws(chr(9), '@HD', 'VN:1.6', 'SO:unknown', 'GO:query') UNION ALL SELECT 2, concat_ws(chr(9), '@PG', 'ID:readloom', 'PN:readloom') UNION ALL SELECT 3, concat_ws(chr(9), '@RG', 'ID:subject1', 'SM:x')")
+def k10_sam_header(spark, d):
+    return records.sam_header(_named(spark, d).select("sname", "ssize").distinct(), group="subject1", sample="x")
+
+
+@query(f"WITH {views.ALN_SQL} SELECT concat_ws(chr(9), qid, sid, max(score)) AS value FROM aln GROUP BY qid, sid")
+def k11_candidate_lines(spark, d):
+    return records.candidate_lines(hits.best_scores(views.alignments(spark, d)).withColumnRenamed("best", "score"))
+
+
+@query(f"""WITH {views.ALN_SQL}, ev AS (SELECT sid, pos, sum(d) AS d FROM (SELECT sid, soff AS pos, 1 AS d FROM aln UNION ALL SELECT sid, send, -1 FROM aln) GROUP BY sid, pos), st AS (SELECT sid, pos AS f, lead(pos) OVER (PARTITION BY sid ORDER BY pos) AS t, sum(d) OVER (PARTITION BY sid ORDER BY pos ROWS UNBOUNDED PRECEDING) AS depth FROM ev),
+deep AS (SELECT * FROM st WHERE t IS NOT NULL AND depth >= (SELECT 0.9 * max(depth) FROM st)), k AS (SELECT aid, sum(least(send, t) - greatest(soff, f)) AS k FROM aln JOIN deep ON deep.sid = aln.sid AND soff < t AND f < send GROUP BY aid)
+SELECT aid, send - soff - coalesce(k, 0) < 200 AS full_ FROM aln LEFT JOIN k USING (aid)""")
+def f12_saturated(spark, d):
+    """Alignments whose places are nearly all among the deepest: nine tenths of the greatest depth, or more."""
+    a = views.alignments(spark, d).select("aid", "sid", F.col("soff").alias("from"), F.col("send").alias("to"))
+    depths = intervals.depth(a, ["sid"])
+    least = depths.agg(F.ceil(0.9 * F.max("depth"))).first()[0] or 0
+    return intervals.saturated(a, depths, ["sid"], "aid", least).select("aid", F.col("full").alias("full_"))
 
 
 _LONG_MASK = f"{views.MASK_SQL}, e AS (SELECT *, max(t) OVER (PARTITION BY sid ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mask WHERE t - f > {views.LONG}), i AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS k FROM e), u AS (SELECT sid, min(f) AS f, max(t) AS t FROM i GROUP BY sid, k)"
@@ -339,10 +450,10 @@ def j06_dual_cases(spark, d):
 
 
 _UNION = f"""{views.MASK_SQL}, e AS (SELECT *, max(t) OVER (PARTITION BY sid ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mask), i AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS k FROM e),
-u AS (SELECT sid, min(f) AS f, max(t) AS t, count(*) AS n FROM i GROUP BY sid, k)"""
+u AS (SELECT sid, min(f) AS f, max(t) AS t, count(*) AS n, CAST(sum(t - f) AS BIGINT) AS residues FROM i GROUP BY sid, k)"""
 
 
-@query(f'WITH {_UNION} SELECT sid, f AS "from", t AS "to", n FROM u')
+@query(f'WITH {_UNION} SELECT sid, f AS "from", t AS "to", n, residues FROM u')
 def a16_union(spark, d):
     return intervals.merge(views.mask(spark, d), ["sid"])
 
@@ -367,7 +478,7 @@ def f04_mask_filter(spark, d):
 
 @query(f"WITH {views.ALN_SQL} SELECT qid, sid, max(score) AS best FROM aln GROUP BY qid, sid")
 def a07_subject_best(spark, d):
-    return views.alignments(spark, d).groupBy("qid", "sid").agg(F.max("score").alias("best"))
+    return hits.best_scores(views.alignments(spark, d))
 
 
 _TOP = f"{views.ALN_SQL}, b AS (SELECT qid, sid, max(score) AS best FROM aln GROUP BY qid, sid), t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY best DESC, sid) AS subject_rank FROM b)"
@@ -388,13 +499,24 @@ def o06_topk_hsps(spark, d):
     return hits.top_hsps(views.alignments(spark, d), 2).select("aid", "hsp_rank")
 
 
+@query(f"""WITH {views.ALN_SQL}, near AS (SELECT *, sid % 2 AS s2 FROM aln), e AS (SELECT *, max(send) OVER w AS before FROM near WINDOW w AS (PARTITION BY qid, s2, qdir ORDER BY soff, send, aid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR soff > before + 9000 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, s2, qdir ORDER BY soff, send, aid ROWS UNBOUNDED PRECEDING) AS k FROM e),
+b AS (SELECT *, max(score) OVER (PARTITION BY qid, s2, qdir, k) AS best, min(soff) OVER (PARTITION BY qid, s2, qdir, k) AS f, row_number() OVER (PARTITION BY qid, s2, qdir, k ORDER BY score DESC, aid) AS nth FROM i),
+w AS (SELECT *, dense_rank() OVER (PARTITION BY qid, s2 ORDER BY best DESC, qdir, f) AS win FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY qid, s2 ORDER BY win, nth) AS hsp_rank FROM w WHERE win <= 4 AND nth <= 3)
+SELECT aid, CAST(win AS INT) AS "window", CAST(hsp_rank AS INT) AS hsp_rank FROM r WHERE hsp_rank <= 2""")
+def o06_window_hsps(spark, d):
+    """Window by window, two rows a pair."""
+    a = views.alignments(spark, d).withColumn("sid", F.col("sid") % 2)
+    return hits.top_window_hsps(a, 2, 9000).select("aid", "window", "hsp_rank")
+
+
 @query(f"WITH {views.ALN_SQL}, b AS (SELECT sid, qid, max(score) AS score FROM aln GROUP BY sid, qid) SELECT sid, qid, score, CAST(n AS INT) AS support_rank FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, qid) AS n FROM b) WHERE n <= 100")
 def o07_topk_support(spark, d):
     return hits.top_support(views.alignments(spark, d), 100)
 
 
 @query(f"""WITH {views.ALN_SQL}, e AS (SELECT *, max(send) OVER w AS before FROM aln WINDOW w AS (PARTITION BY qid, sid, qdir ORDER BY soff, send ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), i AS (SELECT *, sum(CASE WHEN before IS NULL OR soff > before + 500 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, sid, qdir ORDER BY soff, send ROWS UNBOUNDED PRECEDING) AS k FROM e)
-SELECT qid, sid, qdir, min(soff) AS soff, max(send) AS send, count(*) AS n, max(score) AS score FROM i GROUP BY qid, sid, qdir, k""")
+SELECT qid, sid, qdir, min(soff) AS soff, max(send) AS send, count(*) AS n, CAST(sum(send - soff) AS BIGINT) AS residues, max(score) AS score FROM i GROUP BY qid, sid, qdir, k""")
 def a08_merge_windows(spark, d):
     return intervals.merge(views.alignments(spark, d), ["qid", "sid", "qdir"], "soff", "send", 500, "score")
 
@@ -520,6 +642,24 @@ def a20_dedup_members(spark, d):
     return signatures.first_of_each_read(_groups(spark, d))
 
 
+@query(f"{_GROUPED}, {views.READS_SQL} SELECT sid, group_id, member, qid, CAST(length(seq) AS INT) AS size FROM ids JOIN reads ON rid = qid")
+def j08_group_reads(spark, d):
+    members = signatures.with_group_ids(_groups(spark, d))
+    return signatures.with_reads(members, views.reads(spark, d)).select("sid", "group_id", "member", "qid", F.length("seq").alias("size"))
+
+
+@query(f"{_GROUPED} SELECT a.sid || ':' || a.group_id AS \"group\", a.qid, b.qid AS sid FROM ids a JOIN ids b ON a.sid = b.sid AND a.group_id = b.group_id AND a.qid <> b.qid")
+def j09_group_pairs(spark, d):
+    members = signatures.with_group_ids(_groups(spark, d))
+    return consensus.group_pairs(members.select(F.concat_ws(":", "sid", "group_id").alias("group"), F.col("qid").alias("rid")))
+
+
+@query(f"{_GROUPED} SELECT sid, group_id, type, member, qid, sfrom, len FROM ids")
+def s14_group_file(spark, d):
+    """Groups as the texts of a group file, and parsed again."""
+    return records.parse_groups(records.group_lines(signatures.with_group_ids(_groups(spark, d))))
+
+
 _SIM = f"""{views.SIG_SQL}, g AS (SELECT qid, sid, type, sfrom // 1440 AS day, sfrom, len FROM sig), v AS (SELECT a.qid, a.sid, a.type, a.day, a.sfrom, a.len, count(*) - 1 AS votes FROM g a JOIN g b ON a.sid = b.sid AND a.type = b.type AND a.day = b.day AND abs(a.len - b.len) <= 0.2 * greatest(a.len, b.len) GROUP BY ALL)"""
 
 
