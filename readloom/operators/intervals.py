@@ -107,6 +107,28 @@ def longest_covered(rows: DataFrame, keys: list[str], min_depth: int, min_size:
     return best.select(*keys, F.col("b.from").alias("from"), F.col("b.to").alias("to"))
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Of a partition sorted by ``keys``: rows of whole groups, and where each group begins and ends."""
+
+    def cut(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+        values = [pdf[k].to_numpy() for k in keys]
+        edge = [0, *(np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1).tolist(), len(pdf)]
+        return pdf, list(zip(edge[:-1], edge[1:], strict=True))
+
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pd.concat([*held, pdf], ignore_index=True)
+        last = np.all([(pdf[k] == pdf[k].iloc[-1]).to_numpy() for k in keys], axis=0)
+        first = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0  # where the last group begins
+        if first:
+            yield cut(pdf.iloc[:first])
+        held = [pdf.iloc[first:]]
+    if held:
+        yield cut(held[0].reset_index(drop=True))
+
+
 def _folded(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
     """Rows that ``fold`` keeps; it gets the columns of one key's rows in order and tells which ones stay.
 
@@ -114,26 +136,9 @@ def _folded(rows: DataFrame, keys: list[str], order: list[str], columns: list[st
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        for pdf, groups in whole_groups(batches, keys):
             values = [pdf[c].to_numpy() for c in columns]
-            names = [pdf[k].to_numpy() for k in keys]
-            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1 if len(pdf) else np.empty(0, np.int64)
-            parts = np.split(np.arange(len(pdf)), new)
-            return pdf[np.concatenate([fold([v[p] for v in values]) if len(p) else np.empty(0, bool) for p in parts])]
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pd.concat([*held, pdf], ignore_index=True) if held else pdf.reset_index(drop=True)
-            last = np.all([(pdf[k] == pdf[k].iloc[-1]).to_numpy() for k in keys], axis=0)
-            first = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0  # where the last key begins
-            if first:
-                yield kept(pdf.iloc[:first])
-            held = [pdf.iloc[first:]]
-        if held:
-            yield kept(held[0])
+            yield pdf[np.concatenate([fold([v[a:b] for v in values]) for a, b in groups])]
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, rows.schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.config import SvOptions
-from readloom.operators.intervals import islands, running
+from readloom.operators.intervals import islands, running, whole_groups
 
 _KEY = ["sid", "type", "_island"]
 
@@ -88,29 +88,12 @@ def group_signatures(sigs: DataFrame, options: SvOptions = SvOptions()) -> DataF
     widest = max(options.strict_distance, options.relaxed_window, options.strict_window + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def folded(pdf: pd.DataFrame) -> pd.DataFrame:
-            key = pdf[_KEY].to_numpy()
-            edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(pdf)]])
-            s, size, rows = pdf["sfrom"].to_numpy(), pdf["len"].to_numpy(), []
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if b - a >= min(options.strict_members, options.relaxed_followers + 1):
-                    rows += [(p, k, nth, a + i) for p, k, nth, i in _fold(s[a:b], size[a:b], options)]
+        least = min(options.strict_members, options.relaxed_followers + 1)
+        for pdf, islands_ in whole_groups(batches, _KEY):
+            s, size = pdf["sfrom"].to_numpy(), pdf["len"].to_numpy()
+            rows = [(p, k, nth, a + i) for a, b in islands_ if b - a >= least for p, k, nth, i in _fold(s[a:b], size[a:b], options)]
             got = pdf.iloc[[r[3] for r in rows]]
-            return pd.DataFrame({"sid": got["sid"].to_numpy(), "type": got["type"].to_numpy(), "pass": [r[0] for r in rows], "island": got["_island"].to_numpy(), "group_nth": [r[1] for r in rows], "member": [r[2] for r in rows], "qid": got["qid"].to_numpy(), "sfrom": got["sfrom"].to_numpy(), "len": got["len"].to_numpy()})
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            pdf = pd.concat([*held, pdf], ignore_index=True)
-            last = (pdf[_KEY] == pdf[_KEY].iloc[-1]).all(axis=1).to_numpy()
-            first = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0  # where the last island begins
-            if first:
-                yield folded(pdf.iloc[:first])
-            held = [pdf.iloc[first:]]
-        if held:
-            yield folded(held[0])
+            yield pd.DataFrame({"sid": got["sid"].to_numpy(), "type": got["type"].to_numpy(), "pass": [r[0] for r in rows], "island": got["_island"].to_numpy(), "group_nth": [r[1] for r in rows], "member": [r[2] for r in rows], "qid": got["qid"].to_numpy(), "sfrom": got["sfrom"].to_numpy(), "len": got["len"].to_numpy()})
 
     narrow = sigs.select(F.col("qid").cast("long").alias("qid"), F.col("sid").cast("long").alias("sid"), F.col("type").cast("int").alias("type"), F.col("sfrom").cast("long").alias("sfrom"), F.col("len").cast("long").alias("len"))
     cut = islands(narrow, ["sid", "type"], "sfrom", "sfrom", widest, ("qid", "len")).withColumn("_island", F.col("_island").cast("long"))
