@@ -749,6 +749,20 @@ def _noisy(spark, d, size: int, copies: int):
     return each.select("group", "piece", "rid", F.array_join(F.transform(F.split("raw", ""), lacks), "").alias("seq"), "raw")
 
 
+@query()
+def a14_chained_duals(spark, d):
+    """Pieces of reads against the same pieces without a third in the middle: the two sides, aligned as one."""
+    r = _noisy(spark, d, 300, 1).where(F.length("raw") >= 90).withColumn("id", F.col("group") * 1000 + F.col("piece"))
+    n = F.length("raw")
+    third = F.floor(n / 3).cast("int")
+    back = (F.col("id") % 2 == 1).cast("int")
+    lacks = F.concat(F.substring(F.col("raw"), F.lit(1), third), F.substring(F.col("raw"), 2 * third + 1, n))
+    made = r.select(F.col("id").alias("rid"), "raw", back.alias("qdir"), F.when(back == 1, sq.reverse_complement(lacks)).otherwise(lacks).alias("seq"), F.length(lacks).cast("long").alias("n"))
+    ident = F.when(F.col("rid") % 3 == 0, 104.5).otherwise(100.0)  # of some pairs more than any alignment has
+    duals = made.select(F.col("rid").alias("qid"), F.col("rid").alias("sid"), "qdir", F.lit(0).cast("long").alias("qoff"), F.col("n").alias("qend"), F.lit(0).cast("long").alias("soff"), F.length("raw").cast("long").alias("send"), ident.alias("left_ident"), ident.alias("right_ident"))
+    return mapping.chain_duals(duals, made.select("rid", "seq"), made.select("rid", F.col("raw").alias("seq"))).select("qid", "qdir", "qoff", "qend", "soff", "send", "dist", "ident", "eff")
+
+
 @query()
 def t17_remapped(spark, d):
     """All reads, in pieces that lack bases, aligned to what they were made of; every second one reversed and complemented."""

@@ -75,6 +75,18 @@ def test_pair_seeds_count_within_the_pair(spark):
     assert not [r for r in got if r.qid == 3 and r.qoff > 0] and len([r for r in got if r.qid == 4]) == 2
 
 
+def test_duals_are_chained_if_the_whole_is_good(spark):
+    rng = random.Random(12)
+    a, b, x, other = ("".join(rng.choices("ACGT", k=n)) for n in (200, 200, 120, 200))
+    reads = spark.createDataFrame([(1, "TT" + a + b + "GG"), (2, rc("TT" + a + b + "GG")), (3, a + other), (4, None)], "rid long, seq string")
+    subjects = spark.createDataFrame([(9, "ACGT" + a + x + b)], "rid long, seq string")
+    rows = [(i, 9, int(i == 2), 2 * (i < 3), 400 + 2 * (i < 3), 4, 524, 99.0, 98.0) for i in (1, 2, 3, 4)]
+    d = spark.createDataFrame(rows, "qid long, sid long, qdir int, qoff long, qend long, soff long, send long, left_ident double, right_ident double")
+    got = {r.qid: r for r in mapping.chain_duals(d, reads, subjects).collect()}
+    assert set(got) == {1, 2} and got[1].q_aln == got[2].q_aln == a + "-" * 120 + b and got[1].eff == 100.0
+    assert mapping.chain_duals(d, reads, subjects, 60.0).where("qid = 3").count() == 1
+
+
 def test_remap(spark):
     rng = random.Random(7)
     g = "".join(rng.choices("ACGT", k=600))
