@@ -5,6 +5,9 @@ so the shard of a row follows from its own hash and the 15 cut keys, without a j
 capacity is found by binary search, each capacity being checked greedily over the ordered group sizes. The driver
 holds a histogram of hash ranges, never the groups: ranges in which a cut may fall are opened further, by eight
 bits of the hash at a time, until each cut lies on the edge of a single group.
+
+The greedy filling only checks a capacity. The cuts themselves are evened out: within the smallest capacity each one
+stands where the rest is shared out most equally, as a greedy filling would leave the last shards short.
 """
 
 from __future__ import annotations
@@ -140,7 +143,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in each shard), grown_shard (null).
     Size is the text's UTF-8 bytes plus 1. A null text has size 1 and a null crc32, and all null texts form one
     group; an empty text is a group of its own. Repeated rows are kept, each with its slot. A null id sorts first.
-    An empty table gives an empty result. If there are fewer groups than shards, the last shards stay empty.
+    An empty table gives an empty result. If there are fewer groups than shards, the last shards stay empty. No
+    shard exceeds the minimax capacity; within it the cuts are evened out, not greedy.
     Other columns are not read. Shard sizes differ by more than a group only where one text's copies exceed an
     even share: such a group has its shard to itself.
     """
