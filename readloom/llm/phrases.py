@@ -18,7 +18,8 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,20 @@ def _lowest(g: np.ndarray, span: int) -> np.ndarray:
     return np.flatnonzero(g == best)
 
 
-def _phrases(phrase: int, window: int):
-    """The phrases that a block's windows are known by, as words joined by a space, and whether it has them twice."""
-    kinds = pa.schema([("phrase", pa.binary()), ("block", pa.int64()), ("more", pa.bool_())])
+def _packed(phrases: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(phrases)) if phrases else b""
+
+
+def _unpacked(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n") if data else []
+
+
+_SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("once", pa.binary()), ("many", pa.binary())])
+
+
+def _phrases(phrase: int, window: int, bits: int):
+    """The phrases that a block's windows are known by, as words joined by a space, packed by bucket (leading bits of
+    a hash): those that it has once, and those that it has more often."""
 
     def run(batches):
         known = WordHashes()
@@ -52,31 +64,41 @@ def _phrases(phrase: int, window: int):
                         for p in _lowest(grams(known.of(w), phrase), window - phrase + 1).tolist():
                             key = b" ".join(w[p : p + phrase])
                             more[key] = key in more
-                yield pa.RecordBatch.from_pydict({"phrase": list(more), "block": [block] * len(more), "more": list(more.values())}, schema=kinds)
+                buckets: dict[int, tuple[list, list]] = {}
+                for key in sorted(more):
+                    buckets.setdefault(xxhash.xxh3_64_intdigest(key) >> (64 - bits), ([], []))[more[key]].append(key)
+                names = sorted(buckets)
+                yield pa.RecordBatch.from_pydict({"bucket": names, "block": [block] * len(names), "once": [_packed(buckets[k][0]) for k in names], "many": [_packed(buckets[k][1]) for k in names]}, schema=_SENT)
 
     return run
 
 
 def _recurring(batches):
-    """Of rows sorted by phrase: block and phrase of those that occur again."""
-    held = None  # the last row, and whether it equals the one before
+    """Bucket after bucket (rows sorted by it): for each block those of its phrases that occur again."""
+
+    def bucket(rows: list[tuple]):
+        each = [(block, _unpacked(once), _unpacked(many)) for block, once, many in rows]
+        seen: set[bytes] = set()
+        again: set[bytes] = set()
+        for _, once, many in each:
+            again.update(p for p in once if p in seen)
+            again.update(many)
+            seen.update(once)
+        out = [(block, _packed([p for p in (*once, *many) if p in again])) for block, once, many in each]
+        out = [x for x in out if x[1]]
+        if out:
+            yield pa.RecordBatch.from_pydict({"block": [x[0] for x in out], "phrases": [x[1] for x in out]}, schema=pa.schema([("block", pa.int64()), ("phrases", pa.binary())]))
+
+    now, rows = None, []
     for b in batches:
-        if not b.num_rows:
-            continue
-        again = b.column(2).to_numpy(zero_copy_only=False).copy()
-        same = pc.equal(b.column(0).slice(1), b.column(0).slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
-        again[1:] |= same
-        again[:-1] |= same
-        if held is not None:
-            if held[0].column(0)[0] == b.column(0)[0]:
-                held, again[0] = (held[0], True), True
-            if held[1]:
-                yield held[0].select([1, 0])
-        last = b.num_rows - 1
-        held = b.slice(last), bool(again[last])
-        yield b.slice(0, last).filter(pa.array(again[:last])).select([1, 0])
-    if held is not None and held[1]:
-        yield held[0].select([1, 0])
+        for k, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if k != now and rows:
+                yield from bucket(rows)
+                rows = []
+            now = k
+            rows.append(tuple(row))
+    if rows:
+        yield from bucket(rows)
 
 
 def automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
@@ -110,7 +132,7 @@ def _locate(phrase: int, window: int, bits: int):
         known, span = WordHashes(), window - phrase + 1
         for b in batches:
             for block, lens, blob, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                machine, found = automaton(again), []
+                machine, found = automaton([p for x in again for p in _unpacked(x)]), []
                 for t in block_texts(blob, lens):
                     w = (t or b"").split()
                     at = occurrences(machine, w, phrase)
@@ -179,10 +201,11 @@ def _remove(window: int, with_text: bool):
 def _recurring_windows(blocks: DataFrame, phrase: int, window: int) -> DataFrame:
     """Per block the hashes of its windows that occur again anywhere: block, got."""
     texts = blocks.select("block", "lens", "blob")
-    each = texts.mapInArrow(_phrases(phrase, window), "phrase binary, block long, more boolean")
-    dealt = each.repartition(partitions(blocks.sparkSession), "phrase").sortWithinPartitions("phrase")
-    confirmed = dealt.mapInArrow(_recurring, "block long, phrase binary").groupBy("block").agg(F.collect_list("phrase").alias("again"))  # at most the block's own
-    found = texts.join(confirmed, "block").select("block", "lens", "blob", "again").mapInArrow(_locate(phrase, window, bucket_bits(blocks)), "bucket long, block long, hashes binary, check binary, n binary")
+    bits = bucket_bits(blocks)
+    each = texts.mapInArrow(_phrases(phrase, window, bits), "bucket long, block long, once binary, many binary")
+    dealt = each.repartition(partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket", "block")
+    confirmed = dealt.mapInArrow(_recurring, "block long, phrases binary").groupBy("block").agg(F.collect_list("phrases").alias("again"))  # at most the block's own
+    found = texts.join(confirmed, "block").select("block", "lens", "blob", "again").mapInArrow(_locate(phrase, window, bits), "bucket long, block long, hashes binary, check binary, n binary")
     return count_over_blocks(found, 8, _again)
 
 
