@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import decontamination, language_id, mixing, ngram_join, phrases, quality, repair, sharding, token_counts, topk, toxicity, trie
+from readloom.llm import decontamination, language_id, mixing, ngram_join, phrases, quality, repair, sharding, sketches, token_counts, topk, toxicity, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(100)) == 0), 10)
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingles have a Jaccard similarity of 0.8."""
+    return sketches.near_duplicates(_read(spark, sf_dir, "documents"), 2, 80)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of the rebuilt conversations."""
     return trie.prefix_trie(_read(spark, sf_dir, "conversations"), 100, 6)
@@ -88,7 +93,7 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_language_id, op3_quality, op4_decontamination, op5_substring_dedup, op6_toxicity, op7_token_counts, op8_mixing, op9_ngram_jaccard, op10_topk, op12_prefix_trie, op13_structure_repair)
+    f.__name__: f for f in (op1_sharding, op2_language_id, op3_quality, op4_decontamination, op5_substring_dedup, op6_toxicity, op7_token_counts, op8_mixing, op9_ngram_jaccard, op10_topk, op11_minhash_dedup, op12_prefix_trie, op13_structure_repair)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
@@ -145,6 +150,15 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op11_minhash_dedup": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT DISTINCT r, CASE WHEN len(w) < 2 THEN w[1] ELSE array_to_string(w[i:i + 1], ' ') END AS x FROM d, unnest(range(1, greatest(1, len(w) - 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM x GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM x a JOIN x b ON a.x = b.x AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(o.doc_id) AS component_id, d.doc_id = min(o.doc_id) AS kept
+FROM d JOIN reach ON reach.a = d.r JOIN d o ON o.r = reach.b LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id""",
     "op12_prefix_trie": rf"""
 WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substring(text, 1, 64), md5(length(role) || ':' || role || text)) - 1 AS n, role, text
  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
