@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.operators.scratch import dealt
+
 BIN = 4096
 
 
@@ -140,7 +142,7 @@ def _folded(rows: DataFrame, keys: list[str], order: list[str], columns: list[st
             values = [pdf[c].to_numpy() for c in columns]
             yield pdf[np.concatenate([fold([v[a:b] for v in values]) for a, b in groups])]
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, rows.schema)
+    return dealt(rows, keys, *order).mapInPandas(run, rows.schema)
 
 
 def drop_contained(rows: DataFrame, keys: list[str], order: list[str], tol: int = 200) -> DataFrame:

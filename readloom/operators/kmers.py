@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,22 +73,97 @@ def removed(occ: DataFrame, most: int) -> DataFrame:
     return frequencies(occ).where(F.col("n") > most).agg(F.count("*").alias("kmers"), F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences"))
 
 
+#: Codes of the bases; any other letter has none.
+_CODES = np.full(256, 4, np.uint8)
+_CODES[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
+#: Words that a task collects before it gives them on.
+_CHUNK = 1 << 20
+
+
+def codes(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code of the word of ``k`` bases (two bits each, the first one highest) at each place, and where there is one."""
+    n = len(bases) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64), np.empty(0, bool)
+    out, have, power, size = np.zeros(n, np.int64), 0, (bases & 3).astype(np.int64), 1
+    while have < k:  # runs of 1, 2, 4, ... bases, put together as the bits of k say
+        if k & size:
+            out = (out << (2 * size)) | power[have : have + n]
+            have += size
+        power, size = (power[: len(power) - size] << (2 * size)) | power[size:], 2 * size
+    bad = np.concatenate([[0], np.cumsum(bases > 3)])
+    return out, bad[k:] == bad[:n]
+
+
+def words(reads: DataFrame, k: int, step: int = 1, reverse: bool = False, sample: bool = False, starts: list[int] | None = None, most: int | None = None) -> DataFrame:
+    """Words of reads (rid long, seq) at every ``step`` bases: rid, qdir, off, kmer (a code, see ``codes``), unit.
+
+    reverse: of both strands; sample: as ``sampled``. ``starts`` are the first ids of the volumes, or batches, that the
+    reads are packed in (one number for each), and unit is a read's. A task gives no more than ``most`` + 1 occurrences
+    of a unit's word at once: whoever drops words that are more frequent will still see that these are. Words with a
+    letter other than A, C, G, T have no code and are left out; so are null and short reads.
+    """
+    bounds = None if starts is None else np.array(starts, np.int64)
+    names = ["rid", "qdir", "off", "kmer", "unit"]
+
+    def of(seq: bytes):
+        bases = _CODES[np.frombuffer(seq, np.uint8)]
+        for strand in (0, 1) if reverse else (0,):
+            code, good = codes(bases if not strand else np.where(bases < 4, 3 - bases, 4)[::-1], k)
+            at = np.arange(0, len(code), step)
+            at = at[good[at] & (at % (SEGMENT + SKIP) <= SEGMENT - k)] if sample else at[good[at]]
+            yield strand, at, code[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def give():
+            cols = [np.concatenate([h[i] for h in held]) for i in range(5)]
+            if most is not None:
+                order = np.lexsort((cols[3], cols[4]))
+                word, unit = cols[3][order], cols[4][order]
+                new = np.concatenate([[True], (word[1:] != word[:-1]) | (unit[1:] != unit[:-1])])
+                first = np.flatnonzero(new)
+                nth = np.arange(len(order)) - first[np.cumsum(new) - 1]
+                cols = [c[order[nth <= most]] for c in cols]
+            for i in range(0, len(cols[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in cols], names=names)
+
+        for b in batches:
+            for rid, seq in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for strand, at, code in of(seq.as_py().encode()):
+                    unit = 0 if bounds is None else int(np.searchsorted(bounds, rid, side="right")) - 1
+                    n = len(at)
+                    held.append((np.full(n, rid, np.int64), np.full(n, strand, np.int32), at.astype(np.int64), code, np.full(n, unit, np.int64)))
+                    size += n
+                if size >= _CHUNK:
+                    yield from give()
+                    held, size = [], 0
+        if size:
+            yield from give()
+
+    return reads.where("seq is not null").select(F.col("rid").cast("long").alias("rid"), "seq").mapInArrow(run, "rid long, qdir int, off long, kmer long, unit long")
+
+
+def _lists(occ: DataFrame, most: int, fields: list[str], name: str) -> DataFrame:
+    """Places of the words that occur ``most`` times at most in a unit: kmer, and an array a word and unit."""
+    listed = occ.repartition("kmer").groupBy("kmer", "unit").agg(F.collect_list(F.struct(*fields)).alias(name))
+    return listed.where(F.size(name) <= most).select("kmer", name)
+
+
 def seed_join(queries: DataFrame, subjects: DataFrame, most: int = 200, self_join: bool = True) -> DataFrame:
-    """Matches of k-mers: qid, qdir, qoff, sid, soff. queries: rid, qdir, off, kmer; subjects: rid, off, kmer.
+    """Matches of k-mers: qid, qdir, qoff, sid, soff. queries: rid, qdir, off, kmer, unit; subjects: rid, off, kmer, unit.
 
-    k-mers that occur more than ``most`` times among the queries' or among the subjects' take no part, so a key's
-    pairs are at most ``most`` squared. self_join: each pair of reads once, the subject being the smaller id.
+    Units are volumes of subjects and batches of queries, of bounded size: of each batch and volume, words take no part
+    that occur more than ``most`` times in the batch, or in the volume. So a task joins ``most`` squared pairs at a time,
+    and what is dropped doesn't grow with the number of reads. A DataFrame without unit is one unit. self_join: each pair
+    of reads once, the subject being the smaller id.
 
-    k-mers are first only counted, which combines in each task; those that are too frequent, or on one side only,
-    go before the occurrences meet, and these meet in the one partitioning that the counts' join made.
+    Each side is dealt once, by word; lists and pairs are made in that partitioning.
     """
-    place = lambda d, asked: d.select("kmer", F.lit(asked).alias("q"), "rid", (F.col("qdir") if asked else F.lit(0)).alias("qdir"), "off")
-    both = place(queries, True).unionByName(place(subjects, False))
-    n = both.groupBy("kmer").agg(F.count_if("q").alias("nq"), F.count_if(~F.col("q")).alias("ns"))
-    good = n.where(F.col("nq").between(1, most) & F.col("ns").between(1, most)).select("kmer")
-    met = both.join(good, "kmer", "left_semi").groupBy("kmer").agg(F.collect_list(F.struct("q", "rid", "qdir", "off")).alias("at"))  # at most ``most`` of each
-    asked, has = F.filter("at", lambda x: x.q), F.filter("at", lambda x: ~x.q)
-    pairs = met.select(F.explode(asked).alias("x"), has.alias("has")).select("x", F.explode("has").alias("y"))
+    unit = lambda d: d if "unit" in d.columns else d.withColumn("unit", F.lit(0).cast("long"))
+    asked, has = _lists(unit(queries), most, ["rid", "qdir", "off"], "x"), _lists(unit(subjects), most, ["rid", "off"], "y")
+    pairs = asked.join(has, "kmer").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
     found = pairs.select(F.col("x.rid").alias("qid"), F.col("x.qdir").alias("qdir"), F.col("x.off").alias("qoff"), F.col("y.rid").alias("sid"), F.col("y.off").alias("soff"))
     return found.where("sid < qid") if self_join else found
 

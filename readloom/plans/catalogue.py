@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from readloom import schemas
 from readloom.functions import alignment as al
 from readloom.functions import sequence as sq
-from readloom.operators import align, consensus, hits, intervals, kmers, mapping, signatures, stats, traceback, volumes
+from readloom.operators import align, consensus, hits, intervals, kmers, mapping, selection, signatures, stats, traceback, volumes
 from readloom.plans import views
 from readloom.sources import records
 
@@ -213,14 +214,36 @@ def a01_removed_kmers(spark, d):
     return kmers.removed(_occurrences(spark, d), 8)
 
 
-_SEEDS = f"""{_WORDS}, okq AS (SELECT * FROM words WHERE kmer IN (SELECT kmer FROM words GROUP BY kmer HAVING count(*) <= 200)), oks AS (SELECT * FROM occ WHERE kmer IN (SELECT kmer FROM occ GROUP BY kmer HAVING count(*) <= 200)),
+def _units(name, bases, number):
+    """SQL: each read's unit, closed by the read with which it reaches so many bases or reads."""
+    full = f"s >= {bases} OR n >= {number}"
+    return f"""{name}_(i, rid, s, n, unit) AS (SELECT i, rid, len, 1, 0 FROM numbered WHERE i = 1
+ UNION ALL SELECT o.i, o.rid, CASE WHEN {full} THEN o.len ELSE s + o.len END, CASE WHEN {full} THEN 1 ELSE n + 1 END, unit + CASE WHEN {full} THEN 1 ELSE 0 END FROM {name}_ f JOIN numbered o ON o.i = f.i + 1), {name} AS (SELECT rid, unit FROM {name}_)"""
+
+
+#: Bases and reads of a subjects' volume and of a batch of queries.
+VOLUME, BATCH = (200_000, 150), (100_000, 75)
+_SEEDS = f"""RECURSIVE {_WORDS}, numbered AS (SELECT rid, length(seq) AS len, row_number() OVER (ORDER BY rid) AS i FROM reads), {_units("vols", *VOLUME)}, {_units("batches", *BATCH)},
+okq AS (SELECT * FROM (SELECT words.*, count(*) OVER (PARTITION BY kmer, unit) AS n FROM words JOIN batches USING (rid)) WHERE n <= 200), oks AS (SELECT * FROM (SELECT occ.*, count(*) OVER (PARTITION BY kmer, unit) AS n FROM occ JOIN vols USING (rid)) WHERE n <= 200),
 seeds AS (SELECT q.rid AS qid, CAST(q.qdir AS INT) AS qdir, CAST(q.off AS BIGINT) AS qoff, s.rid AS sid, CAST(s.off AS BIGINT) AS soff FROM okq q JOIN oks s ON q.kmer = s.kmer AND s.rid < q.rid)"""
 
 
+@functools.cache
+def _starts(app, d, unit):
+    spark = SparkSession.active()
+    return volumes.starts(views.lengths(spark, d), "rid", "len", *unit)
+
+
+def _unit_starts(spark, d, unit):
+    """First reads of the units of these tables; many queries ask for them."""
+    return _starts(spark.sparkContext.applicationId, d, unit)
+
+
 def _seeds(spark, d):
-    """Sampled words of both strands, at each base, that meet the index of every tenth base."""
+    """Sampled words of both strands, at each base, that meet the index of every tenth base; frequent ones are dropped by volume and batch."""
     reads = views.reads(spark, d)
-    return kmers.seed_join(kmers.query_words(reads, 15), kmers.occurrences(reads, 15, 10), 200)
+    asked = kmers.words(reads, 15, reverse=True, sample=True, starts=_unit_starts(spark, d, BATCH), most=200)
+    return kmers.seed_join(asked, kmers.words(reads, 15, 10, starts=_unit_starts(spark, d, VOLUME), most=200), 200)
 
 
 @query(f"WITH {_SEEDS} SELECT * FROM seeds")
@@ -521,17 +544,20 @@ def a08_merge_windows(spark, d):
     return intervals.merge(views.alignments(spark, d), ["qid", "sid", "qdir"], "soff", "send", 500, "score")
 
 
-def _fold_sql(keys: str, order: str, first: str, second: str | None) -> str:
-    """Rows of a key in order; each that is left meets those after it. ``first``: later row j goes; ``second``: then i goes.
-
-    Without ``second`` both go where ``first`` holds.
+def _fold_ctes(name: str, source: str, keys: str, order: str, first: str, second: str | None) -> str:
+    """CTE ``name``: aid of the rows of ``source`` that stay, a key's rows being taken in order; each that is left meets
+    those after it. ``first``: later row j goes; ``second``: then i goes. Without ``second`` both go where ``first`` holds.
     """
     hit = f"(j > i + 1 AND alive[j] AND {first})"
     back = f"(j > i + 1 AND alive[j] AND NOT {first} AND {second})" if second else hit
-    return f"""WITH RECURSIVE {views.ALN_SQL}, g AS (SELECT {keys}, list({{'aid': aid, 'qoff': qoff, 'qend': qend, 'soff': soff, 'send': send}} ORDER BY {order}) AS r FROM aln GROUP BY {keys}),
-f AS (SELECT {keys}, r, 0 AS i, list_transform(r, lambda x: true) AS alive FROM g
- UNION ALL SELECT {keys}, r, i + 1, CASE WHEN alive[i + 1] THEN list_transform(range(1, len(r) + 1), lambda j: alive[j] AND NOT {hit} AND NOT (j = i + 1 AND len(list_filter(range(1, len(r) + 1), lambda k: {back.replace("j", "k")})) > 0)) ELSE alive END FROM f WHERE i < len(r))
-SELECT r[p].aid AS aid FROM (SELECT r, alive, unnest(range(1, len(r) + 1)) AS p FROM f WHERE i = len(r)) WHERE alive[p]"""
+    return f"""{name}_g AS (SELECT {keys}, list({{'aid': aid, 'qoff': qoff, 'qend': qend, 'soff': soff, 'send': send}} ORDER BY {order}) AS r FROM {source} GROUP BY {keys}),
+{name}_f AS (SELECT {keys}, r, 0 AS i, list_transform(r, lambda x: true) AS alive FROM {name}_g
+ UNION ALL SELECT {keys}, r, i + 1, CASE WHEN alive[i + 1] THEN list_transform(range(1, len(r) + 1), lambda j: alive[j] AND NOT {hit} AND NOT (j = i + 1 AND len(list_filter(range(1, len(r) + 1), lambda k: {back.replace("j", "k")})) > 0)) ELSE alive END FROM {name}_f WHERE i < len(r)),
+{name} AS (SELECT r[p].aid AS aid FROM (SELECT r, alive, unnest(range(1, len(r) + 1)) AS p FROM {name}_f WHERE i = len(r)) WHERE alive[p])"""
+
+
+def _fold_sql(keys: str, order: str, first: str, second: str | None) -> str:
+    return f"WITH RECURSIVE {views.ALN_SQL}, {_fold_ctes('kept', 'aln', keys, order, first, second)} SELECT aid FROM kept"
 
 
 _J, _I = "r[j]", "r[i + 1]"
@@ -879,14 +905,53 @@ def u01_union(spark, d):
     return both.groupBy("sid").agg(F.count("*").alias("n"), F.countDistinct("qid").alias("reads"))
 
 
-_BEST_SQL = "c AS (SELECT *, count(*) OVER (PARTITION BY qid) AS alone FROM am WHERE qoff <= 300 AND qsize - qend <= 300), k AS (SELECT *, row_number() OVER w AS n, lead(ident) OVER w AS nx FROM c WHERE ident >= 70 WINDOW w AS (PARTITION BY qid ORDER BY ident DESC, aid)), best AS (SELECT qid FROM k WHERE n = 1 AND (nx IS NULL OR ident - nx > 10) AND NOT masked)"
-_KEPT_SQL = f"{_DUAL.replace(', e AS (', ', me AS (').replace('FROM e)', 'FROM me)')}, {_BEST_SQL}, lone AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM dual), kept AS (SELECT qid FROM best UNION SELECT qid FROM lone WHERE n = 1 AND ldir = rdir AND CASE WHEN ldir = 0 THEN lb <= rb ELSE rb <= lb END)"
+_SELECTED = f"""{_ALN_MASKED}, big AS (SELECT *, ident - aid % 4 AS eff FROM am WHERE qsize >= 3000), {_fold_ctes("free", "big", "qid, sid, qdir", "aid", _INSIDE.format(_J, _I), _INSIDE.format(_I, _J))},
+lft AS (SELECT big.* FROM big JOIN free USING (aid)), whole AS (SELECT *, count(*) OVER (PARTITION BY qid) AS alone FROM lft WHERE qoff <= 300 AND qsize - qend <= 300),
+ranked AS (SELECT *, row_number() OVER w AS n, lead(by_) OVER w AS nx FROM (SELECT *, CASE WHEN alone = 1 AND ident >= 70 THEN ident ELSE eff END AS by_ FROM whole) WHERE by_ >= 70 WINDOW w AS (PARTITION BY qid ORDER BY by_ DESC, aid)),
+undone AS (SELECT * FROM lft WHERE qid NOT IN (SELECT qid FROM whole)), {_fold_ctes("single", "undone", "qid", "aid", _SAME, None)},
+good AS (SELECT * FROM undone JOIN single USING (aid) WHERE (ident >= 70 OR eff >= 70) AND NOT masked),
+duo AS (SELECT l.qid, l.sid, l.qdir, l.qsize, l.aid AS left_id, r.aid AS right_id, l.ident AS li, r.ident AS ri, l.qdir = r.qdir AND CASE WHEN l.qdir = 0 THEN l.soff <= r.soff ELSE r.soff <= l.soff END AS ordered, count(*) OVER (PARTITION BY l.qid) AS n,
+  least(l.qoff, r.qoff) AS qoff, greatest(l.qend, r.qend) AS qend, least(l.soff, r.soff) AS soff, greatest(l.send, r.send) AS send
+ FROM good l JOIN good r ON l.qid = r.qid AND l.sid = r.sid AND l.qoff <= 300 AND l.qsize - l.qend > 300 AND r.qoff > 300 AND r.qsize - r.qend <= 300 WHERE CASE WHEN l.soff < r.soff THEN r.soff - l.send ELSE l.soff - r.send END <= 30000),
+svr AS (SELECT qid, sid, qdir, qsize, qoff, qend, soff, send, 'complete' AS kind, aid AS left_id, aid AS right_id FROM ranked WHERE n = 1 AND (nx IS NULL OR by_ - nx > 10) AND NOT masked
+ UNION ALL SELECT qid, sid, qdir, qsize, qoff, qend, soff, send, 'dual', left_id, right_id FROM duo WHERE n = 1 AND ordered AND (li + ri) / 2.0 - (left_id + right_id) % 11 > least(li, ri) - 4)"""
+
+
+def _sv_reads(spark, d):
+    """SV reads of the view, which has no bases to align a pair of duals by: a figure made of both identities stands in."""
+    a = mapping.cut_lineage(_with_mask(spark, d).withColumn("eff", F.col("ident") - F.col("aid") % 4))
+
+    def chain(duals):
+        idents = lambda side: a.select(F.col("aid").alias(f"{side}_id"), F.col("ident").alias(f"_{side}"))
+        both = duals.join(idents("left"), "left_id").join(idents("right"), "right_id")
+        return both.where((F.col("_left") + F.col("_right")) / 2 - (F.col("left_id") + F.col("right_id")) % 11 > F.least("_left", "_right") - 4)
+
+    return selection.sv_reads(a, chain, effective="eff", masked="masked")
+
+
+@query(f"WITH RECURSIVE {_SELECTED} SELECT * FROM svr")
+def a14_sv_reads(spark, d):
+    """The alignment that makes each read an SV read: size, containment, complete ones, repeats, duals, in this order."""
+    return _sv_reads(spark, d)
+
+
+_VARIANTS = f"""{_SELECTED}, kept AS (SELECT left_id AS aid, qid, sid, qdir, soff, send FROM svr), {views.variants_sql("kept")},
+found AS (SELECT qid, sid, qdir, 0 AS type, strpos(q_aln, '-') - 1 AS qfrom, strpos(q_aln, '-') AS qto, soff + strpos(q_aln, '-') - 1 AS sfrom, length(q_aln) - length(replace(q_aln, '-', '')) AS len FROM vq WHERE contains(q_aln, '-')
+ UNION ALL SELECT qid, sid, qdir, 6, strpos(s_aln, '-') - 1, strpos(s_aln, '-') - 1 + length(s_aln) - length(replace(s_aln, '-', '')), soff + strpos(s_aln, '-') - 1, length(s_aln) - length(replace(s_aln, '-', '')) FROM vq WHERE contains(s_aln, '-'))"""
+
+
+def _sv_signatures(spark, d):
+    return selection.signatures_of(views.variants(_sv_reads(spark, d).withColumnRenamed("left_id", "aid")))
+
+
+@query(f"WITH RECURSIVE {_VARIANTS} SELECT qid, sid, qdir, CAST(type AS INT) AS type, CAST(qfrom AS BIGINT) AS qfrom, CAST(qto AS BIGINT) AS qto, CAST(sfrom AS BIGINT) AS sfrom, CAST(CASE WHEN type = 0 THEN sfrom + len ELSE sfrom + 1 END AS BIGINT) AS sto, CAST(len AS BIGINT) AS len FROM found")
+def t01_sv_signatures(spark, d):
+    """Signatures of the SV reads' aligned strings."""
+    return _sv_signatures(spark, d)
 
 
-@query(f"WITH RECURSIVE {_KEPT_SQL}, {views.SIG_SQL.replace('sig AS', 'sig0 AS')}, sig AS (SELECT * FROM sig0 WHERE qid IN (SELECT qid FROM kept)), {_GROUPS} {_CALLS}")
+@query(f"WITH RECURSIVE {_VARIANTS}, sig AS (SELECT CAST(qid AS BIGINT) AS qid, CAST(sid AS BIGINT) AS sid, CAST(type AS INT) AS type, CAST(sfrom AS BIGINT) AS sfrom, CAST(len AS BIGINT) AS len FROM found), {_GROUPS.replace('found AS', 'numbered AS').replace('FROM found)', 'FROM numbered)')} {_CALLS}")
 def pipeline_sv(spark, d):
-    """Reads of one best complete alignment or of one pair of duals, their signatures' groups and the calls of these."""
-    a = mapping.cut_lineage(_with_mask(spark, d))  # read by both rules
-    kept = hits.best_complete(a, 70, masked="masked").select("qid").unionByName(hits.unique_duals(hits.dual_pairs(a, masked="masked")).select("qid"))
-    sigs = views.signatures(spark, d).join(kept.select(F.col("qid")).distinct(), "qid", "left_semi")
+    """From alignments to calls: SV reads, the signatures of their aligned strings, their groups and the calls of these."""
+    sigs = mapping.cut_lineage(_sv_signatures(spark, d))
     return signatures.simple_calls(signatures.with_group_ids(signatures.group_signatures(sigs)))

@@ -118,3 +118,31 @@ OVERLAP_SQL = f"ovl AS (SELECT {_OVERLAP} FROM aln)"
 def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alignments moved to the ends of query and subject, so that some reach them and others don't."""
     return alignments(spark, sf_dir).selectExpr(*_columns(_OVERLAP))
+
+
+#: Places of variants, and the bases of every subject, in a cycle.
+LOCUS, CYCLE = 6000, "ACGTTGCA"
+
+
+def variants(rows: DataFrame) -> DataFrame:
+    """Alignments (aid, sid, soff, send) as aligned strings: adds q_aln and s_aln.
+
+    Of alignments that span a locus, the query lacks some 40 to 70 bases there, or has as many more, like all others at
+    this locus of the subject; places and lengths differ by a few. Else both strings are the subject's bases.
+    """
+    locus = (F.floor(F.col("soff") / LOCUS) + 1) * LOCUS
+    d = rows.withColumns({"_n": (40 + (locus / LOCUS * 7 + F.col("sid")) % 28 + F.col("aid") % 3).cast("int"), "_at": (locus + F.col("aid") % 4 - F.col("soff")).cast("int"), "_more": (locus / LOCUS).cast("int") % 2 == 1})
+    d = d.withColumn("_s", F.substring(F.repeat(F.lit(CYCLE), F.lit(10_000)), (F.col("soff") % len(CYCLE) + 1).cast("int"), (F.col("send") - F.col("soff")).cast("int")))
+    has = F.col("_at") + F.col("_n") + 10 < F.length("_s")
+    put = lambda middle, skip: F.concat(F.substring(F.col("_s"), F.lit(1), F.col("_at")), middle, F.substring(F.col("_s"), F.col("_at") + skip + 1, F.length("_s")))
+    gap, bases = F.repeat(F.lit("-"), F.col("_n")), F.substring(F.lit(CYCLE * 10), F.lit(1), F.col("_n"))
+    q = F.when(~has, F.col("_s")).when(F.col("_more"), put(bases, F.lit(0))).otherwise(put(gap, F.col("_n")))
+    s = F.when(has & F.col("_more"), put(gap, F.lit(0))).otherwise(F.col("_s"))
+    return d.withColumns({"q_aln": q, "s_aln": s}).drop("_n", "_at", "_more", "_s", "_has")
+
+
+def variants_sql(rows: str) -> str:
+    """CTEs: vq (aid, qid, sid, qdir, soff, q_aln, s_aln) of the CTE ``rows``."""
+    return f"""v0 AS (SELECT *, CAST(floor(soff / {LOCUS}) + 1 AS BIGINT) AS k FROM {rows}), v1 AS (SELECT *, 40 + (k * 7 + sid) % 28 + aid % 3 AS n, k * {LOCUS} + aid % 4 - soff AS pl, substr(repeat('{CYCLE}', 10000), soff % 8 + 1, send - soff) AS s FROM v0),
+vq AS (SELECT aid, qid, sid, qdir, soff, CASE WHEN pl + n + 10 >= length(s) THEN s WHEN k % 2 = 1 THEN substr(s, 1, pl) || substr(repeat('{CYCLE}', 10), 1, n) || substr(s, pl + 1) ELSE substr(s, 1, pl) || repeat('-', n) || substr(s, pl + n + 1) END AS q_aln,
+ CASE WHEN pl + n + 10 < length(s) AND k % 2 = 1 THEN substr(s, 1, pl) || repeat('-', n) || substr(s, pl + 1) ELSE s END AS s_aln FROM v1)"""

@@ -98,60 +98,6 @@ def test_duals_of_both_strands(spark):
     assert hits.dual_pairs(two).count() == 1 and hits.unique_duals(hits.dual_pairs(two)).count() == 0
 
 
-def test_strict_groups():
-    assert signatures.strict_groups(np.array([0, 1, 2, 3])) == [(0, 4)]
-    assert signatures.strict_groups(np.array([0, 1, 2])) == []
-
-
-def test_strict_groups_against_the_definition():
-    def plain(s):
-        left, out = list(s), []
-        while left:
-            p = left[0]
-            windows = [[x for x in left if p <= x < p + 10]]
-            if p + 10 not in left:
-                for t in range(1, 200):
-                    if p + 10 + t not in left:
-                        break
-                    windows.append([x for x in left if p + t <= x <= p + 10 + t])
-            full = max(windows, key=len)
-            middle = full[len(full) // 2]
-            group = [x for x in left if abs(x - middle) <= 20]
-            if len(group) >= 4:
-                out.append(group)
-            left = [x for x in left if x > middle + 20]
-        return out
-
-    rng = random.Random(5)
-    for _ in range(400):
-        s = sorted(rng.randrange(rng.choice((40, 120, 400))) for _ in range(rng.randrange(1, 60)))
-        assert [s[a:b] for a, b in signatures.strict_groups(np.array(s))] == plain(s)
-
-
-def test_islands_do_not_change_groups(spark):
-    rng = random.Random(11)
-    rows = [(i, i % 2, 6 * (i % 3 == 0), rng.randrange(60_000), 40 + rng.randrange(6)) for i in range(6000)]
-    got = signatures.group_signatures(spark.createDataFrame(rows, ["qid", "sid", "type", "sfrom", "len"])).collect()
-    assert len({r.island for r in got}) > 20
-    for sid in (0, 1):
-        for kind in (0, 6):
-            mine = sorted(((s, q, n) for q, i, t, s, n in rows if (i, t) == (sid, kind)))
-            want = signatures._fold(np.array([m[0] for m in mine]), np.array([m[2] for m in mine]), signatures.SvOptions())
-            members = lambda p: sorted(mine[i][1] for x, _, _, i in want if x == p)
-            for p in (1, 2):
-                assert sorted(r.qid for r in got if (r.sid, r.type, r["pass"]) == (sid, kind, p)) == members(p)
-    ids = signatures.with_group_ids(signatures.group_signatures(spark.createDataFrame(rows, ["qid", "sid", "type", "sfrom", "len"]))).collect()
-    for sid in (0, 1):
-        order = sorted({(-r.type, r["pass"], r.island, r.group_nth, r.group_id) for r in ids if r.sid == sid})
-        assert [x[-1] for x in order] == list(range(len(order))) and len(order) > 10
-
-
-def test_relaxed_groups():
-    four, five = np.arange(4) * 10, np.arange(5) * 10
-    assert signatures.relaxed_groups(four, np.full(4, 50)) == []
-    assert signatures.relaxed_groups(five, np.full(5, 50)) == [[1, 2, 3, 4, 0]]
-
-
 def test_alike_members(spark):
     d = spark.createDataFrame([(0, i, i, 100 if i < 50 else 500) for i in range(51)], ["g", "qid", "sfrom", "len"])
     assert signatures.most_alike(d, ["g"]).count() == 50
