@@ -12,12 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the scoring: reward of a column, penalty subtracted for a match, gap runs left out of the identity.
 REWARD, LONG_GAP = 8, 20
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _operations(q: pd.Series, s: pd.Series) -> pd.Series:
     """All alignments of a batch at once, as bytes."""
     good = (q.notna() & s.notna()).to_numpy()

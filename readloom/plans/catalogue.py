@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from readloom import schemas
 from readloom.functions import alignment as al
 from readloom.functions import sequence as sq
-from readloom.operators import align, consensus, hits, intervals, kmers, mapping, selection, signatures, stats, traceback, volumes
+from readloom.operators import align, consensus, hits, intervals, kmers, mapping, selection, signatures, stats, tags, traceback, volumes
 from readloom.plans import views
 from readloom.sources import records
 
@@ -955,3 +955,32 @@ def pipeline_sv(spark, d):
     """From alignments to calls: SV reads, the signatures of their aligned strings, their groups and the calls of these."""
     sigs = mapping.cut_lineage(_sv_signatures(spark, d))
     return signatures.simple_calls(signatures.with_group_ids(signatures.group_signatures(sigs)))
+
+
+def _lots(name: str, place: str) -> str:
+    """CTEs: lots of a strand's alignments that start within 200 places of their first one, and how much of the read each covers."""
+    return f"""{name}_l AS (SELECT qid, sid, qdir, any_value(qsize) AS qsize, list({{'p': {place}, 'b': b, 'e': e}} ORDER BY {place}) AS r FROM undone GROUP BY qid, sid, qdir HAVING count(*) > 1),
+{name}_w(qid, sid, qdir, qsize, r, i, n) AS (SELECT qid, sid, qdir, qsize, r, 1, len(list_filter(r, lambda x: x.p <= r[1].p + 200)) FROM {name}_l
+ UNION ALL SELECT qid, sid, qdir, qsize, r, i + n, len(list_filter(r, lambda x: x.p >= r[i + n].p AND x.p <= r[i + n].p + 200)) FROM {name}_w WHERE i + n <= len(r)),
+{name} AS (SELECT qid FROM (SELECT qid, qsize, r[i:i + n - 1] AS v FROM {name}_w WHERE n > 1) WHERE qsize - len(list_distinct(flatten(list_transform(v, lambda x: range(x.b, x.e))))) <= 200)"""
+
+
+_TAGGED = f"""RECURSIVE {views.ALN_SQL}, {views.SELF_SQL}, t AS (SELECT *, CASE WHEN qdir = 1 THEN qsize - qend ELSE qoff END AS b, CASE WHEN qdir = 1 THEN qsize - qoff ELSE qend END AS e FROM slf WHERE ident + 8 >= 80),
+whole AS (SELECT qid, ident, row_number() OVER (PARTITION BY qid ORDER BY ident DESC) AS n, lead(ident) OVER (PARTITION BY qid ORDER BY ident DESC) AS nx FROM t WHERE b <= 200 AND qsize - e <= 200 OR soff <= 200 AND ssize - send <= 200),
+decided AS (SELECT qid, CASE WHEN nx IS NULL OR ident - nx > 8 THEN 'perfect' ELSE 'repeat' END AS tag FROM whole WHERE n = 1), undone AS (SELECT * FROM t WHERE qid NOT IN (SELECT qid FROM decided)),
+circle AS (SELECT DISTINCT x.qid FROM undone x JOIN undone y ON x.qid = y.qid AND x.sid = y.sid AND x.qdir = y.qdir WHERE x.soff <= 200 AND x.qsize - x.e <= 200 AND y.ssize - y.send <= 200 AND y.b <= 200),
+turned AS (SELECT DISTINCT f.qid FROM undone f JOIN undone r ON f.qid = r.qid AND f.sid = r.sid WHERE f.qdir = 0 AND r.qdir = 1 AND (f.soff <= r.soff + 200 AND f.send + 200 >= r.send OR f.soff + 200 >= r.soff AND f.send <= r.send + 200)
+ AND f.qsize - len(list_distinct(list_concat(range(f.b, f.e), range(r.qsize - r.e, r.qsize - r.b)))) <= 200), {_lots("heads", "soff")}, {_lots("tails", "-send")},
+tags AS (SELECT qid, any_value(qsize) AS qsize, CASE WHEN qid IN (SELECT qid FROM decided) THEN (SELECT tag FROM decided d WHERE d.qid = t.qid) WHEN qid IN (SELECT qid FROM circle) THEN 'circular' WHEN qid IN (SELECT qid FROM turned) THEN 'rcdup'
+ WHEN qid IN (SELECT qid FROM heads UNION ALL SELECT qid FROM tails) THEN 'tandem-repeat' ELSE 'unperfect' END AS tag FROM t GROUP BY qid)"""
+
+
+@query(f"WITH {_TAGGED} SELECT * FROM tags")
+def a28_sequence_tags(spark, d):
+    return tags.tag_reads(views.partial(spark, d), 80)
+
+
+@query(f"WITH {_TAGGED} SELECT CASE WHEN grouping(tag) = 1 THEN 'total' ELSE tag END AS tag, count(*) AS n, CAST(sum(qsize) AS BIGINT) AS residues, round(100.0 * sum(qsize) / (SELECT sum(qsize) FROM tags), 6) AS percent FROM tags GROUP BY ROLLUP (tag)")
+def a29_sequence_tag_report(spark, d):
+    """The report of the tags that the reads' alignments give."""
+    return stats.tag_report(tags.tag_reads(views.partial(spark, d), 80).select("tag", F.col("qsize").alias("size")))

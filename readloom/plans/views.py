@@ -146,3 +146,13 @@ def variants_sql(rows: str) -> str:
     return f"""v0 AS (SELECT *, CAST(floor(soff / {LOCUS}) + 1 AS BIGINT) AS k FROM {rows}), v1 AS (SELECT *, 40 + (k * 7 + sid) % 28 + aid % 3 AS n, k * {LOCUS} + aid % 4 - soff AS pl, substr(repeat('{CYCLE}', 10000), soff % 8 + 1, send - soff) AS s FROM v0),
 vq AS (SELECT aid, qid, sid, qdir, soff, CASE WHEN pl + n + 10 >= length(s) THEN s WHEN k % 2 = 1 THEN substr(s, 1, pl) || substr(repeat('{CYCLE}', 10), 1, n) || substr(s, pl + 1) ELSE substr(s, 1, pl) || repeat('-', n) || substr(s, pl + n + 1) END AS q_aln,
  CASE WHEN pl + n + 10 < length(s) AND k % 2 = 1 THEN substr(s, 1, pl) || repeat('-', n) || substr(s, pl + 1) ELSE s END AS s_aln FROM v1)"""
+
+
+_SELF = "aid, qid, qdir, sid, qsize, aid % 5 * 140 AS qoff, qsize - aid % 7 * 130 AS qend, 4000 AS ssize, aid % 11 * 150 AS soff, 3900 - aid % 13 * 170 AS send, ident"
+#: A further CTE behind ALN_SQL.
+SELF_SQL = f"slf AS (SELECT {_SELF} FROM aln)"
+
+
+def partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignments moved so that some reach no end of query or subject, some one, some both."""
+    return alignments(spark, sf_dir).selectExpr(*_columns(_SELF))
