@@ -71,13 +71,13 @@ def _add_grams(batches):
 
 
 class Queries:
-    """A lot of queries of one dimension, rotated."""
+    """A lot of queries of one dimension (whole numbers), and rotated ones, in floating point, for the bounds."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, names: np.ndarray):
         self.ids, self.vectors, self.names = ids, vectors, names
         self.lead = max(1, vectors.shape[1] // 4)
         self.rotation = rotation
-        r = vectors @ rotation
+        r = vectors.astype(np.float64) @ rotation
         self.first, self.length = r[:, : self.lead], np.sqrt((r**2).sum(axis=1))
         self.rest = np.sqrt(np.maximum(0, (r[:, self.lead :] ** 2).sum(axis=1)))
         self.seed = np.full(len(ids), LEAST)  # scores known to be reached k times
@@ -101,9 +101,19 @@ class Best:
         self.score[q], self.id[q], self.own[q] = s[order], i[order], o[order]
 
 
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers: 64-bit arithmetic goes round, so a sum that fits 64 bits is exact. One that doesn't is an error."""
+    if (np.abs(x.astype(np.float64) @ y.astype(np.float64)) >= 2.0**63).any():
+        raise OverflowError("an inner product is beyond 64 bits")
+    return (x * y).sum(axis=1)
+
+
 def scan(q: Queries, best: Best, ids: np.ndarray, x: np.ndarray) -> int:
-    """Let a block of vectors compete, best in descending length; how many exact products it took."""
-    r = x @ q.rotation
+    """Let a block of vectors (whole numbers) compete, best in descending length; how many exact products it took.
+
+    Bounds are floating point with more slack than their rounding; what they leave is computed exactly.
+    """
+    r = x.astype(np.float64) @ q.rotation
     length = np.sqrt((r**2).sum(axis=1))
     rest = np.sqrt(np.maximum(0, (r[:, q.lead :] ** 2).sum(axis=1)))
     slack = 1e-6 * (1 + q.length * length.max(initial=0))  # more than the rounding of the bounds
@@ -118,7 +128,7 @@ def scan(q: Queries, best: Best, ids: np.ndarray, x: np.ndarray) -> int:
         nonlocal done
         own = ids[rows] == q.ids[k]
         own[own] = (x[rows[own]] == q.vectors[k]).all(axis=1)
-        best.add(k, (x[rows] @ q.vectors[k]).astype(np.int64), ids[rows], own)
+        best.add(k, products(x[rows], q.vectors[k]), ids[rows], own)
         done += len(rows)
 
     for nth, k in enumerate(open_.tolist()):
@@ -143,7 +153,7 @@ def _search(shared, k: int):
             ids = b.column(0).to_numpy()
             for d, rows in _by_dim(b, 1):
                 if d in lots:
-                    x, every = _matrix(b.column(1).take(rows)).astype(np.float64), ids[rows.to_numpy()]
+                    x, every = _matrix(b.column(1).take(rows)), ids[rows.to_numpy()]
                     for at in range(0, len(every), BLOCK):
                         scan(lots[d], best[d], every[at : at + BLOCK], x[at : at + BLOCK])
         for d, q in lots.items():
@@ -161,7 +171,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     are candidates, also those of the same id, or equal ones. Vectors that are null, or hold a null or non-finite
     component, take no part; neither do null ids; vectors only meet others of their own dimension, and empty vectors
     none. Query rows of one id but different vectors are each answered, equal ones once. Empty tables give an empty
-    result. Other columns are not read. Products must stay below 2**53 in size.
+    result. Other columns are not read. A product beyond 64 bits is an error.
 
     Queries are broadcast in lots of QUERY_LOT; each lot passes once over the vectors, which stand in partitions of
     descending length, sorted, and are streamed.
@@ -182,11 +192,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         sets: dict[int, Queries] = {}
         for d, part in mine.groupby(mine["v"].map(len)):
             if d in rotations:
-                q = sets[d] = Queries(part["vec_id"].to_numpy(), np.stack(part["v"].to_list()).astype(np.float64), rotations[d], part["name"].to_numpy())
+                q = sets[d] = Queries(part["vec_id"].to_numpy(), np.stack(part["v"].to_list()), rotations[d], part["name"].to_numpy())
                 head = longest[longest["v"].map(len) == d]
                 if len(head):  # the longest vectors give every task a first bound
                     best = Best(len(q.ids), k + 1)
-                    scan(q, best, head["vec_id"].to_numpy(), np.stack(head["v"].to_list()).astype(np.float64))
+                    scan(q, best, head["vec_id"].to_numpy(), np.stack(head["v"].to_list()))
                     q.seed = best.floor().copy()
         # one more than asked for: the query's own row may be among them
         found = rows.select("vec_id", "v").mapInArrow(_search(spark.sparkContext.broadcast(sets), k + 1), "query_id long, query long, vec_id long, score long, own boolean")
