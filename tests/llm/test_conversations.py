@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm import ordered, repair, sketches, trie
+from readloom.llm import language_id, ordered, repair, sketches, topk, trie
 
 SCHEMA = "conv_id long, turn long, role string, text string, n long, part int, depth long, k1 long"
 SPACE = " \t\n\x0b\x0c\r"
@@ -262,3 +262,36 @@ def test_sketches_allow_what_links():
                 assert sketches.may_link(a, len(x), b, len(y), 80, least)
                 assert len(np.intersect1d(a, b)) >= max(sketches.shared_least(len(x), 80, least), sketches.shared_least(len(y), 80, least))
     assert not sketches.may_link(np.arange(128, dtype=np.uint64), 500, np.arange(1000, 1128, dtype=np.uint64), 500, 80, least)
+
+
+def test_em_between_languages_that_differ_little():
+    rng = np.random.default_rng(7)
+    for apart in (0.05, 0.01, 0.001):
+        base = rng.dirichlet(np.ones(2000))
+        p = np.stack([base * (1 + apart * rng.uniform(-1, 1, 2000)) for _ in range(3)], axis=1)
+        p /= p.sum(axis=0)
+        for w in ([0.5, 0.3, 0.2], [0.999, 0.001, 0.0], [0.0, 1.0, 0.0]):
+            n = rng.multinomial(5_000_000, p @ np.array(w))
+            keep = n > 0
+            steps: list = []
+            got = language_id.em(p[keep], n[keep], int(n.sum()), np.full(3, 1 / 3), steps)
+            gradient = p[keep].T @ (n[keep] / (p[keep] @ got)) / n.sum()
+            assert len(steps) < 100 and abs(got.sum() - 1) < 1e-9 and (got >= 0).all()
+            assert n.sum() * np.log(gradient.max()) < language_id.SLACK
+
+
+def test_large_components_have_exact_products(spark):
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randrange(-60_000, 60_000)) for _ in range(64)]) for i in range(40)] + [(100 + i, [59_000.0 + i % 2] * 64) for i in range(6)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(d, d, 5).collect()
+    whole = {i: [int(np.floor(np.float64(np.float32(x)) * 1024)) for x in v] for i, v in rows}
+    want = []
+    for i, v in whole.items():
+        scores = sorted(((-sum(a * b for a, b in zip(v, u, strict=True)), j) for j, u in whole.items() if j != i))
+        want += [(i, rank, j, -s) for rank, (s, j) in enumerate(scores[:5], 1)]
+    assert max(abs(w[3]) for w in want) > 2**53
+    assert sorted(map(tuple, got)) == sorted(want)
+    huge = spark.createDataFrame([(1, [3e12, 3e12]), (2, [3e12, 3e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(huge, huge, 1).collect()
