@@ -241,7 +241,7 @@ def near_corpus(seed):
 
 @pytest.mark.parametrize("tile,size", [(256, 128), (5, 128), (5, 200)])
 def test_near_duplicates(spark, monkeypatch, tile, size):
-    monkeypatch.setattr(sketches, "TILE_ROWS", tile)  # blocks in which open members meet
+    monkeypatch.setattr(sketches, "OPEN_ROWS", tile)  # blocks in which open members meet
     rows = near_corpus(size)
     d = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, n long, node string, block long")
     assert sorted(map(tuple, sketches.near_duplicates(d, 2, 80, size=size).collect()), key=repr) == plain_components(rows, 2, 80)
