@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.config import ConsensusOptions
 from readloom.operators import align, intervals, kmers, mapping, traceback
+from readloom.operators.scratch import dealt
 
 #: Seeds within a pair of reads.
 KMER, STEP, SEED_SCORE = 10, 6, 50
@@ -100,8 +101,7 @@ def correct(reads: DataFrame, identity: float, exact: bool, options: ConsensusOp
 
     reads: group and rid (of any type), seq. The others are aligned to it, on the strand and along the chain of the
     best score, then refined between anchors or, if ``exact``, aligned anew by banded affine gaps; alignments must
-    cover a share of either read. The longest stretch of enough coverage is replaced by the consensus, from ``from``
-    to ``to`` of the result. Reads without one are left out, as are null and empty ones.
+    cover a share of either read. Then as ``_assembled``. Reads without one are left out, as are null and empty ones.
     """
     name = lambda rid: F.concat_ws(":", "group", rid)
     keyed = reads.where("seq != ''").withColumn("_key", name("rid"))
@@ -116,13 +116,95 @@ def correct(reads: DataFrame, identity: float, exact: bool, options: ConsensusOp
     again = traceback.refined.asNondeterministic()("q_aln", "s_aln") if not exact else traceback.align_banded.asNondeterministic()(F.replace("q_aln", F.lit("-"), F.lit("")), F.replace("s_aln", F.lit("-"), F.lit("")))
     d = d.select("sid", "soff", "send", again.alias("p")).select("sid", "soff", "send", "p.*")
     d = traceback.measured(d).where(F.col("ident") >= identity).select("sid", "soff", "send", "q_aln", "s_aln")
-    d = mapping.cut_lineage(d)
-    run = intervals.longest_covered(d.select("sid", F.col("soff").alias("from"), F.col("send").alias("to")), ["sid"], options.min_cov, options.min_size).withColumnRenamed("sid", "_key")
-    v = votes(d, "sid").join(run.withColumnRenamed("_key", "group"), "group").where("t_pos >= `from` and t_pos < `to`").drop("from", "to")
-    made = consensus(pileup(v), coverage(v), options.coverage_factor).withColumnRenamed("group", "_key").withColumnRenamed("seq", "_c")
-    out = keyed.join(run, "_key").join(made, "_key").withColumn("raw_size", F.length("seq"))
+    made = _assembled(by_key, mapping.cut_lineage(d), options).withColumnRenamed("rid", "_key")
+    return keyed.drop("seq").join(made, "_key").select("group", "rid", "seq", "from", "to", "raw_size")
+
+
+def _assembled(reads: DataFrame, aligned: DataFrame, options: ConsensusOptions, splice: bool = True, share: float = 0.0) -> DataFrame:
+    """Reads (rid, seq) by their alignments (sid, soff, send, q_aln, s_aln): rid, seq, from, to, raw_size.
+
+    The longest stretch of enough coverage is replaced by the consensus, which is then from ``from`` to ``to`` of seq;
+    without ``splice``, seq is the consensus alone, and ``from`` and ``to`` say what it replaces. Reads of which the stretch
+    is less than ``share`` are left out.
+    """
+    run = intervals.longest_covered(aligned.select("sid", F.col("soff").alias("from"), F.col("send").alias("to")), ["sid"], options.min_cov, options.min_size).withColumnRenamed("sid", "group")
+    v = votes(aligned, "sid").join(run, "group").where("t_pos >= `from` and t_pos < `to`").drop("from", "to")
+    made = consensus(pileup(v), coverage(v), options.coverage_factor).withColumnRenamed("seq", "_c")
+    out = reads.join(run.join(made, "group").withColumnRenamed("group", "rid"), "rid").withColumn("raw_size", F.length("seq")).where(F.col("to") - F.col("from") >= share * F.col("raw_size"))
+    if not splice:
+        return out.select("rid", F.col("_c").alias("seq"), "from", "to", "raw_size")
     head, tail = F.substring(F.col("seq"), F.lit(1), F.col("from").cast("int")), F.substring(F.col("seq"), (F.col("to") + 1).cast("int"), F.col("raw_size"))
-    return out.select("group", "rid", F.concat(head, "_c", tail).alias("seq"), "from", (F.col("from") + F.length("_c")).alias("to"), "raw_size")
+    return out.select("rid", F.concat(head, "_c", tail).alias("seq"), "from", (F.col("from") + F.length("_c")).alias("to"), "raw_size")
+
+
+def _unsaturated(rows: DataFrame, full: int, slack: int) -> DataFrame:
+    """Supporters that count, taken in order of rank: sid, qid.
+
+    rows: sid, qid, rank (from 0), cb, ce (where the supporter's chain lies on sid), sb, se (its alignment; null: none that
+    counts), size. From the rank ``full`` on, one is passed over if fewer than ``slack`` places of its chain are covered
+    less than ``full`` times by those before it; once so many count, none is taken if that holds for the whole read.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, groups in intervals.whole_groups(batches, ["sid"]):
+            sid, qid, rank, cb, ce, sb, se, size = (pdf[c].to_numpy() for c in ("sid", "qid", "rank", "cb", "ce", "sb", "se", "size"))
+            kept = []
+            for a, b in groups:
+                cover, taken = np.zeros(int(size[a]), np.int32), 0
+                for i in range(a, b):
+                    saturated = rank[i] >= full and (cover[cb[i] : ce[i]] < full).sum() < slack
+                    if saturated or sb[i] < 0:
+                        continue
+                    cover[sb[i] : se[i]] += 1
+                    kept.append(i)
+                    taken += 1
+                    if taken >= full and (cover < full).sum() < slack:
+                        break
+            yield pd.DataFrame({"sid": sid[kept], "qid": qid[kept]})
+
+    return dealt(rows, ["sid"], "rank").mapInPandas(run, "sid long, qid long")
+
+
+def correct_long(reads: DataFrame, candidates: DataFrame, identity: float, options: ConsensusOptions = ConsensusOptions(), splice: bool = True, most: int = 80, full: int = 12, slack: int = 200) -> DataFrame:
+    """Correct long reads by partial supporters: rid, seq, from, to, raw_size, added (supporters that count).
+
+    reads: rid (long), seq; candidates: qid, sid (of reads), score. Reads under ``min_size`` or with fewer than
+    ``min_cov`` candidates are left out. Each read takes its ``most`` best candidates in order of score (ties: the smaller
+    id), on the strand and along the chain of the best score, aligned over the chain's part; those of the identity count
+    until their places are saturated (see ``_unsaturated``). Then as ``_assembled``: with ``splice`` the corrected stretch
+    replaces the read's own; without, it must be 0.8 of the read and is returned alone.
+
+    A read's candidates are bounded by ``most``, so nothing grows with the depth; the first ``full`` are aligned, and of the
+    others those whose place isn't yet saturated by these.
+    """
+    whole = reads.where("seq is not null").where(F.length("seq") >= options.min_size).select(F.col("rid").cast("long").alias("rid"), "seq")
+    best = Window.partitionBy("sid").orderBy(F.desc("score"), "qid")
+    ranked = candidates.where("qid <> sid").groupBy("qid", "sid").agg(F.max("score").alias("score")).join(whole.select(F.col("rid").alias("sid"), F.length("seq").cast("long").alias("size")), "sid")
+    ranked = ranked.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < most)
+    enough = ranked.groupBy("sid").agg(F.count("*").alias("k")).where(F.col("k") >= options.min_cov).select("sid")
+    ranked = mapping.cut_lineage(ranked.join(enough, "sid", "left_semi"))
+    every = reads.where("seq <> ''").select(F.col("rid").cast("long").alias("rid"), "seq")
+    both = kmers.strands(every)
+    seeds = kmers.pair_seeds(ranked, kmers.words(every, KMER, STEP, reverse=True), kmers.words(every, KMER))
+    strand = F.max_by(F.struct("qdir", "seeds"), F.struct("score", -F.col("qdir"))).alias("b")
+    chained = align.chains(seeds, KMER, SEED_SCORE, 1).groupBy("qid", "sid").agg(strand).select("qid", "b.qdir", "sid", F.lit(1).alias("nth"), F.lit(0).alias("score"), "b.seeds")
+    placed = chained.join(ranked.select("qid", "sid", "rank", "size"), ["qid", "sid"]).withColumns({"cb": F.col("seeds")[0].soff, "ce": F.element_at("seeds", -1).soff + KMER})
+    placed = mapping.cut_lineage(placed)
+
+    def aligned(rows: DataFrame) -> DataFrame:
+        d = mapping.along_chains(rows.drop("rank", "size", "cb", "ce"), both, every, KMER).where(F.col("send") - F.col("soff") >= options.min_overlap)
+        again = d.select("qid", "sid", "soff", "send", traceback.refined.asNondeterministic()("q_aln", "s_aln").alias("p")).select("qid", "sid", "soff", "send", "p.*")
+        return mapping.cut_lineage(traceback.measured(again).where(F.col("ident") >= identity).select("qid", "sid", "soff", "send", "q_aln", "s_aln"))
+
+    first = aligned(placed.where(F.col("rank") < full))
+    depths = intervals.depth(first.select("sid", F.col("soff").alias("from"), F.col("send").alias("to")), ["sid"])
+    later = placed.where(F.col("rank") >= full).withColumns({"from": F.col("cb"), "to": F.col("ce"), "_id": F.concat_ws(":", "sid", "qid")})
+    later = intervals.saturated(later, depths, ["sid"], "_id", full, slack).where("not full").drop("from", "to", "_id", "full")
+    done = first.unionByName(aligned(later))
+    spans = placed.select("sid", "qid", "rank", "cb", "ce", "size").join(done.select("sid", "qid", F.col("soff").alias("sb"), F.col("send").alias("se")), ["sid", "qid"], "left").fillna(-1, ["sb", "se"])
+    kept = mapping.cut_lineage(_unsaturated(spans, full, slack))
+    made = _assembled(whole, mapping.cut_lineage(done.join(kept, ["sid", "qid"], "left_semi")), options, splice, 0.0 if splice else 0.8)
+    return made.join(kept.groupBy(F.col("sid").alias("rid")).agg(F.count("*").alias("added")), "rid")
 
 
 def two_rounds(reads: DataFrame, options: ConsensusOptions = ConsensusOptions()) -> DataFrame:

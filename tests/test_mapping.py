@@ -105,3 +105,46 @@ def test_two_rounds(spark):
     raw = {(g, i): s for g, i, s in rows}
     assert {(r.group, r.rid) for r in got} == {k for k in raw if k[0] < 3}
     assert sum(errors(r.seq, truth[r.group]) for r in got) < 0.3 * sum(errors(raw[r.group, r.rid], truth[r.group]) for r in got)
+
+
+def test_long_reads_are_corrected_by_parts(spark):
+    rng = random.Random(10)
+    g = "".join(rng.choices("ACGT", k=2400))
+    reads = {0: noisy(rng, g, 0.1)} | {i: noisy(rng, g[a : a + 900], 0.1) for i, a in enumerate(range(0, 1501, 150), 1)}
+    reads |= {50: rc(reads[3]), 51: "".join(rng.choices("ACGT", k=900)), 52: None, 53: ""}
+    d = spark.createDataFrame(list(reads.items()), "rid long, seq string")
+    pairs = spark.createDataFrame([(i, 0, 100 - i) for i in reads] + [(1, 2, 5)], "qid long, sid long, score long")
+    o = ConsensusOptions(min_cov=2, min_size=500, min_overlap=300)
+    (r,) = consensus.correct_long(d, pairs, 65.0, o).collect()
+    assert r.rid == 0 and r.raw_size == len(reads[0]) and r.added == 12
+    raw = errors(reads[0], g)
+    assert errors(r.seq, g) < 0.5 * raw
+    (alone,) = consensus.correct_long(d, pairs, 65.0, o, splice=False).collect()
+    assert (alone["from"], alone.to - alone["from"] > 1900) == (r["from"], True) and alone.seq in r.seq
+    (few,) = consensus.correct_long(d, pairs, 65.0, ConsensusOptions(min_size=500, min_overlap=300), full=3, slack=200).collect()
+    assert 3 <= few.added < 12
+    assert consensus.correct_long(d, pairs, 65.0, ConsensusOptions(min_size=5000)).count() == 0
+    assert consensus.correct_long(d, pairs.where("false"), 65.0, o).count() == 0
+
+
+def test_saturation_goes_by_order(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for sid in range(4):
+        cover, taken = [0] * 2000, 0
+        stop = False
+        for rank in range(30):
+            b = rng.randrange(0, 1500)
+            e = b + rng.randrange(200, 500)
+            sb, se = (b + 5, e - 5) if rng.random() < 0.8 else (-1, -1)
+            rows.append((sid, 100 + rank, rank, b, e, sb, se, 2000))
+            thin = sum(c < 4 for c in cover[b:e])
+            if stop or sb < 0 or rank >= 4 and thin < 150:
+                continue
+            for i in range(sb, se):
+                cover[i] += 1
+            taken += 1
+            want.append((sid, 100 + rank))
+            stop = taken >= 4 and sum(c < 4 for c in cover) < 150
+    d = spark.createDataFrame(rows, "sid long, qid long, rank int, cb long, ce long, sb long, se long, size long")
+    assert sorted((r.sid, r.qid) for r in consensus._unsaturated(d, 4, 150).collect()) == sorted(want)
