@@ -183,7 +183,8 @@ def correct_long(reads: DataFrame, candidates: DataFrame, identity: float, optio
     ranked = ranked.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < most)
     enough = ranked.groupBy("sid").agg(F.count("*").alias("k")).where(F.col("k") >= options.min_cov).select("sid")
     ranked = mapping.cut_lineage(ranked.join(enough, "sid", "left_semi"))
-    every = reads.where("seq <> ''").select(F.col("rid").cast("long").alias("rid"), "seq")
+    named = ranked.select(F.col("sid").alias("rid")).union(ranked.select("qid")).distinct()
+    every = mapping.cut_lineage(reads.where("seq <> ''").select(F.col("rid").cast("long").alias("rid"), "seq").join(named, "rid", "left_semi"))
     both = kmers.strands(every)
     seeds = kmers.pair_seeds(ranked, kmers.words(every, KMER, STEP, reverse=True), kmers.words(every, KMER))
     strand = F.max_by(F.struct("qdir", "seeds"), F.struct("score", -F.col("qdir"))).alias("b")

@@ -86,10 +86,12 @@ def codes(bases: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.empty(0, np.int64), np.empty(0, bool)
     out, have, power, size = np.zeros(n, np.int64), 0, (bases & 3).astype(np.int64), 1
-    while have < k:  # runs of 1, 2, 4, ... bases, put together as the bits of k say
+    while True:  # runs of 1, 2, 4, ... bases, put together as the bits of k say
         if k & size:
             out = (out << (2 * size)) | power[have : have + n]
             have += size
+        if have == k:
+            break
         power, size = (power[: len(power) - size] << (2 * size)) | power[size:], 2 * size
     bad = np.concatenate([[0], np.cumsum(bases > 3)])
     return out, bad[k:] == bad[:n]

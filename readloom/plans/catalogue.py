@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import schemas
-from readloom.config import ConsensusOptions
 from readloom.functions import alignment as al
 from readloom.functions import sequence as sq
 from readloom.operators import align, consensus, hits, intervals, kmers, mapping, selection, signatures, stats, tags, traceback, volumes
@@ -985,27 +984,3 @@ def a28_sequence_tags(spark, d):
 def a29_sequence_tag_report(spark, d):
     """The report of the tags that the reads' alignments give."""
     return stats.tag_report(tags.tag_reads(views.partial(spark, d), 80).select("tag", F.col("qsize").alias("size")))
-
-
-@query()
-def t16_corrected_reads(spark, d):
-    """The first of five copies of each piece of a read, that all lack other bases, corrected by the others; errors before and after."""
-    r = _noisy(spark, d, 600, 5).withColumn("key", (F.col("group") * 1000 + F.col("piece")) * 8)
-    reads = r.select((F.col("key") + F.col("rid")).alias("rid"), "seq", "raw")
-    pairs = r.where("rid > 1").select((F.col("key") + F.col("rid")).alias("qid"), (F.col("key") + 1).alias("sid"), F.length("seq").alias("score"))
-    made = consensus.correct_long(reads.select("rid", "seq"), pairs, 65.0, ConsensusOptions(min_size=300, min_overlap=300)).withColumnRenamed("seq", "corrected")
-    both = made.join(reads, "rid")
-    return both.select("rid", "added", "raw_size", "from", "to", F.levenshtein("seq", "raw").alias("errors"), F.levenshtein("corrected", "raw").alias("left_errors"))
-
-
-def _groups_of_copies(spark, d):
-    r = _noisy(spark, d, 600, 4).where(F.length("raw") >= 400)
-    return r.select((F.col("group") * 1000 + F.col("piece")).alias("group"), "rid", "seq", "raw")
-
-
-@query()
-def t15_two_round_consensus(spark, d):
-    """Copies of each piece corrected by each other, twice; errors before and after."""
-    r = _groups_of_copies(spark, d)
-    made = consensus.two_rounds(r.select("group", "rid", "seq"), ConsensusOptions(min_size=300, min_overlap=300)).withColumnRenamed("seq", "corrected")
-    return made.join(r, ["group", "rid"]).select("group", "rid", "from", "to", F.levenshtein("seq", "raw").alias("errors"), F.levenshtein("corrected", "raw").alias("left_errors"))

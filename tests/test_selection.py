@@ -124,6 +124,15 @@ def test_seeds_by_volume(spark, most):
     assert sorted(map(tuple, got.collect())) == plain_seeds(reads, 11, 3, batches, vols, most)
 
 
+def test_codes():
+    for k in (1, 2, 7, 10, 15, 19, 31):
+        for n in (0, k - 1, k, k + 3, 50):
+            bases = np.array([(7 * i * i + i // 3) % 5 for i in range(n)], np.uint8)  # 4: no base
+            code, good = kmers.codes(bases, k)
+            want = [(int("".join(map(str, bases[i : i + k] & 3)), 4), bool((bases[i : i + k] < 4).all())) for i in range(n - k + 1)]
+            assert list(zip(code.tolist(), good.tolist(), strict=True)) == want
+
+
 def test_starts_of_volumes(spark):
     d = spark.createDataFrame([(i, 10 + i % 3) for i in range(50)], "rid long, len long")
     want, size = [0], 0
