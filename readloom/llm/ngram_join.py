@@ -6,15 +6,16 @@ corpus, in buckets of packed arrays, and each block of documents learns the coun
 set is in no intersection; it only fills places of the prefix. So a document with enough of them is in no tile, and
 the others go to the tiles of the shingles that they share.
 
-A tile holds the documents whose prefixes share a shingle; the expected size tells into how many tiles a shingle is
-cut. Inside a tile only documents of nearly equal set size (one size band) are paired. Each document has a hashed
-bitmap as wide as four to eight times its shared shingles (a power of two); the bits set in one and not in the other
+A tile holds the documents whose prefixes share a shingle. A shingle of many documents is cut into bands of set sizes,
+as wide as the similarity allows, so that a document's partners are in its own band or in one next to it; the expected
+size tells into how many tiles a band is cut. Inside a tile only documents of nearly equal set size are paired. Each
+document has a hashed bitmap as wide as four to eight times its shared shingles (a power of two); the bits set in one and not in the other
 bound the overlap from above. Pairs that pass are confirmed on the sorted arrays.
 
 Small tiles give all their pairs. Large tiles first give stars, which join near copies without listing their pairs;
-the members of a shingle that are then still in different components meet in pairs of bounded blocks, where every two
-of them are joined or refuted, unless the block has joined them already; pairs inside the shingle's largest component
-need no comparison. So no link between different texts is lost. Equal sets are one node from the start.
+the members of a shingle that are then still in different components meet in pairs of bounded blocks of one band or
+of neighbouring ones, where every two of them are joined or refuted, unless the block has joined them already; pairs
+inside the shingle's largest component need no comparison. So no link between different texts is lost. Equal sets are one node from the start.
 """
 
 from __future__ import annotations
@@ -56,6 +57,12 @@ def _fold(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
+def band_of(n, percent: int):
+    """Sets that can have the similarity are in bands whose numbers differ by one at most: a band's largest size is
+    under 100 / percent times its smallest, but for a hair that keeps rounding on the safe side."""
+    return F.floor(F.log(n) / F.log(F.lit(100.000001 / percent))).cast("int") if percent < 100 else n.cast("int")
+
+
 def may_reach(x: bytes, nx: int, rx: int, y: bytes, ny: int, ry: int, percent: int) -> bool:
     """Can two sets have the Jaccard similarity? The bitmaps are of their ``rx`` and ``ry`` shared shingles of ``nx``, ``ny``.
 
@@ -181,7 +188,7 @@ def _groups(batches, key: list[int]):
 def _pairs_in(percent: int, star_only: bool):
     """Pairs of nodes within tiles (tiles 0), tile after tile.
 
-    Large tiles give spokes to a leader (tiles -1, token: how often) and their rows for later (tiles over 0).
+    Large tiles give spokes to a leader (tiles -1, token: how often) and their rows for later (tiles over 0, b: n).
     """
 
     def emit(a, b, t, k):
@@ -202,7 +209,7 @@ def _pairs_in(percent: int, star_only: bool):
                 star = k > SMALL_TILE or not whole or star_only
                 if star:
                     a, b = np.arange(k), np.full(k, int(np.argmin(x)))
-                    out.append((x, np.full(k, -1), np.full(k, token[f]), np.full(k, tiles[f])))
+                    out.append((x, m, np.full(k, token[f]), np.full(k, tiles[f])))
                 else:
                     a, b = np.triu_indices(k, 1)
                 lo, hi = np.minimum(m[a], m[b]), np.maximum(m[a], m[b])
@@ -309,17 +316,19 @@ def _links(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """First pairs, the members (node, token, tiles) of the tiles that gave only stars, and the saved table of both."""
+    """First pairs, the members (node, token, tiles, n) of the tiles that gave only stars, and the saved table of both."""
     p, kinds = partitions(nodes.sparkSession), "a long, b long, token long, tiles int"
     each = nodes.select("node", "n", F.explode(F.arrays_zip("prefix", "tiles")).alias("p")).select(F.col("p.prefix").alias("token"), "node", "n", F.col("p.tiles").alias("tiles"))
-    each = each.select("token", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", "n", "tiles")
+    cut = F.when(F.col("tiles") > 1, band_of(F.col("n"), percent)).otherwise(0).cast("long") * F.col("tiles")
+    each = each.select("token", (cut + F.pmod(F.xxhash64("node"), F.col("tiles"))).alias("tile"), "node", "n", "tiles")
     each = each.repartition(p, "token", "tile").sortWithinPartitions("token", "tile", "node")
     found = save(each.mapInArrow(_pairs_in(percent, False), kinds), "jaccard-tiles")
-    large = found.where("tiles > 0").select(F.col("a").alias("node"), "token", "tiles")
-    # the leaders of a shingle's tiles meet in one more star
-    lead = large.where("tiles > 1").select("token", "tiles", "node", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile")).groupBy("token", "tiles", "tile").agg(F.min("node").alias("node"))
-    lead = lead.join(nodes.select("node", "n"), "node").select("token", F.lit(0).alias("tile"), "node", "n", "tiles")
-    over = lead.repartition(p, "token").sortWithinPartitions("token", "node").mapInArrow(_pairs_in(percent, True), kinds).where("tiles < 0")
+    large = found.where("tiles > 0").select(F.col("a").alias("node"), "token", "tiles", F.col("b").alias("n"))
+    # the leaders of a shingle's tiles meet those of their band and of the next in one more star
+    lead = large.where("tiles > 1").select("token", "tiles", "node", "n", band_of(F.col("n"), percent).alias("band"), F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"))
+    lead = lead.groupBy("token", "tiles", "band", "tile").agg(F.min_by("n", "node").alias("n"), F.min("node").alias("node"))
+    lead = lead.select("token", F.explode(F.array(F.col("band").cast("long"), F.col("band").cast("long") + 1)).alias("tile"), "node", "n", "tiles")
+    over = lead.repartition(p, "token", "tile").sortWithinPartitions("token", "tile", "node").mapInArrow(_pairs_in(percent, True), kinds).where("tiles < 0")
     # of a node's spokes, that to the leader it meets most often
     spokes = found.where("tiles < 0").groupBy("a", "b").agg(F.sum("token").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
     pairs = found.where("tiles = 0").select("a", "b").union(spokes.union(over.select("a", "b")).select(F.least("a", "b"), F.greatest("a", "b")))
@@ -327,20 +336,29 @@ def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, D
 
 
 def _open_links(large: DataFrame, nodes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Links of nodes that share a shingle (large: node, token, tiles) and aren't in one component yet.
+    """Links of nodes that share a shingle (large: node, token, tiles, n) and aren't in one component yet.
 
-    The nodes of a shingle's largest component only meet the others; all come in blocks of TILE_ROWS or so.
+    Each band of a shingle has its members in blocks of TILE_ROWS or so, those of the shingle's largest component
+    apart; a member meets the blocks of its band and of those next to it, one of the largest component only the others.
     """
     hashed = F.xxhash64("node", F.lit(7))
-    labelled = large.join(comps, "node", "left").select("token", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", "tiles", F.coalesce("comp", "node").alias("comp"))
-    sizes = labelled.groupBy("token", "comp").agg(F.count("*").alias("n"), F.max("tiles").alias("tiles"))
-    open_ = sizes.groupBy("token").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("all"), F.count("*").alias("comps"), F.max("tiles").alias("tiles")).where("comps > 1")
-    blocks = lambda c: F.ceil(c / F.lit(TILE_ROWS)).cast("int")
-    open_ = open_.select("token", "main", blocks(F.col("all") - F.col("m")).alias("small"), blocks(F.col("m")).alias("big"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))  # a join key for each tile, so that no task gets a whole shingle's rows
+    labelled = large.join(comps, "node", "left").select("token", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"), "node", "tiles", band_of(F.col("n"), percent).alias("band"), F.coalesce("comp", "node").alias("comp"))
+    sizes = labelled.groupBy("token", "comp", "band").agg(F.count("*").alias("k"), F.max("tiles").alias("tiles"))
+    whole = sizes.groupBy("token", "comp").agg(F.sum("k").alias("k"), F.max("tiles").alias("tiles"))
+    open_ = whole.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("comps"), F.max("tiles").alias("tiles")).where("comps > 1")
+    # how many blocks of others and of the largest component each band has: no more entries than there are bands
+    blocks = lambda is_main: F.ceil(F.sum(F.when(is_main, F.col("k")).otherwise(0)) / F.lit(TILE_ROWS)).cast("int")
+    bands = sizes.join(open_.select("token", "main"), "token").groupBy("token", "band").agg(blocks(F.col("comp") != F.col("main")).alias("small"), blocks(F.col("comp") == F.col("main")).alias("big"))
+    bands = bands.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("small", "big")))).alias("bands"))
+    open_ = open_.join(bands, "token").select("token", "main", "bands", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))  # a join key for each tile, so that no task gets a whole shingle's rows
     left = labelled.join(open_, ["token", "tile"]).withColumn("is_main", F.col("comp") == F.col("main"))
-    left = left.withColumn("own", F.when(F.col("is_main"), F.col("small") + F.pmod(hashed, F.col("big"))).otherwise(F.pmod(hashed, F.col("small"))).cast("int"))
-    last = F.when(F.col("is_main"), F.col("small")).otherwise(F.col("small") + F.col("big")) - 1
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), last))).join(nodes.select("node", "n", "bits", "shared"), "node")
+    number = lambda band, main, i: ((band.cast("long") * 2 + main) * (1 << 32)) + i
+    some = lambda band, main, k: F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1), lambda i: number(band, main, i))).otherwise(F.array().cast("array<long>"))
+    here = F.col("bands")[F.col("band")]
+    left = left.withColumn("own", number(F.col("band"), F.col("is_main").cast("int"), F.pmod(hashed, F.when(F.col("is_main"), here.big).otherwise(here.small))))
+    near = F.filter(F.transform(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.struct(b.alias("band"), F.col("bands")[b].alias("k"))), lambda x: x.k.isNotNull())
+    others = F.flatten(F.transform(near, lambda x: F.concat(some(x.band, 0, x.k.small), some(x.band, 1, F.when(F.col("is_main"), 0).otherwise(x.k.big)))))
+    left = left.withColumn("other", F.explode(others)).select("token", "own", "other", "node", "comp").join(nodes.select("node", "n", "bits", "shared"), "node")
     left = left.select("token", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "n", "node", "comp", "bits", "shared")
     left = left.repartition(partitions(nodes.sparkSession), "token", "one", "two").sortWithinPartitions("token", "one", "two", "n", "node")
     return save(left.mapInArrow(_across(percent), "a long, b long"), "jaccard-across")
@@ -365,7 +383,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     comps = save(connected_components(links), "jaccard-comps")
     # members of large tiles that aren't all in one component yet: first each one in its most frequent shingle, which
     # joins near copies, then in every shingle that is still open
-    most = large.groupBy("node").agg(F.max(F.struct("tiles", "token")).alias("t")).select("node", "t.token", "t.tiles")
+    most = large.groupBy("node").agg(F.max(F.struct("tiles", "token", "n")).alias("t")).select("node", "t.token", "t.tiles", "t.n")
     for members in (most, large):
         more = _open_links(members, nodes, comps, percent)
         if not more.isEmpty():

@@ -180,12 +180,24 @@ def test_jaccard(spark, empty, monkeypatch, small, tile):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
         rows.append((2000 + i, " ".join(w), "s"))
+    for i in range(60):  # one line in texts of all sizes, each near only to the next ones, over the ends of bands
+        rows.append((3000 + i, " ".join(base[:6] + [f"u{k}" for k in range(int(4 * 1.06**i))] + [f"own{i}"]), "s"))
     for n, percent in ((4, 85), (5, 80)):
         got = ngram_join.jaccard_components(table(spark, rows), n, percent)
         assert key(tuple(r) for r in got.collect()) == components(rows, n, percent)
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_bands(spark):
+    """Sizes that can have the similarity are in one band or in neighbouring ones; bands are as narrow as that allows."""
+    for percent in (50, 80, 85, 99, 100):
+        got = {r.n: r.b for r in spark.range(1, 3000).select(F.col("id").alias("n"), ngram_join.band_of(F.col("id"), percent).alias("b")).collect()}
+        for n in range(1, 3000):
+            far = min(2999, 100 * n // percent)
+            assert 0 <= got[far] - got[n] <= 1
+        assert all(got[min(2999, 10000 * n // percent**2 + 2)] > got[n] for n in range(1, 2000))
+
+
 def test_contamination(spark, docs, empty, monkeypatch):
     rows = corpus()
     items = [(1, " ".join(rows[0][1].split()[3:20])), (2, "a a"), (3, None), (4, ""), (5, rows[7][1]), (5, rows[7][1]), (None, "a"), (11, "É é é"), (12, "not there at all")]
