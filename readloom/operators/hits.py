@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +154,28 @@ def broken_pairs(rows: DataFrame, tol: int = 50) -> DataFrame:
     return d.select("qid", "sid", "qdir", F.col("x_aid").alias("a"), F.col("y_aid").alias("b"), "case", *hull, "rank")
 
 
+def resolved_overlaps(rows: DataFrame, identity: float = 80.0, tol: int = 50, reach: int = 300, effective: str = "ident", realign: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One overlap of each query and subject at most: the first whole one, else the first pair of broken ones that makes one.
+
+    Rows under the identity take no part. An overlap is whole if it contains or is contained or runs from an end of one
+    to an end of the other, within ``reach``. Pairs come from ``broken_pairs`` (ends within ``tol``), in its order, and
+    only for queries and subjects without a whole overlap; a pair counts if its hull is a whole overlap. ``realign``
+    takes the pairs (qid, sid, qdir, the hull, qsize, ssize, rank, left_ident, right_ident), aligns their hulls anew and
+    returns those that are good enough, with new ends; without it hulls stay as they are. Returns qid, sid, qdir, a, b
+    (the pair; b null: one whole overlap) and qoff, qend, soff, send.
+    """
+    whole = overlap_class(reach).isin("contained", "contains", "dovetail")
+    good = rows.where(F.col(effective) >= identity)
+    ends = ("qdir", "a", "b", "qoff", "qend", "soff", "send")
+    first = good.where(whole).groupBy("qid", "sid").agg(F.min_by(F.struct("qdir", F.col("aid").alias("a"), F.lit(None).cast(rows.schema["aid"].dataType).alias("b"), *ends[3:]), "aid").alias("r"))
+    left = good.join(first.select("qid", "sid"), ["qid", "sid"], "left_anti")
+    of = lambda x, *more: left.select(F.col("aid").alias(x), F.col(effective).alias("left_ident" if x == "a" else "right_ident"), *more)
+    pairs = broken_pairs(left, tol).join(of("a", "qsize", "ssize"), "a").join(of("b"), "b")
+    pairs = (realign(pairs) if realign else pairs).where(whole)
+    second = pairs.groupBy("qid", "sid").agg(F.min_by(F.struct(*ends), "rank").alias("r"))
+    return first.unionByName(second).select("qid", "sid", "r.*")
+
+
 def to_sv_reads(rows: DataFrame) -> DataFrame:
     """SV reads of alignments: dist is the mean span's mismatching part, cut to a whole number."""
     dist = F.floor((F.col("qend") - F.col("qoff") + F.col("send") - F.col("soff")) * (100 - F.col("ident")) / 200).cast("int")

@@ -472,6 +472,19 @@ def j06_dual_cases(spark, d):
     return hits.broken_pairs(views.overlapping(spark, d))
 
 
+_WHOLE = "((qoff <= 300 AND qsize - qend <= 300) OR (soff <= 300 AND ssize - send <= 300) OR (qoff <= 300 AND ssize - send <= 300) OR (qsize - qend <= 300 AND soff <= 300))"
+
+
+@query(f"""WITH {views.ALN_SQL}, {views.BROKEN_SQL}, good AS (SELECT * FROM ovl WHERE ident >= 80), whole AS (SELECT *, row_number() OVER (PARTITION BY qid, sid ORDER BY aid) AS n FROM good WHERE {_WHOLE}),
+rest AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM whole w WHERE w.qid = g.qid AND w.sid = g.sid)), every AS ({_CASE_SQL.replace("ovl", "rest")}), one AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY c) AS n FROM every),
+sized AS (SELECT one.* EXCLUDE (n), x.qsize, x.ssize FROM one JOIN rest x ON x.aid = one.a WHERE n = 1), pick AS (SELECT *, row_number() OVER (PARTITION BY qid, sid ORDER BY least(a, b), greatest(a, b), a > b) AS n FROM sized WHERE {_WHOLE})
+SELECT qid, sid, qdir, aid AS a, CAST(NULL AS BIGINT) AS b, CAST(qoff AS BIGINT) AS qoff, CAST(qend AS BIGINT) AS qend, CAST(soff AS BIGINT) AS soff, CAST(send AS BIGINT) AS send FROM whole WHERE n = 1
+UNION ALL SELECT qid, sid, qdir, a, b, CAST(qoff AS BIGINT), CAST(qend AS BIGINT), CAST(soff AS BIGINT), CAST(send AS BIGINT) FROM pick WHERE n = 1""")
+def j07_resolved_overlaps(spark, d):
+    got = hits.resolved_overlaps(views.broken(spark, d))
+    return got.withColumns({c: F.col(c).cast("long") for c in ("qoff", "qend", "soff", "send")})
+
+
 _UNION = f"""{views.MASK_SQL}, e AS (SELECT *, max(t) OVER (PARTITION BY sid ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mask), i AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS k FROM e),
 u AS (SELECT sid, min(f) AS f, max(t) AS t, count(*) AS n, CAST(sum(t - f) AS BIGINT) AS residues FROM i GROUP BY sid, k)"""
 

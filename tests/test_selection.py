@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.config import SvOptions
 from readloom.functions import alignment as al
-from readloom.operators import kmers, mapping, selection, tags, traceback, volumes
+from readloom.operators import hits, kmers, mapping, selection, tags, traceback, volumes
 
 ALN = "aid long, qid long, qdir int, sid long, qsize long, qoff long, qend long, soff long, send long, ssize long, ident double, masked boolean"
 
@@ -142,3 +142,46 @@ def test_starts_of_volumes(spark):
             want.append(i + 1)
             size = 0
     assert volumes.starts(d, "rid", "len", 100) == want
+
+
+def test_resolved_overlaps(spark):
+    """Against a plain search in the order of the alignments."""
+    whole = lambda r: (r["qoff"] <= 300 and r["qsize"] - r["qend"] <= 300) or (r["soff"] <= 300 and r["ssize"] - r["send"] <= 300) or (r["qoff"] <= 300 and r["ssize"] - r["send"] <= 300) or (r["qsize"] - r["qend"] <= 300 and r["soff"] <= 300)
+
+    def hull(x, y):
+        """The first of the eight cases in which x and y continue each other."""
+        at = lambda r, side, end: (r[side + "off"] if end == "start" else r[side + "size"] - r[side + "end"]) <= 50
+        for side, end in (("s", "start"), ("s", "end"), ("q", "start"), ("q", "end")):
+            if not at(x, side, end):
+                continue
+            for other in (side, "qs"[side == "q"]):
+                run = ("s" if other != side else "q") if side == "s" else ("s" if other == side else "q")
+                one, two = (x, y) if end == "start" else (y, x)
+                if at(y, other, "end" if end == "start" else "start") and one[run + "off"] < two[run + "end"]:
+                    return dict(qoff=one["qoff"], qend=two["qend"], soff=one["soff"], send=two["send"], qsize=x["qsize"], ssize=x["ssize"])
+        return None
+
+    rng, rows = random.Random(4), []
+    for aid in range(600):
+        qb, sb = (rng.choice((0, 40, 60, 350, 1200)) for _ in "qs")
+        qe, se = (rng.choice((1000, 1800, 2640, 2960, 3000)) for _ in "qs")
+        rows.append(dict(aid=aid, qid=aid % 90, sid=aid % 2, qdir=rng.randrange(2), qsize=3000, qoff=qb, qend=qe + 300 * (qb > qe), soff=sb, send=se + 300 * (sb > se), ssize=3000, ident=rng.choice((75.0, 85.0))))
+    want = {}
+    for q in range(90):
+        for t in range(2):
+            mine = [r for r in rows if r["qid"] == q and r["sid"] == t and r["ident"] >= 80]
+            found = next(((r["aid"], None, r) for r in mine if whole(r)), None)
+            for i, x in enumerate(mine):
+                for y in mine[i + 1 :]:
+                    for one, two in ((x, y), (y, x)):
+                        h = hull(one, two) if one["qdir"] == two["qdir"] else None
+                        if not found and h and whole(h):
+                            found = one["aid"], two["aid"], h
+            if found:
+                want[q, t] = (*found[:2], *(found[2][c] for c in ("qoff", "qend", "soff", "send")))
+    d = spark.createDataFrame(rows, "aid long, qid long, sid long, qdir int, qsize long, qoff long, qend long, soff long, send long, ssize long, ident double")
+    got = {(r.qid, r.sid): (r.a, r.b, r.qoff, r.qend, r.soff, r.send) for r in hits.resolved_overlaps(d).collect()}
+    assert got == want
+    assert {b is None for _, b, *_ in got.values()} == {True, False}
+    none = hits.resolved_overlaps(d, realign=lambda pairs: pairs.where("left_ident < 0 and right_ident < 0")).where("b is not null")
+    assert none.count() == 0 and hits.resolved_overlaps(d.where("false")).count() == 0
