@@ -1,5 +1,7 @@
 """Sources, sinks and the incremental run."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,53 @@ def test_fastq_of_several_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def plain_records(text):
+    """Records of mixed FASTA and FASTQ, one line after the other."""
+    lines = [x for x in (y.rstrip() for y in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")) if x]
+    out, i, now = [], 0, None
+    while i < len(lines):
+        x = lines[i]
+        if x[0] == "@" and x[1:2].strip() and i + 3 < len(lines) and lines[i + 2][0] == "+" and len(lines[i + 1]) == len(lines[i + 3]) and lines[i + 1][0] != "+":
+            out.append([x[1:], [lines[i + 1]], lines[i + 3]])
+            now, i = None, i + 4
+            continue
+        if x[0] == ">":
+            now = [x[1:], [], None]
+            out.append(now)
+        elif now is not None and x[0] not in "!#;":
+            now[1].append("".join(x.split(";")[0].split()))
+        i += 1
+    split = lambda h: (h.split(None, 1) + ["", ""])[:2]
+    return sorted((*split(h), "".join(s).upper(), q or "") for h, s, q in out if split(h)[0])
+
+
+def test_mixed(spark, tmp_path, monkeypatch):
+    """FASTA and FASTQ in one file, all line ends, cut anywhere; the same records for every cut."""
+    rng = random.Random(2)
+    bases = lambda n: "".join(rng.choices("acgtN", k=n))
+    parts = ["noise before\n", "; a comment\n"]
+    for i in range(400):
+        if rng.random() < 0.5:
+            body = "".join(bases(rng.randrange(1, 30)) + rng.choice(["", "", ";gone", "  "]) + "\n" + rng.choice(["", "", "\n", "# no >data\n", "   \n"]) for _ in range(rng.randrange(5)))
+            parts.append(f">f{i}{rng.choice(['', ' of fasta > @'])}\n{body}")
+        else:
+            n = rng.randrange(1, 20)
+            parts.append(f"@q{i}{rng.choice(['', ' x'])}\n{bases(n)}\n+\n{''.join(rng.choices('@>+I#;', k=n))}\n{rng.choice(['', '', 'stray' + chr(10)])}")
+    for k, end in enumerate(("\n", "\r\n", "\r")):
+        text = "".join(parts).replace("\n", end)
+        (tmp_path / f"{k}.txt").write_bytes(text.encode())
+        for stretch, size in ((1 << 16, "128m"), (7, "700")):
+            monkeypatch.setattr(fasta, "STRETCH", stretch)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sorted((r.name, r.comment, r.seq, r.qual or "") for r in fasta.read_mixed(spark, str(tmp_path / f"{k}.txt")).collect())
+            assert got == plain_records(text)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "bad.txt").write_text("> \nACGT\n>r\n12345\n>ok\nAC\n>empty\n")
+    assert sorted((r.name, r.seq) for r in fasta.read_mixed(spark, str(tmp_path / "bad.txt")).collect()) == [("empty", ""), ("ok", "AC")]
+    (tmp_path / "old.fa").write_bytes(b">a x\rAC\rGT\r")
+    assert [tuple(r) for r in fasta.read_fasta(spark, str(tmp_path / "old.fa")).collect()] == [("a", "x", "ACGT")]
+
+
 def test_groups_and_masks(spark, tmp_path):
     d = spark.createDataFrame([(0, 6, 3, 0, 11, 5, 50), (0, 6, 3, 1, 12, 6, 51), (0, 0, 4, 0, 13, 9, 70)], "sid long, type int, group_id long, member int, qid long, sfrom long, len long")
     records.group_lines(d).write.text(str(tmp_path / "g"))
