@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from readloom import schemas
 from readloom.functions import alignment as al
 from readloom.functions import sequence as sq
-from readloom.operators import align, consensus, hits, intervals, kmers, mapping, selection, signatures, stats, tags, traceback, volumes
+from readloom.operators import align, consensus, hits, intervals, kmers, mapping, selection, signatures, significance, stats, tags, traceback, volumes
 from readloom.plans import views
 from readloom.sources import records
 
@@ -485,6 +485,20 @@ def j07_resolved_overlaps(spark, d):
     return got.withColumns({c: F.col(c).cast("long") for c in ("qoff", "qend", "soff", "send")})
 
 
+@query(f"""WITH RECURSIVE {views.ALN_SQL}, half AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(4 AS DOUBLE) AS hi UNION ALL SELECT i + 1, CASE WHEN exp((lo + hi) / 2) / 4 + 0.75 * exp(-(lo + hi)) < 1 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN exp((lo + hi) / 2) / 4 + 0.75 * exp(-(lo + hi)) < 1 THEN hi ELSE (lo + hi) / 2 END FROM half WHERE i < 60),
+rate AS (SELECT max(lo) AS r FROM half), mean AS (SELECT r, exp(r) / 4 - 1.5 * exp(-2 * r) AS a FROM rate),
+sums AS (SELECT sum(exp(lgamma(j + 1) - lgamma(i + 1) - lgamma(j - i + 1) + i * ln(0.25) + (j - i) * ln(0.75) + r * least(0, 3 * i - 2 * j)) / j) AS t FROM range(1, 400) AS x(j), range(0, 400) AS y(i), rate WHERE i <= j),
+par AS (SELECT r, r * a AS h, exp(-2 * t) / (a * (1 - exp(-r))) AS k FROM mean, sums), whole AS (SELECT sum(n) AS n, count(*) AS c FROM (SELECT max(ssize) AS n FROM aln GROUP BY sid)),
+adj AS (SELECT qsize, max(l) AS l FROM (SELECT DISTINCT qsize FROM aln), range(0, 200) AS x(l), par, whole WHERE l < qsize AND l * c < n AND l * h <= ln(k) + ln((qsize - l) * (n - c * l)) GROUP BY qsize),
+e AS (SELECT aid, CAST(l AS BIGINT) AS length_adjustment, (r * (score // 1000) - ln(k)) / ln(2) AS bits, ln(k) + ln(qsize - l) + ln(n - c * l) - r * (score // 1000) AS x FROM aln JOIN adj USING (qsize), par, whole)
+SELECT aid, length_adjustment, round(bits, 6) AS bits, round(x / ln(10), 6) AS log10_e, round(CASE WHEN x < -12 THEN x - exp(x) / 2 WHEN exp(x) > 30 THEN 0 ELSE ln(1 - exp(-exp(x))) END / ln(10), 6) + 0.0 AS log10_p FROM e""")
+def p22_significance(spark, d):
+    par = significance.parameters(significance.match_scores(1, -2))
+    rows = views.alignments(spark, d).withColumn("score", F.expr("score div 1000"))
+    got = significance.with_significance(rows, par)
+    return got.select("aid", "length_adjustment", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("bits", "log10_e", "log10_p")))
+
+
 _UNION = f"""{views.MASK_SQL}, e AS (SELECT *, max(t) OVER (PARTITION BY sid ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM mask), i AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS k FROM e),
 u AS (SELECT sid, min(f) AS f, max(t) AS t, count(*) AS n, CAST(sum(t - f) AS BIGINT) AS residues FROM i GROUP BY sid, k)"""
 

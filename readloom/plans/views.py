@@ -120,8 +120,8 @@ def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments(spark, sf_dir).selectExpr(*_columns(_OVERLAP))
 
 
-_BROKEN = """aid, qid, qdir, sid % 2 AS sid, qsize + 2000 AS qsize, CASE WHEN aid % 7 = 0 THEN 0 WHEN aid % 2000 < 1000 THEN aid % 3 * 40 ELSE 450 END AS qoff, qsize + 2000 - CASE WHEN aid % 7 = 0 THEN aid % 3 * 200 WHEN aid % 2000 < 1000 THEN 500 ELSE aid % 3 * 40 END AS qend,
- CASE WHEN aid % 2000 < 1000 THEN aid % 5 * 20 ELSE 900 END AS soff, CASE WHEN aid % 2000 < 1000 THEN 1700 ELSE 2500 - aid % 5 * 20 END AS send, 2500 AS ssize, ident, score"""
+_BROKEN = """aid, qid, qdir, sid % 2 AS sid, qsize + 2000 AS qsize, CASE WHEN aid % 7 = 0 THEN 0 WHEN aid % 8 < 4 THEN aid % 3 * 40 ELSE 450 END AS qoff, qsize + 2000 - CASE WHEN aid % 7 = 0 THEN aid % 3 * 200 WHEN aid % 8 < 4 THEN 500 ELSE aid % 3 * 40 END AS qend,
+ CASE WHEN aid % 8 < 4 THEN aid % 5 * 20 ELSE 900 END AS soff, CASE WHEN aid % 8 < 4 THEN 1700 ELSE 2500 - aid % 5 * 20 END AS send, 2500 AS ssize, ident, score"""
 BROKEN_SQL = f"ovl AS (SELECT {_BROKEN} FROM aln)"
 
 

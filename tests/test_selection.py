@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readloom.config import SvOptions
 from readloom.functions import alignment as al
-from readloom.operators import hits, kmers, mapping, selection, tags, traceback, volumes
+from readloom.operators import hits, kmers, mapping, selection, significance, tags, traceback, volumes
 
 ALN = "aid long, qid long, qdir int, sid long, qsize long, qoff long, qend long, soff long, send long, ssize long, ident double, masked boolean"
 
@@ -185,3 +185,29 @@ def test_resolved_overlaps(spark):
     assert {b is None for _, b, *_ in got.values()} == {True, False}
     none = hits.resolved_overlaps(d, realign=lambda pairs: pairs.where("left_ident < 0 and right_ident < 0")).where("b is not null")
     assert none.count() == 0 and hits.resolved_overlaps(d.where("false")).count() == 0
+
+
+def test_significance(spark):
+    """Published parameters of ungapped nucleotide scores, and E-values against plain arithmetic."""
+    for (match, mismatch), want in {(1, -2): (1.33, 0.621, 1.12), (1, -3): (1.374, 0.711, 1.31), (1, -4): (1.383, 0.738, 1.36)}.items():
+        got = significance.parameters(significance.match_scores(match, mismatch))
+        assert got == pytest.approx(want, rel=5e-3)
+        twice = significance.parameters(significance.match_scores(2 * match, 2 * mismatch))
+        assert twice == pytest.approx((got.scale / 2, got.k, got.entropy))
+    for bad in ({1: 1.0}, {-1: 1.0}, {1: 0.5, -1: 0.5}, {}):
+        with pytest.raises(ValueError):
+            significance.parameters(bad)
+    par = significance.parameters(significance.match_scores())
+    rows = [(1, 500, 0, 9000, 20), (2, 500, 1, 7000, 400), (3, 12, 1, 6000, 3), (4, 1, 0, 9000, 0), (5, None, 0, 9000, 9), (6, 90, 0, None, None)]
+    d = spark.createDataFrame(rows, "aid long, qsize long, sid long, ssize long, score long")
+    for r in significance.with_significance(d, par).collect():
+        if r.qsize is None or r.score is None:
+            assert r.log10_e is None and r.log10_p is None
+            continue
+        n, c = 16_000, 2
+        fit = [x for x in range(r.qsize) if x * par.entropy <= np.log(par.k * (r.qsize - x) * (n - c * x))]
+        assert r.length_adjustment == max(fit, default=0)
+        e = np.log10(par.k * (r.qsize - r.length_adjustment) * (n - c * r.length_adjustment)) - par.scale * r.score / np.log(10)
+        assert r.log10_e == pytest.approx(e) and r.bits == pytest.approx((par.scale * r.score - np.log(par.k)) / np.log(2))
+        assert r.log10_p <= min(0, r.log10_e) + 1e-12
+    assert significance.with_significance(d.where("false"), par).count() == 0
