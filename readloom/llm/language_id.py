@@ -122,34 +122,48 @@ def em(p: np.ndarray, n: np.ndarray, total: int, w: np.ndarray, steps: list | No
 
 
 def _newton(p: np.ndarray, n: np.ndarray, total: int, w: np.ndarray) -> np.ndarray:
-    """One Newton step of the log-likelihood over proportions: those at zero stay there unless their gradient says no."""
+    """One Newton step of the log-likelihood over proportions, taken as far as it raises the likelihood.
+
+    The step ends at the best point of the quadratic model among all points without a negative proportion, so neither
+    a proportion near zero nor one at zero can hold it up. The proportions' sum is in the model as a cost and needs no constraint.
+    """
     now = p @ w
     q = p / now[:, None]
-    gradient, bend = q.T @ n, (q * n[:, None]).T @ q
-    free = (w > 0) | (gradient > total)
-    while True:
-        f = np.flatnonzero(free)
-        system = np.zeros((len(f) + 1, len(f) + 1))
-        system[:-1, :-1] = bend[np.ix_(f, f)]
-        system[:-1, -1] = system[-1, :-1] = 1
-        d = np.zeros(len(w))
-        d[f] = np.linalg.lstsq(system, np.append(gradient[f], 0), rcond=1e-15)[0][:-1]
-        stuck = free & (w == 0) & (d < 0)
-        if not stuck.any():
-            break
-        free &= ~stuck
-    down = d < 0
-    size = min(1.0, float((w[down] / -d[down]).min())) if down.any() else 1.0
-    have = n @ np.log(now)
-    for _ in range(12):
-        new = np.maximum(0, w + size * d)
-        new /= new.sum()
-        if n @ np.log(np.maximum(p @ new, 1e-300)) > have:
-            return new
+    gradient, bend = q.T @ n / total, (q * (n / total)[:, None]).T @ q
+    bend[np.diag_indices(len(w))] += 1e-12 * np.trace(bend)  # equal languages
+    d = _model_maximum(bend, bend @ w + gradient - 1, w) - w
+    value = lambda x: float(n @ np.log(np.maximum(p @ x, 1e-300)) - total * x.sum())
+    have, slope = value(w), total * float((gradient - 1) @ d)
+    size = 1.0
+    while slope > 0 and size > 1e-12:
+        new = w + size * d
+        if value(new) > have + 1e-4 * size * slope:
+            return new / new.sum()
         size /= 2
     return w
 
 
+def _model_maximum(bend: np.ndarray, rise: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The x >= 0 of the greatest rise @ x - x @ bend @ x / 2, by active sets (Lawson and Hanson), from a given one."""
+    free = x > 0
+    for _ in range(10 * len(x)):
+        inner = np.zeros(len(x))
+        inner[free] = np.linalg.solve(bend[np.ix_(free, free)], rise[free])
+        low = free & (inner <= 0)
+        if low.any():
+            share = np.where(low, x / np.where(low, x - inner, 1), np.inf)
+            x = np.where(free, np.maximum(0, x + share.min() * (inner - x)), 0)
+            free[int(np.argmin(share))] = False
+            x[~free] = 0
+            continue
+        x = inner
+        more = np.where(free, -np.inf, rise - bend @ x)
+        if more.max() <= 1e-13 * np.abs(rise).max():
+            break
+        free[int(np.argmax(more))] = True
+    return x
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Count trigrams by language over all rows with a text and a language; 512 KB a language reach the driver."""
     kinds, spark = "lang string, lot int, bins binary", docs.sparkSession

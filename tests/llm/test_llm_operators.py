@@ -494,3 +494,18 @@ def test_language_equals_a_plain_em(spark):
         assert all(abs(x.share + {k: s for s, k in want}[x.lang]) < 0.02 for x in r.languages)
     tie = language_id.Languages({"a": np.ones(language_id.BINS), "b": np.ones(language_id.BINS)})
     assert tie.mixture("some text", 8.0)[0][0] == "a" and len(tie.mixture("some text", 8.0)) == 1
+
+
+def test_language_steps_end():
+    class Steps(list):
+        def append(self, step):
+            assert len(self) < 100, "proportions at or near zero hold the steps up"
+            super().append(step)
+
+    for seed in (24, 70, 79, 96, 102):
+        rng = np.random.default_rng(seed)
+        p = rng.dirichlet(np.full(11, 0.1), 4).T + 1e-9
+        p, n = p / p.sum(axis=0), rng.multinomial(200_000, rng.dirichlet(np.full(11, 0.1)))
+        p, n = p[n > 0], n[n > 0]
+        w = language_id.em(p, n, int(n.sum()), np.array([0.3, 0.3, 0.2, 0.2]), Steps())
+        assert n.sum() * np.log((p.T @ (n / (p @ w)) / n.sum()).max()) < language_id.SLACK
