@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm import common, decontamination, hashing, language_id, mixing, ngram_join, phrases, quality, sharding, token_counts, topk, toxicity
+from readloom.llm import common, decontamination, hashing, language_id, mixing, ngram_join, phrases, quality, sharding, sketches, token_counts, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, id long, shard string, node string"
 
@@ -509,3 +509,12 @@ def test_language_steps_end():
         p, n = p[n > 0], n[n > 0]
         w = language_id.em(p, n, int(n.sum()), np.array([0.3, 0.3, 0.2, 0.2]), Steps())
         assert n.sum() * np.log((p.T @ (n / (p @ w)) / n.sum()).max()) < language_id.SLACK
+
+
+def test_lists_of_a_rank_that_goes_beyond_short_ones(spark):
+    # each word pair is in 26 sets, which has the rank of the longest short list (24), but is a long one
+    texts = [f"x{i} m y{j}" for i in range(26) for j in range(26)]
+    d = spark.createDataFrame(list(enumerate([*texts, texts[5]])), "doc_id long, text string")
+    got = {r.doc_id: r for r in sketches.near_duplicates(d, 2, 80).collect()}
+    assert len(got) == 677 and all(r.n_shingles == 2 for r in got.values())
+    assert all(r.component_id == (5 if i == 676 else i) for i, r in got.items())
