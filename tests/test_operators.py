@@ -133,6 +133,24 @@ def test_outliers(spark):
     assert got["a", 99].outlier and got["a", 99].lof > 5 and not got["b", 1].outlier
 
 
+def test_outliers_of_shared_places(spark):
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.integers(0, 30, (700, 2)) / 3.0, rng.normal(40, 9, (150, 2)), np.repeat(rng.integers(0, 5, (6, 2)) * 9.0 + 70, 60, axis=0)])
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [("b", i, 1.0, 1.0) for i in range(5)]
+    got = {(r.cell, r.pid): r for r in align.outlier_factors(spark.createDataFrame(rows, ["cell", "pid", "x", "y"]), "cell").collect()}
+    d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2) / 2)
+    np.fill_diagonal(d, np.inf)
+    far = np.sort(d, axis=1)[:, 4]
+    near = [np.flatnonzero(r <= m) for r, m in zip(d, far, strict=True)]
+    density = np.array([1 / max(np.maximum(far[m], r[m]).mean(), 1e-12) for m, r in zip(near, d, strict=True)])
+    lof = np.array([density[m].mean() / own for m, own in zip(near, density, strict=True)])
+    assert len(got) == len(rows) and all(abs(got["a", i].lof - x) <= 1e-6 * max(1, x) and got["a", i].outlier == (round(x, 9) > 1) for i, x in enumerate(lof.tolist()))
+    assert all(got["b", i].lof == 1 and not got["b", i].outlier for i in range(5))
+    # most points of one place: only places are compared
+    many = spark.range(400_000).selectExpr("'c' AS cell", "id AS pid", "double(id % 20) AS x", "double(id div 20 % 10) AS y")
+    assert align.outlier_factors(many, "cell").groupBy("lof", "outlier").count().collect() == [(1.0, False, 400_000)]
+
+
 def test_options():
     assert data_size("8g") == 8 << 30 and from_lines(MapOptions, ["KMER_SIZE = 19 # k", ""]).kmer_size == 19
     for bad in (["kmer_size=9"], ["nothing=1"]):
