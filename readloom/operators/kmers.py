@@ -8,21 +8,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readloom.functions.sequence import reverse_complement
 
 SEGMENT, SKIP = 300, 200
 
 
-def occurrences(reads: DataFrame, k: int, step: int, read_id: str = "rid", seq: str = "seq") -> DataFrame:
-    """k-mers at 0, step, 2*step, ...: rid, off, kmer. The k-mer itself is the join key, no code is needed."""
-    # first into pieces, then into k-mers: a substring is found by walking from the start of its string
-    n, piece = F.length(seq) - k, 100 * step
-    pieces = reads.where(n >= 0).select(F.col(read_id).alias("rid"), F.col(seq).alias("_s"), F.explode(F.sequence(F.lit(0), n, F.lit(piece))).alias("_at"))
-    pieces = pieces.select("rid", "_at", F.substring(F.col("_s"), F.col("_at") + 1, F.lit(piece + k - 1)).alias("_p"))
-    inside = F.sequence(F.lit(0), F.least(F.length("_p") - k, F.lit(piece - 1)), F.lit(step))
-    each = pieces.select("rid", "_at", "_p", F.explode(inside).alias("_i"))
-    return each.select("rid", (F.col("_at") + F.col("_i")).cast("long").alias("off"), F.substring(F.col("_p"), F.col("_i") + 1, F.lit(k)).alias("kmer"))
+def occurrences(reads: DataFrame, k: int, step: int, read_id: str = "rid", seq: str = "seq", sample: bool = False) -> DataFrame:
+    """k-mers at 0, step, 2*step, ...: rid, off, kmer. The k-mer itself is the join key, no code is needed.
+
+    sample: only those that ``sampled`` keeps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, size, last = [], 0, b.num_rows - 1
+            for row, text in enumerate(b.column(1)):
+                text = text.as_py()
+                at = np.arange(0, len(text) - k + 1, step)
+                at = at[at % (SEGMENT + SKIP) <= SEGMENT - k] if sample else at
+                if text.isascii():
+                    words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text.encode(), np.uint8), k)[at]
+                    ends = np.arange(0, (len(at) + 1) * k, k, dtype=np.int32)
+                    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(words)))
+                else:
+                    words = pa.array([text[i : i + k] for i in at.tolist()], pa.string())
+                held.append((row, at, words))
+                size += len(at)
+                if size >= 1 << 16 or row == last:
+                    rows = pa.array(np.repeat([h[0] for h in held], [len(h[1]) for h in held]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(np.concatenate([h[1] for h in held])), pa.concat_arrays([h[2] for h in held])], names=["rid", "off", "kmer"])
+                    held, size = [], 0
+
+    long = reads.where(F.length(seq) >= k).select(F.col(read_id).alias("rid"), F.col(seq).alias("seq"))
+    return long.mapInArrow(run, T.StructType([long.schema["rid"], T.StructField("off", T.LongType()), T.StructField("kmer", T.StringType())]))
 
 
 def sampled(occ: DataFrame, k: int) -> DataFrame:
@@ -39,7 +59,7 @@ def strands(reads: DataFrame, read_id: str = "rid", seq: str = "seq") -> DataFra
 def query_words(reads: DataFrame, k: int) -> DataFrame:
     """Sampled k-mers of both strands, one at each base of a segment: rid, qdir, off, kmer."""
     named = strands(reads).withColumn("_who", F.struct("rid", "qdir"))
-    return sampled(occurrences(named, k, 1, "_who"), k).select("rid.rid", "rid.qdir", "off", "kmer")
+    return occurrences(named, k, 1, "_who", sample=True).select("rid.rid", "rid.qdir", "off", "kmer")
 
 
 def word_list(reads: DataFrame, k: int, step: int, segment: int, skip: int) -> DataFrame:
@@ -153,6 +173,16 @@ def _lists(occ: DataFrame, most: int, fields: list[str], name: str) -> DataFrame
     return listed.where(F.size(name) <= most).select("kmer", name)
 
 
+def places(reads: DataFrame, k: int, step: int, most: int) -> DataFrame:
+    """Words at every ``step`` bases that occur ``most`` times at most: kmer (its letters), places (sorted array of rid and off).
+
+    One shuffle: a task gives on no more than ``most`` + 1 occurrences of a word at once, by which it is known to be left out.
+    """
+    lists = _lists(words(reads, k, step, most=most), most, ["rid", "off"], "places")
+    letters = F.translate(F.lpad(F.conv(F.col("kmer").cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+    return lists.select(letters.alias("kmer"), F.sort_array("places").alias("places"))
+
+
 def seed_join(queries: DataFrame, subjects: DataFrame, most: int = 200, self_join: bool = True) -> DataFrame:
     """Matches of k-mers: qid, qdir, qoff, sid, soff. queries: rid, qdir, off, kmer, unit; subjects: rid, off, kmer, unit.
 

@@ -204,9 +204,9 @@ def a01_frequent_kmers(spark, d):
 
 @query(f"WITH {_KMERS} SELECT kmer, count(*) AS n, min(rid) AS first_read, string_agg(rid || ':' || off, ',' ORDER BY rid, off) AS places FROM occ GROUP BY kmer HAVING count(*) BETWEEN 2 AND 8")
 def a02_index(spark, d):
-    occ = kmers.index(_occurrences(spark, d), 8)
-    places = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rid", "off"))), lambda p: F.concat_ws(":", p.rid, p.off)), ",")
-    return occ.groupBy("kmer").agg(F.count("*").alias("n"), F.min("rid").alias("first_read"), places.alias("places")).where("n > 1")
+    found = kmers.places(views.reads(spark, d), 15, 10, 8).where(F.size("places") > 1)
+    text = F.array_join(F.transform("places", lambda p: F.concat_ws(":", p.rid, p.off)), ",")
+    return found.select("kmer", F.size("places").cast("long").alias("n"), F.col("places")[0].rid.alias("first_read"), text.alias("places"))
 
 
 @query(f"WITH {_KMERS} SELECT count(*) AS kmers, CAST(coalesce(sum(n), 0) AS BIGINT) AS occurrences FROM (SELECT count(*) AS n FROM occ GROUP BY kmer) WHERE n > 8")

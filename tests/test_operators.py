@@ -159,3 +159,20 @@ def test_options():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_places_of_words(spark, monkeypatch):
+    rng = random.Random(11)
+    reads = [(i, "".join(rng.choices("ACGT", k=rng.randrange(0, 90))) + "ACGTTACG" * (i % 3)) for i in range(120)]
+    d = spark.createDataFrame([*reads, (500, None), (501, "ÄACGTACGTAC")], "rid long, seq string").repartition(7)
+    want: dict = {}
+    for i, s in reads:
+        for at in range(0, len(s) - 5, 2):
+            want.setdefault(s[at : at + 6], []).append((i, at))
+    monkeypatch.setattr(kmers, "_CHUNK", 64)
+    got = {r.kmer: [tuple(p) for p in r.places] for r in kmers.places(d.where("rid < 501"), 6, 2, 8).collect()}
+    assert got == {k: sorted(v) for k, v in want.items() if len(v) <= 8} and len(got) < len(want)
+    # each word where it stands, of any letters
+    cut = kmers.occurrences(d, 6, 2)
+    assert sorted((r.rid, r.off, r.kmer) for r in cut.where("rid < 500").collect()) == sorted((i, at, k) for k, v in want.items() for i, at in v)
+    assert [(r.off, r.kmer) for r in cut.where("rid = 501").orderBy("off").collect()] == [(0, "ÄACGTA"), (2, "CGTACG"), (4, "TACGTA")]
