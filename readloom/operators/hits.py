@@ -71,7 +71,7 @@ def top_window_hsps(rows: DataFrame, k: int, gap: int = 500, more_windows: int =
     best rows. Adds window and hsp_rank.
     """
     own = Window.partitionBy("qid", "sid", "qdir", "_island")
-    d = islands(rows, ["qid", "sid", "qdir"], "soff", "send", gap, ("aid",))
+    d = islands(rows, ["qid", "sid", "qdir"], "soff", "send", gap, ("aid",), bin_size=None)
     d = d.withColumns({"_best": F.max("score").over(own), "_first": F.min("soff").over(own), "_nth": F.row_number().over(own.orderBy(F.desc("score"), "aid"))})
     pair = Window.partitionBy("qid", "sid")
     d = d.withColumn("window", F.dense_rank().over(pair.orderBy(F.desc("_best"), "qdir", "_first"))).where((F.col("window") <= k + more_windows) & (F.col("_nth") <= each))

@@ -18,13 +18,19 @@ from readloom.operators.scratch import dealt
 BIN = 4096
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str, bool]], bin_size: int = BIN) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[str, str, bool]], bin_size: int | None = BIN) -> DataFrame:
     """Running aggregates a key in the given order, whose first column is the place on the axis.
 
     values: name -> (column, ``sum`` or ``max``, whether the row itself counts). A first maximum is null, a first sum 0.
+    bin_size None: the keys name a query, so that one's rows are few; they are scanned whole, without a further shuffle of rows
+    that are dealt by query.
     """
-    binned = rows.withColumn("_bin", F.floor(F.col(order[0]) / bin_size))
     agg = {"sum": F.sum, "max": F.max}
+    if bin_size is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        each = {n: agg[how](c).over(whole.rowsBetween(Window.unboundedPreceding, 0 if itself else -1)) for n, (c, how, itself) in values.items()}
+        return rows.withColumns({n: F.coalesce(c, F.lit(0)) if values[n][1] == "sum" else c for n, c in each.items()})
+    binned = rows.withColumn("_bin", F.floor(F.col(order[0]) / bin_size))
     bins = binned.groupBy(*keys, "_bin").agg(*(agg[how](c).alias(f"_all_{n}") for n, (c, how, _) in values.items()))
     earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_bin").alias("_b"), *(agg[how](f"_all_{n}").over(earlier).alias(f"_before_{n}") for n, (_, how, _) in values.items()))
@@ -46,19 +52,20 @@ def following(rows: DataFrame, keys: list[str], at: str, name: str, bin_size: in
     return inner.join(bins, on).withColumn(name, F.coalesce(name, "_then")).drop("_bin", "_b", "_then", *(f"_k{i}" for i in range(len(keys))))
 
 
-def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, ties: tuple[str, ...] = (), bin_size: int = BIN) -> DataFrame:
+def islands(rows: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, ties: tuple[str, ...] = (), bin_size: int | None = BIN) -> DataFrame:
     """Add ``_island``: rows of a key that reach each other, by at most ``gap``, have one number, rising along the axis."""
     order = [start, end, *(t for t in ties if t not in (start, end))]
     marked = running(rows, keys, order, {"_reach": (end, "max", False)}, bin_size)
     marked = marked.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + gap), 1).otherwise(0))
-    return running(marked, keys, order, {"_island": ("_new", "sum", True)}, bin_size).drop("_reach", "_new")
+    # of equal rows the one that begins an island is first, in whatever order they come this time
+    return running(marked, keys, [*order, F.desc("_new")], {"_island": ("_new", "sum", True)}, bin_size).drop("_reach", "_new")
 
 
-def merge(rows: DataFrame, keys: list[str], start: str = "from", end: str = "to", gap: int = 0, score: str | None = None) -> DataFrame:
+def merge(rows: DataFrame, keys: list[str], start: str = "from", end: str = "to", gap: int = 0, score: str | None = None, bin_size: int | None = BIN) -> DataFrame:
     """Union of intervals a key, those at most ``gap`` apart being one: hull, number, the sum of the sizes, and the
     greatest score."""
     more = [F.sum(F.col(end) - F.col(start)).alias("residues"), *([F.max(score).alias(score)] if score else [])]
-    return islands(rows, keys, start, end, gap).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *more).drop("_island")
+    return islands(rows, keys, start, end, gap, bin_size=bin_size).groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"), *more).drop("_island")
 
 
 def binned_overlap(left: DataFrame, right: DataFrame, keys: list[str], bin_size: int = BIN) -> DataFrame:

@@ -433,11 +433,10 @@ _ALN_MASKED = f"{views.ALN_SQL}, {_LONG_MASK}, m AS (SELECT aid, sum(least(send,
 
 def _with_mask(spark, d):
     """The alignments, and whether the long repeats leave too little of them."""
-    a = views.alignments(spark, d)
-    spans = a.select("aid", "sid", F.col("soff").alias("from"), F.col("send").alias("to"))
+    a = views.alignments(spark, d).withColumns({"from": F.col("soff"), "to": F.col("send")})
     long = views.mask(spark, d).where(F.col("to") - F.col("from") > views.LONG)
-    masked = intervals.masked_bases(spans, long, ["sid"], "aid")
-    return a.join(masked.select("aid", (~intervals.unmasked_enough(F.col("to") - F.col("from"), F.col("masked"))).alias("masked")), "aid")
+    masked = intervals.masked_bases(a, long, ["sid"], "aid")
+    return masked.withColumn("masked", ~intervals.unmasked_enough(F.col("to") - F.col("from"), F.col("masked"))).drop("from", "to")
 
 
 _DUAL = f"""{_ALN_MASKED}, g AS (SELECT * FROM am WHERE ident >= 70 AND NOT masked), l AS (SELECT * FROM g WHERE qoff <= 300 AND qsize - qend > 300), r AS (SELECT * FROM g WHERE qoff > 300 AND qsize - qend <= 300),
@@ -556,7 +555,7 @@ w AS (SELECT *, dense_rank() OVER (PARTITION BY qid, s2 ORDER BY best DESC, qdir
 SELECT aid, CAST(win AS INT) AS "window", CAST(hsp_rank AS INT) AS hsp_rank FROM r WHERE hsp_rank <= 2""")
 def o06_window_hsps(spark, d):
     """Window by window, two rows a pair."""
-    a = views.alignments(spark, d).withColumn("sid", F.col("sid") % 2)
+    a = views.alignments(spark, d).select("aid", "qid", (F.col("sid") % 2).alias("sid"), "qdir", "soff", "send", "score")
     return hits.top_window_hsps(a, 2, 9000).select("aid", "window", "hsp_rank")
 
 
@@ -568,7 +567,7 @@ def o07_topk_support(spark, d):
 @query(f"""WITH {views.ALN_SQL}, e AS (SELECT *, max(send) OVER w AS before FROM aln WINDOW w AS (PARTITION BY qid, sid, qdir ORDER BY soff, send ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), i AS (SELECT *, sum(CASE WHEN before IS NULL OR soff > before + 500 THEN 1 ELSE 0 END) OVER (PARTITION BY qid, sid, qdir ORDER BY soff, send ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT qid, sid, qdir, min(soff) AS soff, max(send) AS send, count(*) AS n, CAST(sum(send - soff) AS BIGINT) AS residues, max(score) AS score FROM i GROUP BY qid, sid, qdir, k""")
 def a08_merge_windows(spark, d):
-    return intervals.merge(views.alignments(spark, d), ["qid", "sid", "qdir"], "soff", "send", 500, "score")
+    return intervals.merge(views.alignments(spark, d), ["qid", "sid", "qdir"], "soff", "send", 500, "score", bin_size=None)
 
 
 def _fold_ctes(name: str, source: str, keys: str, order: str, first: str, second: str | None) -> str:
@@ -946,11 +945,11 @@ svr AS (SELECT qid, sid, qdir, qsize, qoff, qend, soff, send, 'complete' AS kind
 
 def _sv_reads(spark, d):
     """SV reads of the view, which has no bases to align a pair of duals by: a figure made of both identities stands in."""
-    a = mapping.cut_lineage(_with_mask(spark, d).withColumn("eff", F.col("ident") - F.col("aid") % 4))
+    a = _with_mask(spark, d).withColumn("eff", F.col("ident") - F.col("aid") % 4).drop("ssize", "score")
 
     def chain(duals):
-        idents = lambda side: a.select(F.col("aid").alias(f"{side}_id"), F.col("ident").alias(f"_{side}"))
-        both = duals.join(idents("left"), "left_id").join(idents("right"), "right_id")
+        idents = lambda side: views.alignments(spark, d).select("qid", F.col("aid").alias(f"{side}_id"), F.col("ident").alias(f"_{side}"))
+        both = duals.join(idents("left"), ["qid", "left_id"]).join(idents("right"), ["qid", "right_id"])
         return both.where((F.col("_left") + F.col("_right")) / 2 - (F.col("left_id") + F.col("right_id")) % 11 > F.least("_left", "_right") - 4)
 
     return selection.sv_reads(a, chain, effective="eff", masked="masked")

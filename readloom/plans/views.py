@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALPHABET, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 
@@ -23,7 +24,7 @@ _LETTERS = bytes.maketrans((ALPHABET + ALPHABET.upper()).encode(), (BASES * 2).e
 _OTHERS = bytes(b for b in range(256) if chr(b).lower() not in ALPHABET)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _bases(text: pa.Array) -> pa.Array:
     """Letters as bases; all bytes of other characters go."""
     return pa.array([x if x is None else x.encode().translate(_LETTERS, _OTHERS) for x in text.to_pylist()], pa.binary()).cast(pa.string())
@@ -53,7 +54,9 @@ aln AS (SELECT CAST(aid AS BIGINT) AS aid, CAST(qid AS BIGINT) AS qid, qdir, CAS
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments: aid (unique), qid qdir sid qsize qoff qend soff send ssize ident score."""
-    a = table(spark, sf_dir, "lineitem").selectExpr(*_columns(_ALN)).distinct().selectExpr(*_columns(_ALN2)).selectExpr(*_columns(_ALN3))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
+    # dealt by read before anything is made of the columns: what is done by read below needs no further shuffle
+    a = rows.repartition("l_orderkey").selectExpr(*_columns(_ALN)).distinct().selectExpr(*_columns(_ALN2)).selectExpr(*_columns(_ALN3))
     longs = ("aid", "qid", "sid", "qsize", "qoff", "qend", "soff", "send", "ssize")
     a = a.withColumns({c: F.col(c).cast("long") for c in longs})
     return a.withColumn("score", F.expr("8 * (qend - qoff) - ((qend - qoff) * ident) div 100").cast("long"))

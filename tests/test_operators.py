@@ -176,3 +176,19 @@ def test_places_of_words(spark, monkeypatch):
     cut = kmers.occurrences(d, 6, 2)
     assert sorted((r.rid, r.off, r.kmer) for r in cut.where("rid < 500").collect()) == sorted((i, at, k) for k, v in want.items() for i, at in v)
     assert [(r.off, r.kmer) for r in cut.where("rid = 501").orderBy("off").collect()] == [(0, "ÄACGTA"), (2, "CGTACG"), (4, "TACGTA")]
+
+
+def test_equal_intervals_stay_in_their_island(spark):
+    rows = spark.range(0, 40_000, 1, 16).selectExpr("id % 2 as sid", "(id * 97) % 200 * 300 as `from`", "(id * 97) % 200 * 300 + 100 as `to`", "rand(5) as r")
+    for size in (intervals.BIN, None):
+        got = intervals.merge(rows.repartition(16, "r"), ["sid"], bin_size=size)
+        assert got.where("to - `from` != 100").count() == 0 and got.count() == 200
+        assert got.agg({"n": "sum"}).first()[0] == 40_000
+
+
+def test_alignments_are_shuffled_once(spark):
+    from readloom.plans import catalogue
+
+    for name in ("a08_merge_windows", "o06_window_hsps"):  # by read; the scans follow in place
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
