@@ -18,11 +18,27 @@ from pyspark.sql import types as T
 REWARD, LONG_GAP = 8, 20
 
 
+#: Bytes of one side's strings that are compared at once.
+AT_ONCE = 1 << 20
+
+
 @F.pandas_udf(T.StringType())
 def _operations(q: pd.Series, s: pd.Series) -> pd.Series:
-    """All alignments of a batch at once, as bytes."""
-    good = (q.notna() & s.notna()).to_numpy()
-    pairs = [(a.encode(), b.encode()) for a, b in zip(q[good], s[good], strict=True)]
+    """The alignments of a batch, many short ones or few long ones at once, as bytes."""
+    out: list = [None] * len(q)
+    some, size = [], 0
+    for i in np.flatnonzero((q.notna() & s.notna()).to_numpy()).tolist():
+        some.append(i)
+        size += len(q.iat[i])
+        if size >= AT_ONCE:
+            _compare(q, s, some, out)
+            some, size = [], 0
+    _compare(q, s, some, out)
+    return pd.Series(out, dtype=object)
+
+
+def _compare(q: pd.Series, s: pd.Series, some: list[int], out: list) -> None:
+    pairs = [(q.iat[i].encode(), s.iat[i].encode()) for i in some]
     sizes = np.array([max(len(a), len(b)) for a, b in pairs], np.int64)
     x, y = (np.frombuffer(b"".join(p[k].ljust(n, b"?") for p, n in zip(pairs, sizes.tolist(), strict=True)), np.uint8) for k in (0, 1))
     gap, other = x == ord("-"), y == ord("-")
@@ -30,9 +46,8 @@ def _operations(q: pd.Series, s: pd.Series) -> pd.Series:
     keep = ~(gap & other)
     ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
     text = ops[keep].tobytes().decode()
-    out = pd.Series([None] * len(q), dtype=object)
-    out[good] = [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return out
+    for i, a, b in zip(some, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out[i] = text[a:b]
 
 
 def operations(q: str | Column, s: str | Column) -> Column:

@@ -1,5 +1,8 @@
 """Sequence and alignment functions on hand-made rows."""
 
+import tracemalloc
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from readloom.functions import alignment as al
@@ -53,3 +56,13 @@ def test_nx(spark):
     d = spark.createDataFrame([(x,) for x in (5, 4, 3, 2, 1)], ["len"])
     assert {(r.share, r.nx, r.lx) for r in stats.nx_lx(d, shares=(50,)).collect()} == {(50, 4, 2)}
     assert stats.length_stats(d.where("len > 9")).first().n == 0
+
+
+def test_operations_of_long_alignments_take_little_memory():
+    q, s = (pd.Series([x * 900] * 3000 + [None, ""]) for x in ("ACG-TA", "AC-GTT"))
+    tracemalloc.start()
+    out = al._operations.func(q, s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.iloc[0] == "==ID=X" * 900 and out.iloc[-2] is None and out.iloc[-1] == ""
+    assert peak < 60e6  # 17 MB of results; a batch at once took some 20 bytes for each column
