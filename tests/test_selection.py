@@ -1,6 +1,7 @@
 """SV reads in the order of their rules, signatures of aligned strings, sequence tags, seeds by volume, gap pushing."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -77,6 +78,22 @@ def test_pushed():
     assert traceback.pushed("A" * 50_000, "-" * 49_999 + "A") == ("A" * 50_000, "A" + "-" * 49_999)
 
 
+def test_pushed_all_at_once():
+    rng = random.Random(5)
+    made = lambda abc, n: tuple("".join(rng.choices(abc, k=n)) for _ in (0, 1))
+    for abc in ("ACGT-", "AC---", "AC-é\U0001f600"):
+        pairs = [made(abc, rng.randrange(70)) for _ in range(400)] + [("", "")] * 20 + [made(abc, 900)]
+        assert traceback.all_pushed(pairs) == [traceback.pushed(*p) for p in pairs]
+    pairs = [made("ACGT-", 150) for _ in range(2000)]
+    t0 = time.process_time()
+    traceback.all_pushed(pairs)
+    t1 = time.process_time()
+    for p in pairs:
+        traceback.pushed(*p)
+    assert 2 * (t1 - t0) < time.process_time() - t1
+
+
+
 def test_tags(spark):
     def row(qid, q, s, qdir=0, sid=0, ident=90.0, size=2000, ssize=50_000):
         return (qid, qdir, sid, size, *q, ssize, *s, ident)
