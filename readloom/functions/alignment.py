@@ -141,11 +141,34 @@ def anchored(q: str, s: str, anchor: int = 8) -> tuple[Column, Column]:
     return F.when(first > 0, first - 1).otherwise(0), F.when(first > 0, F.length(ops) - last + 1).otherwise(0)
 
 
+@F.pandas_udf(T.StructType([T.StructField("q_aln", T.StringType()), T.StructField("s_aln", T.StringType())]))
+def _split(q: pd.Series, s: pd.Series) -> pd.DataFrame:
+    out: list = [(None, None)] * len(q)
+    for some, xs, ys in _each_lot(q, s):
+        for i, pair in zip(some, splits(xs, ys), strict=True):
+            out[i] = pair
+    return pd.DataFrame(out, columns=["q_aln", "s_aln"], dtype=object)
+
+
+def splits(qs: list[str], ss: list[str]) -> list[tuple[str, str]]:
+    """Alignments with their mismatches split, all columns of all of them at once."""
+    sizes = np.array([max(len(x), len(y)) for x, y in zip(qs, ss, strict=True)], np.int64)
+    x, y = letters(qs, sizes), letters(ss, sizes)
+    other = (x != y) & (x != ord("-")) & (y != ord("-")) & (x != 0) & (y != 0)
+    ends, first, made = np.cumsum(1 + other), np.cumsum(sizes), []
+    for side, late in ((x, 0), (y, 1)):
+        flat = np.repeat(side, 1 + other)
+        flat[ends[other] - 2 + late] = ord("-")
+        keep = flat != 0
+        upto = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])[first]]
+        made.append(texts(flat[keep], upto))
+    return list(zip(*made, strict=True))
+
+
 def split_mismatches(q: str, s: str) -> tuple[Column, Column]:
     """Both strings with each mismatch as two columns: the subject's base against a gap, then the query's."""
-    other = lambda a, b: (a != b) & (a != "-") & (b != "-")
-    one = lambda x, y: F.array_join(F.zip_with(F.split(q, ""), F.split(s, ""), lambda a, b: F.when(other(a, b), x(a, b)).otherwise(y(a, b))), "")
-    return one(lambda a, b: F.concat(F.lit("-"), a), lambda a, b: a), one(lambda a, b: F.concat(b, F.lit("-")), lambda a, b: b)
+    both = _split(q, s)
+    return both["q_aln"], both["s_aln"]
 
 
 def gap_runs(q: str, s: str, qoff: Column, soff: Column, least: int = 40) -> Column:

@@ -1,5 +1,7 @@
 """Sequence and alignment functions on hand-made rows."""
 
+import itertools
+import random
 import tracemalloc
 
 import pandas as pd
@@ -37,6 +39,25 @@ def test_measures(spark):
     assert (r.i, r.d, r.s, r.c, r.m) == (80.0, 1, 36, "2M1D2M", "2^A2")
 
 
+def alignments():
+    rng = random.Random(3)
+    texts = [tuple("".join(rng.choices("ACGT--", k=n)) for _ in (0, 1)) for n in (*range(40), 900)]
+    return [*texts, ("AC", "A"), ("A", "AC"), ("Aé", "éé"), ("", "")]
+
+
+def test_mismatches_are_split_all_at_once(spark):
+    def plain(*texts):
+        columns = list(itertools.zip_longest(*texts, fillvalue=""))
+        differ = [a and b and a != b and "-" not in (a, b) for a, b in columns]
+        return tuple("".join((f"-{c[0]}", f"{c[1]}-")[k] if d else c[k] for c, d in zip(columns, differ, strict=True)) for k in (0, 1))
+
+    rows = alignments()
+    assert al.splits(*map(list, zip(*rows, strict=True))) == [plain(*r) for r in rows]
+    q, s = al.split_mismatches("q", "s")
+    d = spark.createDataFrame([(0, "AC-G", "AG-G"), (1, None, "A")], "i int, q string, s string").select("i", q, s)
+    assert sorted(map(tuple, d.collect())) == [(0, "A-C-G", "AG--G"), (1, None, None)]
+
+
 def test_effective_identity_leaves_long_gaps_out(spark):
     for gap, want in ((20, 100.0), (19, 100 * 20 / 39)):
         d = one(spark, q="A" * 10 + "-" * gap + "C" * 10, s="A" * 10 + "G" * gap + "C" * 10)
