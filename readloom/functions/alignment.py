@@ -121,17 +121,51 @@ def _each_lot(q: pd.Series, s: pd.Series):
         yield some, [q.iat[j] for j in some], [s.iat[j] for j in some]
 
 
-def md(q: str, s: str) -> Column:
-    """The MD string: match counts, the subject's bases at mismatches, ^ and its bases in deletions."""
-    step = lambda a, b: F.when(b == "-", F.lit("")).when(a == "-", F.concat(F.lit("^"), b)).when(a == b, F.lit("=")).otherwise(F.concat(F.lit("x"), b))
-    t = F.array_join(F.zip_with(F.split(q, ""), F.split(s, ""), step), "")
-    parts = F.regexp_extract_all(t, F.lit(r"(=+|x[A-Za-z]|(?:\^[A-Za-z])+)"), 1)
+@F.pandas_udf(T.StringType())
+def _md(q: pd.Series, s: pd.Series) -> pd.Series:
+    out: list = [None] * len(q)
+    for some, xs, ys in _each_lot(q, s):
+        for i, text in zip(some, mds(xs, ys), strict=True):
+            out[i] = text
+    return pd.Series(out, dtype=object)
 
-    def put(acc, p):
-        kind, n = F.substring(p, 1, 1), F.length(p)
-        return F.when(kind == "=", F.struct(acc.out.alias("out"), (acc.n + n).alias("n"))).when(kind == "x", F.struct(F.concat(acc.out, acc.n.cast("string"), F.substring(p, 2, 1)).alias("out"), F.lit(0).alias("n"))).otherwise(F.struct(F.concat(acc.out, acc.n.cast("string"), F.lit("^"), F.regexp_replace(p, r"\^", "")).alias("out"), F.lit(0).alias("n")))
 
-    return F.aggregate(parts, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")), put, lambda a: F.concat(a.out, a.n.cast("string")))
+def mds(qs: list[str], ss: list[str]) -> list[str]:
+    """MD strings of alignments, all columns of all of them at once.
+
+    Behind an alignment's last column stands an end. Each mismatch, run of deleted bases and end is a token: the number of
+    matches since the one before, ^ for a run, the subject's base unless it is an end; further bases of a run have no number.
+    """
+    sizes = np.array([max(len(x), len(y)) + 1 for x, y in zip(qs, ss, strict=True)], np.int64)
+    x, y = letters(qs, sizes), letters(ss, sizes)
+    end = np.zeros(len(x), bool)
+    end[np.cumsum(sizes) - 1] = True
+    keep = np.flatnonzero(end | ((y != ord("-")) & (y != 0)))
+    x, y, end = x[keep], y[keep], end[keep]
+    same, gone = (x == y) & ~end, (x == ord("-")) & ~end
+    later = gone & np.concatenate([[False], gone[:-1]])
+    at = np.flatnonzero(~same)
+    y, end, start, mark = y[at], end[at], ~later[at], (gone & ~later)[at]
+    n = np.diff(np.cumsum(same)[at], prepend=0)
+    digits = start.astype(np.int64)
+    power = 10
+    while len(n) and power <= n.max():
+        digits += start & (n >= power)
+        power *= 10
+    ends = np.cumsum(digits + mark + ~end)
+    first = ends - (digits + mark + ~end)
+    out = np.zeros(ends[-1] if len(ends) else 0, y.dtype)
+    for i in range(int(digits.max(initial=0))):
+        has = digits > i
+        out[(first + digits)[has] - 1 - i] = ord("0") + n[has] // 10**i % 10
+    out[(first + digits)[mark]] = ord("^")
+    out[ends[~end] - 1] = y[~end]
+    return texts(out, ends[end])
+
+
+def md(q: str, s: str) -> Column:
+    """The MD string: match counts, the subject's bases at mismatches, ^ and its bases in deletions."""
+    return _md(q, s)
 
 
 def anchored(q: str, s: str, anchor: int = 8) -> tuple[Column, Column]:

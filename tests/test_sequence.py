@@ -58,6 +58,25 @@ def test_mismatches_are_split_all_at_once(spark):
     assert sorted(map(tuple, d.collect())) == [(0, "A-C-G", "AG--G"), (1, None, None)]
 
 
+def test_md_of_all_at_once(spark):
+    def plain(q, s):
+        out, n, gone = "", 0, False
+        for a, b in zip(q.ljust(len(s), "?"), s, strict=False):
+            if b == "-":
+                continue
+            if a == b:
+                n, gone = n + 1, False
+            else:
+                out += b if gone and a == "-" else f"{n}{'^' * (a == '-')}{b}"
+                n, gone = 0, a == "-"
+        return out + str(n)
+
+    rows = [*alignments(), ("A" * 1234 + "--", "A" * 1233 + "CGT")]
+    assert al.mds(*map(list, zip(*rows, strict=True))) == [plain(*r) for r in rows]
+    d = spark.createDataFrame([(0, "AC-G", "AG-G"), (1, None, "A")], "i int, q string, s string").select("i", al.md("q", "s"))
+    assert sorted(map(tuple, d.collect())) == [(0, "1G1"), (1, None)]
+
+
 def test_effective_identity_leaves_long_gaps_out(spark):
     for gap, want in ((20, 100.0), (19, 100 * 20 / 39)):
         d = one(spark, q="A" * 10 + "-" * gap + "C" * 10, s="A" * 10 + "G" * gap + "C" * 10)
