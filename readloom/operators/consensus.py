@@ -18,60 +18,106 @@ from readloom.operators.scratch import dealt
 KMER, STEP, SEED_SCORE = 10, 6, 50
 
 
+#: Votes that a task collects before it sums equal ones, and sums that it holds before it gives them on.
+AT_ONCE, HELD = 1 << 18, 1 << 19
+
+
 def votes(rows: DataFrame, group: str, q: str = "q_aln", s: str = "s_aln", start: str = "soff", weight: str | None = None) -> DataFrame:
-    """One vote for each column of each alignment: group, t_pos, delta, base, and those of the column before.
+    """Votes of the columns of alignments: group, t_pos, delta, base, those of the column before, weight, n.
 
     t_pos is the subject's place, delta counts insertions behind it. Running counts over the columns of one alignment.
+    A task sums equal votes (weight) and counts them (n) before it gives them on, as far as it can hold them.
     """
     gap = ord("-")
     kind = rows.schema[group].dataType.simpleString()
-
-    def put(held: list, groups: pa.Array) -> pa.RecordBatch:
-        each = [np.concatenate(c) for c in zip(*held, strict=True)]
-        which, weigh, at, delta, base, p_at, p_delta, p_base = each
-        return pa.RecordBatch.from_arrays([groups.take(pa.array(which)), pa.array(weigh), pa.array(at), pa.array(delta.astype(np.int32)), pa.array(base), pa.array(p_at), pa.array(p_delta.astype(np.int32)), pa.array(p_base)], names=["group", "weight", "t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base"])
+    before = lambda v, first: np.concatenate([np.array([first], v.dtype), v[:-1]])
+
+    def summed(cols: list[np.ndarray]) -> list[np.ndarray]:
+        """Equal votes as one; the last two columns are weight and n."""
+        code, size = np.zeros(len(cols[0]), np.int64), 1
+        for c in cols[:-2]:
+            low = int(c.min())
+            if size > (1 << 62) // (int(c.max()) - low + 1):
+                code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+                size = int(code.max()) + 1
+            code = code * (int(c.max()) - low + 1) + (c - low)
+            size *= int(c.max()) - low + 1
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        return [*(c[first] for c in cols[:-2]), np.bincount(which, cols[-2]), np.bincount(which, cols[-1]).astype(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = lambda v, first: np.concatenate([np.array([first], v.dtype), v[:-1]])
+        number: dict = {}  # of each group that votes are held of
+        held: list[list[np.ndarray]] = []
+        fresh: list[list[np.ndarray]] = []
+        size = [0, 0]
+
+        def put() -> None:
+            if fresh:
+                held.append(summed([np.concatenate(c) for c in zip(*fresh, strict=True)]))
+                fresh.clear()
+                size[:] = 0, size[1] + len(held[-1][0])
+            if size[1] > HELD and len(held) > 1:
+                held[:] = [summed([np.concatenate(c) for c in zip(*held, strict=True)])]
+                size[1] = len(held[0][0])
+
+        def give() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            which, at, delta, base, p_at, p_delta, p_base, weigh, n = summed([np.concatenate(c) for c in zip(*held, strict=True)])
+            names = pa.array(list(number), kept[0])
+            for i in range(0, len(which), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                letters = [pa.array(c[part].astype(np.uint32).view("U1")) for c in (base, p_base)]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which[part])), pa.array(at[part]), pa.array(delta[part].astype(np.int32)), letters[0], pa.array(p_at[part]), pa.array(p_delta[part].astype(np.int32)), letters[1], pa.array(weigh[part]), pa.array(n[part])], names=["group", "t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base", "weight", "n"])
+            held.clear()
+            number.clear()
+            size[:] = 0, 0
+
+        kept: list = []
         for batch in batches:
-            held, size = [], 0
-            for i, (x, y, first, weigh) in enumerate(zip(*(batch.column(n).to_pylist() for n in range(1, 5)), strict=True)):
+            kept = [batch.column(0).type]
+            for name, x, y, first, weigh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not x or not y:
                     continue
-                a, has = np.frombuffer(x.encode(), "S1").astype("U1"), np.frombuffer(y.encode(), np.uint8) != gap
+                a, has = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64), np.frombuffer(y.encode(), np.uint8) != gap
                 n = np.arange(len(has))
                 at = first - 1 + np.cumsum(has)
                 delta = n - np.maximum.accumulate(np.where(has, n, -1))
-                held.append((np.full(len(n), i), np.full(len(n), weigh), at, delta, a, before(at, first - 1), before(delta, 0), before(a, ".")))
-                size += len(n)
-                if size >= 1 << 19:
-                    yield put(held, batch.column(0))
-                    held, size = [], 0
-            if held:
-                yield put(held, batch.column(0))
+                fresh.append([np.full(len(n), number.setdefault(name, len(number))), at, delta, a, before(at, first - 1), before(delta, 0), before(a, ord(".")), np.full(len(n), weigh), np.ones(len(n), np.int64)])
+                size[0] += len(n)
+                if size[0] >= AT_ONCE:
+                    put()
+                    if size[1] > HELD:
+                        yield from give()
+        put()
+        yield from give()
 
     weigh = (F.col(weight) if weight else F.lit(1.0)).cast("double")
     made = rows.select(F.col(group).alias("group"), F.col(q).alias("_q"), F.col(s).alias("_s"), F.col(start).cast("long").alias("_at"), weigh.alias("_w"))
-    return made.mapInArrow(run, f"group {kind}, weight double, t_pos long, delta int, base string, p_t_pos long, p_delta int, p_base string")
+    return made.mapInArrow(run, f"group {kind}, t_pos long, delta int, base string, p_t_pos long, p_delta int, p_base string, weight double, n long")
+
+
+_VOTE = ["group", "t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base"]
 
 
 def pileup(votes: DataFrame) -> DataFrame:
     """Votes summed by place, base and predecessor."""
-    return votes.groupBy("group", "t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base").agg(F.sum("weight").alias("weight"))
+    return votes.groupBy(*_VOTE).agg(F.sum("weight").alias("weight"))
 
 
-def coverage(votes: DataFrame) -> DataFrame:
-    return votes.where("delta = 0").groupBy("group", "t_pos").agg(F.count("*").alias("cov"))
+def covered(votes: DataFrame) -> DataFrame:
+    """``pileup`` with the number of alignments that cover each place (cov; 0: none but in insertions)."""
+    summed = votes.groupBy(*_VOTE).agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+    own = F.sum(F.when(F.col("delta") == 0, F.col("n")).otherwise(0)).over(Window.partitionBy("group", "t_pos"))
+    return summed.withColumn("cov", own).drop("n")
 
 
-def consensus(piled: DataFrame, cover: DataFrame, factor: float = 0.4) -> DataFrame:
-    """The best path through each group's pileup: group, seq (gaps dropped).
+def consensus(piled: DataFrame, factor: float = 0.4) -> DataFrame:
+    """The best path through each group's pileup (``covered``): group, seq (gaps dropped).
 
     A node's score is its weight less ``factor`` times the coverage of its place, plus the best score of its
     predecessor. The dynamic programme runs over a group's summed votes, which grow with the length, not the reads.
     """
-    both = piled.join(cover, ["group", "t_pos"], "left").select("group", "t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base", "weight", F.coalesce("cov", F.lit(0)).alias("cov"))
-
     def path(pdf: pd.DataFrame) -> pd.DataFrame:
         best: dict[tuple, tuple[float, tuple | None]] = {}
         rows = pdf.sort_values(["t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base"])
@@ -87,7 +133,7 @@ def consensus(piled: DataFrame, cover: DataFrame, factor: float = 0.4) -> DataFr
             at = best[at][1]
         return pd.DataFrame({"group": [pdf["group"].iloc[0]], "seq": ["".join(reversed(out)).replace("-", "")]})
 
-    return both.groupBy("group").applyInPandas(path, f"group {piled.schema['group'].dataType.simpleString()}, seq string")
+    return piled.groupBy("group").applyInPandas(path, f"group {piled.schema['group'].dataType.simpleString()}, seq string")
 
 
 def group_pairs(reads: DataFrame) -> DataFrame:
@@ -129,7 +175,7 @@ def _assembled(reads: DataFrame, aligned: DataFrame, options: ConsensusOptions,
     """
     run = intervals.longest_covered(aligned.select("sid", F.col("soff").alias("from"), F.col("send").alias("to")), ["sid"], options.min_cov, options.min_size).withColumnRenamed("sid", "group")
     v = votes(aligned, "sid").join(run, "group").where("t_pos >= `from` and t_pos < `to`").drop("from", "to")
-    made = consensus(pileup(v), coverage(v), options.coverage_factor).withColumnRenamed("seq", "_c")
+    made = consensus(covered(v), options.coverage_factor).withColumnRenamed("seq", "_c")
     out = reads.join(run.join(made, "group").withColumnRenamed("group", "rid"), "rid").withColumn("raw_size", F.length("seq")).where(F.col("to") - F.col("from") >= share * F.col("raw_size"))
     if not splice:
         return out.select("rid", F.col("_c").alias("seq"), "from", "to", "raw_size")

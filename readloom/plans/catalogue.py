@@ -881,8 +881,7 @@ def a22_pileup(spark, d):
 
 @query()
 def a23_consensus(spark, d):
-    v = _votes(spark, d)
-    return consensus.consensus(consensus.pileup(v), consensus.coverage(v))
+    return consensus.consensus(consensus.covered(_votes(spark, d)))
 
 
 @query(f"""WITH {views.SIG_SQL}, p AS (SELECT concat_ws(':', sid, type, sfrom // 1440) AS cell, qid AS pid, CAST(sfrom AS DOUBLE) AS x, CAST(len AS DOUBLE) AS y FROM sig), size AS (SELECT cell, count(*) AS n FROM p GROUP BY cell),

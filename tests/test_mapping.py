@@ -1,6 +1,7 @@
 """Overlaps, remapping and correction of reads drawn from a known sequence."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -148,3 +149,25 @@ def test_saturation_goes_by_order(spark):
             stop = taken >= 4 and sum(c < 4 for c in cover) < 150
     d = spark.createDataFrame(rows, "sid long, qid long, rank int, cb long, ce long, sb long, se long, size long")
     assert sorted((r.sid, r.qid) for r in consensus._unsaturated(d, 4, 150).collect()) == sorted(want)
+
+
+def test_votes_are_summed_in_tasks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.choice([3, None, 10**12]), "".join(rng.choices("ACG-é", k=n)), "".join(rng.choices("ACG-", k=n)), rng.randrange(3) * 10**6, rng.randrange(1, 5) / 2) for n in (rng.randrange(1, 40) for _ in range(300))]
+    rows += [(3, "ACGT" * 20, "ACGT" * 20, 0, 1.0)] * 500 + [(3, None, "A", 0, 1.0), (3, "", "", 0, 1.0)]
+    want, cover = Counter(), Counter()
+    for g, q, s, first, w in rows:
+        at, delta, base = first - 1, 0, "."
+        for a, b in zip(q or "", s or "", strict=False):
+            old = (at, delta, base)
+            at, delta, base = (at + 1, 0, a) if b != "-" else (at, delta + 1, a)
+            want[g, at, delta, base, *old] += w
+            cover[g, at] += delta == 0
+    d = spark.createDataFrame(rows, "group long, q_aln string, s_aln string, soff long, w double").coalesce(1)
+    for once, held in ((consensus.AT_ONCE, consensus.HELD), (500, 900)):
+        monkeypatch.setattr(consensus, "AT_ONCE", once)
+        monkeypatch.setattr(consensus, "HELD", held)
+        v = consensus.votes(d, "group", weight="w")
+        assert once == 500 or v.count() == len(want)
+        assert {tuple(r)[:7]: r.weight for r in consensus.pileup(v).collect()} == want
+        assert all(r["cov"] == cover[r["group"], r.t_pos] for r in consensus.covered(v).collect())
