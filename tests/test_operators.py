@@ -192,3 +192,15 @@ def test_alignments_are_shuffled_once(spark):
     for name in ("a08_merge_windows", "o06_window_hsps"):  # by read; the scans follow in place
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_edit_distances_by_bits(spark):
+    rng = random.Random(2)
+    sizes = [0, 1, 63, 64, 65, 120, 128, 129, 300, 512]
+    rows = [("".join(rng.choices(abc, k=m)), "".join(rng.choices(abc, k=n))) for abc in ("ACGT", "Aé\U0001f600") for m in sizes for n in sizes]
+    rows += [("ACGT" * 200, "AGT" * 250), ("", "A" * 600), (None, "A"), ("A", None)]
+    d = spark.createDataFrame(rows, "q string, s string")
+    got = d.select("q", "s", F.levenshtein("q", "s").alias("want"), align.edit_distance(F.col("q"), F.col("s")).alias("dist")).collect()
+    assert len(got) == len(rows) and all(r.dist == r.want for r in got)
+    short = [r for r in got if None not in (r.q, r.s) and len(r.q) <= 512 and len(r.s) <= 512]
+    assert align.edit_distances([r.q for r in short], [r.s for r in short]) == [r.want for r in short]
