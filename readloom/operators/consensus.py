@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.config import ConsensusOptions
+from readloom.functions import alignment as al
 from readloom.operators import align, intervals, kmers, mapping, traceback
 from readloom.operators.scratch import dealt
 
@@ -19,7 +20,43 @@ KMER, STEP, SEED_SCORE = 10, 6, 50
 
 
 #: Votes that a task collects before it sums equal ones, and sums that it holds before it gives them on.
-AT_ONCE, HELD = 1 << 18, 1 << 19
+AT_ONCE, HELD = 1 << 20, 1 << 20
+
+
+def _tally(which: np.ndarray, first: np.ndarray, weigh: np.ndarray, qs: list[str], ss: list[str]) -> list[np.ndarray]:
+    """Summed votes of alignments of groups ``which`` from ``first`` on: group, t_pos, delta, base, p_delta, p_base, weight, n."""
+    sizes = np.array([len(s) for s in ss], np.int64)
+    ends = np.cumsum(sizes)
+    a, has = al.letters(qs, sizes).astype(np.int32), al.letters(ss, sizes) != ord("-")
+    row, starts = np.repeat(np.arange(len(ss)), sizes), ends - sizes
+    seen, n = np.concatenate([[0], np.cumsum(has)]), np.arange(len(has))
+    at = seen[1:] + (first - 1 - seen[starts])[row]
+    delta = n - np.maximum(np.maximum.accumulate(np.where(has, n, -1)), (starts - 1)[row])
+    p_delta, p_base = (np.concatenate([np.zeros(1, v.dtype), v[:-1]]) for v in (delta, a))
+    p_delta[starts], p_base[starts] = 0, ord(".")
+    return _summed([which[row], at, delta, a, p_delta, p_base, weigh[row], None])
+
+
+def _summed(cols: list) -> list[np.ndarray]:
+    """Equal votes as one. The column n may be missing where each row is one vote."""
+    keys, weigh, n = cols[:-2], cols[-2], cols[-1]
+    code, size, whole = np.zeros(len(weigh), np.int64), 1, True
+    lows, ranges = [int(c.min()) for c in keys], [int(c.max()) - int(c.min()) + 1 for c in keys]
+    for c, low, wide in zip(keys, lows, ranges, strict=True):
+        if size > (1 << 62) // wide:
+            code, whole = np.unique(code, return_inverse=True)[1].astype(np.int64), False
+            size = int(code.max()) + 1
+        code = code * wide + (c - low)
+        size *= wide
+    if whole and n is None and (weigh == 1).all():  # the columns are read from the code, no row need be found again
+        code, n = np.unique(code, return_counts=True)
+        out = []
+        for c, low, wide in zip(keys[::-1], lows[::-1], ranges[::-1], strict=True):
+            code, rest = np.divmod(code, wide)
+            out.append((rest + low).astype(c.dtype))
+        return [*out[::-1], n.astype(np.float64), n]
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    return [*(c[first] for c in keys), np.bincount(which, weigh), np.bincount(which, n).astype(np.int64)]
 
 
 def votes(rows: DataFrame, group: str, q: str = "q_aln", s: str = "s_aln", start: str = "soff", weight: str | None = None) -> DataFrame:
@@ -28,69 +65,45 @@ def votes(rows: DataFrame, group: str, q: str = "q_aln", s: str = "s_aln", start
     t_pos is the subject's place, delta counts insertions behind it. Running counts over the columns of one alignment.
     A task sums equal votes (weight) and counts them (n) before it gives them on, as far as it can hold them.
     """
-    gap = ord("-")
     kind = rows.schema[group].dataType.simpleString()
-    before = lambda v, first: np.concatenate([np.array([first], v.dtype), v[:-1]])
-
-    def summed(cols: list[np.ndarray]) -> list[np.ndarray]:
-        """Equal votes as one; the last two columns are weight and n."""
-        code, size = np.zeros(len(cols[0]), np.int64), 1
-        for c in cols[:-2]:
-            low = int(c.min())
-            if size > (1 << 62) // (int(c.max()) - low + 1):
-                code = np.unique(code, return_inverse=True)[1].astype(np.int64)
-                size = int(code.max()) + 1
-            code = code * (int(c.max()) - low + 1) + (c - low)
-            size *= int(c.max()) - low + 1
-        _, first, which = np.unique(code, return_index=True, return_inverse=True)
-        return [*(c[first] for c in cols[:-2]), np.bincount(which, cols[-2]), np.bincount(which, cols[-1]).astype(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict = {}  # of each group that votes are held of
-        held: list[list[np.ndarray]] = []
-        fresh: list[list[np.ndarray]] = []
-        size = [0, 0]
-
-        def put() -> None:
-            if fresh:
-                held.append(summed([np.concatenate(c) for c in zip(*fresh, strict=True)]))
-                fresh.clear()
-                size[:] = 0, size[1] + len(held[-1][0])
-            if size[1] > HELD and len(held) > 1:
-                held[:] = [summed([np.concatenate(c) for c in zip(*held, strict=True)])]
-                size[1] = len(held[0][0])
-
-        def give() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            which, at, delta, base, p_at, p_delta, p_base, weigh, n = summed([np.concatenate(c) for c in zip(*held, strict=True)])
-            names = pa.array(list(number), kept[0])
-            for i in range(0, len(which), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                letters = [pa.array(c[part].astype(np.uint32).view("U1")) for c in (base, p_base)]
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(which[part])), pa.array(at[part]), pa.array(delta[part].astype(np.int32)), letters[0], pa.array(p_at[part]), pa.array(p_delta[part].astype(np.int32)), letters[1], pa.array(weigh[part]), pa.array(n[part])], names=["group", "t_pos", "delta", "base", "p_t_pos", "p_delta", "p_base", "weight", "n"])
-            held.clear()
-            number.clear()
-            size[:] = 0, 0
-
-        kept: list = []
+        fresh, held, size = [], [], 0
+
+        def summed(more: list, least: int) -> list:
+            """What is held, summed if it is more than so many votes."""
+            both = [*held, *more]
+            return [_summed([np.concatenate(c) for c in zip(*both, strict=True)])] if len(both) > 1 and sum(len(h[0]) for h in both) > least else both
+
+        def tally() -> list:
+            which, first, weigh, qs, ss = zip(*fresh, strict=True)
+            return [_tally(np.array(which), np.array(first, np.int64), np.array(weigh, np.float64), qs, ss)]
+
+        def give(type_: pa.DataType) -> Iterator[pa.RecordBatch]:
+            names = pa.array(list(number), type_)
+            for which, at, delta, base, p_delta, p_base, weigh, n in held:
+                p_at = at - (delta == 0)  # the same place, behind which the base is, or the one before
+                letters = [c.astype(np.uint32).view("U1") for c in (base, p_base)]
+                cols = [which, at, delta.astype(np.int32), letters[0], p_at, p_delta.astype(np.int32), letters[1], weigh, n]
+                for i in range(0, len(which), 1 << 16):
+                    part = [pa.array(c[i : i + (1 << 16)]) for c in cols]
+                    yield pa.RecordBatch.from_arrays([names.take(part[0]), *part[1:]], names=["group", *_VOTE[1:], "weight", "n"])
+
         for batch in batches:
-            kept = [batch.column(0).type]
             for name, x, y, first, weigh in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not x or not y:
-                    continue
-                a, has = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64), np.frombuffer(y.encode(), np.uint8) != gap
-                n = np.arange(len(has))
-                at = first - 1 + np.cumsum(has)
-                delta = n - np.maximum.accumulate(np.where(has, n, -1))
-                fresh.append([np.full(len(n), number.setdefault(name, len(number))), at, delta, a, before(at, first - 1), before(delta, 0), before(a, ord(".")), np.full(len(n), weigh), np.ones(len(n), np.int64)])
-                size[0] += len(n)
-                if size[0] >= AT_ONCE:
-                    put()
-                    if size[1] > HELD:
-                        yield from give()
-        put()
-        yield from give()
+                if x and y:
+                    fresh.append((number.setdefault(name, len(number)), first, weigh, x, y))
+                    size += len(y)
+                    if size >= AT_ONCE:
+                        held = summed(tally(), HELD)
+                        fresh, size = [], 0
+                        if sum(len(h[0]) for h in held) > HELD:
+                            yield from give(batch.column(0).type)
+                            held, number = [], {}
+        held = summed(tally() if fresh else [], 0)
+        if held:
+            yield from give(batch.column(0).type)
 
     weigh = (F.col(weight) if weight else F.lit(1.0)).cast("double")
     made = rows.select(F.col(group).alias("group"), F.col(q).alias("_q"), F.col(s).alias("_s"), F.col(start).cast("long").alias("_at"), weigh.alias("_w"))
