@@ -204,3 +204,17 @@ def test_edit_distances_by_bits(spark):
     assert len(got) == len(rows) and all(r.dist == r.want for r in got)
     short = [r for r in got if None not in (r.q, r.s) and len(r.q) <= 512 and len(r.s) <= 512]
     assert align.edit_distances([r.q for r in short], [r.s for r in short]) == [r.want for r in short]
+
+
+def test_seeds_of_many_pairs_are_linked_at_once():
+    rng = np.random.default_rng(1)
+    q, s, pairs = np.empty(0, np.int64), np.empty(0, np.int64), []
+    for i in range(900):
+        m = int(rng.choice([3, 4, 7, 20, 90, 300], p=[0.5, 0.2, 0.2, 0.07, 0.02, 0.01]))
+        x = rng.integers(0, (300, 9000)[i % 2], m)
+        pairs.append((len(q), len(q) + m))
+        q, s = np.concatenate([q, x]), np.concatenate([s, np.sort(x + rng.integers(-60, 60, m) if i % 3 else rng.integers(0, 9000, m))])
+    score, before = align.all_linked(q, s, pairs, 15, 5000, 1500)
+    for a, b in pairs:
+        want = align.linked(q[a:b], s[a:b], 15, 5000, 1500)
+        assert (score[a:b] == want[0]).all() and (before[a:b] == want[1]).all()
