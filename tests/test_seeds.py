@@ -51,7 +51,7 @@ def test_blocks_without_words(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["j01_seed_join", "t05_candidate_pairs", "w10_diagonal_runs"])
+@pytest.mark.parametrize("name", ["j01_seed_join", "t05_candidate_pairs", "w10_diagonal_runs", "w11_trace_points"])
 def test_seeds_are_not_shuffled(spark, name):
     d = QUERIES[name](spark, SF)
     plan = d._jdf.queryExecution().executedPlan().toString()
