@@ -32,13 +32,15 @@ def joined(reads, most):
 @pytest.mark.parametrize(("together", "at_once", "most"), [(1, 1 << 20, 200), (3, 40, 200), (2, 1, 9)])
 def test_blocks_meet(spark, monkeypatch, reads, together, at_once, most):
     monkeypatch.setattr(seeds, "AT_ONCE", at_once)
-    both = seeds.blocks(reads, BATCHES, together, K, reverse=True, sample=True, most=most, text=True), seeds.blocks(reads, VOLUMES, together, K, 3, most=most, text=True)
+    both = seeds.blocks(reads, BATCHES, together, K, reverse=True, sample=True, most=most, text=True, own=8), seeds.blocks(reads, VOLUMES, together, K, 3, most=most, text=True, own=8)
     assert both[0].count() == -(-5 // together)
     old = joined(reads, most).cache()
     chain = kmers.rising(old).cache()
     got = seeds.seeds(*both, K)
     assert got.columns == old.columns and rows(got) == rows(old) and old.count() > 500
     assert rows(seeds.candidates(*both, K)) == rows(kmers.candidates(old))
+    asked, has = (kmers.words(reads, K, reverse=True, sample=True), kmers.words(reads, K, 3))
+    assert rows(seeds.pair_seeds(*both, K).select("qid", "qdir", "qoff", "sid", "soff")) == rows(kmers.pair_seeds(kmers.candidates(old), asked, has).select("qid", "qdir", "qoff", "sid", "soff"))
     assert rows(seeds.diagonal_runs(*both, K)) == rows(kmers.diagonal_runs(chain, K))
     assert rows(seeds.exact_matches(*both, K)) == rows(kmers.exact_matches(kmers.diagonal_runs(chain, K), reads, K))
     assert rows(seeds.trace_points(*both, K)) == rows(kmers.trace_points(chain))
@@ -52,7 +54,7 @@ def test_blocks_without_words(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["j01_seed_join", "t05_candidate_pairs", "w10_diagonal_runs", "w10_exact_matches", "w11_trace_points"])
+@pytest.mark.parametrize("name", ["j01_seed_join", "j02_capped_seed_join", "t05_candidate_pairs", "w10_diagonal_runs", "w10_exact_matches", "w11_trace_points"])
 def test_seeds_are_not_shuffled(spark, name):
     d = QUERIES[name](spark, SF)
     plan = d._jdf.queryExecution().executedPlan().toString()
