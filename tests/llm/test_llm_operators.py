@@ -82,6 +82,14 @@ def feasible(sizes, capacity, shards):
     return used <= shards
 
 
+def test_saved_tables_leave_no_shuffles(spark):
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    known = files()
+    made = common.save(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count().join(spark.range(700).withColumnRenamed("id", "k"), "k"), "no-shuffles")
+    assert not files() - known and made.count() == 700
+    assert spark.conf.get(common._SHUFFLES_END, "false") == "false"
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_sharding(spark, seed):
     rows = corpus(seed, 90) + [(1000 + i, "hot " * 40, "s") for i in range(25)]
