@@ -1,5 +1,6 @@
 """Interval, grouping and kernel operators against plain brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -218,3 +219,21 @@ def test_seeds_of_many_pairs_are_linked_at_once():
     for a, b in pairs:
         want = align.linked(q[a:b], s[a:b], 15, 5000, 1500)
         assert (score[a:b] == want[0]).all() and (before[a:b] == want[1]).all()
+
+
+def test_long_chains_are_linked_as_by_all_their_seeds():
+    rng = np.random.default_rng(9)
+    for n, wide in ((400, 90), (700, 3000), (600, 9000)):
+        s = np.sort(rng.integers(0, wide, n) * 3)
+        q = np.where(rng.random(n) < 0.6, s + rng.integers(0, 3, n) * 40, rng.integers(0, 3 * wide, n))
+        score, before = align.linked(q, s, 15, 2000, 700)
+        for i in range(n):
+            top, of = 15.0, -1
+            for j in range(i):
+                dq, ds = int(q[i] - q[j]), int(s[i] - s[j])
+                dd = abs(dq - ds)
+                if 0 < dq <= 2000 and 0 < ds <= 2000 and dd <= 700:
+                    made = min(dq, ds, 15) - math.floor(0.01 * dd * 15) - (math.floor(math.log2(dd)) // 2 if dd else 0) + score[j]
+                    if made > 15 and made >= top:
+                        top, of = made, j
+            assert (score[i], before[i]) == (top, of)

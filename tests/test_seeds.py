@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from readloom.operators import kmers, seeds
+from readloom.operators import align, kmers, seeds
 from readloom.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +44,19 @@ def test_blocks_meet(spark, monkeypatch, reads, together, at_once, most):
     assert rows(seeds.diagonal_runs(*both, K)) == rows(kmers.diagonal_runs(chain, K))
     assert rows(seeds.exact_matches(*both, K)) == rows(kmers.exact_matches(kmers.diagonal_runs(chain, K), reads, K))
     assert rows(seeds.trace_points(*both, K)) == rows(kmers.trace_points(chain))
+    best = align.chain(old, K)
+    assert rows(seeds.best_chains(*both, K).select(best.columns)) == rows(best) and best.count() > 20
+    for join in (False, True):
+        every = align.chains(old, K, 24, join=join)
+        got = seeds.chains(*both, K, 24, join=join)
+        assert got.dtypes == every.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, every.collect())) and every.count() > 20
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["t04_chain", "t04_chains"])
+def test_seeds_of_chains_are_not_shuffled(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
 
 
 def test_blocks_without_words(spark):
